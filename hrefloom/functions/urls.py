@@ -75,11 +75,8 @@ def with_pieces(url: Column | str, body: Callable[[Column], Column]) -> Column:
 
 def join_pieces(pieces: Column) -> Column:
     """The URL text of an array of raw pieces."""
-    scheme = F.get(pieces, F.lit(SCHEME))
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        *[F.get(pieces, F.lit(i)) for i in range(1, PIECES)],
-    )
+    scheme = F.regexp_replace(pieces[SCHEME], r"(.)\z", "$1:")
+    return F.concat(scheme, *[pieces[i] for i in range(1, PIECES)])
 
 
 @dataclass(frozen=True)
@@ -123,12 +120,11 @@ def query_pairs(query: Column) -> Column:
 
 
 def parts_of_pieces(pieces: Column) -> UrlParts:
-    at = lambda i: F.get(pieces, F.lit(i))
+    at = pieces.getItem
     has_authority = at(SLASHES) == "//"
-    user = at(USERINFO)
     return UrlParts(
         scheme=_blank_to_null(F.lower(at(SCHEME))),
-        userinfo=F.when(user != "", F.substring_index(user, "@", 1)),
+        userinfo=_blank_to_null(F.substring_index(at(USERINFO), "@", 1)),
         host=F.when(has_authority, F.lower(at(HOST))),
         port=F.when(F.length(at(PORT)) > 1, F.substr(at(PORT), F.lit(2)).cast("int")),
         path=at(PATH),
