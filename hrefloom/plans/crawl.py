@@ -44,31 +44,32 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | N
     def round_table(n: int, df: DataFrame) -> DataFrame:
         return table(f"rounds/round={n}", df)
 
-    def visited() -> DataFrame:
-        return spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
+    def visited(through: int) -> DataFrame:
+        rounds = spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
+        return rounds.where(F.col("round") <= through)
 
     start = seeds.select("url").distinct().withColumn("key", U.url_key("url"))
     host = U.with_pieces("url", lambda p: F.regexp_replace(U.parts_of_pieces(p).host, r"\.\z", ""))
     first = round_table(0, start.select("url", host.alias("host"), "key"))
     if max_rounds < 1:
-        return visited().select("url", "host", "round")
+        return visited(0).select("url", "host", "round")
 
     index = table("index", page_index(pages))
     asked = pages.withColumn("url", U.canonicalise("url")).where(F.col("url").isNotNull())
     links = table("links", _links_of(asked))
 
     # seeds: pages resolved against the URL exactly as given
-    found, _ = fetch_pages(first.select("url", F.xxhash64("url").alias("seq")), pages)
+    found, _ = fetch_pages(first.select("url", F.xxhash64("url").alias("seq")), pages, index)
     candidates = _links_of(found.withColumnRenamed("seq", "page_id"))
     for n in range(1, max_rounds + 1):
         new = (
             candidates.select("url", "host")
             .distinct()
-            .join(visited().select(F.col("key").alias("url")), "url", "left_anti")
+            .join(visited(n - 1).select(F.col("key").alias("url")), "url", "left_anti")
         )
         frontier = round_table(n, new.select("url", "host", F.col("url").alias("key")))
         if frontier.isEmpty():
             break
         pages_hit = frontier.select("key").join(index, "key").select("page_id")
         candidates = pages_hit.join(links, "page_id").select("url", "host")
-    return visited().select("url", "host", "round")
+    return visited(n).select("url", "host", "round")

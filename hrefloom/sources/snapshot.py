@@ -22,16 +22,20 @@ def page_index(pages: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("page_id").alias("page_id"))
 
 
-def fetch_pages(frontier: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fetch_pages(
+    frontier: DataFrame, pages: DataFrame, index: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``seq, url`` against ``page_id, url, html`` -> (found, missing).
 
     Pages are matched on the canonical URL of both sides, and a found page
     keeps the URL that was asked for.  The match is settled on narrow columns;
     the content joins last, by ``page_id``, so only wanted pages are shuffled,
-    or none where the frontier is small enough for Spark to broadcast it.
+    or none where the frontier is small enough for Spark to broadcast it.  A
+    frontier holds a URL once, as publishing does, so no key is hot.  ``index``
+    is a stored ``page_index`` of these pages.
     """
     wanted = frontier.withColumn("key", canonicalise("url"))
-    matched = wanted.join(page_index(pages), "key", "left")
+    matched = wanted.join(page_index(pages) if index is None else index, "key", "left")
     found = (
         matched.where(F.col("page_id").isNotNull())
         .join(pages.select("page_id", "html"), "page_id")

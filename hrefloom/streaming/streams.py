@@ -88,11 +88,10 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = [f"{root}/plan/batch={i}" for i in range(batch_id)]
         seen = state = None
         offset = 0
-        if earlier:
-            done = spark.read.schema(links_schema).option("basePath", f"{root}/plan").parquet(*earlier)
+        if batch_id > 0:
+            done = spark.read.schema(links_schema).parquet(f"{root}/plan").where(F.col("batch") < batch_id)
             seen = done.select(F.col("url").alias("key"))
             state = spark.read.schema("host STRING, last_dispatch_at BIGINT").parquet(f"{root}/hosts/batch={batch_id - 1}")
             offset = done.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
