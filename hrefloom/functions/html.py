@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from hrefloom.functions.text import let, quoted
 
 _VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+)?+"""
 _ATTR = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+{_VALUE})"
@@ -35,62 +34,43 @@ _HREF_PATTERN = (
 
 _WHITESPACE = " \t\n\r\f\x0b"
 _KEY_MARK, _PAIR_MARK = "\x02", "\x03"
-_BAD_CHARACTER = "�"
+_BAD_CHARACTER = "\ufffd"
+_REFERENCE = r"&#[xX][0-9A-Fa-f]++;?+|&#[0-9]++;?+|&[A-Za-z][A-Za-z0-9]*+(?:;|(?!=))|[^&]++|&"
 
 
-def link_tags(html: Column) -> Column:
+def tags_sql(html: str) -> str:
     """ARRAY of the <a> and <base> heads that carry an href, in document order."""
-    heads = F.regexp_extract_all(html, F.lit(TOKEN_PATTERN), F.lit(2))
-    return F.filter(heads, lambda t: t != "")
+    return f"filter(regexp_extract_all({html}, {quoted(TOKEN_PATTERN)}, 2), t -> t <> '')"
 
 
-def is_base_tag(tag: Column) -> Column:
-    return F.lower(F.substring(tag, 2, 1)) == "b"
+def is_base_sql(tag: str) -> str:
+    return f"lower(substr({tag}, 2, 1)) = 'b'"
 
 
-def _named_entities() -> Column:
+def _named_entities() -> str:
     # the standard's own table, as shipped with Python, folded to one map literal
-    text = _PAIR_MARK.join(f"&{name}{_KEY_MARK}{value}" for name, value in html5.items())
-    return F.str_to_map(F.lit(text), F.lit(_PAIR_MARK), F.lit(_KEY_MARK))
+    table = _PAIR_MARK.join(f"&{name}{_KEY_MARK}{value}" for name, value in html5.items())
+    return f"str_to_map({quoted(table)}, {quoted(_PAIR_MARK)}, {quoted(_KEY_MARK)})"
 
 
-def decode_entities(text: Column) -> Column:
+def decoded_sql(text: str) -> str:
     """Character references as they count inside an attribute value."""
-
-    def character(code: Column) -> Column:
-        ok = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(ok, wide).otherwise(_BAD_CHARACTER)
-
-    def numeric(token: Column) -> Column:
-        hexadecimal = F.regexp_extract(token, "^&#[xX]0*+([0-9A-Fa-f]{1,6});?$", 1)
-        decimal = F.regexp_extract(token, "^&#0*+([0-9]{1,7});?$", 1)
-        return (
-            F.when(hexadecimal != "", character(F.conv(hexadecimal, 16, 10).cast("bigint")))
-            .when(decimal != "", character(decimal.cast("bigint")))
-            .otherwise(_BAD_CHARACTER)
-        )
-
-    def one(token: Column) -> Column:
-        return (
-            F.when(token == "&amp;", "&")
-            .when(F.startswith(token, F.lit("&#")) & (F.length(token) > 2), numeric(token))
-            .when(
-                F.startswith(token, F.lit("&")) & (F.length(token) > 1),
-                F.coalesce(F.try_element_at(_named_entities(), token), token),
-            )
-            .otherwise(token)
-        )
-
-    tokens = F.regexp_extract_all(
-        text,
-        F.lit(r"&#[xX][0-9A-Fa-f]++;?+|&#[0-9]++;?+|&[A-Za-z][A-Za-z0-9]*+(?:;|(?!=))|[^&]++|&"),
-        F.lit(0),
+    hexadecimal = "regexp_extract(t, '^&#[xX]0*+([0-9A-Fa-f]{1,6});?$', 1)"
+    decimal = "regexp_extract(t, '^&#0*+([0-9]{1,7});?$', 1)"
+    code = f"CASE WHEN {hexadecimal} <> '' THEN CAST(conv({hexadecimal}, 16, 10) AS BIGINT) WHEN {decimal} <> '' THEN CAST({decimal} AS BIGINT) ELSE 0 END"
+    usable = f"(n > 0 AND n < {0xD800}) OR (n > {0xDFFF} AND n <= {0x10FFFF})"
+    character = let(code, "n", f"if({usable}, decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32'), '{_BAD_CHARACTER}')")
+    one = (
+        "CASE WHEN t = '&amp;' THEN '&' "
+        f"WHEN startswith(t, '&#') AND length(t) > 2 THEN {character} "
+        f"WHEN startswith(t, '&') AND length(t) > 1 THEN coalesce(try_element_at({_named_entities()}, t), t) "
+        "ELSE t END"
     )
-    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(tokens, one), "")).otherwise(text)
+    tokens = f"regexp_extract_all(x, {quoted(_REFERENCE)}, 0)"
+    return let(text, "x", f"if(instr(x, '&') > 0, array_join(transform({tokens}, t -> {one}), ''), x)")
 
 
-def href_of_tag(tag: Column) -> Column:
+def href_sql(tag: str) -> str:
     """The href value of a tag head, references decoded, outer blanks cut."""
-    raw = F.regexp_replace(tag, _HREF_PATTERN, "$1$2$3")
-    return F.btrim(decode_entities(raw), F.lit(_WHITESPACE))
+    raw = f"regexp_replace({tag}, {quoted(_HREF_PATTERN)}, '$1$2$3')"
+    return f"btrim({decoded_sql(raw)}, {quoted(_WHITESPACE)})"

@@ -1,15 +1,12 @@
 """Link policy as boolean Columns: which URLs are worth crawling.
 
 Every predicate takes a URL column and is FALSE, never NULL, for text that is
-not a valid URL.  The ``*_parts`` forms work on parts that are split already.
+not a valid URL.  The ``*_sql`` forms work on parts that are split already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from hrefloom.functions.rules import (
     ASSET_EXTENSIONS,
@@ -18,129 +15,123 @@ from hrefloom.functions.rules import (
     WIKI_ACTION_KEYS,
     blocked_domain_set,
 )
-from hrefloom.functions.urls import UrlParts, bind, parts_of_pieces, with_pieces
+from hrefloom.functions.text import let, lift, words
+from hrefloom.functions.urls import UrlParts, bare_host_sql, parts_of_pieces, with_pieces_sql
 
 
-def _sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def _sure(condition: str) -> str:
+    return f"coalesce({condition}, false)"
 
 
-def has_host_parts(p: UrlParts) -> Column:
-    return _sure(p.host != "")
+def has_host_sql(p: UrlParts) -> str:
+    return _sure(f"{p.host} <> ''")
 
 
-def allowed_scheme_parts(p: UrlParts) -> Column:
-    return _sure(p.scheme.isin("http", "https"))
+def allowed_scheme_sql(p: UrlParts) -> str:
+    return _sure(f"{p.scheme} IN ('http', 'https')")
 
 
-def is_asset_parts(p: UrlParts) -> Column:
-    extension = F.substring_index(F.lower(p.path), ".", -1)
-    return _sure((F.instr(p.path, ".") > 0) & extension.isin(*ASSET_EXTENSIONS))
+def is_asset_sql(p: UrlParts) -> str:
+    last = f"substring_index(lower({p.path}), '.', -1)"
+    return _sure(f"instr({p.path}, '.') > 0 AND {last} IN {words(ASSET_EXTENSIONS)}")
 
 
-def has_wiki_action_parts(p: UrlParts) -> Column:
-    return _sure(F.exists(p.query, lambda x: x["k"].isin(*WIKI_ACTION_KEYS)))
+def has_wiki_action_sql(p: UrlParts) -> str:
+    return _sure(f"exists({p.query}, q -> q.k IN {words(WIKI_ACTION_KEYS)})")
 
 
-def is_wiki_namespace_parts(p: UrlParts) -> Column:
-    return _sure(p.path.rlike("^/wiki/[^/]*:"))
+def is_wiki_namespace_sql(p: UrlParts) -> str:
+    return _sure(f"{p.path} RLIKE '^/wiki/[^/]*:'")
 
 
-def accept_parts(p: UrlParts) -> Column:
-    return (
-        allowed_scheme_parts(p)
-        & has_host_parts(p)
-        & ~is_asset_parts(p)
-        & ~is_wiki_namespace_parts(p)
-        & ~has_wiki_action_parts(p)
+def accept_sql(p: UrlParts) -> str:
+    # cheap tests first
+    return " AND ".join(
+        [
+            allowed_scheme_sql(p),
+            has_host_sql(p),
+            f"NOT {is_asset_sql(p)}",
+            f"NOT {is_wiki_namespace_sql(p)}",
+            f"NOT {has_wiki_action_sql(p)}",
+        ]
     )
 
 
-def bare_host(host: Column) -> Column:
-    """Host as the block rules see it: lower case, one trailing dot dropped."""
-    return F.regexp_replace(F.lower(host), r"\.\z", "")
-
-
-def tld_label_blocked_host(host: Column) -> Column:
-    dotted = F.concat(F.lit("."), host, F.lit("."))
-    hit = F.lit(False)
-    for label in BLOCKED_LABELS:
-        hit = hit | (F.instr(dotted, f".{label}.") > 0)
-    return _sure(hit)
+def _tld_label(host: str) -> str:
+    dotted = f"concat('.', {host}, '.')"
+    return _sure(" OR ".join(f"instr({dotted}, '.{label}.') > 0" for label in BLOCKED_LABELS))
 
 
-def final_tld_blocked_host(host: Column) -> Column:
-    return _sure(F.substring_index(host, ".", -1).isin(*BLOCKED_FINAL_LABELS))
+def _final_tld(host: str) -> str:
+    return _sure(f"substring_index({host}, '.', -1) IN {words(BLOCKED_FINAL_LABELS)}")
 
 
-def is_blocked_host(host: Column) -> Column:
+def _blocked_host(host: str) -> str:
     """Suffix match by set lookup: one probe per label depth the rules use.
 
-    A host is covered by a rule of n labels exactly when its last n labels
-    are that rule, so the cost does not grow with the number of rules.
+    A host is covered by a rule of n labels exactly when its last n labels are
+    that rule, so the cost does not grow with the number of rules.
     """
     by_depth: dict[int, list[str]] = {}
     for rule in blocked_domain_set():
         by_depth.setdefault(rule.count(".") + 1, []).append(rule)
-    hit = tld_label_blocked_host(host) | final_tld_blocked_host(host)
-    for depth, members in sorted(by_depth.items()):
-        hit = hit | F.substring_index(host, ".", -depth).isin(*members)
-    return _sure(hit)
+    probes = [f"substring_index({host}, '.', -{depth}) IN {words(rules)}" for depth, rules in sorted(by_depth.items())]
+    return _sure(" OR ".join([_tld_label(host), _final_tld(host), *probes]))
 
 
-def is_blocked_parts(p: UrlParts) -> Column:
-    return _sure(bind(bare_host(p.host), is_blocked_host))
+def is_blocked_sql(p: UrlParts) -> str:
+    return let(bare_host_sql(p.host), "h", _blocked_host("h"))
 
 
-def _on_url(url: Column | str, rule: Callable[[UrlParts], Column]) -> Column:
-    return _sure(with_pieces(url, lambda p: rule(parts_of_pieces(p))))
+def _on_url(url: Column | str, rule) -> Column:
+    return lift(url, lambda u: _sure(with_pieces_sql(u, "p", rule(parts_of_pieces("p")))))
 
 
 def has_host(url: Column | str) -> Column:
     """The URL names a host."""
-    return _on_url(url, has_host_parts)
+    return _on_url(url, has_host_sql)
 
 
 def allowed_scheme(url: Column | str) -> Column:
     """The scheme is http or https."""
-    return _on_url(url, allowed_scheme_parts)
+    return _on_url(url, allowed_scheme_sql)
 
 
 def is_valid_url(url: Column | str) -> Column:
     """Has a host and an allowed scheme."""
-    return _on_url(url, lambda p: has_host_parts(p) & allowed_scheme_parts(p))
+    return _on_url(url, lambda p: f"{has_host_sql(p)} AND {allowed_scheme_sql(p)}")
 
 
 def is_asset(url: Column | str) -> Column:
     """The path ends in the extension of an asset, in any case."""
-    return _on_url(url, is_asset_parts)
+    return _on_url(url, is_asset_sql)
 
 
 def has_wiki_action(url: Column | str) -> Column:
     """Any query key, bare ones too, asks for a MediaWiki action."""
-    return _on_url(url, has_wiki_action_parts)
+    return _on_url(url, has_wiki_action_sql)
 
 
 def is_wiki_namespace(url: Column | str) -> Column:
     """The segment after /wiki/ holds a literal colon."""
-    return _on_url(url, is_wiki_namespace_parts)
+    return _on_url(url, is_wiki_namespace_sql)
 
 
 def accept_url(url: Column | str) -> Column:
     """Allowed scheme, a host, and none of the content rules hit."""
-    return _on_url(url, accept_parts)
+    return _on_url(url, accept_sql)
 
 
 def tld_label_blocked(url: Column | str) -> Column:
     """Any label of the host is one of the blocked labels."""
-    return _on_url(url, lambda p: tld_label_blocked_host(bare_host(p.host)))
+    return _on_url(url, lambda p: _tld_label(bare_host_sql(p.host)))
 
 
 def final_tld_blocked(url: Column | str) -> Column:
     """The last label of the host is one of the blocked final labels."""
-    return _on_url(url, lambda p: final_tld_blocked_host(bare_host(p.host)))
+    return _on_url(url, lambda p: _final_tld(bare_host_sql(p.host)))
 
 
 def is_blocked(url: Column | str) -> Column:
     """The host is on the built-in list, is under it, or hits a label rule."""
-    return _on_url(url, is_blocked_parts)
+    return _on_url(url, is_blocked_sql)

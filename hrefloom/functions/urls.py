@@ -1,20 +1,23 @@
-"""URL expressions: split, compare and canonicalise URLs as plain Columns.
+"""URL expressions: split, compare and canonicalise URLs.
 
 One strict RFC 3986 pattern reads a URL exactly once and rewrites it into its
-eight raw pieces; every later rule is a lookup into that one array.  All group repeats are possessive:
-the regex engine then loops instead of recursing, so a megabyte-long URL
-cannot overflow an executor's stack.
+eight raw pieces; every later rule is a lookup into that one array.  All group
+repeats are possessive: the regex engine then loops instead of recursing, so a
+megabyte-long URL cannot overflow an executor's stack.
+
+Functions that end in ``_sql`` map SQL text to SQL text; the others take and
+give Columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from hrefloom.functions.rules import TRACKING_KEYS
+from hrefloom.functions.text import let, lift, quoted, words
 
 SEP = "\x1f"
 PIECES = 8
@@ -37,108 +40,90 @@ URI_PATTERN = (
 _REWRITE = SEP.join(f"${i}" for i in range(1, PIECES + 1))
 
 # %XX of A-Z a-z 0-9 - . _ ~
-_UNRESERVED_HEX = (
-    "^%(?:2[DEde]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])$"
-)
-
-
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+_UNRESERVED_HEX = "^%(?:2[DEde]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])$"
 
 
-def _blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+# -- raw pieces -------------------------------------------------------------
 
+def pieces_sql(url: str) -> str:
+    """ARRAY of the eight raw pieces; a one-element array if not RFC 3986."""
+    text = f"replace({url}, {quoted(SEP)}, ' ')"
+    return f"split(regexp_replace({text}, {quoted(URI_PATTERN)}, {quoted(_REWRITE)}), {quoted(SEP)})"
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once; NULL where it is NULL.
-
-    Expressions are trees: an input that a rule names ten times is copied ten
-    times, and rules on rules multiply.  A lambda variable keeps every rule
-    linear in size, so they can be stacked and pushed down freely.
-    """
-    bound = F.filter(F.array(value), lambda v: v.isNotNull())
-    return F.get(F.transform(bound, body), F.lit(0))
 
+def with_pieces_sql(url: str, var: str, body: str) -> str:
+    """``body`` over the pieces ``var`` of a valid URL, else NULL."""
+    valid = f"filter(array({pieces_sql(url)}), {var} -> size({var}) = {PIECES})"
+    return f"get(transform({valid}, {var} -> {body}), 0)"
 
-def split_uri(url: Column | str) -> Column:
-    """ARRAY of the eight raw pieces; a one-element array if not RFC 3986."""
-    text = F.replace(_col(url), F.lit(SEP), F.lit(" "))
-    return F.split(F.regexp_replace(text, URI_PATTERN, _REWRITE), SEP)
 
+def joined_sql(p: str) -> str:
+    """The URL text of raw pieces."""
+    rest = ", ".join(f"{p}[{i}]" for i in range(1, PIECES))
+    return f"concat({p}[{SCHEME}], if({p}[{SCHEME}] = '', '', ':'), {rest})"
 
-def with_pieces(url: Column | str, body: Callable[[Column], Column]) -> Column:
-    """``body(pieces)`` for a valid URL, else NULL; the URL is read once."""
-    valid = F.filter(F.array(split_uri(url)), lambda p: F.size(p) == PIECES)
-    return F.get(F.transform(valid, body), F.lit(0))
 
+def with_pieces(url: Column | str, body: Callable[[str], str]) -> Column:
+    """``body(pieces)`` for a valid URL, else NULL."""
+    return lift(url, lambda u: with_pieces_sql(u, "p", body("p")))
 
-def join_pieces(pieces: Column) -> Column:
-    """The URL text of an array of raw pieces."""
-    scheme = F.regexp_replace(pieces[SCHEME], r"(.)\z", "$1:")
-    return F.concat(scheme, *[pieces[i] for i in range(1, PIECES)])
 
+# -- parts ------------------------------------------------------------------
 
 @dataclass(frozen=True)
 class UrlParts:
-    """The parts of one URL as Columns; a missing part is NULL, never ''."""
+    """The parts of one URL as SQL text; a missing part is NULL, never ''."""
 
-    scheme: Column
-    userinfo: Column
-    host: Column
-    port: Column
-    path: Column
-    query: Column
-    fragment: Column
+    scheme: str
+    userinfo: str
+    host: str
+    port: str
+    path: str
+    query: str
+    fragment: str
 
 
-def _decode(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), text)
+_FIELDS = [f.name for f in fields(UrlParts)]
 
 
-def _encode(text: Column) -> Column:
+def _decode(text: str) -> str:
+    return f"coalesce(try_url_decode({text}), {text})"
+
+
+def _encode(text: str) -> str:
     """RFC 3986 percent encoding; unreserved characters, '/' and '?' stay."""
-    out = F.url_encode(text)
+    out = f"url_encode({text})"
     for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"), ("%3F", "?")):
-        out = F.replace(out, F.lit(old), F.lit(new))
+        out = f"replace({out}, '{old}', '{new}')"
     return out
 
 
-def query_pairs(query: Column) -> Column:
+def pairs_sql(query: str) -> str:
     """Decoded ``k``/``v`` pairs of a raw '?...' piece, in order, blanks left out."""
-
-    def pair(piece: Column, pos: Column) -> Column:
-        eq = F.instr(piece, "=")
-        return F.struct(
-            _decode(F.substring_index(piece, "=", 1)).alias("k"),
-            F.when(eq > 0, _decode(F.substr(piece, eq + 1))).alias("v"),
-            pos.alias("pos"),
-        )
-
-    pieces = F.filter(F.split(F.substr(query, F.lit(2)), "&"), lambda p: p != "")
-    return F.when(F.length(query) > 1, F.transform(pieces, pair))
+    key = _decode("substring_index(s, '=', 1)")
+    value = f"if(instr(s, '=') > 0, {_decode('substr(s, instr(s, ' + quoted('=') + ') + 1)')}, NULL)"
+    texts = f"filter(split(substr({query}, 2), '&'), s -> s <> '')"
+    return f"if(length({query}) > 1, transform({texts}, (s, i) -> struct({key} AS k, {value} AS v, i AS pos)), NULL)"
 
 
-def parts_of_pieces(pieces: Column) -> UrlParts:
-    at = pieces.getItem
-    has_authority = at(SLASHES) == "//"
+def parts_of_pieces(p: str) -> UrlParts:
     return UrlParts(
-        scheme=_blank_to_null(F.lower(at(SCHEME))),
-        userinfo=_blank_to_null(F.substring_index(at(USERINFO), "@", 1)),
-        host=F.when(has_authority, F.lower(at(HOST))),
-        port=F.when(F.length(at(PORT)) > 1, F.substr(at(PORT), F.lit(2)).cast("int")),
-        path=at(PATH),
-        query=query_pairs(at(QUERY)),
-        fragment=F.when(at(FRAGMENT) != "", F.substr(at(FRAGMENT), F.lit(2))),
+        scheme=f"nullif(lower({p}[{SCHEME}]), '')",
+        userinfo=f"nullif(substring_index({p}[{USERINFO}], '@', 1), '')",
+        host=f"if({p}[{SLASHES}] = '//', lower({p}[{HOST}]), NULL)",
+        port=f"CAST(nullif(substr({p}[{PORT}], 2), '') AS INT)",
+        path=f"{p}[{PATH}]",
+        query=pairs_sql(f"{p}[{QUERY}]"),
+        fragment=f"nullif(substr({p}[{FRAGMENT}], 2), '')",
     )
 
 
-def _parts_of_struct(c: Column) -> UrlParts:
-    return UrlParts(**{f: c[f] for f in UrlParts.__dataclass_fields__})
+def _parts_of_struct(c: str) -> UrlParts:
+    return UrlParts(**{f: f"{c}.{f}" for f in _FIELDS})
 
 
-def _to_struct(p: UrlParts) -> Column:
-    return F.struct(*[getattr(p, f).alias(f) for f in UrlParts.__dataclass_fields__])
+def _struct_sql(p: UrlParts) -> str:
+    return "struct(" + ", ".join(f"{getattr(p, f)} AS {f}" for f in _FIELDS) + ")"
 
 
 def url_components(url: Column | str) -> Column:
@@ -146,7 +131,14 @@ def url_components(url: Column | str) -> Column:
 
     ``query`` is ARRAY<STRUCT<k, v, pos>> with ``v`` NULL for a bare key.
     """
-    return with_pieces(url, lambda p: _to_struct(parts_of_pieces(p)))
+    return with_pieces(url, lambda p: _struct_sql(parts_of_pieces(p)))
+
+
+def key_sql(url: str) -> str:
+    lowered = f"transform(p, (x, i) -> if(i IN ({SCHEME}, {HOST}), lower(x), x))"
+    exact = with_pieces_sql("u", "p", let(lowered, "l", joined_sql("l")))
+    # Most URLs are lower case already: then the key is the URL itself.
+    return let(url, "u", f"if(u = lower(u), u, coalesce({exact}, u))")
 
 
 def url_key(url: Column | str) -> Column:
@@ -154,98 +146,71 @@ def url_key(url: Column | str) -> Column:
 
     This is URL equality.  Text that is no valid URL is its own key.
     """
+    return lift(url, key_sql)
 
-    def lowered(piece: Column, i: Column) -> Column:
-        return F.when(i.isin(SCHEME, HOST), F.lower(piece)).otherwise(piece)
-
-    def key(u: Column) -> Column:
-        exact = with_pieces(u, lambda p: bind(F.transform(p, lowered), join_pieces))
-        # Most URLs are lower case already: then the key is the URL itself.
-        return F.when(u == F.lower(u), u).otherwise(F.coalesce(exact, u))
 
-    return bind(_col(url), key)
+# -- canonical form ---------------------------------------------------------
 
+def bare_host_sql(host: str) -> str:
+    """Host without one trailing dot."""
+    return rf"regexp_replace({host}, '\\.\\z', '')"
 
-# -- canonical form ---------------------------------------------------------
 
 def _auth(p: UrlParts) -> UrlParts:
-    default_port = ((p.scheme == "http") & (p.port == 80)) | ((p.scheme == "https") & (p.port == 443))
-    return replace(
-        p,
-        host=F.regexp_replace(p.host, r"\.\z", ""),
-        port=F.when(~F.coalesce(default_port, F.lit(False)), p.port),
-    )
+    default_port = f"({p.scheme} = 'http' AND {p.port} = 80) OR ({p.scheme} = 'https' AND {p.port} = 443)"
+    return replace(p, host=bare_host_sql(p.host), port=f"if({default_port}, NULL, {p.port})")
 
 
 def _path(p: UrlParts) -> UrlParts:
     # a run of slashes goes but for the last one before a segment
-    return replace(p, path=F.regexp_replace(F.concat(F.lit("/"), p.path), r"/+(?=/|\z)", ""))
+    return replace(p, path=rf"regexp_replace(concat('/', {p.path}), '/+(?=/|\\z)', '')")
 
 
 def _encoding(p: UrlParts) -> UrlParts:
-    def one(token: Column) -> Column:
-        code = F.conv(F.substr(token, F.lit(2), F.lit(2)), 16, 10)
-        return (
-            F.when(token.rlike(_UNRESERVED_HEX), F.char(code.cast("int")))
-            .when(token.rlike(f"^{_PCT}$"), F.upper(token))
-            .otherwise(token)
-        )
-
-    def recode(path: Column) -> Column:
-        tokens = F.regexp_extract_all(path, F.lit(f"{_PCT}|[^%]+|%"), F.lit(0))
-        recoded = F.array_join(F.transform(tokens, one), "")
-        return F.when(F.instr(path, "%") > 0, recoded).otherwise(path)
-
-    return replace(p, path=bind(p.path, recode))
+    recoded = (
+        f"CASE WHEN t RLIKE '{_UNRESERVED_HEX}' THEN char(CAST(conv(substr(t, 2, 2), 16, 10) AS INT)) "
+        f"WHEN t RLIKE '^{_PCT}$' THEN upper(t) ELSE t END"
+    )
+    tokens = f"regexp_extract_all(x, '{_PCT}|[^%]+|%', 0)"
+    body = f"if(instr(x, '%') > 0, array_join(transform({tokens}, t -> {recoded}), ''), x)"
+    return replace(p, path=let(p.path, "x", body))
 
 
-def _sorted_pairs(pairs: Column) -> Column:
+def _sorted_pairs(pairs: str) -> str:
     """Pairs without tracking keys, by (key, value or '', first position)."""
-    kept = F.filter(pairs, lambda x: ~x["k"].isin(*TRACKING_KEYS))
-    keyed = F.transform(
-        kept,
-        lambda x: F.struct(
-            x["k"].alias("k"),
-            F.coalesce(x["v"], F.lit("")).alias("sort_v"),
-            x["pos"].alias("pos"),
-            x["v"].alias("v"),
-        ),
-    )
-    return F.array_sort(keyed)
+    kept = f"filter({pairs}, q -> q.k NOT IN {words(TRACKING_KEYS)})"
+    return f"array_sort(transform({kept}, q -> struct(q.k AS k, coalesce(q.v, '') AS w, q.pos AS pos, q.v AS v)))"
 
 
 def _query(p: UrlParts) -> UrlParts:
-    back = lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), x["pos"].alias("pos"))
-    return replace(p, query=F.transform(_sorted_pairs(p.query), back))
+    back = f"transform({_sorted_pairs(p.query)}, q -> struct(q.k AS k, q.v AS v, q.pos AS pos))"
+    return replace(p, query=back)
 
 
 def _fragment(p: UrlParts) -> UrlParts:
-    return replace(p, fragment=F.lit(None).cast("string"))
+    return replace(p, fragment="CAST(NULL AS STRING)")
 
 
-def _pair_text(x: Column) -> Column:
-    value = F.when(x["v"].isNotNull(), F.concat(F.lit("="), _encode(x["v"]))).otherwise("")
-    return F.concat(_encode(x["k"]), value)
+def _render(p: UrlParts, pairs: str) -> str:
+    def around(*texts: str) -> str:
+        return f"coalesce(concat({', '.join(texts)}), '')"
 
-
-def _render(p: UrlParts, pairs: Column) -> Column:
-    query = F.array_join(F.transform(pairs, _pair_text), "&")
-
-    def around(*texts: Column) -> Column:
-        return F.coalesce(F.concat(*texts), F.lit(""))
-
-    return F.concat(
-        around(p.scheme, F.lit(":")),
-        around(F.lit("//"), around(p.userinfo, F.lit("@")), p.host, around(F.lit(":"), p.port.cast("string"))),
+    pair = f"concat({_encode('q.k')}, coalesce(concat('=', {_encode('q.v')}), ''))"
+    query = f"nullif(array_join(transform({pairs}, q -> {pair}), '&'), '')"
+    parts = [
+        around(p.scheme, "':'"),
+        around("'//'", around(p.userinfo, "'@'"), p.host, around("':'", f"CAST({p.port} AS STRING)")),
         p.path,
-        around(F.lit("?"), bind(query, _blank_to_null)),
-        around(F.lit("#"), p.fragment),
-    )
+        let(query, "y", around("'?'", "y")),
+        around("'#'", p.fragment),
+    ]
+    return f"concat({', '.join(parts)})"
 
 
 def _on_struct(step):
     def apply(components: Column | str) -> Column:
-        return bind(_col(components), lambda c: _to_struct(step(_parts_of_struct(c))))
+        out = f"if(c IS NULL, NULL, {_struct_sql(step(_parts_of_struct('c')))})"
+        return lift(components, lambda value: let(value, "c", out))
 
     apply.__name__ = f"norm{step.__name__}"
     apply.__doc__ = f"Struct to struct: the {step.__name__[1:]} step of ``canonicalise``."
@@ -262,18 +227,21 @@ norm_fragment = _on_struct(_fragment)
 def render_url(components: Column | str) -> Column:
     """The text of a ``url_components`` struct."""
 
-    def text(c: Column) -> Column:
-        p = _parts_of_struct(c)
-        return _render(p, p.query)
+    p = _parts_of_struct("c")
+    out = f"if(c IS NULL, NULL, {_render(p, p.query)})"
+    return lift(components, lambda value: let(value, "c", out))
 
-    return bind(_col(components), text)
 
-
-def canonical_of_parts(p: UrlParts) -> Column:
+def canonical_sql(p: UrlParts) -> str:
     p = _fragment(_encoding(_path(_auth(p))))
     return _render(p, _sorted_pairs(p.query))
 
 
 def canonicalise(url: Column | str) -> Column:
     """The canonical URL: auth, path, encoding, query, fragment; NULL if invalid."""
-    return with_pieces(url, lambda p: canonical_of_parts(parts_of_pieces(p)))
+    return with_pieces(url, lambda p: canonical_sql(parts_of_pieces(p)))
+
+
+def host_of(url: Column | str) -> Column:
+    """Lower-case host without a trailing dot; NULL if there is none."""
+    return with_pieces(url, lambda p: bare_host_sql(parts_of_pieces(p).host))

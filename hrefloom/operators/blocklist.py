@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrefloom.functions.policy import bare_host
-from hrefloom.functions.urls import bind, parts_of_pieces, with_pieces
+from hrefloom.functions.text import let
+from hrefloom.functions.urls import host_of
 
 
 def blocklist_anti_join(df: DataFrame, blocklist: DataFrame) -> DataFrame:
@@ -20,24 +20,14 @@ def blocklist_anti_join(df: DataFrame, blocklist: DataFrame) -> DataFrame:
     joins are plain equi joins: Spark broadcasts the rules or the blocked hosts
     when their size allows and shuffles them otherwise.
     """
-    host = with_pieces("url", lambda p: bind(bare_host(parts_of_pieces(p).host), lambda h: h))
-    keyed = df.withColumn("_host", host)
-    hosts = keyed.where(F.col("_host") != "").select("_host").distinct()
-    labels = F.split("_host", r"\.")
-
-    def probe(kind: str, rule) -> object:
-        return F.struct(F.lit(kind).alias("kind"), rule.alias("rule"))
-
-    suffixes = F.transform(
-        labels,
-        lambda _, i: probe("domain", F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")),
-    )
-    probes = F.concat(
-        suffixes,
-        F.transform(labels, lambda label: probe("label", label)),
-        F.array(probe("final_tld", F.element_at(labels, -1))),
-    )
-    probed = hosts.select("_host", F.inline(probes))
+    keyed = df.withColumn("_host", host_of("url"))
+    hosts = keyed.where("_host <> ''").select("_host").distinct()
+    probes = """concat(
+        transform(l, (x, i) -> struct('domain' AS kind, array_join(slice(l, i + 1, size(l)), '.') AS rule)),
+        transform(l, x -> struct('label' AS kind, x AS rule)),
+        array(struct('final_tld' AS kind, l[size(l) - 1] AS rule)))"""
+    labels = r"split(_host, '\\.')"
+    probed = hosts.selectExpr("_host", f"inline({let(labels, 'l', probes)})")
     rules = blocklist.select(F.lower("kind").alias("kind"), F.lower("rule").alias("rule"))
     blocked = probed.join(rules, ["kind", "rule"], "left_semi").select("_host").distinct()
     return keyed.join(blocked, "_host", "left_anti").drop("_host")

@@ -2,105 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions import html as H
 from hrefloom.functions import urls as U
+from hrefloom.functions.text import let
 
 DOMAIN, INFRA = "domain", "infra"
 BAD_HREF = "href is not a valid URI reference"
 NO_BASE = "page URL is not an absolute URL"
 NO_HTML = "page has no content"
 
-PIECES = "_base_pieces"
 
-
-def _remove_dots(path: Column) -> Column:
+def _without_dots(path: str) -> str:
     """RFC 3986 5.2.4 for an absolute path."""
-
-    def step(done: Column, segment: Column) -> Column:
-        return (
-            F.when(segment == "..", F.regexp_replace(done, r"/[^/]*\z", ""))
-            .when(segment == ".", done)
-            .otherwise(F.concat(done, F.lit("/"), segment))
-        )
-
-    def walk(p: Column) -> Column:
-        segments = F.split(F.substr(p, F.lit(2)), "/")
-        walked = F.aggregate(segments, F.lit(""), step)
-        tail = F.when(p.rlike(r"/\.\.?\z"), "/").otherwise("")
-        needed = F.startswith(p, F.lit("/")) & (F.instr(p, "/.") > 0)
-        return F.when(needed, F.concat(walked, tail)).otherwise(p)
-
-    return U.bind(path, walk)
+    step = r"CASE s WHEN '..' THEN regexp_replace(d, '/[^/]*\\z', '') WHEN '.' THEN d ELSE concat(d, '/', s) END"
+    walked = f"aggregate(split(substr(x, 2), '/'), '', (d, s) -> {step})"
+    tail = r"if(x RLIKE '/[.][.]?\\z', '/', '')"
+    return let(path, "x", f"if(startswith(x, '/') AND instr(x, '/.') > 0, concat({walked}, {tail}), x)")
 
 
-def resolve_pieces(base: Column, ref: Column) -> Column:
-    """RFC 3986 5.2.2: raw pieces of a reference against those of a base."""
-    b, r = base.getItem, ref.getItem
-    own_scheme, own_authority = r(U.SCHEME) != "", r(U.SLASHES) != ""
-    own_path, rooted = r(U.PATH) != "", F.startswith(r(U.PATH), F.lit("/"))
-    own_host = own_scheme | own_authority
+def resolved_sql(b: str, r: str) -> str:
+    """RFC 3986 5.2.2: raw pieces of a reference ``r`` against those of a base ``b``."""
+    own_host = f"({r}[{U.SCHEME}] <> '' OR {r}[{U.SLASHES}] <> '')"
+    own_path = f"({r}[{U.PATH}] <> '')"
 
-    def inherited(i: int) -> Column:
-        return F.when(own_host, r(i)).otherwise(b(i))
+    def inherited(i: int, own: str = own_host) -> str:
+        return f"if({own}, {r}[{i}], {b}[{i}])"
 
-    folder = F.when((b(U.SLASHES) != "") & (b(U.PATH) == ""), "/").otherwise(
-        F.regexp_replace(b(U.PATH), r"[^/]*\z", "")
+    folder = (
+        f"if({b}[{U.SLASHES}] <> '' AND {b}[{U.PATH}] = '', '/', "
+        rf"regexp_replace({b}[{U.PATH}], '[^/]*\\z', ''))"
     )
-    given = F.when(own_host | rooted, r(U.PATH)).otherwise(F.concat(folder, r(U.PATH)))
-    path = F.when(own_host | own_path, _remove_dots(given)).otherwise(b(U.PATH))
-    query = F.when(own_host | own_path | (r(U.QUERY) != ""), r(U.QUERY)).otherwise(b(U.QUERY))
-    return F.array(
-        F.when(own_scheme, r(U.SCHEME)).otherwise(b(U.SCHEME)),
-        *[inherited(i) for i in (U.SLASHES, U.USERINFO, U.HOST, U.PORT)],
-        path,
-        query,
-        r(U.FRAGMENT),
-    )
-
-
-def _absolute(pieces: Column) -> Column:
-    """The pieces if they are an absolute URL, else NULL."""
-    keep = F.filter(F.array(pieces), lambda p: (F.size(p) == U.PIECES) & (F.get(p, F.lit(0)) != ""))
-    return F.get(keep, F.lit(0))
-
-
-def base_pieces(page: Column, base: Column) -> Column:
-    """Raw pieces links resolve against: the page's <base>, else the page URL."""
-    page_pieces = _absolute(U.split_uri(page))
-
-    def with_base(p: Column) -> Column:
-        own = U.with_pieces(base, lambda ref: resolve_pieces(p, ref))
-        return F.when(base.isNull(), p).otherwise(F.coalesce(own, p))
-
-    return U.bind(page_pieces, with_base)
+    rooted = f"({own_host} OR startswith({r}[{U.PATH}], '/'))"
+    given = f"if({rooted}, {r}[{U.PATH}], concat({folder}, {r}[{U.PATH}]))"
+    return "array(" + ", ".join(
+        [
+            inherited(U.SCHEME, f"{r}[{U.SCHEME}] <> ''"),
+            *[inherited(i) for i in (U.SLASHES, U.USERINFO, U.HOST, U.PORT)],
+            f"if({own_host} OR {own_path}, {_without_dots(given)}, {b}[{U.PATH}])",
+            inherited(U.QUERY, f"{own_host} OR {own_path} OR {r}[{U.QUERY}] <> ''"),
+            f"{r}[{U.FRAGMENT}]",
+        ]
+    ) + ")"
+
+
+def base_sql(page: str, base: str) -> str:
+    """Raw pieces links resolve against: the page's <base>, else the page URL.
+
+    NULL unless the page URL is absolute.
+    """
+    own = U.with_pieces_sql(base, "r", resolved_sql("a", "r"))
+    absolute = f"filter(array({U.pieces_sql(page)}), a -> size(a) = {U.PIECES} AND a[{U.SCHEME}] <> '')"
+    return f"get(transform({absolute}, a -> if({base} IS NULL, a, coalesce({own}, a))), 0)"
 
 
-def link_pieces(pieces: Column, href: Column) -> Column:
+def link_sql(base: str, href: str) -> str:
     """Raw pieces of the absolute link, or NULL."""
-    return U.with_pieces(href, lambda ref: U.bind(pieces, lambda b: resolve_pieces(b, ref)))
+    return f"if({base} IS NULL, NULL, {U.with_pieces_sql(href, 'r', resolved_sql(base, 'r'))})"
 
 
-def _link_error(pieces: Column, resolved: Column) -> Column:
-    return F.when(pieces.isNull(), NO_BASE).when(resolved.isNull(), BAD_HREF)
+def _error_sql(base: str, link: str) -> str:
+    return f"CASE WHEN {base} IS NULL THEN '{NO_BASE}' WHEN {link} IS NULL THEN '{BAD_HREF}' END"
 
 
 def _page_tags(pages: DataFrame, *carry: str) -> DataFrame:
-    """One row per page: the link tags, the base, and its pieces; html is gone."""
-    tags = pages.select(
-        "page_id", F.col("url").alias("page"), *carry, H.link_tags(F.col("html")).alias("_tags")
-    )
-    first_base = F.get(F.filter("_tags", H.is_base_tag), F.lit(0))
-    based = tags.select(
+    """One row per page: its link tags and base; html is gone."""
+    tags = pages.selectExpr("page_id", "url AS page", *carry, f"{H.tags_sql('html')} AS _tags")
+    first_base = f"get(filter(_tags, t -> {H.is_base_sql('t')}), 0)"
+    based = tags.selectExpr(
         "page_id",
         "page",
         *carry,
-        H.href_of_tag(first_base).alias("base"),
-        F.filter("_tags", lambda t: ~H.is_base_tag(t)).alias("_tags"),
+        f"{H.href_sql(first_base)} AS base",
+        f"filter(_tags, t -> NOT {H.is_base_sql('t')}) AS _tags",
     )
-    return based.where(F.size("_tags") > 0)
+    return based.where("size(_tags) > 0")
 
 
 def extract_links(pages: DataFrame, *carry: str) -> DataFrame:
@@ -109,20 +87,19 @@ def extract_links(pages: DataFrame, *carry: str) -> DataFrame:
     One row per ``a[href]`` in document order; ``base`` is the page's first
     ``<base href>``.  ``carry`` names page columns to keep on every link.
     """
-    based = _page_tags(pages, *carry)
-    tags = based.select("page_id", "page", *carry, "base", F.posexplode("_tags").alias("pos", "_tag"))
-    return tags.select("page_id", "page", *carry, "base", "pos", H.href_of_tag(F.col("_tag")).alias("href"))
+    kept = ["page_id", "page", *carry, "base"]
+    tags = _page_tags(pages, *carry).selectExpr(*kept, "posexplode(_tags) AS (pos, _tag)")
+    return tags.selectExpr(*kept, "pos", f"{H.href_sql('_tag')} AS href")
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """``page, base, href`` -> ``+ link, error``: the absolute URL or a reason."""
-    base = base_pieces(F.col("page"), F.col("base"))
-    pieces = links.withColumn(PIECES, base)
-    resolved = pieces.withColumn("_link", link_pieces(F.col(PIECES), F.col("href")))
-    return resolved.select(
+    based = links.withColumn("_base", F.expr(base_sql("page", "base")))
+    resolved = based.withColumn("_link", F.expr(link_sql("_base", "href")))
+    return resolved.selectExpr(
         *links.columns,
-        U.bind(F.col("_link"), U.join_pieces).alias("link"),
-        _link_error(F.col(PIECES), F.col("_link")).alias("error"),
+        f"if(_link IS NULL, NULL, {U.joined_sql('_link')}) AS link",
+        f"{_error_sql('_base', '_link')} AS error",
     )
 
 
@@ -133,20 +110,15 @@ def page_links(pages: DataFrame, *carry: str) -> DataFrame:
     exploded array: filters on the result then stop at the explode instead of
     repeating the parse below it.
     """
-    based = _page_tags(pages, *carry).withColumn(PIECES, base_pieces(F.col("page"), F.col("base")))
-    resolved = F.transform(
-        F.transform("_tags", H.href_of_tag),
-        lambda href: F.struct(href.alias("href"), link_pieces(F.col(PIECES), href).alias("pieces")),
+    kept = ["page_id", "page", *carry]
+    based = _page_tags(pages, *carry).selectExpr(*kept, f"{base_sql('page', 'base')} AS _base", "_tags")
+    resolved = (
+        f"transform(transform(_tags, g -> {H.href_sql('g')}), "
+        f"f -> struct(f AS href, {link_sql('_base', 'f')} AS pieces))"
     )
-    rows = based.select("page_id", "page", *carry, PIECES, F.posexplode(resolved).alias("pos", "_l"))
-    return rows.select(
-        "page_id",
-        "page",
-        *carry,
-        "pos",
-        F.col("_l.href").alias("href"),
-        F.col("_l.pieces").alias("pieces"),
-        _link_error(F.col(PIECES), F.col("_l.pieces")).alias("error"),
+    rows = based.selectExpr(*kept, "_base", f"posexplode({resolved}) AS (pos, _l)")
+    return rows.selectExpr(
+        *kept, "pos", "_l.href", "_l.pieces", f"{_error_sql('_base', '_l.pieces')} AS error"
     )
 
 

@@ -49,8 +49,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | N
         return rounds.where(F.col("round") <= through)
 
     start = seeds.select("url").distinct().withColumn("key", U.url_key("url"))
-    host = U.with_pieces("url", lambda p: F.regexp_replace(U.parts_of_pieces(p).host, r"\.\z", ""))
-    first = round_table(0, start.select("url", host.alias("host"), "key"))
+    first = round_table(0, start.select("url", U.host_of("url").alias("host"), "key"))
     if max_rounds < 1:
         return visited(0).select("url", "host", "round")
 

@@ -21,18 +21,13 @@ def accepted_links(links: DataFrame) -> DataFrame:
     to ``/app.js/`` passes although it becomes ``/app.js``.
     """
 
-    def judged(pieces):
-        raw = U.parts_of_pieces(pieces)
-        keep = policy.accept_parts(raw) & ~policy.is_blocked_parts(raw)
-        host = F.regexp_replace(raw.host, r"\.\z", "")
-        return F.struct(
-            F.when(keep, U.canonical_of_parts(raw)).alias("url"),
-            F.when(keep, host).alias("host"),
-        )
-
-    out = F.explode(F.filter(F.array(U.bind(F.col("pieces"), judged)), lambda v: v["url"].isNotNull()))
+    raw = U.parts_of_pieces("w")
+    # one lambda, exploded: no later filter repeats the work below it
+    judged = f"""transform(
+        filter(array(pieces), w -> w IS NOT NULL AND {policy.accept_sql(raw)} AND NOT {policy.is_blocked_sql(raw)}),
+        w -> struct({U.canonical_sql(raw)} AS url, {U.bare_host_sql(raw.host)} AS host))"""
     kept = [c for c in links.columns if c not in ("pieces", "error")]
-    return links.select(*kept, out.alias("_out")).select(*kept, "_out.url", "_out.host")
+    return links.selectExpr(*kept, f"inline({judged})")
 
 
 def failed_links(links: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.functions.urls import parts_of_pieces, with_pieces
+from hrefloom.functions.text import quoted
+from hrefloom.functions.urls import host_of
 
 # Hrefs that exercise every rule; each page is given all of them.
 PROBE_HREFS = (
@@ -69,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def probe_links(pages: DataFrame) -> DataFrame:
     """Every page with every probe: ``page_id, pos, page, href``."""
-    hrefs = F.posexplode(F.array(*[F.lit(h) for h in PROBE_HREFS])).alias("pos", "href")
+    hrefs = F.expr(f"posexplode(array({', '.join(map(quoted, PROBE_HREFS))})) AS (pos, href)")
     return pages.select("page_id", F.col("url").alias("page"), hrefs).select("page_id", "pos", "page", "href")
 
 
@@ -113,7 +114,7 @@ def linked_pages(pages: DataFrame) -> DataFrame:
 def arrivals(events: DataFrame, pages: DataFrame) -> DataFrame:
     """``seq, host, url, arrival_ms``: event k asks for page k mod n at its time."""
     ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    host = with_pieces("url", lambda p: parts_of_pieces(p).host)
+    host = host_of("url")
     return (
         events.select(
             F.col("event_id").alias("seq"), (F.col("event_id") % _row_count(pages)).alias("page_id"), ms.alias("arrival_ms")

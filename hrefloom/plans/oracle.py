@@ -243,7 +243,7 @@ PAGE_CANON = f"{_cut('pages', 'pgcut', 'page_id')},{_canon('pgcut', 'pgu', 'page
 
 ARRIVALS = r"""
 arrivals AS (
-  SELECT e.event_id AS seq, lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host, p.url, epoch_ms(e.ts) AS arrival_ms
+  SELECT e.event_id AS seq, lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]*)', 1)) AS host, p.url, epoch_us(e.ts) // 1000 AS arrival_ms
   FROM events e JOIN pages p ON e.event_id % (SELECT count(*) FROM pages) = p.page_id
 )"""
 

@@ -57,11 +57,11 @@ def _step(step) -> Query:
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = I.probe_urls(_pages(spark, sf_dir)).select("page_id", "pos", urls.url_components("url").alias("c"))
-    pairs = F.transform("c.query", lambda p: F.concat(p["k"], F.coalesce(F.concat(F.lit("="), p["v"]), F.lit(""))))
+    query = F.expr("coalesce(array_join(transform(c.query, p -> concat(p.k, coalesce(concat('=', p.v), ''))), '&'), '')")
     return split.where(F.col("c").isNotNull()).select(
         "page_id", "pos", "c.scheme", "c.userinfo", "c.host",
         F.coalesce("c.port", F.lit(-1)).alias("port"), "c.path",
-        F.array_join(pairs, "&").alias("query"), "c.fragment",
+        query.alias("query"), "c.fragment",
     )
 
 
@@ -201,7 +201,7 @@ def _run(stream: DataFrame, path: str) -> DataFrame:
 
 
 def _page_stream(spark, sf_dir):
-    return link_stream(spark, f"{sf_dir}/pages.parquet", PAGE_SCHEMA)
+    return link_stream(spark, f"{sf_dir}/pages.parquet*", PAGE_SCHEMA)
 
 
 def _link_stream(spark, sf_dir):
@@ -216,7 +216,7 @@ def _dedup_stream(spark, sf_dir):
 
 def _politeness_stream(spark, sf_dir):
     static = I.table(spark, sf_dir, "events")
-    events = link_stream(spark, f"{sf_dir}/events.parquet", static.schema)
+    events = link_stream(spark, f"{sf_dir}/events.parquet*", static.schema)
     plan = politeness_stream(I.arrivals(events, _pages(spark, sf_dir)), COOLDOWN_MS)
     return _run(plan.select("seq", "host", "eligible_at", "dispatch_at"), work_dir(spark, "politeness-stream"))
 

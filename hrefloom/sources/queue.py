@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefloom.functions.urls import PIECES, split_uri
+from hrefloom.functions.urls import PIECES, pieces_sql
 from hrefloom.operators.numbering import global_index
 
 QUEUE_SCHEMA = "id BIGINT, url STRING, created_at TIMESTAMP"
@@ -41,6 +41,6 @@ def queue_dequeue(queue: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     spread over the cluster.
     """
     ranked = global_index(queue.select("id", "url", "created_at"), ["id"], "_rank")
-    parses = F.size(split_uri("url")) == PIECES
+    parses = F.expr(f"size({pieces_sql('url')}) = {PIECES}")
     batch = ranked.where((F.col("_rank") <= k) & parses).drop("_rank")
     return batch, ranked.where(F.col("_rank") > k).drop("_rank")

@@ -64,7 +64,7 @@ def test_extract_and_resolve(spark):
         assert r["pos"] == len(got[r["page_id"]])
         got[r["page_id"]].append(r["link"])
     assert [(h, got[i]) for i, (h, e) in enumerate(EXTRACT) if got[i] != e] == []
-    fused = L.page_links(pages).select("page_id", "pos", "href", L.U.bind(F.col("pieces"), L.U.join_pieces).alias("link"), "error")
+    fused = L.page_links(pages).select("page_id", "pos", "href", F.expr(L.U.joined_sql("pieces")).alias("link"), "error")
     plain = L.resolve_links(L.extract_links(pages)).select("page_id", "pos", "href", "link", "error")
     assert sorted(map(str, fused.collect())) == sorted(map(str, plain.collect()))
     assert L.failed_pages(pages).count() == 1
