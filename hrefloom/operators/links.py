@@ -71,14 +71,12 @@ def _page_tags(pages: DataFrame, *carry: str) -> DataFrame:
     """One row per page: its link tags and base; html is gone."""
     tags = pages.selectExpr("page_id", "url AS page", *carry, f"{H.tags_sql('html')} AS _tags")
     first_base = f"get(filter(_tags, t -> {H.is_base_sql('t')}), 0)"
-    based = tags.selectExpr(
-        "page_id",
-        "page",
-        *carry,
-        f"{H.href_sql(first_base)} AS base",
-        f"filter(_tags, t -> NOT {H.is_base_sql('t')}) AS _tags",
-    )
-    return based.where("size(_tags) > 0")
+    return tags.selectExpr("page_id", "page", *carry, f"{H.href_sql(first_base)} AS base", "_tags")
+
+
+# Exploding an expression, not a column, keeps Spark from inferring a filter on
+# the array's size, which would find all tags of every page a second time.
+_ANCHORS = f"filter(_tags, t -> NOT {H.is_base_sql('t')})"
 
 
 def extract_links(pages: DataFrame, *carry: str) -> DataFrame:
@@ -88,19 +86,19 @@ def extract_links(pages: DataFrame, *carry: str) -> DataFrame:
     ``<base href>``.  ``carry`` names page columns to keep on every link.
     """
     kept = ["page_id", "page", *carry, "base"]
-    tags = _page_tags(pages, *carry).selectExpr(*kept, "posexplode(_tags) AS (pos, _tag)")
+    tags = _page_tags(pages, *carry).selectExpr(*kept, f"posexplode({_ANCHORS}) AS (pos, _tag)")
     return tags.selectExpr(*kept, "pos", f"{H.href_sql('_tag')} AS href")
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """``page, base, href`` -> ``+ link, error``: the absolute URL or a reason."""
-    based = links.withColumn("_base", F.expr(base_sql("page", "base")))
-    resolved = based.withColumn("_link", F.expr(link_sql("_base", "href")))
-    return resolved.selectExpr(
-        *links.columns,
-        f"if(_link IS NULL, NULL, {U.joined_sql('_link')}) AS link",
-        f"{_error_sql('_base', '_link')} AS error",
+    out = let(
+        link_sql("b", "href"),
+        "l",
+        f"struct(if(l IS NULL, NULL, {U.joined_sql('l')}) AS link, {_error_sql('b', 'l')} AS error)",
     )
+    # exploded, so that filters on the link do not resolve it again below
+    return links.selectExpr("*", f"inline(transform(array({base_sql('page', 'base')}), b -> {out}))")
 
 
 def page_links(pages: DataFrame, *carry: str) -> DataFrame:
@@ -113,7 +111,7 @@ def page_links(pages: DataFrame, *carry: str) -> DataFrame:
     kept = ["page_id", "page", *carry]
     based = _page_tags(pages, *carry).selectExpr(*kept, f"{base_sql('page', 'base')} AS _base", "_tags")
     resolved = (
-        f"transform(transform(_tags, g -> {H.href_sql('g')}), "
+        f"transform(transform({_ANCHORS}, g -> {H.href_sql('g')}), "
         f"f -> struct(f AS href, {link_sql('_base', 'f')} AS pieces))"
     )
     rows = based.selectExpr(*kept, "_base", f"posexplode({resolved}) AS (pos, _l)")
