@@ -66,11 +66,15 @@ def decoded_sql(text: str) -> str:
         f"WHEN startswith(t, '&') AND length(t) > 1 THEN coalesce(try_element_at({_named_entities()}, t), t) "
         "ELSE t END"
     )
-    tokens = f"regexp_extract_all(x, {quoted(_REFERENCE)}, 0)"
-    return let(text, "x", f"if(instr(x, '&') > 0, array_join(transform({tokens}, t -> {one}), ''), x)")
+    tokens = f"regexp_extract_all({text}, {quoted(_REFERENCE)}, 0)"
+    return f"if(instr({text}, '&') > 0, array_join(transform({tokens}, t -> {one}), ''), {text})"
 
 
-def href_sql(tag: str) -> str:
-    """The href value of a tag head, references decoded, outer blanks cut."""
-    raw = f"regexp_replace({tag}, {quoted(_HREF_PATTERN)}, '$1$2$3')"
+def raw_href_sql(tag: str) -> str:
+    """The href value of a tag head, as written."""
+    return f"regexp_replace({tag}, {quoted(_HREF_PATTERN)}, '$1$2$3')"
+
+
+def href_sql(raw: str) -> str:
+    """An href as written, with references decoded and outer blanks cut."""
     return f"btrim({decoded_sql(raw)}, {quoted(_WHITESPACE)})"

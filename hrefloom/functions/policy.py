@@ -1,11 +1,13 @@
 """Link policy as boolean Columns: which URLs are worth crawling.
 
 Every predicate takes a URL column and is FALSE, never NULL, for text that is
-not a valid URL.  The ``*_sql`` forms work on parts that are split already.
+not a valid URL.  The ``*_sql`` forms work on the raw pieces of a valid one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 
 from hrefloom.functions.rules import (
@@ -15,36 +17,44 @@ from hrefloom.functions.rules import (
     WIKI_ACTION_KEYS,
     blocked_domain_set,
 )
-from hrefloom.functions.text import let, lift, words
-from hrefloom.functions.urls import UrlParts, bare_host_sql, parts_of_pieces, with_pieces_sql
+from hrefloom.functions.text import let, lift, quoted, words
+from hrefloom.functions.urls import HOST, PATH, QUERY, SCHEME, SLASHES, bare_host_sql, with_pieces_sql
 
 
 def _sure(condition: str) -> str:
     return f"coalesce({condition}, false)"
 
 
-def has_host_sql(p: UrlParts) -> str:
-    return _sure(f"{p.host} <> ''")
+def _spelled(key: str) -> str:
+    """Pattern of a query key in any mix of plain and percent-coded letters."""
+    return "".join(f"(?:{c}|%(?i:{ord(c):02x}))" for c in key)
+
+
+_ACTION_PATTERN = f"[?&](?:{'|'.join(map(_spelled, WIKI_ACTION_KEYS))})(?:[=&]|$)"
+
 
+def has_host_sql(p: str) -> str:
+    return f"({p}[{SLASHES}] = '//' AND {p}[{HOST}] <> '')"
 
-def allowed_scheme_sql(p: UrlParts) -> str:
-    return _sure(f"{p.scheme} IN ('http', 'https')")
 
+def allowed_scheme_sql(p: str) -> str:
+    return f"(lower({p}[{SCHEME}]) IN ('http', 'https'))"
 
-def is_asset_sql(p: UrlParts) -> str:
-    last = f"substring_index(lower({p.path}), '.', -1)"
-    return _sure(f"instr({p.path}, '.') > 0 AND {last} IN {words(ASSET_EXTENSIONS)}")
 
+def is_asset_sql(p: str) -> str:
+    last = f"substring_index(lower({p}[{PATH}]), '.', -1)"
+    return f"(instr({p}[{PATH}], '.') > 0 AND {last} IN {words(ASSET_EXTENSIONS)})"
 
-def has_wiki_action_sql(p: UrlParts) -> str:
-    return _sure(f"exists({p.query}, q -> q.k IN {words(WIKI_ACTION_KEYS)})")
 
+def has_wiki_action_sql(p: str) -> str:
+    return f"({p}[{QUERY}] <> '' AND {p}[{QUERY}] RLIKE {quoted(_ACTION_PATTERN)})"
 
-def is_wiki_namespace_sql(p: UrlParts) -> str:
-    return _sure(f"{p.path} RLIKE '^/wiki/[^/]*:'")
 
+def is_wiki_namespace_sql(p: str) -> str:
+    return f"({p}[{PATH}] RLIKE '^/wiki/[^/]*:')"
 
-def accept_sql(p: UrlParts) -> str:
+
+def accept_sql(p: str) -> str:
     # cheap tests first
     return " AND ".join(
         [
@@ -66,7 +76,7 @@ def _final_tld(host: str) -> str:
     return _sure(f"substring_index({host}, '.', -1) IN {words(BLOCKED_FINAL_LABELS)}")
 
 
-def _blocked_host(host: str) -> str:
+def blocked_host_sql(host: str) -> str:
     """Suffix match by set lookup: one probe per label depth the rules use.
 
     A host is covered by a rule of n labels exactly when its last n labels are
@@ -79,12 +89,17 @@ def _blocked_host(host: str) -> str:
     return _sure(" OR ".join([_tld_label(host), _final_tld(host), *probes]))
 
 
-def is_blocked_sql(p: UrlParts) -> str:
-    return let(bare_host_sql(p.host), "h", _blocked_host("h"))
+def bare_host_of(p: str) -> str:
+    """Host as the block rules see it: lower case, one trailing dot dropped."""
+    return bare_host_sql(f"if({p}[{SLASHES}] = '//', lower({p}[{HOST}]), NULL)")
+
+
+def is_blocked_sql(p: str) -> str:
+    return let(bare_host_of(p), "h", blocked_host_sql("h"))
 
 
-def _on_url(url: Column | str, rule) -> Column:
-    return lift(url, lambda u: _sure(with_pieces_sql(u, "p", rule(parts_of_pieces("p")))))
+def _on_url(url: Column | str, rule: Callable[[str], str]) -> Column:
+    return lift(url, lambda u: _sure(with_pieces_sql(u, "p", rule("p"))))
 
 
 def has_host(url: Column | str) -> Column:
@@ -124,12 +139,12 @@ def accept_url(url: Column | str) -> Column:
 
 def tld_label_blocked(url: Column | str) -> Column:
     """Any label of the host is one of the blocked labels."""
-    return _on_url(url, lambda p: _tld_label(bare_host_sql(p.host)))
+    return _on_url(url, lambda p: _tld_label(bare_host_of(p)))
 
 
 def final_tld_blocked(url: Column | str) -> Column:
     """The last label of the host is one of the blocked final labels."""
-    return _on_url(url, lambda p: _final_tld(bare_host_sql(p.host)))
+    return _on_url(url, lambda p: _final_tld(bare_host_of(p)))
 
 
 def is_blocked(url: Column | str) -> Column:

@@ -6,7 +6,11 @@ repeats are possessive: the regex engine then loops instead of recursing, so a
 megabyte-long URL cannot overflow an executor's stack.
 
 Functions that end in ``_sql`` map SQL text to SQL text; the others take and
-give Columns.
+give Columns.  A rule over pieces reads the same for a lambda variable and for
+a column: the Column functions bind the pieces in a lambda, which works on any
+input, and the jobs put them in a column first, so that the rules are compiled.
+Parts that few URLs have (a query, percent codes) are handled behind an ``if``
+and are the only place where a job's rows meet a lambda.
 """
 
 from __future__ import annotations
@@ -171,9 +175,9 @@ def _encoding(p: UrlParts) -> UrlParts:
         f"CASE WHEN t RLIKE '{_UNRESERVED_HEX}' THEN char(CAST(conv(substr(t, 2, 2), 16, 10) AS INT)) "
         f"WHEN t RLIKE '^{_PCT}$' THEN upper(t) ELSE t END"
     )
-    tokens = f"regexp_extract_all(x, '{_PCT}|[^%]+|%', 0)"
-    body = f"if(instr(x, '%') > 0, array_join(transform({tokens}, t -> {recoded}), ''), x)"
-    return replace(p, path=let(p.path, "x", body))
+    tokens = f"regexp_extract_all({p.path}, '{_PCT}|[^%]+|%', 0)"
+    joined = f"array_join(transform({tokens}, t -> {recoded}), '')"
+    return replace(p, path=f"if(instr({p.path}, '%') > 0, {joined}, {p.path})")
 
 
 def _sorted_pairs(pairs: str) -> str:
@@ -196,12 +200,13 @@ def _render(p: UrlParts, pairs: str) -> str:
         return f"coalesce(concat({', '.join(texts)}), '')"
 
     pair = f"concat({_encode('q.k')}, coalesce(concat('=', {_encode('q.v')}), ''))"
-    query = f"nullif(array_join(transform({pairs}, q -> {pair}), '&'), '')"
+    query = f"array_join(transform({pairs}, q -> {pair}), '&')"
     parts = [
         around(p.scheme, "':'"),
         around("'//'", around(p.userinfo, "'@'"), p.host, around("':'", f"CAST({p.port} AS STRING)")),
         p.path,
-        let(query, "y", around("'?'", "y")),
+        # '?' goes before a query that is not empty
+        f"coalesce(regexp_replace({query}, '^(.)', '?$1'), '')",
         around("'#'", p.fragment),
     ]
     return f"concat({', '.join(parts)})"

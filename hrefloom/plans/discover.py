@@ -21,13 +21,13 @@ def accepted_links(links: DataFrame) -> DataFrame:
     to ``/app.js/`` passes although it becomes ``/app.js``.
     """
 
-    raw = U.parts_of_pieces("w")
-    # one lambda, exploded: no later filter repeats the work below it
-    judged = f"""transform(
-        filter(array(pieces), w -> w IS NOT NULL AND {policy.accept_sql(raw)} AND NOT {policy.is_blocked_sql(raw)}),
-        w -> struct({U.canonical_sql(raw)} AS url, {U.bare_host_sql(raw.host)} AS host))"""
     kept = [c for c in links.columns if c not in ("pieces", "error")]
-    return links.selectExpr(*kept, f"inline({judged})")
+    # an explode of one element: the filter below must not repeat this part
+    hosted = links.where("pieces IS NOT NULL").selectExpr(
+        *kept, f"inline(array(struct(pieces, {policy.bare_host_of('pieces')} AS host)))"
+    )
+    good = hosted.where(f"{policy.accept_sql('pieces')} AND NOT {policy.blocked_host_sql('host')}")
+    return good.selectExpr(*kept, f"{U.canonical_sql(U.parts_of_pieces('pieces'))} AS url", "host")
 
 
 def failed_links(links: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions.policy import allowed_scheme_sql, has_host_sql
-from hrefloom.functions.urls import parts_of_pieces, with_pieces
+from hrefloom.functions.urls import with_pieces
 
 NOT_A_URL = "not a valid URL"
 NO_HOST = "no host"
@@ -16,8 +16,7 @@ BAD_SCHEME = "scheme is not http or https"
 def validate_seeds(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``url`` -> (valid ``url``, rejected ``url, reason``); any number of seeds."""
 
-    def verdict(pieces: str) -> str:
-        p = parts_of_pieces(pieces)
+    def verdict(p: str) -> str:
         return f"CASE WHEN NOT {has_host_sql(p)} THEN '{NO_HOST}' WHEN NOT {allowed_scheme_sql(p)} THEN '{BAD_SCHEME}' ELSE '' END"
 
     judged = seeds.select("url", F.coalesce(with_pieces("url", verdict), F.lit(NOT_A_URL)).alias("reason"))
