@@ -91,7 +91,7 @@ _FIELDS = [f.name for f in fields(UrlParts)]
 
 
 def _decode(text: str) -> str:
-    return f"coalesce(try_url_decode({text}), {text})"
+    return f"if({text} RLIKE '[%+]', coalesce(try_url_decode({text}), {text}), {text})"
 
 
 def _encode(text: str) -> str:
@@ -99,7 +99,7 @@ def _encode(text: str) -> str:
     out = f"url_encode({text})"
     for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"), ("%3F", "?")):
         out = f"replace({out}, '{old}', '{new}')"
-    return out
+    return f"if({text} RLIKE '[^A-Za-z0-9._~/?-]', {out}, {text})"
 
 
 def pairs_sql(query: str) -> str:

@@ -68,6 +68,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, spread over all cores where the scan would not fill them.
+
+    A file of one row group is one task, however many cores wait.  A table big
+    enough to have a split per core is never shuffled here.
+    """
+    pages = table(spark, sf_dir, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def probe_links(pages: DataFrame) -> DataFrame:
     """Every page with every probe: ``page_id, pos, page, href``."""
     hrefs = F.expr(f"posexplode(array({', '.join(map(quoted, PROBE_HREFS))})) AS (pos, href)")

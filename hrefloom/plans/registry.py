@@ -33,7 +33,7 @@ DEQUEUED = 100
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "pages")
+    return I.pages_table(spark, sf_dir)
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
