@@ -28,16 +28,16 @@ def politeness_plan(
     summaries to be few.
     """
     c = F.lit(cooldown_ms).cast("bigint")
-    bucket = ["_host", "_bucket"]
+    bucket = ["host", "_bucket"]
     inside = Window.partitionBy(*bucket).orderBy("seq")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-
-    rows = df.withColumn("_host", F.coalesce("host", F.lit(""))).withColumn("_bucket", leaf_of("seq", bucket_bits))
-    ranked = rows.withColumn("_n", F.row_number().over(inside)).withColumn(
-        "_slack", F.col("arrival_ms") - F.col("_n") * c
+    ranked = (
+        df.withColumn("_bucket", leaf_of("seq", bucket_bits))
+        .withColumn("_n", F.row_number().over(inside))
+        .withColumn("_slack", F.col("arrival_ms") - F.col("_n") * c)
     )
 
-    before = Window.partitionBy("_host").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("host").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         ranked.groupBy(*bucket)
         .agg(F.max("_n").alias("_size"), F.max("_slack").alias("_peak"))
@@ -45,13 +45,16 @@ def politeness_plan(
         .withColumn("_peak_before", F.max(F.col("_peak") - F.col("_offset") * c).over(before))
     )
     if host_state is not None:
-        state = host_state.select(F.coalesce("host", F.lit("")).alias("_host"), "last_dispatch_at")
-        summary = summary.join(state, "_host", "left").withColumn(
+        state = host_state.select(F.col("host").alias("_of"), "last_dispatch_at")
+        summary = summary.join(state, F.col("host").eqNullSafe(F.col("_of")), "left").withColumn(
             "_peak_before", F.greatest("_peak_before", "last_dispatch_at")
         )
-    summary = summary.select(*bucket, "_offset", "_peak_before")
+    summary = summary.select(
+        F.col("host").alias("_host"), F.col("_bucket").alias("_at"), "_offset", "_peak_before"
+    )
 
-    joined = ranked.withColumn("_slack_before", F.max("_slack").over(earlier)).join(summary, bucket)
+    here = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_bucket") == F.col("_at"))
+    joined = ranked.withColumn("_slack_before", F.max("_slack").over(earlier)).join(summary, here)
     rank = F.col("_offset") + F.col("_n")
     peak = F.greatest("_peak_before", F.col("_slack_before") - F.col("_offset") * c)
     eligible = F.coalesce(peak + rank * c, F.col("arrival_ms"))
@@ -63,7 +66,7 @@ def politeness_plan(
 
 def next_host_state(plan: DataFrame, host_state: DataFrame | None = None) -> DataFrame:
     """``host, last_dispatch_at`` after a plan; hosts it did not touch stay."""
-    ended = plan.select(F.coalesce("host", F.lit("")).alias("host"), F.col("dispatch_at").alias("last_dispatch_at"))
+    ended = plan.select("host", F.col("dispatch_at").alias("last_dispatch_at"))
     if host_state is not None:
         ended = ended.unionByName(host_state.select("host", "last_dispatch_at"))
     return ended.groupBy("host").agg(F.max("last_dispatch_at").alias("last_dispatch_at"))

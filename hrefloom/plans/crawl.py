@@ -15,8 +15,8 @@ ROUND_SCHEMA = "url STRING, host STRING, key STRING, round INT"
 
 
 def _links_of(pages: DataFrame) -> DataFrame:
-    """Distinct accepted links of each page: ``page_id, url, host``."""
-    return accepted_links(page_links(pages)).select("page_id", "url", "host").distinct()
+    """Accepted links of pages: ``page_id, src, url``; ``src`` is the page URL."""
+    return accepted_links(page_links(pages)).select("page_id", F.col("page").alias("src"), "url")
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | None = None) -> DataFrame:
@@ -26,12 +26,13 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | N
     holds the links first met on pages of round n.  It ends when a round finds
     nothing new, or after ``max_rounds``.
 
-    All pages are read and parsed once, into a narrow table of links by page;
-    the rounds then join the frontier to that table and never touch html again.
-    A page's base is its canonical URL, since that is how every URL but a seed
-    is asked for; seeds fetch their pages on their own.  Every round is written
-    to ``work_dir`` before the next starts: lineage stays short and a lost
-    executor costs at most the tasks it ran.
+    All pages are read and parsed once, into a narrow table of links by page
+    URL; a round is then one join of the frontier to that table, a distinct and
+    an anti join that share their shuffle, and html is never touched again.  A
+    page's base is its canonical URL, since that is how every URL but a seed is
+    asked for; seeds fetch their pages on their own.  Every round is written to
+    ``work_dir`` before the next starts: lineage stays short and a lost executor
+    costs at most the tasks it ran.
     """
     spark = pages.sparkSession
     root = fresh_dir(spark, "crawl") if work_dir is None else work_dir.rstrip("/")
@@ -41,34 +42,32 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | N
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    def round_table(n: int, df: DataFrame) -> DataFrame:
-        return table(f"rounds/round={n}", df)
+    def round_table(n: int, urls: DataFrame) -> DataFrame:
+        hosted = urls.select("url", U.host_of("url").alias("host"), "key")
+        return table(f"rounds/round={n}", hosted)
 
     def visited(through: int) -> DataFrame:
         rounds = spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
         return rounds.where(F.col("round") <= through)
 
-    start = seeds.select("url").distinct().withColumn("key", U.url_key("url"))
-    first = round_table(0, start.select("url", U.host_of("url").alias("host"), "key"))
+    first = round_table(0, seeds.select("url").distinct().withColumn("key", U.url_key("url")))
     if max_rounds < 1:
         return visited(0).select("url", "host", "round")
 
+    # where several pages share a canonical URL, the index keeps the one that answers
     index = table("index", page_index(pages))
-    asked = pages.withColumn("url", U.canonicalise("url")).where(F.col("url").isNotNull())
-    links = table("links", _links_of(asked))
+    asked = pages.withColumn("url", U.canonicalise("url"))
+    answers = _links_of(asked).join(index.select("page_id"), "page_id", "left_semi")
+    links = table("links", answers.select("src", "url"))
 
     # seeds: pages resolved against the URL exactly as given
     found, _ = fetch_pages(first.select("url", F.xxhash64("url").alias("seq")), pages, index)
     candidates = _links_of(found.withColumnRenamed("seq", "page_id"))
     for n in range(1, max_rounds + 1):
-        new = (
-            candidates.select("url", "host")
-            .distinct()
-            .join(visited(n - 1).select(F.col("key").alias("url")), "url", "left_anti")
-        )
-        frontier = round_table(n, new.select("url", "host", F.col("url").alias("key")))
+        met = visited(n - 1).select(F.col("key").alias("url"))
+        new = candidates.select("url").distinct().join(met, "url", "left_anti")
+        frontier = round_table(n, new.withColumn("key", F.col("url")))
         if frontier.isEmpty():
             break
-        pages_hit = frontier.select("key").join(index, "key").select("page_id")
-        candidates = pages_hit.join(links, "page_id").select("url", "host")
+        candidates = links.join(frontier.select(F.col("key").alias("src")), "src")
     return visited(n).select("url", "host", "round")

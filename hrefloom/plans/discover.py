@@ -43,11 +43,12 @@ def new_links(links: DataFrame, seen: DataFrame | None = None, order: str = "pag
     One shuffle by URL.  Repeats of a popular link go in the partial aggregate
     before it, and the aggregate leaves the rows sorted for the anti join.
     """
-    first = F.min(F.struct(order, "pos", "page")).alias("_first")
-    firsts = links.groupBy("url", "host").agg(first)
+    # the host comes after the order in the struct, so it never decides
+    first = F.min(F.struct(order, "pos", "page", "host")).alias("_first")
+    firsts = links.groupBy("url").agg(first)
     if seen is not None:
         firsts = firsts.join(seen.select(F.col("key").alias("url")), "url", "left_anti")
-    return firsts.select(f"_first.{order}", "_first.pos", "_first.page", "url", "host")
+    return firsts.select(f"_first.{order}", "_first.pos", "_first.page", "url", "_first.host")
 
 
 def discover_links(pages: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

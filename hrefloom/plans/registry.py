@@ -36,8 +36,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.pages_table(spark, sf_dir)
 
 
+def _plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "pages")
+
+
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.arrivals(I.table(spark, sf_dir, "events"), _pages(spark, sf_dir))
+    return I.arrivals(I.table(spark, sf_dir, "events"), _plain_pages(spark, sf_dir))
 
 
 def _on_urls(alias: str, rule) -> Query:
@@ -128,11 +132,11 @@ def _fifo(spark, sf_dir):
 
 
 def _work(spark, sf_dir):
-    return I.work_events(I.table(spark, sf_dir, "events"), _pages(spark, sf_dir))
+    return I.work_events(I.table(spark, sf_dir, "events"), _plain_pages(spark, sf_dir))
 
 
 def _queue(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = _plain_pages(spark, sf_dir)
     now = F.lit("2024-01-01").cast("timestamp")
     empty = spark.createDataFrame([], QUEUE_SCHEMA)
     first = queue_publish(empty, pages.select(F.col("page_id").alias("seq"), "url"), now)
@@ -144,7 +148,7 @@ def _publish(spark, sf_dir):
 
 
 def _dequeue(spark, sf_dir):
-    stored = _pages(spark, sf_dir).select(
+    stored = _plain_pages(spark, sf_dir).select(
         (F.col("page_id") * 3 + 7).alias("id"),
         F.when(F.col("page_id") % 9 == 4, F.concat("url", F.lit(" not a url"))).otherwise(F.col("url")).alias("url"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"),
@@ -173,7 +177,7 @@ def _fetch(spark, sf_dir):
 
 
 def _redirects(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = _plain_pages(spark, sf_dir)
     return resolve_redirects(pages.select("url"), I.redirects(pages))
 
 
@@ -217,7 +221,7 @@ def _dedup_stream(spark, sf_dir):
 def _politeness_stream(spark, sf_dir):
     static = I.table(spark, sf_dir, "events")
     events = link_stream(spark, f"{sf_dir}/events.parquet*", static.schema)
-    plan = politeness_stream(I.arrivals(events, _pages(spark, sf_dir)), COOLDOWN_MS)
+    plan = politeness_stream(I.arrivals(events, _plain_pages(spark, sf_dir)), COOLDOWN_MS)
     return _run(plan.select("seq", "host", "eligible_at", "dispatch_at"), work_dir(spark, "politeness-stream"))
 
 

@@ -14,6 +14,7 @@ from hrefloom.functions.urls import url_key
 from hrefloom.operators.schedule import next_host_state, politeness_plan
 from hrefloom.plans.discover import discover_links
 
+HOST_SCHEMA = "host STRING, last_dispatch_at BIGINT"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -81,33 +82,36 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
     arrive; else it is the time of the batch.
     """
     root = work_dir.rstrip("/")
-    links_schema = (
-        "seq BIGINT, page STRING, url STRING, host STRING, arrival_ms BIGINT, "
-        "eligible_at BIGINT, dispatch_at BIGINT, batch BIGINT"
-    )
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+
+        def stored(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{root}/{name}")
+
+        def store(name: str, df: DataFrame) -> DataFrame:
+            path = f"{root}/{name}/batch={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
         seen = state = None
         offset = 0
         if batch_id > 0:
-            done = spark.read.schema(links_schema).parquet(f"{root}/plan").where(F.col("batch") < batch_id)
-            seen = done.select(F.col("url").alias("key"))
-            state = spark.read.schema("host STRING, last_dispatch_at BIGINT").parquet(f"{root}/hosts/batch={batch_id - 1}")
-            offset = done.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            earlier = stored("found", "seq BIGINT, url STRING").where(F.col("batch") < batch_id)
+            seen = earlier.select(F.col("url").alias("key"))
+            offset = earlier.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            state = stored("hosts", HOST_SCHEMA).where(F.col("batch") == batch_id - 1)
         found, _ = discover_links(batch.select("page_id", "url", "html"), seen)
-        arrival = F.unix_millis(F.current_timestamp())
         if "arrival_ms" in batch.columns:
             times = batch.groupBy(F.col("url").alias("page")).agg(F.min("arrival_ms").alias("arrival_ms"))
             found = found.join(times, "page")
         else:
-            found = found.withColumn("arrival_ms", arrival)
+            found = found.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
         found = found.withColumn("seq", F.col("seq") + F.lit(offset))
-        plan = politeness_plan(found.select("seq", "page", "url", "host", "arrival_ms"), cooldown_ms, state)
-        path = f"{root}/plan/batch={batch_id}"
-        plan.write.mode("overwrite").parquet(path)
-        written = spark.read.schema(plan.schema).parquet(path)
-        next_host_state(written, state).write.mode("overwrite").parquet(f"{root}/hosts/batch={batch_id}")
+        # the plan reads its rows twice, so the pages' work is put down first
+        rows = store("found", found.select("seq", "page", "url", "host", "arrival_ms"))
+        plan = store("plan", politeness_plan(rows, cooldown_ms, state))
+        store("hosts", next_host_state(plan, state))
 
     writer = pages.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
