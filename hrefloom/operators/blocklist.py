@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hrefloom.functions.text import let
 from hrefloom.functions.urls import host_of
+from hrefloom.operators.skew import salted_join
 
 
 def blocklist_anti_join(df: DataFrame, blocklist: DataFrame) -> DataFrame:
@@ -16,9 +17,9 @@ def blocklist_anti_join(df: DataFrame, blocklist: DataFrame) -> DataFrame:
     label of the host) or ``final_tld`` (its last label).
 
     The rules are matched against distinct hosts, found with a partial
-    aggregate, so a host that holds a third of the rows is matched once.  Both
-    joins are plain equi joins: Spark broadcasts the rules or the blocked hosts
-    when their size allows and shuffles them otherwise.
+    aggregate, so a host that holds a third of the rows is matched once; its
+    rows are then dropped by a salted anti join.  Spark broadcasts the rules or
+    the blocked hosts when their size allows and shuffles them otherwise.
     """
     keyed = df.withColumn("_host", host_of("url"))
     hosts = keyed.where("_host <> ''").select("_host").distinct()
@@ -30,4 +31,4 @@ def blocklist_anti_join(df: DataFrame, blocklist: DataFrame) -> DataFrame:
     probed = hosts.selectExpr("_host", f"inline({let(labels, 'l', probes)})")
     rules = blocklist.select(F.lower("kind").alias("kind"), F.lower("rule").alias("rule"))
     blocked = probed.join(rules, ["kind", "rule"], "left_semi").select("_host").distinct()
-    return keyed.join(blocked, "_host", "left_anti").drop("_host")
+    return salted_join(keyed, blocked, "_host", "url", "left_anti").drop("_host")

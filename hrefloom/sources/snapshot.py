@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from hrefloom.functions.urls import canonicalise
 from hrefloom.operators.links import INFRA
+from hrefloom.operators.skew import salted_join
 
 NOT_FOUND = "page is not in the snapshot"
 TOO_MANY_REDIRECTS = "too many redirects"
-SALTS = 16
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -30,12 +30,15 @@ def fetch_pages(
     Pages are matched on the canonical URL of both sides, and a found page
     keeps the URL that was asked for.  The match is settled on narrow columns;
     the content joins last, by ``page_id``, so only wanted pages are shuffled,
-    or none where the frontier is small enough for Spark to broadcast it.  A
-    frontier holds a URL once, as publishing does, so no key is hot.  ``index``
-    is a stored ``page_index`` of these pages.
+    or none where the frontier is small enough for Spark to broadcast it.  Many
+    spellings may ask for one page: the index is probed with distinct keys and
+    the answers go back by a salted join.  ``index`` is a stored ``page_index``
+    of these pages.
     """
     wanted = frontier.withColumn("key", canonicalise("url"))
-    matched = wanted.join(page_index(pages) if index is None else index, "key", "left")
+    keys = wanted.select("key").distinct()
+    answers = keys.join(page_index(pages) if index is None else index, "key")
+    matched = salted_join(wanted, answers, "key", "url", "left")
     found = (
         matched.where(F.col("page_id").isNotNull())
         .join(pages.select("page_id", "html"), "page_id")
@@ -47,17 +50,6 @@ def fetch_pages(
     return found, missing
 
 
-def _salted_lookup(df: DataFrame, table: DataFrame, key: str, salt_by: str) -> DataFrame:
-    """Left join to a table with unique keys, safe for a key that is on most rows.
-
-    The rows of one key are spread by a hash of ``salt_by``; each table row is
-    there once per salt.
-    """
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    return salted.join(table.withColumn("_salt", salts), [key, "_salt"], "left").drop("_salt")
-
-
 def resolve_redirects(df: DataFrame, redirects: DataFrame, max_hops: int = 3) -> DataFrame:
     """``url`` -> ``url, final_url, hops, error_class`` over ``redirects(src, dst)``.
 
@@ -68,13 +60,13 @@ def resolve_redirects(df: DataFrame, redirects: DataFrame, max_hops: int = 3) ->
     extra = [c for c in df.columns if c not in ("url", "final_url", "hops", "error_class")]
     walk = df.select("url", *extra, F.col("url").alias("_at"), F.lit(0).alias("hops"))
     for _ in range(max_hops):
-        walk = _salted_lookup(walk, table, "_at", "url").select(
+        walk = salted_join(walk, table, "_at", "url", "left").select(
             "url",
             *extra,
             F.coalesce("_next", "_at").alias("_at"),
             (F.col("hops") + F.col("_next").isNotNull().cast("int")).alias("hops"),
         )
-    last = _salted_lookup(walk, table, "_at", "url")
+    last = salted_join(walk, table, "_at", "url", "left")
     stuck = F.col("_next").isNotNull()
     return last.select(
         "url",
