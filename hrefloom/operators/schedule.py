@@ -25,14 +25,15 @@ def politeness_plan(
     by ``seq`` into buckets of at most 2**bucket_bits rows.  Rows are sorted
     within their bucket only; what meets in one task per host is one summary
     row per bucket.  ``seq`` must be unique per host, and near dense for those
-    summaries to be few.
+    summaries to be few.  URLs without a host share the host ''.
     """
     c = F.lit(cooldown_ms).cast("bigint")
     bucket = ["host", "_bucket"]
     inside = Window.partitionBy(*bucket).orderBy("seq")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        df.withColumn("_bucket", leaf_of("seq", bucket_bits))
+        df.withColumn("host", F.coalesce("host", F.lit("")))
+        .withColumn("_bucket", leaf_of("seq", bucket_bits))
         .withColumn("_n", F.row_number().over(inside))
         .withColumn("_slack", F.col("arrival_ms") - F.col("_n") * c)
     )
@@ -45,16 +46,14 @@ def politeness_plan(
         .withColumn("_peak_before", F.max(F.col("_peak") - F.col("_offset") * c).over(before))
     )
     if host_state is not None:
-        state = host_state.select(F.col("host").alias("_of"), "last_dispatch_at")
-        summary = summary.join(state, F.col("host").eqNullSafe(F.col("_of")), "left").withColumn(
+        state = host_state.select(F.coalesce("host", F.lit("")).alias("host"), "last_dispatch_at")
+        summary = summary.join(state, "host", "left").withColumn(
             "_peak_before", F.greatest("_peak_before", "last_dispatch_at")
         )
-    summary = summary.select(
-        F.col("host").alias("_host"), F.col("_bucket").alias("_at"), "_offset", "_peak_before"
-    )
+    summary = summary.select(*bucket, "_offset", "_peak_before")
 
-    here = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_bucket") == F.col("_at"))
-    joined = ranked.withColumn("_slack_before", F.max("_slack").over(earlier)).join(summary, here)
+    # the join keeps the partitioning of the windows: rows are shuffled once
+    joined = ranked.withColumn("_slack_before", F.max("_slack").over(earlier)).join(summary, bucket)
     rank = F.col("_offset") + F.col("_n")
     peak = F.greatest("_peak_before", F.col("_slack_before") - F.col("_offset") * c)
     eligible = F.coalesce(peak + rank * c, F.col("arrival_ms"))

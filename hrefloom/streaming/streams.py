@@ -42,7 +42,7 @@ def politeness_stream(df: DataFrame, cooldown_ms: int) -> DataFrame:
     State is one long per host: its last dispatch.  A dispatch time depends on
     earlier rows only, so it is given out on arrival and no timer is needed.
     A host's rows of one micro-batch meet in one task; the batch is bounded by
-    the source's trigger.  ``run_discover_stream`` has no such limit.
+    the source's trigger.  ``run_politeness_stream`` splits such a host.
     """
     times = [StructField(c, LongType()) for c in ("eligible_at", "dispatch_at")]
     output = StructType([*df.schema.fields, *times])
@@ -68,6 +68,54 @@ def politeness_stream(df: DataFrame, cooldown_ms: int) -> DataFrame:
     )
 
 
+class _Rounds:
+    """Tables a stream's micro-batches leave for one another, by batch id.
+
+    A batch that runs again after a failure overwrites what it left behind, and
+    reads only what its forerunners wrote.
+    """
+
+    def __init__(self, work_dir: str):
+        self.root = work_dir.rstrip("/")
+
+    def earlier(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
+        table = spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{self.root}/{name}")
+        return table.where(F.col("batch") < batch_id)
+
+    def store(self, name: str, df: DataFrame, batch_id: int) -> DataFrame:
+        path = f"{self.root}/{name}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def schedule(self, rows: DataFrame, cooldown_ms: int, batch_id: int) -> None:
+        """Plan one batch of stored rows after the hosts' last dispatches."""
+        state = None
+        if batch_id > 0:
+            hosts = self.earlier(rows.sparkSession, "hosts", HOST_SCHEMA, batch_id)
+            state = hosts.where(F.col("batch") == batch_id - 1).drop("batch")
+        plan = self.store("plan", politeness_plan(rows, cooldown_ms, state), batch_id)
+        self.store("hosts", next_host_state(plan, state), batch_id)
+
+    def run(self, stream: DataFrame, one, trigger: dict | None):
+        writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{self.root}/checkpoint")
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run_politeness_stream(df: DataFrame, cooldown_ms: int, work_dir: str, trigger: dict | None = None):
+    """``politeness_stream`` with the batch plan inside; returns the running query.
+
+    Results are under ``work_dir``/plan.  A host that holds most of a
+    micro-batch is split over tasks as in ``politeness_plan``.
+    """
+    rounds = _Rounds(work_dir)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        # the plan reads its rows twice, so they are put down first
+        rounds.schedule(rounds.store("rows", batch, batch_id), cooldown_ms, batch_id)
+
+    return rounds.run(df, one, trigger)
+
+
 def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigger: dict | None = None):
     """Discover and schedule over arriving pages; returns the running query.
 
@@ -75,43 +123,27 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
     eligible_at, dispatch_at, batch``.  Each micro-batch is one round of the
     batch operators against the tables its forerunners wrote, so first-wins is
     exact within a batch too, and a hot host is split like in a batch plan.
-    Every table of a batch has the batch id in its path: a batch that runs again
-    after a failure overwrites what it left behind.
 
     ``arrival_ms`` of a page, if there is such a column, is when its links
     arrive; else it is the time of the batch.
     """
-    root = work_dir.rstrip("/")
+    rounds = _Rounds(work_dir)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
-        def stored(name: str, schema: str) -> DataFrame:
-            return spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{root}/{name}")
-
-        def store(name: str, df: DataFrame) -> DataFrame:
-            path = f"{root}/{name}/batch={batch_id}"
-            df.write.mode("overwrite").parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
-
-        seen = state = None
-        offset = 0
+        seen, offset = None, 0
         if batch_id > 0:
-            earlier = stored("found", "seq BIGINT, url STRING").where(F.col("batch") < batch_id)
-            seen = earlier.select(F.col("url").alias("key"))
-            offset = earlier.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-            state = stored("hosts", HOST_SCHEMA).where(F.col("batch") == batch_id - 1)
-        found, _ = discover_links(batch.select("page_id", "url", "html"), seen)
+            found = rounds.earlier(batch.sparkSession, "found", "seq BIGINT, url STRING", batch_id)
+            seen = found.select(F.col("url").alias("key"))
+            offset = found.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        new, _ = discover_links(batch.select("page_id", "url", "html"), seen)
         if "arrival_ms" in batch.columns:
             times = batch.groupBy(F.col("url").alias("page")).agg(F.min("arrival_ms").alias("arrival_ms"))
-            found = found.join(times, "page")
+            new = new.join(times, "page")
         else:
-            found = found.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
-        found = found.withColumn("seq", F.col("seq") + F.lit(offset))
+            new = new.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
+        new = new.withColumn("seq", F.col("seq") + F.lit(offset))
         # the plan reads its rows twice, so the pages' work is put down first
-        rows = store("found", found.select("seq", "page", "url", "host", "arrival_ms"))
-        plan = store("plan", politeness_plan(rows, cooldown_ms, state))
-        store("hosts", next_host_state(plan, state))
+        rows = rounds.store("found", new.select("seq", "page", "url", "host", "arrival_ms"), batch_id)
+        rounds.schedule(rows, cooldown_ms, batch_id)
 
-    writer = pages.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint")
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return rounds.run(pages, one, trigger)

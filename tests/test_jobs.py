@@ -11,7 +11,7 @@ from hrefloom.sources.queue import QUEUE_SCHEMA, queue_dequeue, queue_publish
 from hrefloom.sources.seeds import validate_seeds
 from hrefloom.sources.snapshot import fetch_pages, resolve_redirects
 from hrefloom.sources.stream import PAGE_SCHEMA, link_stream
-from hrefloom.streaming.streams import dedup_stream, politeness_stream, run_discover_stream
+from hrefloom.streaming.streams import dedup_stream, politeness_stream, run_discover_stream, run_politeness_stream
 from hrefloom.workdir import work_dir
 
 PAGES = "page_id bigint, url string, html string"
@@ -182,7 +182,13 @@ def test_politeness_stream_equals_batch(spark, arrival_files):
     stream = link_stream(spark, f"{root}/in", schema, max_files_per_trigger=1)
     got = {r["seq"]: (r["eligible_at"], r["dispatch_at"]) for r in _drain(politeness_stream(stream, 300), root).collect()}
     batch = S.politeness_plan(spark.createDataFrame(rows, schema), 300)
-    assert got == {r["seq"]: (r["eligible_at"], r["dispatch_at"]) for r in batch.collect()}
+    want = {r["seq"]: (r["eligible_at"], r["dispatch_at"]) for r in batch.collect()}
+    assert got == want
+    again = link_stream(spark, f"{root}/in", schema, max_files_per_trigger=1)
+    run_politeness_stream(again, 300, f"{root}/work").awaitTermination()
+    plan = spark.read.parquet(f"{root}/work/plan")
+    assert plan.select("batch").distinct().count() == 3
+    assert {r["seq"]: (r["eligible_at"], r["dispatch_at"]) for r in plan.collect()} == want
 
 
 def test_dedup_stream_survives_restart(spark, arrival_files):
@@ -220,3 +226,26 @@ def test_quarantine_splits(spark):
 
 def test_work_dir_needs_a_shared_folder_on_a_cluster(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_hot_keys_give_whole_results(spark):
+    # a third of all rows on one key
+    n = 3000
+    rows = spark.range(n).selectExpr("id", "if(id % 3 = 0, 'http://hot.example/', concat('http://h', id, '.example/')) AS url")
+    from hrefloom.operators.blocklist import blocklist_anti_join
+    from hrefloom.operators.dedup import has_seen
+
+    rules = spark.createDataFrame([("hot.example", "domain")], "rule string, kind string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert blocklist_anti_join(rows, rules).count() == n - n // 3
+        flags = has_seen(rows.withColumnRenamed("id", "seq"))
+        assert flags.where("seen").count() == n // 3 - 1 and flags.count() == n
+        hops = spark.createDataFrame([("http://hot.example/", "http://x/")], "src string, dst string")
+        ends = resolve_redirects(rows, hops)
+        assert ends.where("final_url = 'http://x/' and hops = 1").count() == n // 3 and ends.count() == n
+        pages = spark.createDataFrame([(1, "http://hot.example/", "h")], PAGES)
+        found, missing = fetch_pages(rows.select(F.col("id").alias("seq"), F.concat("url", F.lit("#"), "id").alias("url")), pages)
+        assert found.count() == n // 3 and missing.count() == n - n // 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -204,6 +204,23 @@ def test_politeness_plan_matches_simulation(spark):
     assert {r["seq"]: (r["eligible_at"], r["dispatch_at"]) for r in rest.collect()} == {s: want[s] for s in range(150, 400)}
 
 
+def test_politeness_plan_shuffles_rows_once_and_takes_no_host(spark):
+    rows = [(i, None if i % 3 else "a", 0) for i in range(9)]
+    plan = _plan(spark, rows, 10, bits=1)
+    assert [r["dispatch_at"] for r in plan.where("host = ''").orderBy("seq").collect()] == [0, 10, 20, 30, 40, 50]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        text = _plan(spark, rows, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    wide = [line for line in text.split("\n") if "Exchange" in line]
+    # the rows once, the narrow rows the summaries are made of, and the summaries
+    assert len([w for w in wide if "hashpartitioning(host" in w and "_bucket" in w]) == 3
+    assert "SortMergeJoin" in text and "CartesianProduct" not in text
+
+
 def test_schedule_cases(spark):
     hour = 3_600_000
     cases = [
