@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions import urls as U
-from hrefloom.operators.links import page_links
+from hrefloom.operators.links import INFRA, page_links
 from hrefloom.plans.discover import accepted_links
-from hrefloom.sources.snapshot import fetch_pages, page_index
+from hrefloom.sources.snapshot import NOT_FOUND, fetch_pages, page_index
 from hrefloom.workdir import work_dir as fresh_dir
 
 ROUND_SCHEMA = "url STRING, host STRING, key STRING, round INT"
@@ -71,3 +71,10 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | N
             break
         candidates = links.join(frontier.select(F.col("key").alias("src")), "src")
     return visited(n).select("url", "host", "round")
+
+
+def unanswered(crawled: DataFrame, pages: DataFrame) -> DataFrame:
+    """Crawled URLs that no page answers: ``url, error_class, error``."""
+    keyed = crawled.select("url", U.canonicalise("url").alias("key"))
+    missing = keyed.join(page_index(pages), "key", "left_anti")
+    return missing.select("url", F.lit(INFRA).alias("error_class"), F.lit(NOT_FOUND).alias("error"))

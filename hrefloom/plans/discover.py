@@ -51,25 +51,27 @@ def new_links(links: DataFrame, seen: DataFrame | None = None, order: str = "pag
     return firsts.select(f"_first.{order}", "_first.pos", "_first.page", "url", "_first.host")
 
 
-def discover_links(pages: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def discover_links(
+    pages: DataFrame, seen: DataFrame | None = None, work_dir: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``page_id, url, html`` -> (new ``seq, page, url, host``, quarantined).
 
     Extract, drop blocked, filter, canonicalise, keep first sights, in that
     order.  ``seq`` counts the new URLs by page order (``seq`` of the pages
     where they have one, else ``page_id``) and position on the page.
 
-    The two results are two queries over the pages.  To read the pages once,
-    write ``page_links`` out and go on from there, as ``crawl`` does.
+    The two results are two queries.  With ``work_dir`` the resolved links are
+    written there first, so that both read them and the pages are parsed once.
     """
     order = "seq" if "seq" in pages.columns else "page_id"
     if "page_id" not in pages.columns:
         pages = pages.withColumn("page_id", F.col("seq"))
     links = page_links(pages, *(["seq"] if order == "seq" else []))
-    firsts = new_links(accepted_links(links), seen, order)
-    if order == "seq":
-        firsts = firsts.withColumnRenamed("seq", "_order")
-    else:
-        firsts = firsts.withColumnRenamed("page_id", "_order")
+    if work_dir is not None:
+        path = f"{work_dir.rstrip('/')}/links"
+        links.write.mode("overwrite").parquet(path)
+        links = pages.sparkSession.read.schema(links.schema).parquet(path)
+    firsts = new_links(accepted_links(links), seen, order).withColumnRenamed(order, "_order")
     numbered = global_index(firsts, ["_order", "pos"], "seq", PAGE_LEAF_BITS)
     bad = failed_links(links).unionByName(failed_pages(pages), allowMissingColumns=True)
     return numbered.select("seq", "page", "url", "host"), bad

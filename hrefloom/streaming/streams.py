@@ -120,9 +120,10 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
     """Discover and schedule over arriving pages; returns the running query.
 
     Results are under ``work_dir``/plan: ``seq, page, url, host, arrival_ms,
-    eligible_at, dispatch_at, batch``.  Each micro-batch is one round of the
-    batch operators against the tables its forerunners wrote, so first-wins is
-    exact within a batch too, and a hot host is split like in a batch plan.
+    eligible_at, dispatch_at, batch``; failed links are under ``quarantine``.
+    Each micro-batch is one round of the batch operators against the tables its
+    forerunners wrote, so first-wins is exact within a batch too, and a hot host
+    is split like in a batch plan.
 
     ``arrival_ms`` of a page, if there is such a column, is when its links
     arrive; else it is the time of the batch.
@@ -135,7 +136,9 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
             found = rounds.earlier(batch.sparkSession, "found", "seq BIGINT, url STRING", batch_id)
             seen = found.select(F.col("url").alias("key"))
             offset = found.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        new, _ = discover_links(batch.select("page_id", "url", "html"), seen)
+        links_dir = f"{rounds.root}/parsed/batch={batch_id}"
+        new, bad = discover_links(batch.select("page_id", "url", "html"), seen, links_dir)
+        rounds.store("quarantine", bad, batch_id)
         if "arrival_ms" in batch.columns:
             times = batch.groupBy(F.col("url").alias("page")).agg(F.min("arrival_ms").alias("arrival_ms"))
             new = new.join(times, "page")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hrefloom.operators import links as L
 from hrefloom.operators import schedule as S
-from hrefloom.plans.crawl import crawl
+from hrefloom.plans.crawl import crawl, unanswered
 from hrefloom.plans.discover import discover_links
 from hrefloom.sources.queue import QUEUE_SCHEMA, queue_dequeue, queue_publish
 from hrefloom.sources.seeds import validate_seeds
@@ -109,9 +109,11 @@ def test_discover_links_order_and_quirks(spark):
         (4, "https://h.example/1", "https://off.example/z?a=2&b=1", "off.example"),
         (5, "https://h.example/2", "https://h.example/b", "h.example"),
     ]
-    assert {(r["page_id"], r["error_class"], r["error"]) for r in bad.collect()} == {
-        (1, "domain", L.BAD_HREF), (3, "domain", L.NO_BASE), (4, "domain", L.NO_HTML),
-    }
+    failed = {(1, "domain", L.BAD_HREF), (3, "domain", L.NO_BASE), (4, "domain", L.NO_HTML)}
+    assert {(r["page_id"], r["error_class"], r["error"]) for r in bad.collect()} == failed
+    staged, bad = discover_links(pages, seen, work_dir(spark, "discover"))
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, new.collect()))
+    assert {(r["page_id"], r["error_class"], r["error"]) for r in bad.collect()} == failed
 
 
 def _crawl_by_hand(seeds, pages, max_rounds):
@@ -157,7 +159,9 @@ def test_crawl_may_reuse_its_folder(spark):
     root = work_dir(spark, "crawl-twice")
     pages = spark.createDataFrame([(1, "https://h.example/a", _anchors("/b")), (2, "https://h.example/b", _anchors("/c"))], PAGES)
     seeds = spark.createDataFrame([("https://h.example/a",)], "url string")
-    assert crawl(seeds, pages, 5, root).count() == 3
+    crawled = crawl(seeds, pages, 5, root)
+    assert crawled.count() == 3
+    assert [tuple(r)[:2] for r in unanswered(crawled, pages).collect()] == [("https://h.example/c", "infra")]
     assert crawl(seeds, pages, 1, root).count() == 2
 
 
@@ -202,7 +206,7 @@ def test_dedup_stream_survives_restart(spark, arrival_files):
 def test_discover_stream_equals_batch(spark, tmp_path):
     parts = [
         [(1, "https://h.example/1", _anchors("/a", "/b", "https://o.example/x")), (2, "https://h.example/2", _anchors("/b", "/c"))],
-        [(3, "https://h.example/3", _anchors("/c", "/d", "https://o.example/y")), (4, "https://h.example/4", _anchors("/a"))],
+        [(3, "https://h.example/3", _anchors("/c", "/d", "https://o.example/y", "/bad url")), (4, "https://h.example/4", _anchors("/a"))],
     ]
     root = str(tmp_path)
     for p in parts:
@@ -211,6 +215,7 @@ def test_discover_stream_equals_batch(spark, tmp_path):
     run_discover_stream(stream, 100, f"{root}/work").awaitTermination()
     got = spark.read.parquet(f"{root}/work/plan")
     assert got.select("batch").distinct().count() == 2
+    assert [r["href"] for r in spark.read.parquet(f"{root}/work/quarantine").collect()] == ["/bad url"]
     new, _ = discover_links(spark.createDataFrame(parts[0] + parts[1], PAGES))
     timed = new.withColumn("arrival_ms", F.substring_index("page", "/", -1).cast("bigint") * 10)
     plan = S.politeness_plan(timed, 100)
