@@ -1,10 +1,11 @@
-"""Running totals and dense numbers over a whole table, without a global sort.
+"""Running totals and dense numbers over a whole table.
 
-An order column of 64-bit integers is cut by its bits into leaves of at most
-2**20 distinct values, leaves into groups of at most 2**20 leaves.  Each level
-needs only a sum per group, so no window partition holds more than about a
-million rows (times the ties of one order value) however the values are spread,
-and nothing passes through the driver.
+``global_index`` orders by a 64-bit integer without any sort of the whole: the
+integers are cut by their bits into leaves, leaves into groups of 2**20, groups
+again into groups.  Each level needs only a sum per group, so no window holds
+more than about a million rows however the values are spread.  ``global_rank``
+takes any order, ties included, at the price of a written sort.  Nothing passes
+through the driver.
 """
 
 from __future__ import annotations
@@ -19,17 +20,23 @@ def leaf_of(c: Column | str, bits: int = LEAF_BITS) -> Column:
     return F.shiftright(F.col(c) if isinstance(c, str) else c, bits)
 
 
-def totals_before(leaves: DataFrame, keys: list[str], group: Column, total: str, out: str) -> DataFrame:
-    """Per leaf (``keys``, in order): the sum of ``total`` over all earlier leaves."""
+def totals_before(leaves: DataFrame, keys: list[str], group: Column, total: str, out: str, levels: int = 1) -> DataFrame:
+    """Per leaf (``keys``, in order): the sum of ``total`` over all earlier leaves.
+
+    ``group`` is a BIGINT that grows with the keys.  Leaves of a group meet in
+    one window; the groups are summed up the same way, ``levels`` deep, and the
+    few groups left at the top meet in a last one.
+    """
     inside = Window.partitionBy("_group").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per group of a million leaves: small enough for a single window
-    across = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     grouped = leaves.withColumn("_group", group)
-    groups = (
-        grouped.groupBy("_group")
-        .agg(F.sum(total).alias("_sum"))
-        .select("_group", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_before"))
-    )
+    sums = grouped.groupBy("_group").agg(F.sum(total).alias("_sum"))
+    if levels > 1:
+        over = sums.withColumnRenamed("_group", "_leaf")
+        groups = totals_before(over, ["_leaf"], leaf_of("_leaf"), "_sum", "_before", levels - 1)
+        groups = groups.withColumnRenamed("_leaf", "_group")
+    else:
+        across = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+        groups = sums.select("_group", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_before"))
     within = grouped.select(*keys, "_group", F.coalesce(F.sum(total).over(inside), F.lit(0)).alias("_within"))
     return within.join(groups, "_group").select(*keys, (F.col("_before") + F.col("_within")).alias(out))
 
@@ -37,11 +44,35 @@ def totals_before(leaves: DataFrame, keys: list[str], group: Column, total: str,
 def global_index(df: DataFrame, order_by: list[str], out: str, leaf_bits: int = LEAF_BITS) -> DataFrame:
     """Adds ``out``: the dense 1-based rank of each row in ``order_by``.
 
-    The first order column must be a BIGINT without NULLs.
+    The first order column must be a BIGINT without NULLs and with few rows per
+    value; ``leaf_bits`` says how many consecutive values are numbered together.
     """
     rows = df.withColumn("_leaf", leaf_of(order_by[0], leaf_bits))
     sizes = rows.groupBy("_leaf").agg(F.count("*").alias("_n"))
-    before = totals_before(sizes, ["_leaf"], leaf_of("_leaf"), "_n", "_before_leaf")
+    levels = 1 if leaf_bits >= LEAF_BITS else 2
+    before = totals_before(sizes, ["_leaf"], leaf_of("_leaf"), "_n", "_before_leaf", levels)
     within = F.row_number().over(Window.partitionBy("_leaf").orderBy(*order_by))
     numbered = rows.withColumn("_within_leaf", within).join(before, "_leaf")
     return numbered.select(*df.columns, (F.col("_before_leaf") + F.col("_within_leaf")).alias(out))
+
+
+def global_rank(df: DataFrame, order_by: list[str], out: str, work_dir: str) -> DataFrame:
+    """Adds ``out``: the dense 1-based rank of each row in any order.
+
+    The rows are range sorted on all of ``order_by``, so ties in the leading
+    columns are split as well, and written with the number of their range: a
+    range sort may cut differently when run again, and what is counted must be
+    what is numbered.
+    """
+    path = f"{work_dir.rstrip('/')}/ranges"
+    ranged = df.orderBy(*order_by).withColumn("_range", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    # one row per partition of the sort
+    across = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before")
+    )
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
+    numbered = rows.withColumn("_within", within).join(before, "_range")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_within")).alias(out))

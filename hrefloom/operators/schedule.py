@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hrefloom.operators.numbering import LEAF_BITS, global_index, leaf_of, totals_before
 
 
+def _before_bucket(summary: DataFrame, c: Column, bits: int, levels: int) -> DataFrame:
+    """``host, _bucket, _size, _peak`` -> ``host, _bucket, _offset, _peak_before``.
+
+    ``_offset`` is the number of the host's rows in earlier buckets, and
+    ``_peak_before`` the greatest ``a(k) - k*c`` among them.
+    """
+    part = ["host"] if levels == 0 else ["host", "_group"]
+    before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    local = (
+        summary.withColumn("_group", leaf_of("_bucket", bits))
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .withColumn("_shifted", F.col("_peak") - F.col("_offset") * c)
+        .withColumn("_peak_before", F.max("_shifted").over(before))
+    )
+    if levels == 0:
+        return local.select("host", "_bucket", "_offset", "_peak_before")
+    groups = local.groupBy("host", "_group").agg(F.sum("_size").alias("_size"), F.max("_shifted").alias("_peak"))
+    above = _before_bucket(groups.withColumnRenamed("_group", "_bucket"), c, bits, levels - 1).select(
+        "host",
+        F.col("_bucket").alias("_group"),
+        F.col("_offset").alias("_rows"),
+        F.col("_peak_before").alias("_highest"),
+    )
+    return local.join(above, ["host", "_group"]).select(
+        "host",
+        "_bucket",
+        (F.col("_rows") + F.col("_offset")).alias("_offset"),
+        F.greatest("_highest", F.col("_peak_before") - F.col("_rows") * c).alias("_peak_before"),
+    )
+
+
 def politeness_plan(
     df: DataFrame,
     cooldown_ms: int,
@@ -23,9 +54,9 @@ def politeness_plan(
 
     A running count and a running max combine across pieces, so a host is cut
     by ``seq`` into buckets of at most 2**bucket_bits rows.  Rows are sorted
-    within their bucket only; what meets in one task per host is one summary
-    row per bucket.  ``seq`` must be unique per host, and near dense for those
-    summaries to be few.  URLs without a host share the host ''.
+    within their bucket only; bucket summaries are combined in groups of at most
+    2**bucket_bits, and only group summaries meet in one task per host.  ``seq``
+    must be unique per host.  URLs without a host share the host ''.
     """
     c = F.lit(cooldown_ms).cast("bigint")
     bucket = ["host", "_bucket"]
@@ -38,20 +69,14 @@ def politeness_plan(
         .withColumn("_slack", F.col("arrival_ms") - F.col("_n") * c)
     )
 
-    before = Window.partitionBy("host").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        ranked.groupBy(*bucket)
-        .agg(F.max("_n").alias("_size"), F.max("_slack").alias("_peak"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("_peak_before", F.max(F.col("_peak") - F.col("_offset") * c).over(before))
-    )
+    sizes = ranked.groupBy(*bucket).agg(F.max("_n").alias("_size"), F.max("_slack").alias("_peak"))
+    summary = _before_bucket(sizes, c, bucket_bits, 1)
     if host_state is not None:
         state = host_state.select(F.coalesce("host", F.lit("")).alias("host"), "last_dispatch_at")
         summary = summary.join(state, "host", "left").withColumn(
             "_peak_before", F.greatest("_peak_before", "last_dispatch_at")
         )
     summary = summary.select(*bucket, "_offset", "_peak_before")
-
     # the join keeps the partitioning of the windows: rows are shuffled once
     joined = ranked.withColumn("_slack_before", F.max("_slack").over(earlier)).join(summary, bucket)
     rank = F.col("_offset") + F.col("_n")

@@ -12,7 +12,7 @@ from hrefloom.operators import links as L
 from hrefloom.operators import schedule as S
 from hrefloom.operators.blocklist import blocklist_anti_join
 from hrefloom.operators.dedup import has_seen
-from hrefloom.operators.numbering import global_index
+from hrefloom.operators.numbering import global_rank
 from hrefloom.plans import inputs as I
 from hrefloom.plans.crawl import crawl
 from hrefloom.plans.discover import discover_links
@@ -124,7 +124,8 @@ def _politeness(spark, sf_dir):
 
 def _fair(spark, sf_dir):
     order = ["dispatch_at", "eligible_at", "host", "seq"]
-    return S.fair_order(global_index(_plan(spark, sf_dir), order, "position")).select("position", *order)
+    ranked = global_rank(_plan(spark, sf_dir).select(*order), order, "position", work_dir(spark, "fair-order"))
+    return S.fair_order(ranked).select("position", *order)
 
 
 def _fifo(spark, sf_dir):
