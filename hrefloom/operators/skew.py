@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key is on a large share of the rows."""
+"""Balance: joins with a key on a large share of the rows, scans of few splits."""
 
 from __future__ import annotations
 
@@ -20,3 +20,13 @@ def salted_join(df: DataFrame, table: DataFrame, key: str, salt_by: str, how: st
     spread = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return spread.join(table.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt")
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores where its scan would not fill them.
+
+    A file of one row group is one task, however many cores wait.  An input big
+    enough to have a split per core is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

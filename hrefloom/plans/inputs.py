@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hrefloom.functions.text import quoted
 from hrefloom.functions.urls import host_of
+from hrefloom.operators.skew import fill_cores
 
 # Hrefs that exercise every rule; each page is given all of them.
 PROBE_HREFS = (
@@ -69,14 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, spread over all cores where the scan would not fill them.
-
-    A file of one row group is one task, however many cores wait.  A table big
-    enough to have a split per core is never shuffled here.
-    """
-    pages = table(spark, sf_dir, "pages")
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    return fill_cores(table(spark, sf_dir, "pages"))
 
 
 def probe_links(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from hrefloom.functions.urls import url_key
+from hrefloom.operators.skew import fill_cores
 from hrefloom.operators.schedule import next_host_state, politeness_plan
 from hrefloom.plans.discover import discover_links
 
@@ -27,7 +28,8 @@ def dedup_stream(df: DataFrame, watermark: tuple[str, str] | None = None) -> Dat
     """Each URL once per stream, ever: ``url`` -> ``+ key``.
 
     State never expires, as a seen set must not; it is kept in the query's
-    checkpoint and so outlives a restart.  ``watermark`` (column, delay) bounds
+    checkpoint and so outlives a restart.  Repeats are dropped where the key's
+    state is, one row at a time, so a hot URL costs no memory.  ``watermark`` (column, delay) bounds
     it for feeds whose repeats come close together.
     """
     keyed = df.withColumn("key", url_key("url"))
@@ -137,7 +139,8 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
             seen = found.select(F.col("url").alias("key"))
             offset = found.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         links_dir = f"{rounds.root}/parsed/batch={batch_id}"
-        new, bad = discover_links(batch.select("page_id", "url", "html"), seen, links_dir)
+        arrived = fill_cores(batch.select("page_id", "url", "html"))
+        new, bad = discover_links(arrived, seen, links_dir)
         rounds.store("quarantine", bad, batch_id)
         if "arrival_ms" in batch.columns:
             times = batch.groupBy(F.col("url").alias("page")).agg(F.min("arrival_ms").alias("arrival_ms"))
