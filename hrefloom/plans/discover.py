@@ -61,17 +61,23 @@ def discover_links(
     where they have one, else ``page_id``) and position on the page.
 
     The two results are two queries.  With ``work_dir`` the resolved links are
-    written there first, so that both read them and the pages are parsed once.
+    written there first, so that both read them and the pages are parsed once;
+    so are the first sights, which the numbering reads more than once.
     """
     order = "seq" if "seq" in pages.columns else "page_id"
     if "page_id" not in pages.columns:
         pages = pages.withColumn("page_id", F.col("seq"))
     links = page_links(pages, *(["seq"] if order == "seq" else []))
-    if work_dir is not None:
-        path = f"{work_dir.rstrip('/')}/links"
-        links.write.mode("overwrite").parquet(path)
-        links = pages.sparkSession.read.schema(links.schema).parquet(path)
+
+    def staged(name: str, df: DataFrame) -> DataFrame:
+        if work_dir is None:
+            return df
+        path = f"{work_dir.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    links = staged("links", links)
     firsts = new_links(accepted_links(links), seen, order).withColumnRenamed(order, "_order")
-    numbered = global_index(firsts, ["_order", "pos"], "seq", PAGE_LEAF_BITS)
+    numbered = global_index(staged("firsts", firsts), ["_order", "pos"], "seq", PAGE_LEAF_BITS)
     bad = failed_links(links).unionByName(failed_pages(pages), allowMissingColumns=True)
     return numbered.select("seq", "page", "url", "host"), bad

@@ -110,7 +110,7 @@ def _has_seen(spark, sf_dir):
 def _discover(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     seen = pages.select(urls.canonicalise("url").alias("key")).distinct()
-    new, _ = discover_links(I.rich_pages(pages), seen)
+    new, _ = discover_links(I.rich_pages(pages), seen, work_dir(spark, "discover"))
     return new
 
 
