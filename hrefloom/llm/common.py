@@ -42,8 +42,3 @@ def words_of(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACES))
     none = F.array().cast("array<string>")
     return F.when(trimmed == "", none).otherwise(F.split(trimmed, SPACE_CLASS))
-
-
-def uniform(*columns) -> Column:
-    """A number in [0, 1) that only depends on the values given."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / F.lit(float(1 << 52))

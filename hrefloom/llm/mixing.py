@@ -5,8 +5,8 @@ its documents.  The whole part is the same for all; the fractions are rounded
 to 0 or 1 together: two documents at a time pass mass (counted in words) at
 random, unbiased, until one of them is integral, and the other goes on to the
 next.  So the words of a source stay the same through every step, and only
-the last document left of a source is rounded on its own: the words taken are
-off the target by less than that document.
+the last document left of a source is rounded on its own, to the nearer side:
+the words taken are off the target by half of that document at most.
 
 The pairing is a reduction tree.  Documents of a source are dealt by hash into
 groups of about ``GROUP``; a group is folded to one fractional document, these
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions.text import let
-from hrefloom.llm.common import Stages, text_of, uniform, words_of
+from hrefloom.llm.common import Stages, text_of, words_of
 from hrefloom.operators.numbering import global_rank
 
 GROUP = 128
@@ -69,7 +69,7 @@ def fold_group(items: str) -> str:
 
 
 def pivotal_round(items: DataFrame, stages: Stages, group: int = GROUP) -> DataFrame:
-    """``stratum, k, p, s`` -> ``k, c``: each k gets 0 or 1, E[c] = p.
+    """``stratum, k, p, s`` -> ``k, c``: each k gets 0 or 1, with E[c] = p but for the last one of a stratum.
 
     ``k`` is unique and not null, 0 < p < 1, s > 0.  The sum of c * s over a
     stratum is that of p * s, but for the last item left there.  An empty
@@ -94,7 +94,7 @@ def pivotal_round(items: DataFrame, stages: Stages, group: int = GROUP) -> DataF
         if most <= 1:
             break
         level, most, depth = rest, -(-most // group), depth + 1
-    last = rest.select("k", (uniform("k", F.lit("last")) < F.col("p")).cast("int").alias("c"))
+    last = rest.select("k", (F.col("p") >= 0.5).cast("int").alias("c"))
     for d in decided:
         last = last.unionByName(d)
     return last
