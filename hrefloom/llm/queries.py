@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import licenses, mixing, warc
+from hrefloom.llm import licenses, mixing, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def _warc(spark, sf_dir):
     )
 
 
+def _quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge_documents(docs, labels, Stages(spark, "quality"), ["doc_id"])
+
+
 def _licenses(spark, sf_dir):
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     labels = F.array_sort(F.array_union("base_labels", F.transform("spans", lambda s: s["label"])))
@@ -39,6 +44,7 @@ def _mixing(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": _warc,
+    "op2_ngram_ratio": _quality,
     "op4_license_spans": _licenses,
     "op10_pivotal_mix": _mixing,
 }
