@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import licenses, mixing, quality, warc
+from hrefloom.llm import licenses, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,15 @@ def _quality(spark, sf_dir):
     return quality.judge_documents(docs, labels, Stages(spark, "quality"), ["doc_id"])
 
 
+def _pii(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), Stages(spark, "pii"))
+    count = lambda kind: F.expr(f"cast(size(filter(base, s -> s.kind = {pii.KINDS.index(kind)})) AS bigint)").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.span_list("base"), 256).alias("base_sha256"),
+        pii.span_list("spans").alias("spans"),
+    )
+
+
 def _licenses(spark, sf_dir):
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     labels = F.array_sort(F.array_union("base_labels", F.transform("spans", lambda s: s["label"])))
@@ -45,6 +54,7 @@ def _mixing(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": _warc,
     "op2_ngram_ratio": _quality,
+    "op3_pii_contexts": _pii,
     "op4_license_spans": _licenses,
     "op10_pivotal_mix": _mixing,
 }
