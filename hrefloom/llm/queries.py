@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import licenses, mixing, pii, quality, warc
+from hrefloom.llm import bpe, licenses, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,15 @@ def _licenses(spark, sf_dir):
     )
 
 
+def _bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.id_list("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def _mixing(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), Stages(spark, "mixing"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -56,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_ratio": _quality,
     "op3_pii_contexts": _pii,
     "op4_license_spans": _licenses,
+    "op9_byte_bpe": _bpe,
     "op10_pivotal_mix": _mixing,
 }
 ORACLE: dict[str, str] = {}
