@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import bpe, licenses, mixing, pii, quality, warc
+from hrefloom.llm import bpe, classifier, licenses, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,18 @@ def _licenses(spark, sf_dir):
     )
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def _classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classifier.train(docs, labels.where(_remainder(4) != 2))
+    return classifier.score(docs, model).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def _bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -66,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_ratio": _quality,
     "op3_pii_contexts": _pii,
     "op4_license_spans": _licenses,
+    "op6_byte_cnn": _classifier,
     "op9_byte_bpe": _bpe,
     "op10_pivotal_mix": _mixing,
 }
