@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import bpe, classifier, licenses, mixing, pii, quality, warc
+from hrefloom.llm import bpe, classifier, licenses, minhash, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def _licenses(spark, sf_dir):
     )
 
 
+def _near_duplicates(spark, sf_dir):
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), Stages(spark, "minhash"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_ratio": _quality,
     "op3_pii_contexts": _pii,
     "op4_license_spans": _licenses,
+    "op5_bbit_minhash": _near_duplicates,
     "op6_byte_cnn": _classifier,
     "op9_byte_bpe": _bpe,
     "op10_pivotal_mix": _mixing,
