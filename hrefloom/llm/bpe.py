@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefloom.functions.text import let
+from hrefloom.functions.text import let, lift
 from hrefloom.llm.common import text_of
 
 # distinct words whose ids a task remembers; others are folded when they come
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 # from this many bytes on a word is folded with a heap
 LONG = 48
 
@@ -130,17 +130,12 @@ def encode_documents(docs: DataFrame, raw_ranks: bytes, pattern: str) -> DataFra
 def decode_documents(encoded: DataFrame, raw_ranks: bytes) -> DataFrame:
     """``ids`` and any other columns -> ``+ decoded``: the bytes of the tokens, concatenated.
 
-    Null ids decode to null; an id that is no token's is an error.
+    The tokens are a constant of the plan, in hex.  Null ids decode to null; an
+    id that is no token's is an error.
     """
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in parse_ranks(raw_ranks).items()}
-        for b in batches:
-            rows = [None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in b.column(b.schema.names.index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.binary())], [*b.schema.names, "decoded"])
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(decode, f"{columns}, decoded BINARY")
+    tokens = {rank: token for token, rank in parse_ranks(raw_ranks).items()}
+    pieces = F.split(F.lit(",".join(tokens[rank].hex() for rank in range(len(tokens)))), ",")
+    return encoded.withColumn("decoded", lift(pieces, lambda t: f"unhex(array_join(transform(ids, i -> {t}[i]), ''))"))
 
 
 def _rank_map(ranks: dict[bytes, int], maps: int) -> str:
