@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import bpe, classifier, licenses, minhash, mixing, pii, quality, warc
+from hrefloom.llm import bpe, classifier, licenses, logbilinear, minhash, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,16 @@ def _classifier(spark, sf_dir):
     )
 
 
+def _language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    scored, stats = logbilinear.score_documents(docs, ~held_out, Stages(spark, "logbilinear"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(stats.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 def _bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -85,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op4_license_spans": _licenses,
     "op5_bbit_minhash": _near_duplicates,
     "op6_byte_cnn": _classifier,
+    "op8_log_bilinear": _language_model,
     "op9_byte_bpe": _bpe,
     "op10_pivotal_mix": _mixing,
 }
