@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import bpe, classifier, licenses, logbilinear, minhash, mixing, pii, quality, warc
+from hrefloom.llm import adsearch, bpe, classifier, licenses, logbilinear, minhash, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def _classifier(spark, sf_dir):
     )
 
 
+def _search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return adsearch.search(vectors, vectors.where("vec_id % 20 = 0"), Stages(spark, "adsearch"))
+
+
 def _language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op4_license_spans": _licenses,
     "op5_bbit_minhash": _near_duplicates,
     "op6_byte_cnn": _classifier,
+    "op7_dimension_scan": _search,
     "op8_log_bilinear": _language_model,
     "op9_byte_bpe": _bpe,
     "op10_pivotal_mix": _mixing,
