@@ -155,8 +155,8 @@ def mix_sources(docs: DataFrame, stages: Stages) -> DataFrame:
 
 def mix_documents(docs: DataFrame, stages: Stages) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    plan = mix_sources(docs, stages).select("row_key", "copies").distinct()
+    plan = mix_sources(docs, stages).where("copies > 0").select(F.col("row_key").alias("_row_key"), F.col("copies").cast("int").alias("_copies"))
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", text_of()))
-    taken = keyed.join(plan.select(F.col("row_key").alias("_row_key"), "copies"), "_row_key").where("copies > 0")
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    taken = keyed.join(plan.distinct(), "_row_key")
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
     return taken.select(*docs.columns, again).drop("_copy")
