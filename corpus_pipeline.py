@@ -28,10 +28,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group; of repeated rows one stays."""
     found = minhash.near_duplicates(docs, Stages(spark, "pipeline-dedup"), size=SHINGLE)
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_of()))
-    stays = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    kept = found.where("kept").select(F.xxhash64("doc_id", "row_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64(text_of())).withColumn("_key", F.xxhash64("doc_id", "_text_key"))
+    # repeated rows meet where the join has put them, without another shuffle
+    stays = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "doc_id", "_text_key"])
+    return stays.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
