@@ -20,16 +20,24 @@ class Stages:
     """Tables that a job writes to its shared work folder and reads again.
 
     What is written there survives the executor that made it, and is not
-    computed twice by two readers.
+    computed twice by two readers.  Shuffle files of a table go as soon as it
+    is written: nothing reads them again.
     """
 
+    CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = work_dir(spark, name)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(self.CLEAN_UP, "false")
+        self.spark.conf.set(self.CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
