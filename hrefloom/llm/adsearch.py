@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hrefloom.llm.common import Stages
+from hrefloom.llm.common import Stages, by_hash
 
 SAMPLE = 20_000
 MOST_LISTS = 16_384
@@ -211,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, stages: Stages, k: int = 20,
     distinct = stages.write("distinct", firsts)
     total, radius = distinct.agg(F.count("*"), F.sqrt(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")))).first()
     lists = int(min(MOST_LISTS, max(1, np.sqrt(total))))
-    sample = distinct.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE)
+    sample = by_hash(distinct.select("v"), ["v"], SAMPLE)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [_matrix(b.column(0)) for b in batches if b.num_rows]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrefloom.llm.common import text_of
+from hrefloom.llm.common import by_hash, text_of
 
 # labelled rows of each class that the network is fitted on: those of smallest hash
 SAMPLE = 2000
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int =
     are not.  The share of label 1 is that of all rows of ``labels``.
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
+    rows = [by_hash(usable.where(F.col("quality") == q), ["doc_id"], sample) for q in (0, 1)]
     chosen = rows[0].unionByName(rows[1])
     counts = usable.agg(F.coalesce(F.avg("quality"), F.lit(0.5))).first()[0]
     texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")

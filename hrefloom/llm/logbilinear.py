@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefloom.llm.common import Stages, text_of, words_of
+from hrefloom.llm.common import Stages, by_hash, text_of, words_of
 
 VOCABULARY = 2048
 HEAD = 1 << 17
@@ -83,7 +83,14 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame, counts: DataFrame, head: int = HEAD) -> Statistics:
     """Totals of all counts; of the words only the ``head`` most frequent ones go to the driver."""
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
+    # by powers of two: a count that enough words reach, but not many times more
+    powers = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()
+    reached, least = 0, 0
+    for power, n in sorted(powers, reverse=True):
+        reached, least = reached + n, 1 << power
+        if reached >= head:
+            break
+    top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(head).collect()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     texts = docs.count()
     return Statistics(
@@ -236,8 +243,10 @@ def train(docs: DataFrame, stats: Statistics, stages: Stages) -> dict:
     """
     start = start_parameters(stats.unigram())
     texts = docs.select(text_of().cast("binary").alias("text"))
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(text_of())).limit(START_TEXTS)
-    sample = sample.select(text_of().cast("binary").alias("text")).coalesce(1)
+    keyed = docs.select(F.xxhash64("doc_id", text_of()).alias("row_key"), text_of().cast("binary").alias("text"))
+    # the keys are chosen first, so only the texts of the sample move
+    chosen = by_hash(keyed.select("row_key").distinct(), ["row_key"], START_TEXTS)
+    sample = keyed.join(F.broadcast(chosen), "row_key").dropDuplicates(["row_key"]).select("text").coalesce(1)
     for name, rows in (("start", sample), ("all", texts)):
         found = stages.write(f"parameters-{name}-0", _train_over(rows, stats, start))
         left, level = found.count(), 0

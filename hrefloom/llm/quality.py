@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions.text import let, lift
-from hrefloom.llm.common import Stages, text_of, words_of
+from hrefloom.llm.common import Stages, by_hash, text_of, words_of
 
 BUCKETS = 1 << 14
 # trusted rows that the target is estimated from: those with the smallest hash
@@ -33,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     """``doc_id, quality`` -> ids of at most ``rows`` rows of quality 1, by hash."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return by_hash(good, ["doc_id"], rows)
 
 
 def _shrunk(ratio: str, error: str) -> str:
