@@ -130,7 +130,11 @@ def _gradients(p: dict, texts: list[bytes], labels: np.ndarray, weights: np.ndar
     to_feats = error[:, None] * p["w"]
     text_of_chunk = np.repeat(np.arange(len(texts)), chunks)
     to_pooled = to_feats[text_of_chunk, FILTERS:] / chunks[text_of_chunk, None]
-    to_pooled = to_pooled + np.where(pooled == top[text_of_chunk], to_feats[text_of_chunk, :FILTERS], 0)
+    # of chunks that share a text's maximum the first one gets the gradient
+    is_top = pooled == top[text_of_chunk]
+    nth = np.cumsum(is_top, axis=0)
+    before = (nth - is_top)[at][text_of_chunk]
+    to_pooled = to_pooled + np.where(is_top & (nth - before == 1), to_feats[text_of_chunk, :FILTERS], 0)
     to_pooled = np.where(pooled > 0, to_pooled, 0).astype(np.float32)
     windows = np.concatenate([blocks[place], blocks[place + 1]], axis=2)
     to_windows = to_pooled[:, :, None] * p["K"].T[None]
@@ -208,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int =
         yield pa.RecordBatch.from_pydict({"model": pa.array([_packed(p)], pa.binary())})
 
     # one task: its rows are bounded by the sample
-    return texts.select("doc_id", "text", "quality").repartition(1).mapInArrow(run, "model BINARY").first()["model"]
+    fitted = texts.select("doc_id", "text", "quality").repartition(1).mapInArrow(run, "model BINARY").first()
+    return fitted["model"] if fitted else _packed(fit([], np.empty(0, dtype=np.int64), float(counts), steps))
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:

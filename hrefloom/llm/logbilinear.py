@@ -68,7 +68,7 @@ class Statistics:
     def other(self) -> tuple[int, int]:
         """Tokens and types of the words outside the vocabulary."""
         known = self.counts[: VOCABULARY - 2]
-        return int(self.tokens - self.texts - known.sum()), int(self.types - 1 - len(known))
+        return int(self.tokens - self.texts - known.sum()), max(0, int(self.types - 1 - len(known)))
 
 
 def _lowered(text: Column) -> Column:

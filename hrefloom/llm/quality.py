@@ -67,7 +67,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"),
     ).select(
         F.expr(
-            f"transform(transform(c, x -> struct(x.target AS t, x.raw * (n_target / n_raw) AS e)), x -> if(n_target = 0, 0D,"
+            f"transform(transform(c, x -> struct(x.target AS t, x.raw * coalesce(try_divide(n_target, n_raw), 0D) AS e)), x -> if(n_target = 0, 0D,"
             f" {_shrunk('ln((x.t + {0}) / (x.e + {0}))'.format(PRIOR), f'sqrt(x.e) / (x.e + {PRIOR})')}))"
         ).alias("ratios")
     )
