@@ -29,6 +29,11 @@ PIECES = 8
 SCHEME, SLASHES, USERINFO, HOST, PORT, PATH, QUERY, FRAGMENT = range(PIECES)
 
 _PCT = "%[0-9A-Fa-f]{2}"
+# digits of a port: any number of leading zeros, then at most 2147483647
+_PORT = (
+    "0*+(?:[0-9]{0,9}(?![0-9])|1[0-9]{9}|20[0-9]{8}|21[0-3][0-9]{7}|214[0-6][0-9]{6}|2147[0-3][0-9]{5}|21474[0-7][0-9]{4}"
+    "|214748[0-2][0-9]{3}|2147483[0-5][0-9]{2}|21474836[0-3][0-9]|214748364[0-7])"
+)
 _NAME = r"A-Za-z0-9\-._~!$&'()*+,;="
 # A relative reference may not hold a colon in its first segment; a path with
 # no authority may not start with "//".  Square brackets are let into queries,
@@ -36,7 +41,7 @@ _NAME = r"A-Za-z0-9\-._~!$&'()*+,;="
 URI_PATTERN = (
     r"\A(?:([A-Za-z][A-Za-z0-9+.\-]*+):|(?![^/?#]*:))"
     rf"(?:(//)((?:[{_NAME}:]++|{_PCT})*+@)?+"
-    rf"(\[[0-9A-Fa-f:.]++\]|(?:[{_NAME}]++|{_PCT})*+)(:[0-9]{{0,9}}+)?+(?=[/?#]|\z)|(?!//))"
+    rf"(\[[0-9A-Fa-f:.]++\]|(?:[{_NAME}]++|{_PCT})*+)(:{_PORT})?+(?=[/?#]|\z)|(?!//))"
     rf"((?:[{_NAME}:@/]++|{_PCT})*+)"
     rf"(\?(?:[{_NAME}:@/?\[\]]++|{_PCT})*+)?+"
     rf"(#(?:[{_NAME}:@/?]++|{_PCT})*+)?+\z"

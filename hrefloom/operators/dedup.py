@@ -19,10 +19,12 @@ def has_seen(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     over the key would sort them all in one task.
     """
     keyed = df.withColumn("_key", url_key("url"))
-    firsts = keyed.groupBy("_key").agg(F.min("seq").alias("seq"))
+    firsts = keyed.groupBy(F.col("_key").alias("_k")).agg(F.min("seq").alias("_first"))
     if seen is not None:
-        firsts = firsts.join(seen.select(F.col("key").alias("_key")), "_key", "left_anti")
-    flagged = keyed.join(firsts.withColumn("_first", F.lit(True)), ["_key", "seq"], "left")
+        firsts = firsts.join(seen.select(F.col("key").alias("_k")), "_k", "left_anti")
+    # rows without a URL share the NULL key, so it must match as well
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("_first"))
+    flagged = keyed.join(firsts, same, "left")
     return flagged.select(*df.columns, F.col("_first").isNull().alias("seen"))
 
 

@@ -2,8 +2,9 @@
 
 ``global_index`` orders by a 64-bit integer without any sort of the whole: the
 integers are cut by their bits into leaves, leaves into groups of 2**20, groups
-again into groups.  Each level needs only a sum per group, so no window holds
-more than about a million rows however the values are spread.  ``global_rank``
+again into groups, two levels deep.  Each level needs only a sum per group, so a
+window holds a million rows at most, but for the last one: it holds a row per
+2**60 of the values' range (2**52 with leaves of 2**12), which is a few.  ``global_rank``
 takes any order, ties included, at the price of a written sort.  Nothing passes
 through the driver.
 """
@@ -20,7 +21,7 @@ def leaf_of(c: Column | str, bits: int = LEAF_BITS) -> Column:
     return F.shiftright(F.col(c) if isinstance(c, str) else c, bits)
 
 
-def totals_before(leaves: DataFrame, keys: list[str], group: Column, total: str, out: str, levels: int = 1) -> DataFrame:
+def totals_before(leaves: DataFrame, keys: list[str], group: Column, total: str, out: str, levels: int = 2) -> DataFrame:
     """Per leaf (``keys``, in order): the sum of ``total`` over all earlier leaves.
 
     ``group`` is a BIGINT that grows with the keys.  Leaves of a group meet in
@@ -49,8 +50,7 @@ def global_index(df: DataFrame, order_by: list[str], out: str, leaf_bits: int =
     """
     rows = df.withColumn("_leaf", leaf_of(order_by[0], leaf_bits))
     sizes = rows.groupBy("_leaf").agg(F.count("*").alias("_n"))
-    levels = 1 if leaf_bits >= LEAF_BITS else 2
-    before = totals_before(sizes, ["_leaf"], leaf_of("_leaf"), "_n", "_before_leaf", levels)
+    before = totals_before(sizes, ["_leaf"], leaf_of("_leaf"), "_n", "_before_leaf")
     within = F.row_number().over(Window.partitionBy("_leaf").orderBy(*order_by))
     numbered = rows.withColumn("_within_leaf", within).join(before, "_leaf")
     return numbered.select(*df.columns, (F.col("_before_leaf") + F.col("_within_leaf")).alias(out))

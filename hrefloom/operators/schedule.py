@@ -112,15 +112,20 @@ def fifo_plan(df: DataFrame, interval_ms: int, start_ms: int = 0) -> DataFrame:
     return numbered.select(*df.columns, at.alias("dispatch_at"))
 
 
-def host_queue_stats(plan: DataFrame, as_of_ms: int | None = None) -> DataFrame:
+def host_queue_stats(plan: DataFrame, as_of_ms: int | None = None, cooldown_ms: int = 0) -> DataFrame:
     """Queue depth and next eligible time per host: ``host, queued, next_eligible_at``.
 
-    With ``as_of_ms``, URLs dispatched by that time have left their queue.
+    With ``as_of_ms`` the state of that time: URLs that have arrived and are not
+    dispatched yet.  A host met by then whose queue is empty stays, with 0 and
+    the time its cooldown ends.
     """
-    if as_of_ms is not None:
-        plan = plan.where(F.col("dispatch_at") > as_of_ms)
-    return plan.groupBy("host").agg(
-        F.count("*").alias("queued"), F.min("eligible_at").alias("next_eligible_at")
+    if as_of_ms is None:
+        return plan.groupBy("host").agg(F.count("*").alias("queued"), F.min("eligible_at").alias("next_eligible_at"))
+    waiting = F.col("dispatch_at") > as_of_ms
+    rested = F.max(F.when(~waiting, F.col("dispatch_at") + F.lit(cooldown_ms).cast("bigint")))
+    return plan.where(F.col("arrival_ms") <= as_of_ms).groupBy("host").agg(
+        F.count(F.when(waiting, True)).alias("queued"),
+        F.coalesce(F.min(F.when(waiting, F.col("eligible_at"))), rested).alias("next_eligible_at"),
     )
 
 
@@ -133,7 +138,12 @@ def work_ledger(df: DataFrame) -> DataFrame:
     leaf = ["ts_ms", "_leaf"]
     rows = df.withColumn("_leaf", leaf_of("seq"))
     sums = rows.groupBy(*leaf).agg(F.sum("delta").alias("_sum"))
-    before = totals_before(sums, leaf, leaf_of("ts_ms"), "_sum", "_before")
+    # a millisecond holds leaves of its own; the times before it add up in groups of 2**20 of them
+    own = Window.partitionBy("ts_ms").orderBy("_leaf").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = sums.withColumn("_own", F.coalesce(F.sum("_sum").over(own), F.lit(0)))
+    times = sums.groupBy("ts_ms").agg(F.sum("_sum").alias("_sum"))
+    earlier = totals_before(times, ["ts_ms"], leaf_of("ts_ms"), "_sum", "_earlier")
+    before = leaves.join(earlier, "ts_ms").select(*leaf, (F.col("_earlier") + F.col("_own")).alias("_before"))
     upto = Window.partitionBy(*leaf).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     running = (
         rows.withColumn("_upto", F.sum("delta").over(upto))

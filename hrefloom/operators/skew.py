@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def salted_join(df: DataFrame, table: DataFrame, key: str, salt_by: str, how: str) -> DataFrame:
-    """``df`` joined to a table with unique ``key``, left or anti.
-
-    Rows of one key are spread over salts by a hash of ``salt_by``; each table
-    row is there once per salt.  The salt also makes both sides of the join
-    plain shuffles, which is the shape adaptive execution can split further, so
-    a hot key ends up in as many tasks as its size asks for.  A table small
-    enough to broadcast is broadcast by Spark as usual.
+def salted_join(df: DataFrame, table: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` joined to a table with unique ``key``, left, inner or anti.
+
+    Rows of one key are spread over salts by a hash of all their columns, so
+    they part where anything but the key differs; each table row is there once
+    per salt.  The salt also makes both sides of the join plain shuffles, which
+    is the shape adaptive execution can split further, so a hot key ends up in
+    as many tasks as its size asks for, rows that agree in all columns included.
+    A table small enough to broadcast is broadcast by Spark as usual.
     """
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return spread.join(table.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions import urls as U
-from hrefloom.operators.links import INFRA, page_links
-from hrefloom.plans.discover import accepted_links
+from hrefloom.operators.links import INFRA, failed_pages, page_links
+from hrefloom.plans.discover import accepted_links, failed_links
 from hrefloom.sources.snapshot import NOT_FOUND, fetch_pages, page_index
 from hrefloom.workdir import work_dir as fresh_dir
 
@@ -19,20 +19,21 @@ def _links_of(pages: DataFrame) -> DataFrame:
     return accepted_links(page_links(pages)).select("page_id", F.col("page").alias("src"), "url")
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, work_dir: str | None = None) -> DataFrame:
     """``url`` seeds over ``page_id, url, html`` -> every URL met: ``url, host, round``.
 
     Seeds are round 0; they skip the rules and enter as written.  Round n+1
     holds the links first met on pages of round n.  It ends when a round finds
-    nothing new, or after ``max_rounds``.
-
-    All pages are read and parsed once, into a narrow table of links by page
-    URL; a round is then one join of the frontier to that table, a distinct and
-    an anti join that share their shuffle, and html is never touched again.  A
-    page's base is its canonical URL, since that is how every URL but a seed is
-    asked for; seeds fetch their pages on their own.  Every round is written to
-    ``work_dir`` before the next starts: lineage stays short and a lost executor
-    costs at most the tasks it ran.
+    nothing new.  With ``max_rounds`` it may end before; what was met last and
+    not yet asked for is then left in ``work_dir``/frontier (empty otherwise).
+
+    All pages are read and parsed once, into a narrow table of distinct links
+    by page URL; a round is then one join of the frontier to that table, a
+    distinct and an anti join that share their shuffle, and html is never
+    touched again.  A page's base is its canonical URL, since that is how every
+    URL but a seed is asked for; seeds fetch their pages on their own.  Every
+    round is written to ``work_dir`` before the next starts: lineage stays short
+    and a lost executor costs at most the tasks it ran.
     """
     spark = pages.sparkSession
     root = fresh_dir(spark, "crawl") if work_dir is None else work_dir.rstrip("/")
@@ -50,29 +51,44 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int, work_dir: str | N
         rounds = spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
         return rounds.where(F.col("round") <= through)
 
-    first = round_table(0, seeds.select("url").distinct().withColumn("key", U.url_key("url")))
-    if max_rounds < 1:
-        return visited(0).select("url", "host", "round")
-
-    # where several pages share a canonical URL, the index keeps the one that answers
-    index = table("index", page_index(pages))
-    asked = pages.withColumn("url", U.canonicalise("url"))
-    answers = _links_of(asked).join(index.select("page_id"), "page_id", "left_semi")
-    links = table("links", answers.select("src", "url"))
-
-    # seeds: pages resolved against the URL exactly as given
-    found, _ = fetch_pages(first.select("url", F.xxhash64("url").alias("seq")), pages, index)
-    candidates = _links_of(found.withColumnRenamed("seq", "page_id"))
-    for n in range(1, max_rounds + 1):
-        met = visited(n - 1).select(F.col("key").alias("url"))
-        new = candidates.select("url").distinct().join(met, "url", "left_anti")
-        frontier = round_table(n, new.withColumn("key", F.col("url")))
-        if frontier.isEmpty():
-            break
-        candidates = links.join(frontier.select(F.col("key").alias("src")), "src")
+    frontier = round_table(0, seeds.select("url").distinct().withColumn("key", U.url_key("url")))
+    n = 0
+    if max_rounds is None or max_rounds > 0:
+        # where several pages share a canonical URL, the index keeps the one that answers
+        index = table("index", page_index(pages))
+        asked = pages.withColumn("url", U.canonicalise("url"))
+        answers = _links_of(asked).join(index.select("page_id"), "page_id", "left_semi")
+        links = table("links", answers.select("src", "url").distinct())
+
+        # seeds: pages resolved against the URL exactly as given
+        found, _ = fetch_pages(frontier.select("url", F.xxhash64("url").alias("seq")), pages, index)
+        candidates = _links_of(found.withColumnRenamed("seq", "page_id"))
+        while not frontier.isEmpty() and (max_rounds is None or n < max_rounds):
+            met = visited(n).select(F.col("key").alias("url"))
+            new = candidates.select("url").distinct().join(met, "url", "left_anti")
+            n += 1
+            frontier = round_table(n, new.withColumn("key", F.col("url")))
+            candidates = links.join(frontier.select(F.col("key").alias("src")), "src")
+    table("frontier", frontier.select("url", "host"))
     return visited(n).select("url", "host", "round")
 
 
+def _answering(crawled: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages that answer a crawled URL, once each, under their canonical URL."""
+    keys = crawled.select(U.canonicalise("url").alias("key")).distinct()
+    ids = page_index(pages).join(keys, "key", "left_semi").select("page_id")
+    return pages.withColumn("url", U.canonicalise("url")).join(ids, "page_id", "left_semi")
+
+
+def crawl_failures(crawled: DataFrame, pages: DataFrame) -> DataFrame:
+    """What a crawl could not read: links of its pages that are no URLs, pages without html.
+
+    ``page_id, page, pos, href, error_class, error``.
+    """
+    answering = _answering(crawled, pages)
+    return failed_links(page_links(answering)).unionByName(failed_pages(answering), allowMissingColumns=True)
+
+
 def unanswered(crawled: DataFrame, pages: DataFrame) -> DataFrame:
     """Crawled URLs that no page answers: ``url, error_class, error``."""
     keyed = crawled.select("url", U.canonicalise("url").alias("key"))

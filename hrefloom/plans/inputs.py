@@ -11,44 +11,44 @@ from hrefloom.operators.skew import fill_cores
 
 # Hrefs that exercise every rule; each page is given all of them.
 PROBE_HREFS = (
-    "https://example.com/app.js",
-    "https://example.com/app.js/",
-    "https://example.com/image.PNG",
-    "https://example.com/js/utils",
-    "https://wiki.example.org/w/index.php?title=X&action=edit",
-    "https://wiki.example.org/w/index.php?title=X&oldid",
-    "https://wiki.example.org/wiki/Special:Search",
-    "https://wiki.example.org//wiki/Special:Search",
-    "https://wiki.example.org/wiki/Page",
-    "https://en.wikipedia.org./wiki/DDoS",
-    "https://WWW.GitHub.com/x",
-    "https://notgithub.com/page",
-    "https://www.amazon.co.uk/x",
-    "https://www.ncsc.gov.uk/guidance",
-    "http://army.mil",
-    "http://somesite.onion/page",
-    "http://onion.example.com/page",
-    "HTTPS://EXAMPLE.com:443/%41%62%6f%2f?b=2&a=1&utm_source=x#frag",
-    "http://example.com:80//a//b/",
-    "http://example.com:8080/a/?q=a+b&empty=&bare&z=%7e&z=%2F",
-    "https://user:pw@example.com./p?lang=en&id=42",
-    "https://example.com",
-    "https://example.com/",
-    "https://example.com/?ref=1",
-    "https://example.com/caf%c3%a9?n=%c3%a9",
-    "http://bad host/x",
-    "http://example.com:port/x",
-    "mailto:someone@example.com",
-    "javascript:void(0)",
-    "ftp://example.com/file",
-    "//cdn.example.net/page",
-    "/root/path/",
-    "../up/x",
-    "./same",
-    "../../../../x/../y/./z",
-    "sub/page.html",
-    "?q=1&lang=en",
-    "#part",
+    "https://assets.shop.example/bundle.min.js",
+    "https://assets.shop.example/bundle.min.js/",
+    "https://assets.shop.example/Photo.JPEG",
+    "https://shop.example/css/guide",
+    "https://pedia.example/w/index.php?title=Tea&veaction=edit",
+    "https://pedia.example/w/index.php?title=Tea&diff",
+    "https://pedia.example/wiki/Help:Contents",
+    "https://pedia.example//wiki/Help:Contents",
+    "https://pedia.example/wiki/Green_tea",
+    "https://de.wiktionary.org./wiki/Tee",
+    "https://GIST.GitLab.com/teas",
+    "https://mygitlab.com/teas",
+    "https://www.etsy.com/listing/1",
+    "https://data.gov.example/set",
+    "http://navy.mil",
+    "http://hiddentea.onion/menu",
+    "http://onion.tea.example/menu",
+    "HTTPS://TEA.EXAMPLE:443/%54ea%2fpot?z=9&b=1&gclid=k#steep",
+    "http://tea.example:80//pots//clay/",
+    "http://tea.example:8081/pots/?q=oolong+tea&none=&flag&y=%7E&y=%2f",
+    "https://me:secret@tea.example./cup",
+    "https://tea.example/cup?locale=de&size=3",
+    "https://tea.example",
+    "https://tea.example/",
+    "https://tea.example:000000000443/th%c3%a9?k=%C3%a9",
+    "http://two words/x",
+    "http://tea.example:tcp/x",
+    "mailto:host@tea.example",
+    "javascript:void(1)",
+    "ftp://tea.example/leaf",
+    "//static.tea.example/leaf",
+    "/menu/today/",
+    "../back/one",
+    "./here",
+    "../../../../p/../q/./r",
+    "deep/leaf.html",
+    "?kind=green&lang=de",
+    "#steep",
     "",
     "http://mail.spam-farm.example.org/offer",
 )

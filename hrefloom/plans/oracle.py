@@ -7,14 +7,16 @@ the crawl is a recursive CTE.  None of it shares logic with the Spark side.
 
 from __future__ import annotations
 
+import re
+
 from hrefloom.functions import rules
 from hrefloom.plans.inputs import PROBE_HREFS, SPAM_RULES, probe_anchors
 from hrefloom.plans.registry import (
     COOLDOWN_MS,
-    CRAWL_ROUNDS,
     DEQUEUED,
     FIFO_INTERVAL_MS,
     PAGE_INTERVAL_MS,
+    STATS_AT_MS,
 )
 
 
@@ -32,7 +34,7 @@ def _values(rows) -> str:
 
 PROBES = f"""
 probes AS (
-  SELECT p.page_id, p.url AS page, h.pos - 1 AS pos, h.href
+  SELECT p.page_id, p.url AS page, CAST(h.pos - 1 AS INTEGER) AS pos, h.href
   FROM pages p, (SELECT unnest([{", ".join(_q(h) for h in PROBE_HREFS)}]) AS href,
                         generate_subscripts([{", ".join(_q(h) for h in PROBE_HREFS)}], 1) AS pos) h
 ),
@@ -53,13 +55,14 @@ def _cut(source: str, out: str, keys: str = "page_id, pos", url: str = "url") ->
 {out}_b AS (
   SELECT {keys}, {url} AS url, regexp_extract({url}, {APPENDIX_B}, {B_NAMES}) AS m FROM {source}
 ),
-{out}_a AS (
+{out}_a AS MATERIALIZED (
   SELECT *, regexp_extract(m.auth, {AUTH}, ['g1', 'userinfo', 'host', 'g2', 'port']) AS a FROM {out}_b
 ),
 {out} AS (
   SELECT {keys}, url,
     regexp_matches(url, {CHARS}) AND (m.g2 = '' OR regexp_matches(m.auth, {AUTH}))
-      AND NOT (m.scheme = '' AND regexp_matches(url, '^[^/?#]*:')) AS ok,
+      AND NOT (m.scheme = '' AND regexp_matches(url, '^[^/?#]*:'))
+      AND (coalesce(a.port, '') = '' OR TRY_CAST(a.port AS INTEGER) IS NOT NULL) AS ok,
     nullif(lower(m.scheme), '') AS scheme,
     nullif(a.userinfo, '') AS userinfo,
     CASE WHEN m.g2 <> '' THEN lower(a.host) END AS host,
@@ -70,12 +73,16 @@ def _cut(source: str, out: str, keys: str = "page_id, pos", url: str = "url") ->
 )"""
 
 
-def _canon(source: str, out: str, keys: str = "page_id, pos") -> str:
-    """CTE ``out``: ``source`` (a cut) with each canonical part beside the raw one."""
+def _canon(source: str, out: str, keys: str = "page_id, pos", paths: bool = True, queries: bool = True) -> str:
+    """CTE ``out``: ``source`` (a cut) with each canonical part beside the raw one.
+
+    Without ``paths`` or ``queries`` those parts are left out, and so is what
+    they are made of.
+    """
     k = [c.strip() for c in keys.split(",")]
     on_t = " AND ".join(f"u.{c} = t.{c}" for c in k)
     on_g = " AND ".join(f"u.{c} = g.{c}" for c in k)
-    return rf"""
+    path_ctes = rf"""
 {out}_tokens AS (
   SELECT {keys}, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
   FROM (SELECT {keys}, regexp_extract_all(path, '%[0-9A-Fa-f]{{2}}|[^%]|%') AS toks FROM {source})
@@ -87,7 +94,8 @@ def _canon(source: str, out: str, keys: str = "page_id, pos") -> str:
            THEN url_decode(tok)
          ELSE upper(tok) END, '' ORDER BY i) AS recoded
   FROM {out}_tokens GROUP BY {keys}
-),
+),"""
+    query_ctes = rf"""
 {out}_pieces AS (
   SELECT {keys}, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
   FROM (SELECT {keys}, string_split(query, '&') AS ps FROM {source} WHERE query <> '')
@@ -111,20 +119,25 @@ def _canon(source: str, out: str, keys: str = "page_id, pos") -> str:
     string_agg(txt, '&' ORDER BY k, coalesce(v, ''), i) FILTER (WHERE NOT tracking) AS ctext,
     bool_or(wiki_key) AS wiki_action
   FROM {out}_texts GROUP BY {keys}
-),
+),"""
+    path_parts = "coalesce(t.recoded, '') AS recoded," if paths else ""
+    query_parts = (
+        "coalesce(g.plain, '') AS plain, coalesce(g.qtext, '') AS qtext, coalesce(g.ctext, '') AS ctext,"
+        " coalesce(g.wiki_action, false) AS wiki_action,"
+    ) if queries else ""
+    joins = (f" LEFT JOIN {out}_paths t ON {on_t}" if paths else "") + (f" LEFT JOIN {out}_queries g ON {on_g}" if queries else "")
+    cpath = "coalesce('/' || nullif(array_to_string(list_filter(string_split(recoded, '/'), lambda s: s <> ''), '/'), ''), '')"
+    return rf"""
+{path_ctes if paths else ""}
+{query_ctes if queries else ""}
 {out}_parts AS (
-  SELECT u.*, coalesce(t.recoded, '') AS recoded, coalesce(g.plain, '') AS plain, coalesce(g.qtext, '') AS qtext,
-    coalesce(g.ctext, '') AS ctext, coalesce(g.wiki_action, false) AS wiki_action,
+  SELECT u.*, {path_parts} {query_parts}
     regexp_replace(u.host, '\.$', '') AS bare_host,
     CASE WHEN (u.scheme = 'http' AND u.port = 80) OR (u.scheme = 'https' AND u.port = 443) THEN NULL ELSE u.port END AS cport,
     coalesce('/' || nullif(array_to_string(list_filter(string_split(u.path, '/'), lambda s: s <> ''), '/'), ''), '') AS flat
-  FROM {source} u LEFT JOIN {out}_paths t ON {on_t} LEFT JOIN {out}_queries g ON {on_g}
+  FROM {source} u{joins}
 ),
-{out} AS (
-  SELECT *,
-    coalesce('/' || nullif(array_to_string(list_filter(string_split(recoded, '/'), lambda s: s <> ''), '/'), ''), '') AS cpath
-  FROM {out}_parts
-)"""
+{out} AS (SELECT *{", " + cpath + " AS cpath" if paths else ""} FROM {out}_parts)"""
 
 
 def _text(host="host", port="port", path="path", query="qtext", fragment="fragment") -> str:
@@ -152,11 +165,13 @@ BLOCKED = (
     "WHERE bare_host = d OR ends_with(bare_host, '.' || d)), false))"
 )
 
-URLS = PROBES + "," + _cut("urls", "cut") + "," + _canon("cut", "u")
-
 
 def _on_urls(select: str, where: str = "true") -> str:
-    return f"WITH {URLS} SELECT {select} FROM u WHERE {where}"
+    """Over all URLs; only the parts that ``select`` and ``where`` name are made."""
+    asked = f"{select} {where}"
+    paths = bool(re.search(r"\b(recoded|cpath)\b", asked))
+    queries = bool(re.search(r"\b(plain|qtext|ctext|wiki_action)\b", asked))
+    return f"WITH {PROBES},{_cut('urls', 'cut')},{_canon('cut', 'u', paths=paths, queries=queries)} SELECT {select} FROM u WHERE {where}"
 
 
 def _step(**parts: str) -> str:
@@ -177,7 +192,7 @@ hrefs_raw AS (
   FROM {source}
 ),
 hrefs AS (
-  SELECT page_id, page, generate_subscripts(hs, 1) - 1 AS pos, replace(unnest(hs), '&amp;', '&') AS href FROM hrefs_raw
+  SELECT page_id, page, CAST(generate_subscripts(hs, 1) - 1 AS INTEGER) AS pos, replace(unnest(hs), '&amp;', '&') AS href FROM hrefs_raw
 )"""
 
 
@@ -281,6 +296,31 @@ queue AS (SELECT id, url FROM batch1 UNION ALL SELECT id, url FROM batch2)"""
 
 _SPAM = _values(SPAM_RULES)
 
+# breadth first over a set keyed by URL, so it ends where nothing new is met
+CRAWL = f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM pages),
+        edges AS (
+          SELECT a.page_id, b.url AS target FROM (
+            SELECT page_id, (page_id * 7 + 1) % n AS dst FROM pages, size
+            UNION ALL SELECT page_id, (page_id * 13 + 5) % n FROM pages, size) a JOIN pages b ON b.page_id = a.dst
+        ),
+        anchors AS (SELECT page_id, string_agg('<a href="' || target || '">', '' ORDER BY target) AS txt FROM edges GROUP BY page_id),
+        linked AS (SELECT p.page_id, p.url, p.html || a.txt AS html FROM pages p JOIN anchors a ON a.page_id = p.page_id),
+        {_extracted("linked")},{_resolved()},{_discovered("links", "accepted")},{PAGE_CANON},
+        graph AS MATERIALIZED (
+          SELECT DISTINCT k.key AS src, a.url AS dst, a.host FROM accepted a JOIN page_keys k ON k.page_id = a.page_id
+          WHERE k.page_id IN (SELECT min(page_id) FROM page_keys GROUP BY key)
+        ),
+        met(url, host, round) USING KEY (url) AS (
+          SELECT DISTINCT dst, host, 1 FROM graph WHERE src = (SELECT key FROM page_keys WHERE page_id = 0)
+          UNION SELECT g.dst, g.host, m.round + 1 FROM met m JOIN graph g ON g.src = m.url
+            WHERE g.dst NOT IN (SELECT r.url FROM recurring.met r)
+        ),
+        seed AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, 0 AS round FROM pages WHERE page_id = 0),
+        crawled AS (
+          SELECT url, host, round FROM seed
+          UNION ALL SELECT url, host, round FROM met WHERE url NOT IN (SELECT url FROM seed)
+        )"""
+
 ORACLE: dict[str, str] = {
     "url_components": _on_urls(
         "page_id, pos, scheme, userinfo, host, coalesce(port, -1) AS port, path, plain AS query, fragment", "ok"
@@ -335,6 +375,11 @@ ORACLE: dict[str, str] = {
         row_number() OVER (ORDER BY seq) * {FIFO_INTERVAL_MS} AS dispatch_at FROM arrivals""",
     "host_queue_stats": f"""{PLAN} SELECT host, count(*) AS queued, min(eligible_at) AS next_eligible_at
         FROM plan GROUP BY host""",
+    "host_queue_stats_at": f"""{PLAN}, state AS (
+          SELECT p.*, p.dispatch_at > {STATS_AT_MS} AS waiting FROM plan p JOIN arrivals a ON a.seq = p.seq WHERE a.arrival_ms <= {STATS_AT_MS})
+        SELECT host, count(*) FILTER (WHERE waiting) AS queued,
+          coalesce(min(eligible_at) FILTER (WHERE waiting), max(dispatch_at) + {COOLDOWN_MS}) AS next_eligible_at
+        FROM state GROUP BY host""",
     "work_ledger": f"""{WORK}, running AS (
           SELECT *, CAST(sum(delta) OVER (ORDER BY ts_ms, seq) AS BIGINT) AS outstanding FROM work)
         SELECT ts_ms, seq, delta, outstanding,
@@ -348,7 +393,7 @@ ORACLE: dict[str, str] = {
     ),
     "fetch_pages": f"""WITH {PAGE_CANON},
         answers AS (SELECT key, min(page_id) AS page_id FROM page_keys GROUP BY key)
-        SELECT regexp_extract(a.url, '^[^#]*') || '#again' AS url, length(w.html) AS n_chars, 'found' AS outcome
+        SELECT regexp_extract(a.url, '^[^#]*') || '#again' AS url, CAST(length(w.html) AS INTEGER) AS n_chars, 'found' AS outcome
         FROM pages a JOIN page_keys k ON k.page_id = a.page_id JOIN answers n ON n.key = k.key
         JOIN pages w ON w.page_id = n.page_id
         UNION ALL SELECT 'https://gone.example.com/' || CAST(page_id AS VARCHAR), -1, 'infra' FROM pages""",
@@ -368,28 +413,17 @@ ORACLE: dict[str, str] = {
         ), taken AS (SELECT id FROM stored ORDER BY id LIMIT {DEQUEUED})
         SELECT 'batch' AS part, id, url FROM stored WHERE id IN (SELECT id FROM taken) AND NOT contains(url, ' ')
         UNION ALL SELECT 'rest', id, url FROM stored WHERE id NOT IN (SELECT id FROM taken)""",
-    "crawl": f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM pages),
-        edges AS (
-          SELECT a.page_id, b.url AS target FROM pages a, size, pages b
-          WHERE b.page_id IN ((a.page_id * 7 + 1) % n, (a.page_id * 13 + 5) % n)
-        ),
-        anchors AS (SELECT page_id, string_agg('<a href="' || target || '">', '' ORDER BY target) AS txt FROM edges GROUP BY page_id),
-        linked AS (SELECT p.page_id, p.url, p.html || a.txt AS html FROM pages p JOIN anchors a ON a.page_id = p.page_id),
-        {_extracted("linked")},{_resolved()},{_discovered("links", "accepted")},{PAGE_CANON},
-        graph AS MATERIALIZED (
-          SELECT DISTINCT k.key AS src, a.url AS dst, a.host FROM accepted a JOIN page_keys k ON k.page_id = a.page_id
-          WHERE k.page_id IN (SELECT min(page_id) FROM page_keys GROUP BY key)
-        ),
-        met AS (
-          SELECT DISTINCT dst AS url, host, 1 AS round FROM graph WHERE src = (SELECT key FROM page_keys WHERE page_id = 0)
-          UNION SELECT g.dst, g.host, m.round + 1 FROM met m JOIN graph g ON g.src = m.url WHERE m.round < {CRAWL_ROUNDS}
-        ),
-        seed AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, 0 AS round FROM pages WHERE page_id = 0)
-        SELECT url, host, round FROM seed
-        UNION ALL SELECT url, host, min(round) AS round FROM met
-        WHERE url NOT IN (SELECT url FROM seed) GROUP BY url, host""",
+    "crawl": f"{CRAWL} SELECT url, host, round FROM crawled",
+    "crawl_failures": f"""{CRAWL}, reached AS (
+          SELECT min(k.page_id) AS page_id FROM page_keys k GROUP BY k.key HAVING k.key IN (SELECT url FROM crawled WHERE round > 0)
+            OR k.key = (SELECT key FROM page_keys WHERE page_id = 0))
+        SELECT page_id, pos, href, 'domain' AS error_class, 'href is not a valid URI reference' AS error
+        FROM links WHERE link IS NULL AND page_id IN (SELECT page_id FROM reached)""",
+    "crawl_unanswered": f"""{CRAWL}
+        SELECT url, 'infra' AS error_class FROM crawled
+        WHERE url NOT IN (SELECT key FROM page_keys) AND url NOT IN (SELECT url FROM seed)""",
     "link_stream": "SELECT page_id, url FROM pages",
-    "dedup_stream": f"""WITH {SEQUENCE},{_cut("sequence", "c", "seq")} SELECT DISTINCT {KEY} AS key FROM c""",
+    "dedup_stream": f"""WITH {SEQUENCE},{_cut("sequence", "c", "seq")} SELECT min(seq) AS seq, {KEY} AS key FROM c GROUP BY ALL""",
     "politeness_stream": f"{PLAN} SELECT seq, host, eligible_at, dispatch_at FROM plan",
     "discover_stream": f"""WITH RECURSIVE {RICH_LINKS},{_discovered("links", "accepted")},{FIRSTS},
         found AS (SELECT row_number() OVER (ORDER BY page_id, pos) AS seq, page, url, host,

@@ -14,22 +14,22 @@ from hrefloom.operators.blocklist import blocklist_anti_join
 from hrefloom.operators.dedup import has_seen
 from hrefloom.operators.numbering import global_rank
 from hrefloom.plans import inputs as I
-from hrefloom.plans.crawl import crawl
+from hrefloom.plans.crawl import crawl, crawl_failures, unanswered
 from hrefloom.plans.discover import discover_links
 from hrefloom.sources.queue import QUEUE_SCHEMA, queue_dequeue, queue_publish
 from hrefloom.sources.seeds import validate_seeds
 from hrefloom.sources.snapshot import fetch_pages, resolve_redirects
 from hrefloom.sources.stream import PAGE_SCHEMA, link_stream
-from hrefloom.streaming.streams import dedup_stream, politeness_stream, run_discover_stream
+from hrefloom.streaming.streams import run_dedup_stream, run_discover_stream, run_politeness_stream
 from hrefloom.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 COOLDOWN_MS = 3_600_000
 FIFO_INTERVAL_MS = 100
-CRAWL_ROUNDS = 10
 PAGE_INTERVAL_MS = 1000
 DEQUEUED = 100
+STATS_AT_MS = 1_705_000_000_000
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,10 @@ def _politeness(spark, sf_dir):
     return _plan(spark, sf_dir).select("seq", "host", "eligible_at", "dispatch_at")
 
 
+def _stats_at(spark, sf_dir):
+    return S.host_queue_stats(_plan(spark, sf_dir), STATS_AT_MS, COOLDOWN_MS)
+
+
 def _fair(spark, sf_dir):
     order = ["dispatch_at", "eligible_at", "host", "seq"]
     ranked = global_rank(_plan(spark, sf_dir).select(*order), order, "position", work_dir(spark, "fair-order"))
@@ -187,10 +191,21 @@ def _seeds(spark, sf_dir):
     return valid.withColumn("reason", F.lit("")).unionByName(rejected)
 
 
-def _crawl(spark, sf_dir):
+def _crawled(spark, sf_dir):
     pages = I.linked_pages(_pages(spark, sf_dir))
-    seeds = pages.where(F.col("page_id") == 0).select("url")
-    return crawl(seeds, pages, CRAWL_ROUNDS)
+    return crawl(pages.where(F.col("page_id") == 0).select("url"), pages), pages
+
+
+def _crawl(spark, sf_dir):
+    return _crawled(spark, sf_dir)[0]
+
+
+def _crawl_failures(spark, sf_dir):
+    return crawl_failures(*_crawled(spark, sf_dir)).select("page_id", "pos", "href", "error_class", "error")
+
+
+def _unanswered(spark, sf_dir):
+    return unanswered(*_crawled(spark, sf_dir)).select("url", "error_class")
 
 
 def _run(stream: DataFrame, path: str) -> DataFrame:
@@ -215,15 +230,17 @@ def _link_stream(spark, sf_dir):
 
 
 def _dedup_stream(spark, sf_dir):
-    once = dedup_stream(_sequence(_page_stream(spark, sf_dir))).select("key")
-    return _run(once, work_dir(spark, "dedup-stream"))
+    root = work_dir(spark, "dedup-stream")
+    run_dedup_stream(_sequence(_page_stream(spark, sf_dir)), root).awaitTermination()
+    return spark.read.parquet(f"{root}/firsts").select("seq", "key")
 
 
 def _politeness_stream(spark, sf_dir):
     static = I.table(spark, sf_dir, "events")
     events = link_stream(spark, f"{sf_dir}/events.parquet*", static.schema)
-    plan = politeness_stream(I.arrivals(events, _plain_pages(spark, sf_dir)), COOLDOWN_MS)
-    return _run(plan.select("seq", "host", "eligible_at", "dispatch_at"), work_dir(spark, "politeness-stream"))
+    root = work_dir(spark, "politeness-stream")
+    run_politeness_stream(I.arrivals(events, _plain_pages(spark, sf_dir)), COOLDOWN_MS, root).awaitTermination()
+    return spark.read.parquet(f"{root}/plan").select("seq", "host", "eligible_at", "dispatch_at")
 
 
 def _discover_stream(spark, sf_dir):
@@ -269,6 +286,7 @@ QUERIES: dict[str, Query] = {
     "fair_order": _fair,
     "fifo_plan": _fifo,
     "host_queue_stats": lambda spark, sf_dir: S.host_queue_stats(_plan(spark, sf_dir)),
+    "host_queue_stats_at": _stats_at,
     "work_ledger": lambda spark, sf_dir: S.work_ledger(_work(spark, sf_dir)),
     "work_totals": lambda spark, sf_dir: S.work_totals(_work(spark, sf_dir)),
     # sources and sinks
@@ -280,6 +298,8 @@ QUERIES: dict[str, Query] = {
     "queue_size": lambda spark, sf_dir: _queue(spark, sf_dir).agg(F.count("*").alias("queued")),
     # whole jobs and streams
     "crawl": _crawl,
+    "crawl_failures": _crawl_failures,
+    "crawl_unanswered": _unanswered,
     "link_stream": _link_stream,
     "dedup_stream": _dedup_stream,
     "politeness_stream": _politeness_stream,

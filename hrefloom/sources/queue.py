@@ -36,11 +36,12 @@ def queue_publish(
 def queue_dequeue(queue: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Take the ``k`` lowest ids: (batch, rest).
 
-    A stored URL that does not parse is taken too, but not handed out.  The
-    batch is cut by rank rather than by a limit, so a batch of any size stays
-    spread over the cluster.
+    A stored URL that does not parse is taken too, but not handed out.  The id
+    to cut at comes from the ids alone; the URLs are filtered where they stand,
+    so a batch of any size stays spread over the cluster.
     """
-    ranked = global_index(queue.select("id", "url", "created_at"), ["id"], "_rank")
+    ranked = global_index(queue.select("id"), ["id"], "_rank")
+    cut = ranked.where(F.col("_rank") <= k).agg(F.max("id").alias("cut")).scalar()
+    rows = queue.select("id", "url", "created_at")
     parses = F.expr(f"size({pieces_sql('url')}) = {PIECES}")
-    batch = ranked.where((F.col("_rank") <= k) & parses).drop("_rank")
-    return batch, ranked.where(F.col("_rank") > k).drop("_rank")
+    return rows.where((F.col("id") <= cut) & parses), rows.where(cut.isNull() | (F.col("id") > cut))

@@ -28,22 +28,21 @@ def fetch_pages(
     """``seq, url`` against ``page_id, url, html`` -> (found, missing).
 
     Pages are matched on the canonical URL of both sides, and a found page
-    keeps the URL that was asked for.  The match is settled on narrow columns;
-    the content joins last, by ``page_id``, so only wanted pages are shuffled,
-    or none where the frontier is small enough for Spark to broadcast it.  Many
-    spellings may ask for one page: the index is probed with distinct keys and
-    the answers go back by a salted join.  ``index`` is a stored ``page_index``
+    keeps the URL that was asked for.  The match is settled on narrow columns.
+    The content is cut down to the pages that are wanted before it is joined;
+    that cut is free where Spark can broadcast the wanted ids, and one shuffle
+    of the content by ``page_id`` where it can't.  Many spellings may ask for
+    one page: the index is probed with distinct keys, and the answers and the
+    content go back by salted joins.  ``index`` is a stored ``page_index``
     of these pages.
     """
     wanted = frontier.withColumn("key", canonicalise("url"))
     keys = wanted.select("key").distinct()
     answers = keys.join(page_index(pages) if index is None else index, "key")
-    matched = salted_join(wanted, answers, "key", "url", "left")
-    found = (
-        matched.where(F.col("page_id").isNotNull())
-        .join(pages.select("page_id", "html"), "page_id")
-        .select("url", "html", "seq")
-    )
+    matched = salted_join(wanted, answers, "key", "left")
+    content = pages.select("page_id", "html").join(answers.select("page_id"), "page_id", "left_semi")
+    hit = matched.where(F.col("page_id").isNotNull()).select("url", "seq", "page_id")
+    found = salted_join(hit, content, "page_id", "inner").select("url", "html", "seq")
     missing = matched.where(F.col("page_id").isNull()).select(
         "url", F.lit(INFRA).alias("error_class"), F.lit(NOT_FOUND).alias("error")
     )
@@ -53,25 +52,28 @@ def fetch_pages(
 def resolve_redirects(df: DataFrame, redirects: DataFrame, max_hops: int = 3) -> DataFrame:
     """``url`` -> ``url, final_url, hops, error_class`` over ``redirects(src, dst)``.
 
-    A URL that still redirects after ``max_hops`` is a failure.  Many URLs may
-    lead to one target (a login page), so every hop is a salted join.
+    A URL that still redirects after ``max_hops`` is a failure.  The URLs of
+    the table are walked to their ends once; the input then meets the ends in
+    one join.  Many URLs may lead to one target (a login page) and many rows
+    may hold one URL, so both are salted joins.
     """
     table = redirects.groupBy(F.col("src").alias("_at")).agg(F.min("dst").alias("_next"))
-    extra = [c for c in df.columns if c not in ("url", "final_url", "hops", "error_class")]
-    walk = df.select("url", *extra, F.col("url").alias("_at"), F.lit(0).alias("hops"))
-    for _ in range(max_hops):
-        walk = salted_join(walk, table, "_at", "url", "left").select(
+    walk = table.select(F.col("_at").alias("url"), F.col("_next").alias("_at"), F.lit(1).alias("hops"))
+    for _ in range(max_hops - 1):
+        walk = salted_join(walk, table, "_at", "left").select(
             "url",
-            *extra,
             F.coalesce("_next", "_at").alias("_at"),
             (F.col("hops") + F.col("_next").isNotNull().cast("int")).alias("hops"),
         )
-    last = salted_join(walk, table, "_at", "url", "left")
+    last = salted_join(walk, table, "_at", "left")
     stuck = F.col("_next").isNotNull()
-    return last.select(
+    ends = last.select("url", F.when(~stuck, F.col("_at")).alias("_end"), F.col("hops").alias("_hops"), stuck.alias("_stuck"))
+    extra = [c for c in df.columns if c not in ("url", "final_url", "hops", "error_class")]
+    met = salted_join(df.select("url", *extra), ends, "url", "left")
+    return met.select(
         "url",
         *extra,
-        F.when(~stuck, F.col("_at")).alias("final_url"),
-        "hops",
-        F.when(stuck, INFRA).alias("error_class"),
+        F.when(F.col("_hops").isNull(), F.col("url")).otherwise(F.col("_end")).alias("final_url"),
+        F.coalesce("_hops", F.lit(0)).alias("hops"),
+        F.when(F.col("_stuck"), INFRA).alias("error_class"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +55,21 @@ def politeness_stream(df: DataFrame, cooldown_ms: int) -> DataFrame:
         last = state.get[0] if state.exists else None
         # rows of a group come in no set order
         batch = pd.concat(list(frames)).sort_values("seq")
-        arrivals = batch["arrival_ms"].astype("int64")
-        ranks = pd.Series(range(1, len(batch) + 1), index=batch.index, dtype="int64")
-        slack = (arrivals - ranks * cooldown_ms).cummax().shift(1)
-        if last is not None:
-            slack = slack.fillna(last).clip(lower=last)
-        eligible = (slack + ranks * cooldown_ms).fillna(arrivals.astype("float64"))
-        batch["eligible_at"] = eligible.astype("int64")
-        batch["dispatch_at"] = batch[["eligible_at", "arrival_ms"]].max(axis=1).astype("int64")
+        arrivals = batch["arrival_ms"].to_numpy(dtype="int64")
+        shift = np.arange(1, len(batch) + 1, dtype="int64") * cooldown_ms
+        # the greatest slack before each row; times stay integers throughout
+        before = np.maximum.accumulate(arrivals - shift)[:-1]
+        if last is None:
+            eligible = np.concatenate([arrivals[:1], before + shift[1:]])
+        else:
+            eligible = np.maximum(np.concatenate([[last], before]), last) + shift
+        batch["eligible_at"] = eligible
+        batch["dispatch_at"] = np.maximum(eligible, arrivals)
         state.update((int(batch["dispatch_at"].iloc[-1]),))
         yield batch[names]
 
-    return df.groupBy("host").applyInPandasWithState(
+    hosted = df.withColumn("host", F.coalesce("host", F.lit("")))
+    return hosted.groupBy("host").applyInPandasWithState(
         plan, output, "last_dispatch_at BIGINT", "append", GroupStateTimeout.NoTimeout
     )
 
@@ -103,6 +107,26 @@ class _Rounds:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def run_dedup_stream(df: DataFrame, work_dir: str, trigger: dict | None = None):
+    """First wins, ever: ``seq, url`` -> ``seq, url, key`` of each key's first row; returns the running query.
+
+    Results are under ``work_dir``/firsts.  Within a micro-batch the lowest
+    ``seq`` of a key wins, by an aggregate that combines before its shuffle, so
+    a hot URL is one row per task; across batches the earlier one wins.
+    """
+    rounds = _Rounds(work_dir)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        first = F.min(F.struct("seq", "url")).alias("_first")
+        firsts = batch.withColumn("key", url_key("url")).groupBy("key").agg(first).select("_first.*", "key")
+        if batch_id > 0:
+            seen = rounds.earlier(batch.sparkSession, "firsts", "seq BIGINT, url STRING, key STRING", batch_id)
+            firsts = firsts.join(seen.select("key"), firsts["key"].eqNullSafe(seen["key"]), "left_anti")
+        rounds.store("firsts", firsts, batch_id)
+
+    return rounds.run(df, one, trigger)
+
+
 def run_politeness_stream(df: DataFrame, cooldown_ms: int, work_dir: str, trigger: dict | None = None):
     """``politeness_stream`` with the batch plan inside; returns the running query.
 

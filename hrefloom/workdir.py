@@ -18,7 +18,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"set {SETTING} to a shared folder")
         base = tempfile.mkdtemp(prefix="hrefloom-")
     return f"{base.rstrip('/')}/hrefloom-{name}-{uuid.uuid4().hex}"

@@ -5,13 +5,19 @@ from pyspark.sql import functions as F
 
 from hrefloom.operators import links as L
 from hrefloom.operators import schedule as S
-from hrefloom.plans.crawl import crawl, unanswered
+from hrefloom.plans.crawl import crawl, crawl_failures, unanswered
 from hrefloom.plans.discover import discover_links
 from hrefloom.sources.queue import QUEUE_SCHEMA, queue_dequeue, queue_publish
 from hrefloom.sources.seeds import validate_seeds
 from hrefloom.sources.snapshot import fetch_pages, resolve_redirects
 from hrefloom.sources.stream import PAGE_SCHEMA, link_stream
-from hrefloom.streaming.streams import dedup_stream, politeness_stream, run_discover_stream, run_politeness_stream
+from hrefloom.streaming.streams import (
+    dedup_stream,
+    politeness_stream,
+    run_dedup_stream,
+    run_discover_stream,
+    run_politeness_stream,
+)
 from hrefloom.workdir import work_dir
 
 PAGES = "page_id bigint, url string, html string"
@@ -36,16 +42,27 @@ def _queue(spark, rows):
     return spark.createDataFrame(rows, "seq bigint, url string")
 
 
-def _random_url(rng):
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    word = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randint(1, 12)))
-    path = "/".join(word(letters + letters.upper() + "0123456789") for _ in range(rng.randint(1, 4)))
-    return f"{rng.choice(['http', 'https'])}://{word(letters)}.{rng.choice(['com', 'org', 'net', 'io'])}/{path}"
+def _queued(rng, k):
+    """A text for the queue and whether it parses."""
+    host = f"n{k}.{rng.choice(['tea', 'cup', 'pot'])}.example"
+    host = host.upper() if rng.random() < 0.3 else host
+    text, parses = {
+        "port": (f"http://{host}:{rng.randrange(1, 70000)}/x", True),
+        "query": (f"https://{host}/?q={k}&r=%{rng.randrange(16, 256):02x}", True),
+        "fragment": (f"https://{host}/x#part-{k}", True),
+        "percent": (f"https://{host}/%{rng.randrange(16, 256):02X}", True),
+        "user": (f"https://me:{k}@{host}", True),
+        "broken": (f"https://{host}/two words", False),
+        "half": (f"https://{host}/%{k % 10}", False),
+    }[rng.choice(["port", "query", "fragment", "percent", "user", "broken", "half"])]
+    return text, parses
 
 
 def test_queue(spark):
     rng = random.Random(11)
-    urls = [_random_url(rng) for _ in range(40)]
+    texts = [_queued(rng, k) for k in range(40)]
+    urls = [u for u, _ in texts]
+    assert 5 < sum(p for _, p in texts) < 40
     empty = spark.createDataFrame([], QUEUE_SCHEMA)
     once = queue_publish(empty, _queue(spark, [(i, u) for i, u in enumerate(urls)]))
     rows = once.orderBy("id").collect()
@@ -57,9 +74,9 @@ def test_queue(spark):
         (41, "http://first/"), (42, "http://new/"),
     ]
     batch, rest = queue_dequeue(once, 3)
-    assert sorted(r["url"] for r in batch.collect()) == sorted(urls[:3]) and rest.count() == 37
+    assert sorted(r["url"] for r in batch.collect()) == sorted(u for u, parses in texts[:3] if parses) and rest.count() == 37
     drained, left = queue_dequeue(once, 100)
-    assert drained.count() == 40 and left.count() == 0
+    assert drained.count() == sum(parses for _, parses in texts) and left.count() == 0
     back = queue_publish(left, _queue(spark, [(1, urls[0])]), last_id=40)
     assert [tuple(r) for r in back.select("id", "url").collect()] == [(41, urls[0])]
 
@@ -120,7 +137,9 @@ def _crawl_by_hand(seeds, pages, max_rounds):
     """``pages``: canonical url -> list of canonical links."""
     met = {u: 0 for u in seeds}
     frontier = list(seeds)
-    for n in range(1, max_rounds + 1):
+    n = 0
+    while max_rounds is None or n < max_rounds:
+        n += 1
         new = []
         for u in frontier:
             for v in pages.get(u.rstrip("/"), []):
@@ -139,11 +158,27 @@ def test_crawl_matches_a_walk_by_hand(spark):
     links = {u: rng.sample(names, rng.randint(0, 3)) + [f"https://gone.example/{i}"] for i, u in enumerate(names)}
     pages = spark.createDataFrame([(i, u + "/", _anchors(*links[u])) for i, u in enumerate(names)], PAGES)
     seeds = [names[0] + "/", names[7]]
-    for rounds in (0, 2, 30):
+    for rounds in (0, 2, 30, None):
         got = crawl(spark.createDataFrame([(s,) for s in seeds], "url string"), pages, rounds)
         assert {r["url"]: r["round"] for r in got.collect()} == _crawl_by_hand(seeds, links, rounds)
 
 
+def test_crawl_goes_on_to_an_empty_frontier(spark):
+    # a chain of 14 pages, the last of which links to one that is not there
+    url = "https://h.example/p{}".format
+    pages = spark.createDataFrame([(i, url(i), _anchors(url(i + 1), "/bad url" if i == 9 else url(0))) for i in range(14)], PAGES)
+    seeds = spark.createDataFrame([(url(0),)], "url string")
+    root = work_dir(spark, "chain")
+    got = crawl(seeds, pages, work_dir=root)
+    assert {r["url"]: r["round"] for r in got.collect()} == {url(i): i for i in range(15)}
+    assert spark.read.parquet(f"{root}/frontier").count() == 0
+    assert [r["url"] for r in unanswered(got, pages).collect()] == [url(14)]
+    assert [(r["page_id"], r["href"]) for r in crawl_failures(got, pages).collect()] == [(9, "/bad url")]
+    root = work_dir(spark, "chain-cut")
+    crawl(seeds, pages, 3, root)
+    assert [r["url"] for r in spark.read.parquet(f"{root}/frontier").collect()] == [url(3)]
+
+
 def test_crawl_seed_is_seen_as_written(spark):
     # the seed has a trailing slash, so its canonical form is a new URL; relative
     # links resolve against the seed as given, later against the canonical URL
@@ -203,6 +238,23 @@ def test_dedup_stream_survives_restart(spark, arrival_files):
     assert _drain(stream, root).count() == len({r[2] for r in rows}) + 1
 
 
+def test_first_row_of_a_key_wins_over_batches(spark, arrival_files):
+    rows, schema, root = arrival_files
+    stream = link_stream(spark, f"{root}/in", schema, max_files_per_trigger=1)
+    run_dedup_stream(stream, f"{root}/work").awaitTermination()
+    got = {r["key"]: r["seq"] for r in spark.read.parquet(f"{root}/work/firsts").collect()}
+    assert got == {u: min(r[0] for r in rows if r[2] == u) for u in {r[2] for r in rows}}
+
+
+def test_politeness_stream_keeps_large_times_and_rows_without_host(spark, tmp_path):
+    far = 2**53
+    rows = [(0, None, "http://x/0", far + 1), (1, "", "http://x/1", far + 1), (2, "a", "http://x/2", far + 3), (3, "a", "http://x/3", far + 3)]
+    schema = "seq bigint, host string, url string, arrival_ms bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = _drain(politeness_stream(link_stream(spark, f"{tmp_path}/in", schema), 7), str(tmp_path)).collect()
+    assert {r["seq"]: (r["host"], r["dispatch_at"]) for r in out} == {0: ("", far + 1), 1: ("", far + 8), 2: ("a", far + 3), 3: ("a", far + 10)}
+
+
 def test_discover_stream_equals_batch(spark, tmp_path):
     parts = [
         [(1, "https://h.example/1", _anchors("/a", "/b", "https://o.example/x")), (2, "https://h.example/2", _anchors("/b", "/c"))],
@@ -232,6 +284,49 @@ def test_quarantine_splits(spark):
 def test_work_dir_needs_a_shared_folder_on_a_cluster(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master})()
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_dir(Session(master), "x")
+    assert work_dir(Session("local[2]"), "x")
+
+
+def test_salts_split_a_hot_key(spark):
+    # a third of all rows on one key: no salt holds more than its share of them
+    from hrefloom.operators import skew
+
+    n = 6000
+    rows = spark.range(n).selectExpr("id AS seq", "if(id % 3 = 0, 'hot', concat('k', id)) AS key")
+    table = spark.createDataFrame([("hot", 1)], "key string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = skew.salted_join(rows, table, "key", "left")
+        sizes = [r["n"] for r in joined.where("key = 'hot'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert joined.where("v = 1").count() == n // 3 and joined.count() == n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == n // 3 and max(sizes) <= n // 3 // 2
+
+
+def test_ledger_windows_stay_small(spark):
+    # as many milliseconds as rows, and numbers unrelated to them
+    from pyspark.sql import Window
+
+    from hrefloom.operators.numbering import leaf_of
+
+    rows = spark.range(50_000).selectExpr("id * 7919 % 5000000000 AS ts_ms", "id * 104729 % 1000003 * 1048577 AS seq", "1L AS delta")
+    groups = rows.groupBy(leaf_of("ts_ms").alias("g")).agg(F.countDistinct("ts_ms").alias("n"))
+    assert groups.agg(F.max("n")).first()[0] < 2**20
+    ledger = S.work_ledger(rows)
+    running = F.row_number().over(Window.orderBy("ts_ms", "seq"))
+    assert ledger.withColumn("want", running).where("want <> outstanding OR halted").count() == 0 and ledger.count() == 50_000
+
 
 def test_hot_keys_give_whole_results(spark):
     # a third of all rows on one key

@@ -132,27 +132,22 @@ def test_page_report(spark):
 
 
 SEEN = [
-    (["u"], [False]),
-    (["u", "u"], [False, True]),
-    (["u", "u/page"], [False, False]),
-    (["u", "u/page", "u", "u/page"], [False, False, True, True]),
-    (["/page", "HTTPS!/page"], [False, True]),
-    (["/page", "HOST!/page"], [False, True]),
-    (["/page", "/Page"], [False, False]),
+    # three spellings of one URL: scheme and host in any case
+    (["http://tea.example/cup", "HTTP://tea.example/cup", "http://TEA.example/cup"], [False, True, True]),
+    # everything else counts as written
+    (["http://tea.example/cup", "http://tea.example/Cup", "http://tea.example/cup/", "http://tea.example/cup?"], [False] * 4),
+    (["http://tea.example:80/", "http://tea.example/", "http://tea.example:80/"], [False, False, True]),
+    (["http://Me@tea.example/", "http://me@tea.example/", "http://Me@TEA.example/"], [False, False, True]),
+    (["http://tea.example/#a", "http://tea.example/#b", "http://tea.example/#a"], [False, False, True]),
+    # repeats far apart, and text that is no URL
+    (["http://a.example/"] + [f"http://b.example/{k}" for k in range(5)] + ["http://a.example/"], [False] * 6 + [True]),
+    (["two words", "Two words", "two words"], [False, False, True]),
 ]
 
 
-def _seen_url(x):
-    if x.startswith("HTTPS!"):
-        return "HTTPS://site.example" + x[6:]
-    if x.startswith("HOST!"):
-        return "https://SITE.EXAMPLE" + x[5:]
-    return "https://site.example" + x.removeprefix("u")
-
-
 def test_has_seen(spark):
     for urls, want in SEEN:
-        df = spark.createDataFrame([(i, _seen_url(u)) for i, u in enumerate(urls)], "seq bigint, url string")
+        df = spark.createDataFrame(list(enumerate(urls)), "seq bigint, url string")
         assert [r["seen"] for r in has_seen(df).orderBy("seq").collect()] == want
     df = spark.createDataFrame([(1, "http://a"), (2, "http://b"), (3, "http://b")], "seq bigint, url string")
     seen = spark.createDataFrame([("http://a",)], "key string")
@@ -255,7 +250,12 @@ def test_fifo_stats_and_ledger(spark):
     plan = _plan(spark, [(0, "a", 0), (1, "a", 0), (2, "b", 5)], 10)
     stats = {r["host"]: (r["queued"], r["next_eligible_at"]) for r in S.host_queue_stats(plan).collect()}
     assert stats == {"a": (2, 0), "b": (1, 5)}
-    assert [tuple(r) for r in S.host_queue_stats(plan, 5).collect()] == [("a", 1, 10)]
+    at = lambda ms, c: {r["host"]: (r["queued"], r["next_eligible_at"]) for r in S.host_queue_stats(plan, ms, c).collect()}
+    assert at(4, 10) == {"a": (1, 10)}
+    assert at(5, 10) == {"a": (1, 10), "b": (0, 15)}
+    # what has not arrived is not queued; a drained host stays with its cooldown
+    plan = _plan(spark, [(0, "a", 0), (1, "a", 10), (2, "a", 9000)], 1000)
+    assert at(100, 1000) == {"a": (1, 1000)} and at(2000, 1000) == {"a": (0, 2000)} and at(9000, 1000) == {"a": (0, 10000)}
 
     rng = random.Random(5)
     events = [(rng.choice([0, 0, 0, 10**12, 17, 2**31]), s, rng.choice([1, 1, -1])) for s in range(300)]

@@ -1,5 +1,7 @@
 """Plan shapes that matter at scale, and a sample of queries against DuckDB."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,9 @@ import __spark_entry__ as entry
 from hrefloom.functions.urls import URI_PATTERN, canonicalise
 from hrefloom.operators import links as L
 from hrefloom.plans.discover import accepted_links, new_links
+from hrefloom.plans.oracle import ORACLE
+from hrefloom.plans.registry import QUERIES
+from hrefloom.sources.queue import QUEUE_SCHEMA, queue_dequeue
 from hrefloom.sources.snapshot import page_index
 
 
@@ -55,17 +60,24 @@ def test_new_links_is_one_shuffle_and_shares_it_with_the_anti_join(spark, pages)
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_twin_is_quick_in_little_memory(name):
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("SET memory_limit = '600MB'")
+    for table in ("pages", "events"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    start = time.perf_counter()
+    con.execute(ORACLE[name]).fetchall()
+    took = time.perf_counter() - start
+    print(f"{name}: {took:.2f} s")
+    assert took < 20
 
-@pytest.mark.parametrize(
-    "name",
-    [
-        "url_components", "url_key", "canonicalise", "accept_url", "is_blocked", "blocklist_anti_join",
-        "resolve_links", "page_report", "has_seen", "discover_links", "politeness_plan", "work_ledger",
-        "fetch_pages", "resolve_redirects", "queue_publish",
-    ],
-)
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_duckdb(spark, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -79,5 +91,14 @@ def test_query_matches_duckdb(spark, sf_dir, name):
     assert sorted(names) == cols and got == want and got
 
 
+def test_dequeue_shuffles_ids_only(spark):
+    queue = spark.createDataFrame([(k, f"http://tea.example/{k}", None) for k in range(9)], QUEUE_SCHEMA)
+    for part in queue_dequeue(queue, 4):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan
+        shuffled = [line for line in _plan(part).split("\n") if "Exchange" in line]
+        assert shuffled and not any("url" in line for line in shuffled)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["seq", "page", "url", "host"]

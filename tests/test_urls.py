@@ -10,7 +10,6 @@ def test_canonical_cases(spark):
     df = spark.createDataFrame(cases, "input string, expected string")
     got = df.select("input", "expected", urls.canonicalise("input").alias("got")).collect()
     assert [r for r in got if r["expected"] != r["got"]] == []
-    assert len(CANONICAL) == 32
 
 
 def test_canonicalise_is_idempotent_and_composes(spark):
