@@ -114,11 +114,11 @@ def quality_columns(docs: DataFrame, ratios: list[float], keep: list[str], thres
     Rows are judged on their own: no shuffle, repeated rows and null ids are
     rows like others.  A null or empty text has no words, score 0, and fails.
     """
-    words = docs.select(*keep, text_of().alias("_t"), words_of(text_of()).alias("_w"))
+    # explodes of one element: a filter on what follows must not be pushed below them and repeat the work
+    words = docs.select(*keep, F.inline(F.array(F.struct(text_of().alias("_t"), words_of(text_of()).alias("_w")))))
     lines = F.expr("filter(split(_t, '\\n', -1), x -> x rlike '[^\\\\t-\\\\r ]')")
     spaces = " \t\n\x0b\x0c\r"
-    counted = words.select(
-        *keep,
+    counts = (
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.translate("_t", spaces, "")).cast("bigint").alias("word_chars"),
         _count_of(F.col("_t"), SYMBOLS).cast("bigint").alias("n_symbols"),
@@ -126,6 +126,7 @@ def quality_columns(docs: DataFrame, ratios: list[float], keep: list[str], thres
         F.expr(_repeated_words("_w")).cast("bigint").alias("n_repeat_words"),
         lift(_constant(ratios), lambda r: _score("_w", r, buckets)).alias("score"),
     )
+    counted = words.select(*keep, F.inline(F.array(F.struct(*counts))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
