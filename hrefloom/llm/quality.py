@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions.text import let, lift
-from hrefloom.llm.common import Stages, by_hash, text_of, words_of
+from hrefloom.llm.common import Stages, text_of, words_of
 
 BUCKETS = 1 << 14
-# trusted rows that the target is estimated from: those with the smallest hash
-TRUSTED_ROWS = 20_000
 # hits of each bucket that both multinomials begin with, at the target's size
 PRIOR = 4.0
 # mean log ratio below which a text is rejected
@@ -30,10 +28,9 @@ LEAST_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``doc_id, quality`` -> ids of at most ``rows`` rows of quality 1, by hash."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return by_hash(good, ["doc_id"], rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id, quality`` -> the ids of all rows of quality 1, once each."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def _shrunk(ratio: str, error: str) -> str:
@@ -44,15 +41,15 @@ def _shrunk(ratio: str, error: str) -> str:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, text`` -> one row ``ratios``: an array of a log ratio per bucket.
 
-    ``trusted`` is bounded by ``trusted_ids``, so it is broadcast.  Each bucket
-    of the target gets ``PRIOR`` hits more, and the raw corpus the same share of
+    ``trusted`` has each id once and grows with the labels, so Spark's own
+    threshold decides how it is joined.  Each bucket of the target gets ``PRIOR`` hits more, and the raw corpus the same share of
     its own total, so the ratio of a bucket that few words fall into stays near
     0 rather than blaming it for what a small target can't show.  With no
     trusted words all ratios are 0.
     """
-    flagged = docs.select("doc_id", words_of(text_of()).alias("w")).join(
-        F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left"
-    )
+    # texts are joined whole: their words are wider, should they have to be shuffled
+    flagged = docs.select("doc_id", text_of().alias("text")).join(trusted.withColumn("_trusted", F.lit(1)), "doc_id", "left")
+    flagged = flagged.select("_trusted", words_of(text_of()).alias("w"))
     pairs = flagged.select("_trusted", F.explode(F.expr("arrays_zip(w, slice(w, 2, greatest(size(w) - 1, 0)))")).alias("z")).toDF("_trusted", "z")
     x, y = F.col("z").getField("w"), F.col("z").getField("1")
     one = F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")

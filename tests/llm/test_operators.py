@@ -127,6 +127,21 @@ def test_quality_without_rows_or_labels(spark, docs, no_docs, stages):
     assert all(r.score == 0 and r.kept == (not r.base_failed) for r in quality.judge_documents(docs, none, stages, ["doc_id"]).collect())
 
 
+def test_quality_counts_all_trusted_rows(spark, stages):
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    trusted = stages.write("trusted", quality.trusted_ids(spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))))
+    assert trusted.count() == n
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # all rows are trusted: the target is the raw corpus
+        assert set(quality.bucket_ratios(docs, trusted).first()["ratios"]) == {0.0}
+        assert "Broadcast" not in quality.bucket_ratios(docs, trusted)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # personal data
 
 def test_personal_data_of_odd_rows(spark, docs, no_docs, stages):
