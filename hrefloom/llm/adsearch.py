@@ -11,6 +11,11 @@ its partial distance would be this large by chance only with a small
 probability, were it within the bound.  What survives is scored exactly, in
 double precision on the original vectors.
 
+A query scans its nearest lists, a share ``PROBED`` of all, and every list after
+these as long as the lists before it hold fewer than ``ENOUGH`` (or ``k + 1``)
+candidates together.  So a table of that many distinct vectors is scanned whole,
+and no query stays short of rows that there are candidates for.
+
 Equal vectors are one candidate with their smallest ids, and one query, so a
 vector that a third of all rows share costs what one costs.  A list and its
 queries are cut into tiles of bounded size.
@@ -34,6 +39,8 @@ MOST_LISTS = 16_384
 # lists that bound a query, and the share of all lists that it scans
 NEAR = 2
 PROBED = 0.7
+# a query goes on to further lists while those before held fewer candidates
+ENOUGH = 1024
 TILE_VECTORS, TILE_QUERIES = 4096, 1024
 COLUMNS = 16  # of a block
 STEP = 64  # queries of a tile that are worked on together
@@ -113,19 +120,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64)
 
 
-def _place(model: bytes, probes: int, query: bool, names: list[str]):
-    """Rows with each of their ``probes`` nearest lists, by rising distance."""
+def _place(model: bytes, names: list[str]):
+    """Rows with their nearest list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _unpacked(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                lists = _nearest_lists(_rotated(m, _matrix(b.column(names.index("v"))), query), m["centroids"], probes)
-                take = pa.array(np.repeat(np.arange(b.num_rows), lists.shape[1]))
-                columns = [c.take(take) for c in b.columns]
-                nth = np.tile(np.arange(lists.shape[1], dtype=np.int32), b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), pa.array(nth), *columns], ["list", "nth", *names])
+                lists = _nearest_lists(_rotated(m, _matrix(b.column(names.index("v"))), False), m["centroids"], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[:, 0].astype(np.int32)), *b.columns], ["list", *names])
+
+    return run
+
+
+def _probe(model: bytes, probes: int, sizes: np.ndarray, enough: int, names: list[str]):
+    """Rows with each of their ``probes`` nearest lists, and more until ``enough`` candidates are held, by rising distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _unpacked(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                lists = _nearest_lists(_rotated(m, _matrix(b.column(names.index("v"))), True), m["centroids"], len(sizes))
+                own = sizes[lists]
+                row, nth = np.nonzero((np.arange(len(sizes)) < probes) | (np.cumsum(own, axis=1) - own < enough))
+                columns = [c.take(pa.array(row)) for c in b.columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists[row, nth].astype(np.int32)), pa.array(nth.astype(np.int32)), *columns], ["list", "nth", *names]
+                )
 
     return run
 
@@ -224,10 +247,14 @@ def search(vectors: DataFrame, queries: DataFrame, stages: Stages, k: int = 20,
     asked = stages.write("asked", usable_queries(rows, queries))
     wanted = asked.select("v").distinct().withColumn("query_key", F.concat_ws(":", F.xxhash64("v"), F.hash("v"), F.crc32(F.col("v").cast("string").cast("binary"))))
     wanted = stages.write("wanted", wanted)
-    indexed = distinct.mapInArrow(_place(model, 1, False, ["v", "ids"]), "list INT, nth INT, v ARRAY<DOUBLE>, ids ARRAY<BIGINT>")
+    indexed = distinct.mapInArrow(_place(model, ["v", "ids"]), "list INT, v ARRAY<DOUBLE>, ids ARRAY<BIGINT>")
     indexed = stages.write("indexed", indexed)
     count = max(1, int(np.ceil(probed * lists)))
-    probes = wanted.mapInArrow(_place(model, count, True, ["v", "query_key"]), "list INT, nth INT, v ARRAY<DOUBLE>, query_key STRING")
+    # a number per list
+    sizes = np.zeros(lists, dtype=np.int64)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():
+        sizes[r["list"]] = r["n"]
+    probes = wanted.mapInArrow(_probe(model, count, sizes, max(ENOUGH, k + 1), ["v", "query_key"]), "list INT, nth INT, v ARRAY<DOUBLE>, query_key STRING")
     probes = stages.write("probes", probes)
     none = F.lit(float("-inf"))
     near = stages.write("near", _scan_lists(indexed, probes.where(F.col("nth") < NEAR).withColumn("least", none), model, k + 1))

@@ -394,6 +394,24 @@ def test_search_of_few_and_no_vectors(spark, stages):
     assert adsearch.search(few.where("false"), few, Stages(spark, "none")).count() == 0
 
 
+@pytest.mark.parametrize("n", [18, 21, 60, 500, 2000])
+def test_recall_with_the_parameters_in_use(spark, stages, n):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(n).select("vec_id", "embedding")
+    table = stages.write("given", given)
+    found = adsearch.search(table, table.where("vec_id % 20 = 0 OR vec_id < 20"), stages, k=20).collect()
+    kept = table.collect()
+    ids, v = np.array([r.vec_id for r in kept]), np.array([r.embedding for r in kept], dtype=np.float64)
+    asked = [at for at, i in enumerate(ids) if i % 20 == 0 or i < 20]
+    hits = rows = 0
+    for at in asked:
+        product = v @ v[at]
+        best = [ids[o] for o in np.lexsort((ids, -product)) if o != at][:20]
+        own = {r.vec_id for r in found if r.query_id == ids[at]}
+        assert len(own) == len(best)
+        hits, rows = hits + len(own & set(best)), rows + len(best)
+    assert hits / rows >= (1 if n <= 21 else 0.9)
+
+
 # language model
 
 def test_base_scores_by_counts(spark, docs, no_docs, stages, monkeypatch):
