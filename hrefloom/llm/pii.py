@@ -5,7 +5,8 @@ lexical pattern; the same pattern before another identifier-like token links
 the two.  On the graph of patterns and instances, confidence passes to and fro
 for a few rounds: a pattern is as good as the share of its mentions that are
 trusted, an unseen instance as good as its best pattern.  Tokens that stand
-behind a pattern of high confidence are added to the spans.
+behind a pattern of high confidence are added to the spans, and count as seeds
+in the next generation; that goes on until a generation adds no pattern.
 
 Texts are read once; what goes on from there is a narrow table of mentions.
 The graph is aggregated before each join, so a pattern that stands before a
@@ -15,6 +16,7 @@ third of all mentions is one row per instance.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +43,6 @@ _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"""[^\s"'<>=,;()\[\]{}|]+""")
 _CONTEXT = re.compile(r"[^\W\d_]+|[^\w\s]")
-# text before a mention that its context is looked for in
-_REACH = 80
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -108,9 +108,18 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             token = m[0].rstrip(".:!?")
             if not (at < len(taken) and taken[at][0] < m.end()) and _identifier(token):
                 found.append((m.start(), m.start() + len(token), False))
+    # one pass over the words of the text, however far a mention's words stand before it
+    contexts: dict[int, list[str]] = {}
+    last, words = deque(maxlen=3), _CONTEXT.finditer(text)
+    ahead = next(words, None) if found else None
+    for start in sorted({start for start, _, _ in found}):
+        while ahead is not None and ahead.start() < start:
+            last.append(ahead.span())
+            ahead = next(words, None)
+        contexts[start] = [text[s : min(e, start)].lower() for s, e in last]
     out = []
     for start, end, seed in found:
-        before = [w.lower() for w in _CONTEXT.findall(text[max(0, start - _REACH) : start])]
+        before = contexts[start]
         patterns = [" ".join(before[-n:]) for n in (2, 3) if len(before) >= n]
         out.append({"start": start, "end": end, "surface": text[start:end][:200].lower(), "patterns": patterns, "seed": seed})
     return out
@@ -145,9 +154,8 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", text_of())
 
 
-def trusted_patterns(edges: DataFrame, stages: Stages, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, surface, seed, n`` -> ``pattern, confidence`` of the confident patterns."""
-    edges = stages.write("edges", edges)
+def _scored(edges: DataFrame, stages: Stages, name: str, rounds: int) -> DataFrame:
+    """``pattern, surface, seed, n`` -> ``pattern, confidence`` of the patterns with enough seeds."""
     worth = F.col("seed").cast("double")
     patterns = None
     for r in range(rounds):
@@ -161,8 +169,32 @@ def trusted_patterns(edges: DataFrame, stages: Stages, rounds: int = ROUNDS) ->
             F.sum(F.col("seed").cast("int")).alias("seeds"),
         )
         # patterns without enough seeds pass nothing on
-        patterns = stages.write(f"patterns-{r}", scored.where(F.col("seeds") >= LEAST_SEEDS))
-    return patterns.where(F.col("confidence") >= CONFIDENT).select("pattern", "confidence")
+        patterns = stages.write(f"{name}-{r}", scored.where(F.col("seeds") >= LEAST_SEEDS))
+    return patterns
+
+
+def trusted_patterns(edges: DataFrame, stages: Stages, rounds: int = ROUNDS) -> DataFrame:
+    """``pattern, surface, seed, n`` -> ``pattern, confidence`` of the confident patterns.
+
+    A generation is ``rounds`` rounds.  What stands behind its confident
+    patterns is a seed from then on, so these stay confident, and a generation
+    that adds none is the last.
+    """
+    edges = stages.write("edges-0", edges)
+    # surfaces that the plain patterns find are seeds already: a pattern counts each once
+    plain = edges.where("seed").select("surface").distinct()
+    generation, known = 0, 0
+    while True:
+        patterns = _scored(edges, stages, f"patterns-{generation}", rounds)
+        good = patterns.where(F.col("confidence") >= CONFIDENT).select("pattern", "confidence")
+        count = good.count()
+        if count <= known:
+            return good
+        generation, known = generation + 1, count
+        fresh = edges.where("NOT seed").join(good.select("pattern"), "pattern").select("surface").distinct()
+        fresh = fresh.join(plain, "surface", "left_anti").withColumn("fresh", F.lit(True))
+        marked = edges.join(fresh, "surface", "left").withColumn("seed", F.col("seed") | F.coalesce("fresh", F.lit(False)))
+        edges = stages.write(f"edges-{generation}", marked.drop("fresh").select("pattern", "surface", "seed", "n"))
 
 
 def find_personal_data(docs: DataFrame, stages: Stages) -> DataFrame:

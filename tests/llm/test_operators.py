@@ -186,6 +186,22 @@ def plain_spans(text):
     return sorted(out)
 
 
+def test_contexts_go_on_from_what_they_discover(spark, stages):
+    lines = [f"please write to a{k}@mail.example.com today" for k in range(20)]
+    lines += [f"please write to zx100{k} today" for k in range(3)]
+    # no plain pattern stands behind this context
+    lines += [f"your member key zx100{k} now" for k in range(3) for _ in range(4)] + ["your member key qq7001 now"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id BIGINT, text STRING")
+    found = {r.doc_id: [(s.kind, lines[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find_personal_data(docs, stages).collect()}
+    assert found[len(lines) - 1] == [(pii.KINDS.index("context"), "qq7001")]
+
+
+def test_contexts_reach_over_long_gaps():
+    long = "w" * 300
+    text = f"call the {long}" + " " * 500 + "ab1234"
+    assert pii.mentions(text, [])[0]["patterns"] == [f"the {long}", f"call the {long}"]
+
+
 def test_spans_equal_the_plain_patterns():
     rng = np.random.default_rng(1)
     for alphabet in ("a.@-_1 ", "0123456789. -", "+1 ().-234", "a@b.c0_%+"):
