@@ -193,18 +193,25 @@ def unpacked(model: bytes) -> dict:
         return {k: f[k] for k in f.files}
 
 
+def sampled(usable: DataFrame, docs: DataFrame, sample: int) -> DataFrame:
+    """``doc_id, text, quality`` of at most ``sample`` ids a class: each id once, with the smallest of its texts."""
+    ids = usable.distinct()
+    rows = [by_hash(ids.where(F.col("quality") == q), ["doc_id"], sample) for q in (0, 1)]
+    chosen = rows[0].unionByName(rows[1])
+    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> bytes:
     """``doc_id, text`` and ``doc_id, quality`` -> the fitted network.
 
-    Of each class the ``sample`` labelled ids of smallest hash are used, with
-    their whole texts.  Rows without an id or with another label than 0 and 1
+    Of each class the ``sample`` labelled ids of smallest hash are used, each
+    once and with one whole text.  Rows without an id or with another label than 0 and 1
     are not.  The share of label 1 is that of all rows of ``labels``.
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = [by_hash(usable.where(F.col("quality") == q), ["doc_id"], sample) for q in (0, 1)]
-    chosen = rows[0].unionByName(rows[1])
     counts = usable.agg(F.coalesce(F.avg("quality"), F.lit(0.5))).first()[0]
-    texts = docs.select("doc_id", text_of().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = sampled(usable, docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sorted((d, t, q) for b in batches for d, t, q in zip(*(c.to_pylist() for c in b.columns)))
@@ -212,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int =
         yield pa.RecordBatch.from_pydict({"model": pa.array([_packed(p)], pa.binary())})
 
     # one task: its rows are bounded by the sample
-    fitted = texts.select("doc_id", "text", "quality").repartition(1).mapInArrow(run, "model BINARY").first()
+    fitted = texts.repartition(1).mapInArrow(run, "model BINARY").first()
     return fitted["model"] if fitted else _packed(fit([], np.empty(0, dtype=np.int64), float(counts), steps))
 
 

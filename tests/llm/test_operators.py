@@ -348,6 +348,13 @@ def test_classifier_learns_and_scores_odd_rows(spark, docs, no_docs):
     assert {r.score for r in classifier.score(docs, nothing).collect()} == {0.5}
 
 
+def test_classifier_takes_an_id_once(spark):
+    labels = spark.createDataFrame([(1, 1)] * 9 + [(2, 1), (3, 1), (4, 0)], "doc_id BIGINT, quality INT")
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (3, "c"), (4, None)], "doc_id BIGINT, text STRING")
+    found = classifier.sampled(labels, docs, 3).collect()
+    assert sorted((r.doc_id, bytes(r.text), r.quality) for r in found) == [(1, b"text 0", 1), (2, b"b", 1), (3, b"c", 1), (4, b"", 0)]
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(2)
     texts, labels, weights = [b"some text here", b"x" * 900, b""], np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
