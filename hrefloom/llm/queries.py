@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefloom.llm import adsearch, bpe, classifier, licenses, logbilinear, minhash, mixing, pii, quality, warc
+from hrefloom.llm import adsearch, alignment, bpe, classifier, conversations, langid, licenses, logbilinear, minhash, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,24 @@ def _mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def _languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    samples = langid.learn(docs, ~held_out)
+    found = langid.identify(docs.select("doc_id", "text"), samples)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _alignment(spark, sf_dir):
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), a, b, Stages(spark, "alignment"))
+
+
+def _conversations(spark, sf_dir):
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair(damaged, Stages(spark, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_chunks": _warc,
     "op2_ngram_ratio": _quality,
@@ -104,5 +122,8 @@ QUERIES: dict[str, Query] = {
     "op8_log_bilinear": _language_model,
     "op9_byte_bpe": _bpe,
     "op10_pivotal_mix": _mixing,
+    "op11_cross_parse": _languages,
+    "op12_token_alignment": _alignment,
+    "op13_conversation_repair": _conversations,
 }
 ORACLE: dict[str, str] = {}

@@ -24,7 +24,7 @@ def steps(spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 

@@ -1,0 +1,283 @@
+"""Language identification, tokenizer alignment and conversation repair against plain forms of themselves."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from hrefloom.llm import alignment, conversations, langid
+from hrefloom.llm.common import Stages, table
+from hrefloom.llm.queries import QUERIES
+
+# language identification
+
+
+def greedy(text: bytes, sample: bytes) -> int:
+    """Phrases of the cross-parse, by substring search."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample and text[at : at + 1] in sample:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+def test_automaton_and_parser():
+    rnd = random.Random(2)
+    for sample in (b"abcbcdabx", b"aaaaa", bytes(rnd.choices(b"abc ", k=400)), "é漢字漢".encode()):
+        ways = langid.automaton(sample)
+        texts = [bytes(rnd.choices(b"abcz \xc3", k=n)) for n in (0, 1, 5, 300)] + [sample * 3, b"zzz", b"zaz", b"a"]
+        parser = langid.Parser(sample)
+        for text in texts:
+            lengths = langid.longest_matches(text, ways)
+            assert sum(lengths) == len(text) and len(lengths) == greedy(text, sample)
+        pieces, sizes, owner = langid.cut(texts)
+        found = np.bincount(owner, weights=parser(pieces, sizes), minlength=len(texts))
+        assert found.tolist() == [sum(greedy(t[k : k + langid.PIECE], sample) for k in range(0, len(t), langid.PIECE)) for t in texts]
+
+
+def test_languages_of_held_out_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found = {r.doc_id: r for r in QUERIES["op11_cross_parse"](spark, sf_dir).collect()}
+    docs = table(spark, sf_dir, "documents").collect()
+    assert len(found) == len(docs)
+    held = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 5 == 0]
+    assert {d.doc_id for d in held} == {i for i, r in found.items() if r.held_out}
+    assert sum(found[d.doc_id].lang_pred == d.lang for d in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_languages_of_odd_rows(spark, docs, no_docs):
+    samples = langid.learn(docs, F.lit(True))
+    assert set(samples) == {"en"} and len(samples["en"].encode()) <= langid.SAMPLE
+    assert samples == langid.learn(docs.repartition(7), F.lit(True))
+    found = Counter((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, samples).collect())
+    assert sum(found.values()) == docs.count()
+    for doc_id in (5, 6, 7):
+        assert found[doc_id, "und", 0.0] == 1
+    assert found[8, "en", 1.0] == 1 and found[4, "en", 1.0] == 3
+    assert langid.identify(no_docs, samples).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"} and langid.learn(no_docs, F.lit(True)) == {}
+    kept = langid.identify(docs, samples)
+    # other columns stay as they are, whatever their names
+    assert "kept" in kept.columns and "text" not in kept.columns and kept.columns.count("score") == 1
+
+
+def test_samples_are_bounded_and_from_all_texts(spark):
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}x" for k in range(3000)), "aa" if i % 3 else "bb") for i in range(30)]
+    df = spark.createDataFrame([*rows, (99, "word", None), (98, "123", "cc")], "doc_id LONG, text STRING, lang STRING")
+    samples = langid.learn(df, F.lit(True), sample=4000)
+    assert set(samples) == {"aa", "bb"} and all(2000 < len(s) <= 4000 for s in samples.values())
+
+
+# tokenizer alignment
+
+
+@pytest.fixture(scope="module")
+def aligner():
+    return alignment.Aligner(alignment.ByteLevel(public_tokenizers.path("byte_bpe_50k.json")), alignment.Pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def plain_alignment(aligner, text):
+    """Links, groups and their digest by intervals, or None."""
+    if not text:
+        return None
+    whole = b" " + text.encode()
+    sides = []
+    for tokenizer in (aligner.a, aligner.b):
+        at, spans = 0, []
+        for i in tokenizer(text):
+            spans.append((at, at + len(tokenizer.bytes[i]), i))
+            at = spans[-1][1]
+        if b"".join(tokenizer.bytes[i] for _, _, i in spans) != whole:
+            return None
+        sides.append(spans)
+    a, b = sides
+    links = [(i, j) for s, e, i in a for x, y, j in b if s < y and x < e]
+    ends = sorted({e for _, e, _ in a} & {e for _, e, _ in b})
+    parts, before = [], 0
+    for end in ends:
+        parts.append([[i for s, e, i in side if before <= s and e <= end] for side in sides])
+        before = end
+    written = ";".join("|".join(",".join(map(str, side)) for side in part) for part in parts)
+    return len(a), len(b), len(ends), sum(len(x) * len(y) for x, y in parts), links, hashlib.sha256(written.encode()).hexdigest()
+
+
+def check_alignment(aligner, rows, found):
+    plain = [(i, plain_alignment(aligner, t)) for i, t in rows]
+    counts = Counter(link for _, p in plain if p for link in p[4])
+    highest = {}
+    for (_, b), n in counts.items():
+        highest[b] = max(n, highest.get(b, 0))
+    expected = Counter()
+    for i, p in plain:
+        if p is None:
+            expected[i, 0, 0, 0, 0, 0, 0, 0, ""] += 1
+        else:
+            best, total = sum(counts[x] == highest[x[1]] for x in p[4]), sum(counts[x] for x in p[4])
+            expected[i, *p[:4], len(p[4]), best, total, p[5]] += 1
+    names = ("doc_id", "n_a", "n_b", "n_groups", "n_group_links", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert Counter(tuple(r[c] for c in names) for r in found) == expected
+
+
+ODD = ["a  b\n\nc\t d", " ", "  lead", " trail ", "\xa0x", "ﬁ ½ é", "\0a", "<s>hi</s><unk><|endoftext|>", "▁a", "á", "\r\n", "😀 ퟿漢字", "x" * 3000, "=" * 999]
+
+
+def test_alignment_of_odd_texts(spark, aligner, docs, no_docs, monkeypatch):
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 2000)
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + list(enumerate(ODD, 100))
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id LONG, text STRING, n_a INT, chunk STRING").repartition(3)
+    check_alignment(aligner, rows, alignment.align_tokenizers(df, *paths, Stages(spark, "align")).collect())
+    assert plain_alignment(aligner, "▁a") is None
+    assert alignment.align_tokenizers(no_docs, *paths, Stages(spark, "align")).count() == 0
+
+
+def test_alignment_query(spark, aligner, sf_dir):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect() if len(r.text or "") < 4000]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    check_alignment(aligner, rows, alignment.align_tokenizers(df, *paths, Stages(spark, "align")).collect())
+    assert QUERIES["op12_token_alignment"](spark, sf_dir).count() == 200
+
+
+def test_products_of_rows(monkeypatch):
+    rnd = np.random.default_rng(1)
+    for limit in (1 << 20, 5):
+        monkeypatch.setattr(alignment, "PRODUCT_ROWS", limit)
+        for n, m, k in ((1, 1, 1), (7, 5, 9), (0, 3, 4), (6, 0, 4)):
+            one, two = rnd.random((n, k)) < 0.4, rnd.random((m, k)) < 0.4
+
+            def rows(x):
+                return alignment.Rows(np.concatenate([[0], np.cumsum(x.sum(axis=1))]).astype(int), np.nonzero(x)[1], k)
+
+            dense = np.zeros((n, m), dtype=int)
+            for r, c, v in rows(one).product(rows(two).transposed()):
+                dense[r, c] += v
+            assert (dense == one.astype(int) @ two.T.astype(int)).all()
+    a, b = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 1, 2])
+    links = {(x, y) for r, c, _ in alignment.shared_group_links(a, b, 3) for x, y in zip(r.tolist(), c.tolist())}
+    assert links == {(i, j) for i in range(5) for j in range(4) if a[i] == b[j]} and alignment.n_shared_group_links(a, b, 3) == len(links)
+
+
+# conversation repair
+
+
+def plain_repair(rows):
+    """A forward search that carries the least audit of every state."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    out = {}
+    for conv, said in convs.items():
+        now = []
+        for turn, role, text in said:
+            place = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+            text = {1: "", 2: re.sub("[.!?]", "", text)}.get(place, text)
+            now += [(turn, "user" if place == 4 else role, text)] * {0: 0, 3: 2}.get(place, 1)
+        now.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).hexdigest()))
+        turns = [t for t, _, _ in now if t is not None]
+        seen, faults = set(), []
+        for _, role, text in now:
+            bare = re.sub("[\x20\x09-\x0d]", "", text)
+            faults.append("blank" if not bare else "again" if (role, text) in seen else "cut" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+
+        def inserted(best):
+            for _ in range(3):
+                more = dict(best)
+                for state, (cost, audit, lines) in best.items():
+                    to = "a" if state == "u" else "u"
+                    way = cost + 2, audit + "I", (*lines, "user:" if to == "u" else "assistant:")
+                    more[to] = min(more.get(to, way), way)
+                best = more
+            return best
+
+        best = {"": (0, "", ())}
+        for (_, role, text), fault in zip(now, faults):
+            after = {}
+            for state, (cost, audit, lines) in inserted(best).items():
+                ways = [(state, (cost + 3, audit + "D", lines))]
+                if fault not in ("blank", "again"):
+                    cost += fault == "cut"
+                    to = {"s": {"": "s"}, "u": {"": "u", "s": "u", "a": "u"}, "a": {"u": "a"}}.get(role[:1], {}).get(state)
+                    ways += [(to, (cost, audit + "K", (*lines, f"{role}:{text}")))] if to else []
+                    to = "a" if state == "u" else "u"
+                    ways.append((to, (cost + 2, audit + "R", (*lines, f"{'user' if to == 'u' else 'assistant'}:{text}"))))
+                for to, way in ways:
+                    after[to] = min(after.get(to, way), way)
+            best = after
+        best = inserted(best)
+        cost, audit, lines = min(best[s] for s in ("", "a") if s in best)
+        illegal = sum(x[1][:1] + y[1][:1] not in ("su", "ua", "au") for x, y in zip(now, now[1:]))
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[conv] = (gaps, *(faults.count(f) for f in ("blank", "again", "cut")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def check_repair(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id BIGINT, turn BIGINT, role STRING, text STRING, part STRING, cost STRING")
+    found = conversations.repair(conversations.damage(df.repartition(3)), Stages(spark, "repair"), **options).collect()
+    columns = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    assert {r.conv_id: tuple(r[c] for c in columns) for r in found} == plain_repair(rows) and len({r.conv_id for r in found}) == len(found)
+
+
+def odd_row(rnd, conv, turn):
+    text = rnd.choice(["Hi.", "Yes!", "cut", "", None, " \t\r\n", "\xa0", "a?", "b. ", *(f"w{rnd.randrange(50)}." for _ in range(6))])
+    return conv, turn, rnd.choice(["user", "assistant", "system", "user", "assistant", "tool", "umpire", None, ""]), text
+
+
+@pytest.fixture()
+def many_parts(spark):
+    """Conversations cut at many borders of tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_repair_of_odd_conversations(spark, many_parts):
+    rnd = random.Random(1)
+    rows = [odd_row(rnd, 1, t) for t in range(300)] + [odd_row(rnd, c, t) for c in range(2, 40) for t in range(rnd.randrange(9))]
+    check_repair(spark, [*rows, *(odd_row(rnd, None, None) for _ in range(6)), (5, None, "user", "x" * 100_000), (90, 0, None, None), (5, 1, "user", "Hi.")])
+    check_repair(spark, [])
+
+
+@pytest.mark.parametrize("passes", [0, 1, 6])
+def test_repair_of_long_conversations(spark, many_parts, monkeypatch, passes):
+    """Rows of roles without a place keep vectors apart: the unit vectors must end it."""
+    monkeypatch.setattr(conversations, "PIECE_ROWS", 32)
+    rnd = random.Random(4)
+    check_repair(spark, [(1, t, "tool", f"x{t}.") for t in range(700)] + [odd_row(rnd, 2, t) for t in range(400)] + [(3, 0, "user", "a.")], passes=passes)
+
+
+def test_repair_of_repeated_rows(spark, many_parts):
+    check_repair(spark, [(7, None, "user", "same.")] * 300 + [(7, 3, "assistant", "x."), (7, 9, "user", "same."), (8, 2, "user", "same.")])
+
+
+def test_repair_query(spark, sf_dir):
+    rows = [tuple(r) for r in table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    columns = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    assert {r.conv_id: tuple(r[c] for c in columns) for r in QUERIES["op13_conversation_repair"](spark, sf_dir).collect()} == plain_repair(rows)
+
+
+def test_steps_against_products_of_all_edits():
+    """A step of the search on any vector is the least sum over rows inserted, the edit, and what follows."""
+    search, rnd = conversations.Search(), random.Random(3)
+    for _ in range(200):
+        after, code = conversations.closed(float(rnd.randrange(7)) for _ in range(4)), rnd.randrange(9)
+        vector, least = search.backwards(code, after)
+        for state in range(4):
+            at, ways = state, []
+            for inserts in range(4):
+                ways += [2 * inserts + cost + after[to] for _, cost, to in conversations.edits(at, code)]
+                at = 2 if at != 2 else 3
+            assert vector[state] + least == min(ways)
+            letters, end, cost = search.forwards(state, code, after)
+            assert cost + after[end] == min(ways) and letters[:-1] == "I" * (len(letters) - 1)
