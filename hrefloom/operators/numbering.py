@@ -5,8 +5,7 @@ integers are cut by their bits into leaves, leaves into groups of 2**20, groups
 again into groups, two levels deep.  Each level needs only a sum per group, so a
 window holds a million rows at most, but for the last one: it holds a row per
 2**60 of the values' range (2**52 with leaves of 2**12), which is a few.  ``global_rank``
-takes any order, ties included, at the price of a written sort.  Nothing passes
-through the driver.
+takes any order, ties included, at the price of a written sort.
 """
 
 from __future__ import annotations
@@ -56,16 +55,22 @@ def global_index(df: DataFrame, order_by: list[str], out: str, leaf_bits: int =
     return numbered.select(*df.columns, (F.col("_before_leaf") + F.col("_within_leaf")).alias(out))
 
 
-def global_rank(df: DataFrame, order_by: list[str], out: str, work_dir: str) -> DataFrame:
+def global_rank(df: DataFrame, order_by: list[str], out: str, work_dir: str, keep_range: bool = False) -> DataFrame:
     """Adds ``out``: the dense 1-based rank of each row in any order.
 
     The rows are range sorted on all of ``order_by``, so ties in the leading
-    columns are split as well, and written with the number of their range: a
-    range sort may cut differently when run again, and what is counted must be
-    what is numbered.
+    columns are split as well, and written with their range and their place in
+    it: a range sort may cut differently when run again, and what is counted
+    must be what is numbered.  A rank is that place and the sizes of the ranges
+    before, one number per task of the sort, so rows are shuffled and sorted
+    once.  With ``keep_range`` the column ``_range`` stays: a file holds one, so
+    whoever wants the front of the order filters on it and reads the first files.
     """
     path = f"{work_dir.rstrip('/')}/ranges"
-    ranged = df.orderBy(*order_by).withColumn("_range", F.spark_partition_id())
+    # the upper bits of this id are the task, the lower 33 count its rows in their order
+    place = F.monotonically_increasing_id()
+    ranged = df.orderBy(*order_by).withColumn("_place", place)
+    ranged = ranged.withColumn("_range", F.shiftright("_place", 33).cast("int")).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1))
     ranged.write.mode("overwrite").parquet(path)
     rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
     # one row per partition of the sort
@@ -73,6 +78,5 @@ def global_rank(df: DataFrame, order_by: list[str], out: str, work_dir: str) ->
     before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select(
         "_range", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before")
     )
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
-    numbered = rows.withColumn("_within", within).join(before, "_range")
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_within")).alias(out))
+    numbered = rows.join(F.broadcast(before), "_range")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(out), *["_range"] * keep_range)

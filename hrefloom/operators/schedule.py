@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hrefloom.operators.numbering import LEAF_BITS, global_index, leaf_of, totals_before
+from hrefloom.operators.numbering import LEAF_BITS, global_index, global_rank, leaf_of, totals_before
 
 
 def _before_bucket(summary: DataFrame, c: Column, bits: int, levels: int) -> DataFrame:
@@ -96,10 +96,18 @@ def next_host_state(plan: DataFrame, host_state: DataFrame | None = None) -> Dat
     return ended.groupBy("host").agg(F.max("last_dispatch_at").alias("last_dispatch_at"))
 
 
-def fair_order(plan: DataFrame) -> DataFrame:
-    """The global dispatch order: earliest first, ties by eligibility, then host."""
-    last = [c for c in ("seq",) if c in plan.columns]
-    return plan.orderBy("dispatch_at", "eligible_at", "host", *last)
+FAIR = ("dispatch_at", "eligible_at", "host")
+
+
+def fair_order(plan: DataFrame, work_dir: str | None = None) -> DataFrame:
+    """The global dispatch order: earliest first, ties by eligibility, then host, then ``seq``.
+
+    With ``work_dir`` the order is written there and comes back as ``position``
+    (from 1) and ``_range``: one range partitioning of the rows serves both the
+    order and the numbers, and a dispatcher filters on the first ranges.
+    """
+    order = [*FAIR, *(c for c in ("seq",) if c in plan.columns)]
+    return plan.orderBy(*order) if work_dir is None else global_rank(plan, order, "position", work_dir, keep_range=True)
 
 
 def fifo_plan(df: DataFrame, interval_ms: int, start_ms: int = 0) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hrefloom.functions import urls as U
 from hrefloom.operators.links import INFRA, failed_pages, page_links
 from hrefloom.plans.discover import accepted_links, failed_links
+from hrefloom.sources.keyed_log import KeyedLog
 from hrefloom.sources.snapshot import NOT_FOUND, fetch_pages, page_index
 from hrefloom.workdir import work_dir as fresh_dir
 
 ROUND_SCHEMA = "url STRING, host STRING, key STRING, round INT"
+WORK_SCHEMA = "round INT, tracked BIGINT, completed BIGINT, outstanding BIGINT"
 
 
 def _links_of(pages: DataFrame) -> DataFrame:
@@ -28,30 +30,37 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, wor
     not yet asked for is then left in ``work_dir``/frontier (empty otherwise).
 
     All pages are read and parsed once, into a narrow table of distinct links
-    by page URL; a round is then one join of the frontier to that table, a
-    distinct and an anti join that share their shuffle, and html is never
-    touched again.  A page's base is its canonical URL, since that is how every
-    URL but a seed is asked for; seeds fetch their pages on their own.  Every
-    round is written to ``work_dir`` before the next starts: lineage stays short
-    and a lost executor costs at most the tasks it ran.
+    by page URL; a round is then one join of the frontier to that table and one
+    of its distinct links to the log of URLs met, which lies in buckets: the
+    round's links are shuffled to it, and it is read where they fall and never
+    shuffled.  Html is never touched again.  A page's base is its canonical URL,
+    since that is how every URL but a seed is asked for; seeds fetch their pages
+    on their own.  Every round is written to ``work_dir`` before the next
+    starts: lineage stays short and a lost executor costs at most the tasks it
+    ran.  ``crawl_work`` reads what the rounds counted as they were written.
     """
     spark = pages.sparkSession
     root = fresh_dir(spark, "crawl") if work_dir is None else work_dir.rstrip("/")
+    seen = KeyedLog(spark, f"{root}/seen", "key STRING", "key")
+    tracked = []
 
     def table(name: str, df: DataFrame) -> DataFrame:
         path = f"{root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    def round_table(n: int, urls: DataFrame) -> DataFrame:
-        hosted = urls.select("url", U.host_of("url").alias("host"), "key")
-        return table(f"rounds/round={n}", hosted)
-
-    def visited(through: int) -> DataFrame:
-        rounds = spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
-        return rounds.where(F.col("round") <= through)
-
-    frontier = round_table(0, seeds.select("url").distinct().withColumn("key", U.url_key("url")))
+    def enter(n: int, urls: DataFrame) -> DataFrame:
+        """Writes a round, counted on the way, and remembers its URLs."""
+        counted = Observation(f"round-{n}")
+        hosted = urls.select("url", U.host_of("url").alias("host"), "key").observe(counted, F.count(F.lit(1)).alias("tracked"))
+        entered = table(f"rounds/round={n}", hosted)
+        tracked.append(counted.get["tracked"])
+        if tracked[-1]:
+            seen.append(n, entered)
+            seen.compact()
+        return entered
+
+    frontier = enter(0, seeds.select("url").distinct().withColumn("key", U.url_key("url")))
     n = 0
     if max_rounds is None or max_rounds > 0:
         # where several pages share a canonical URL, the index keeps the one that answers
@@ -63,14 +72,28 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, wor
         # seeds: pages resolved against the URL exactly as given
         found, _ = fetch_pages(frontier.select("url", F.xxhash64("url").alias("seq")), pages, index)
         candidates = _links_of(found.withColumnRenamed("seq", "page_id"))
-        while not frontier.isEmpty() and (max_rounds is None or n < max_rounds):
-            met = visited(n).select(F.col("key").alias("url"))
-            new = candidates.select("url").distinct().join(met, "url", "left_anti")
+        while tracked[n] and (max_rounds is None or n < max_rounds):
             n += 1
-            frontier = round_table(n, new.withColumn("key", F.col("url")))
+            met = table(f"candidates/round={n}", candidates.select("url").distinct())
+            frontier = enter(n, seen.unseen(met, "url").withColumn("key", F.col("url")))
             candidates = links.join(frontier.select(F.col("key").alias("src")), "src")
+    seen.close()
+    # a round's URLs are done when the next round is written
+    done = [0, *tracked[:-1]]
+    work = [(i, tracked[i], done[i], sum(tracked[: i + 1]) - sum(done[: i + 1])) for i in range(n + 1)]
+    spark.createDataFrame(work, WORK_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/work")
     table("frontier", frontier.select("url", "host"))
-    return visited(n).select("url", "host", "round")
+    rounds = spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
+    return rounds.where(F.col("round") <= n).select("url", "host", "round")
+
+
+def crawl_work(spark: SparkSession, work_dir: str) -> DataFrame:
+    """What each round of the crawl in ``work_dir`` counted: ``round, tracked, completed, outstanding``.
+
+    ``tracked`` URLs entered with the round, ``completed`` ones were asked for
+    by its end, ``outstanding`` ones were not.  A crawl to the end has none left.
+    """
+    return spark.read.schema(WORK_SCHEMA).parquet(f"{work_dir.rstrip('/')}/work")
 
 
 def _answering(crawled: DataFrame, pages: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from hrefloom.functions import policy
 from hrefloom.functions import urls as U
 from hrefloom.operators.links import DOMAIN, failed_pages, page_links
 from hrefloom.operators.numbering import global_index
+from hrefloom.sources.keyed_log import SeenBatch
 
 # links of 2**PAGE_LEAF_BITS consecutive pages are numbered together
 PAGE_LEAF_BITS = 12
@@ -52,7 +53,7 @@ def new_links(links: DataFrame, seen: DataFrame | None = None, order: str = "pag
 
 
 def discover_links(
-    pages: DataFrame, seen: DataFrame | None = None, work_dir: str | None = None
+    pages: DataFrame, seen: DataFrame | SeenBatch | None = None, work_dir: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``page_id, url, html`` -> (new ``seq, page, url, host``, quarantined).
 
@@ -63,6 +64,9 @@ def discover_links(
     The two results are two queries.  With ``work_dir`` the resolved links are
     written there first, so that both read them and the pages are parsed once;
     so are the first sights, which the numbering reads more than once.
+
+    ``seen`` may also be a batch of a ``KeyedLog``, which is then joined where it
+    lies: only the first sights are shuffled, and they need ``work_dir``.
     """
     order = "seq" if "seq" in pages.columns else "page_id"
     if "page_id" not in pages.columns:
@@ -77,7 +81,11 @@ def discover_links(
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     links = staged("links", links)
-    firsts = new_links(accepted_links(links), seen, order).withColumnRenamed(order, "_order")
-    numbered = global_index(staged("firsts", firsts), ["_order", "pos"], "seq", PAGE_LEAF_BITS)
+    logged = isinstance(seen, SeenBatch)
+    firsts = new_links(accepted_links(links), None if logged else seen, order).withColumnRenamed(order, "_order")
+    firsts = staged("firsts", firsts)
+    if logged:
+        firsts = staged("new", seen.unseen(firsts, "url"))
+    numbered = global_index(firsts, ["_order", "pos"], "seq", PAGE_LEAF_BITS)
     bad = failed_links(links).unionByName(failed_pages(pages), allowMissingColumns=True)
     return numbered.select("seq", "page", "url", "host"), bad

@@ -12,11 +12,13 @@ import re
 from hrefloom.functions import rules
 from hrefloom.plans.inputs import PROBE_HREFS, SPAM_RULES, probe_anchors
 from hrefloom.plans.registry import (
+    ASKED_EVERY,
     COOLDOWN_MS,
     DEQUEUED,
     FIFO_INTERVAL_MS,
     PAGE_INTERVAL_MS,
     STATS_AT_MS,
+    TAKEN,
 )
 
 
@@ -73,69 +75,43 @@ def _cut(source: str, out: str, keys: str = "page_id, pos", url: str = "url") ->
 )"""
 
 
-def _canon(source: str, out: str, keys: str = "page_id, pos", paths: bool = True, queries: bool = True) -> str:
+def _canon(source: str, out: str, paths: bool = True, queries: bool = True) -> str:
     """CTE ``out``: ``source`` (a cut) with each canonical part beside the raw one.
 
-    Without ``paths`` or ``queries`` those parts are left out, and so is what
-    they are made of.
+    Every part is made from its own row by list functions.  Without ``paths`` or
+    ``queries`` those parts are left out, and so is what they are made of.
     """
-    k = [c.strip() for c in keys.split(",")]
-    on_t = " AND ".join(f"u.{c} = t.{c}" for c in k)
-    on_g = " AND ".join(f"u.{c} = g.{c}" for c in k)
-    path_ctes = rf"""
-{out}_tokens AS (
-  SELECT {keys}, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
-  FROM (SELECT {keys}, regexp_extract_all(path, '%[0-9A-Fa-f]{{2}}|[^%]|%') AS toks FROM {source})
-),
-{out}_paths AS (
-  SELECT {keys}, string_agg(
-    CASE WHEN NOT regexp_matches(tok, '^%[0-9A-Fa-f]{{2}}$') THEN tok
-         WHEN regexp_matches(url_decode(CASE WHEN tok < '%8' THEN tok ELSE '%00' END), '^[A-Za-z0-9._~-]$')
-           THEN url_decode(tok)
-         ELSE upper(tok) END, '' ORDER BY i) AS recoded
-  FROM {out}_tokens GROUP BY {keys}
-),"""
+    path_parts = r"""
+    coalesce(array_to_string(list_transform(regexp_extract_all(path, '%[0-9A-Fa-f]{2}|[^%]|%'), lambda t:
+      CASE WHEN NOT regexp_matches(t, '^%[0-9A-Fa-f]{2}$') THEN t
+           WHEN regexp_matches(url_decode(CASE WHEN t < '%8' THEN t ELSE '%00' END), '^[A-Za-z0-9._~-]$') THEN url_decode(t)
+           ELSE upper(t) END), ''), '') AS recoded,"""
+    pairs = r"""list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''), lambda p: {
+      'k': url_decode(replace(regexp_extract(p, '^[^=]*'), '+', ' ')),
+      'v': CASE WHEN contains(p, '=') THEN url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' ')) END})"""
+    tracking, wiki = (f"[{_list(keys)[1:-1]}]" for keys in (rules.TRACKING_KEYS, rules.WIKI_ACTION_KEYS))
     query_ctes = rf"""
-{out}_pieces AS (
-  SELECT {keys}, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
-  FROM (SELECT {keys}, string_split(query, '&') AS ps FROM {source} WHERE query <> '')
-),
-{out}_pairs AS (
-  SELECT {keys}, i,
-    url_decode(replace(regexp_extract(piece, '^[^=]*'), '+', ' ')) AS k,
-    CASE WHEN contains(piece, '=') THEN url_decode(replace(regexp_extract(piece, '^[^=]*=(.*)$', 1), '+', ' ')) END AS v
-  FROM {out}_pieces WHERE piece <> ''
-),
+{out}_pairs AS (SELECT *, {pairs} AS pairs FROM {source}),
 {out}_texts AS (
-  SELECT *, replace(replace(url_encode(k) || coalesce('=' || url_encode(v), ''), '%2F', '/'), '%3F', '?') AS txt,
-    k || coalesce('=' || v, '') AS plain,
-    k IN {_list(rules.TRACKING_KEYS)} AS tracking, k IN {_list(rules.WIKI_ACTION_KEYS)} AS wiki_key
+  SELECT * EXCLUDE (pairs), list_transform(pairs, lambda x, i: {{'k': x.k, 'v': coalesce(x.v, ''), 'i': i,
+    'txt': replace(replace(url_encode(x.k) || coalesce('=' || url_encode(x.v), ''), '%2F', '/'), '%3F', '?'),
+    'plain': x.k || coalesce('=' || x.v, '')}}) AS texts
   FROM {out}_pairs
-),
-{out}_queries AS (
-  SELECT {keys},
-    string_agg(plain, '&' ORDER BY i) AS plain,
-    string_agg(txt, '&' ORDER BY i) AS qtext,
-    string_agg(txt, '&' ORDER BY k, coalesce(v, ''), i) FILTER (WHERE NOT tracking) AS ctext,
-    bool_or(wiki_key) AS wiki_action
-  FROM {out}_texts GROUP BY {keys}
 ),"""
-    path_parts = "coalesce(t.recoded, '') AS recoded," if paths else ""
-    query_parts = (
-        "coalesce(g.plain, '') AS plain, coalesce(g.qtext, '') AS qtext, coalesce(g.ctext, '') AS ctext,"
-        " coalesce(g.wiki_action, false) AS wiki_action,"
-    ) if queries else ""
-    joins = (f" LEFT JOIN {out}_paths t ON {on_t}" if paths else "") + (f" LEFT JOIN {out}_queries g ON {on_g}" if queries else "")
+    query_parts = f"""
+    coalesce(array_to_string(list_transform(texts, lambda x: x.plain), '&'), '') AS plain,
+    coalesce(array_to_string(list_transform(texts, lambda x: x.txt), '&'), '') AS qtext,
+    coalesce(array_to_string(list_transform(list_sort(list_filter(texts, lambda x: NOT list_contains({tracking}, x.k))), lambda x: x.txt), '&'), '') AS ctext,
+    coalesce(len(list_filter(texts, lambda x: list_contains({wiki}, x.k))) > 0, false) AS wiki_action,"""
     cpath = "coalesce('/' || nullif(array_to_string(list_filter(string_split(recoded, '/'), lambda s: s <> ''), '/'), ''), '')"
     return rf"""
-{path_ctes if paths else ""}
 {query_ctes if queries else ""}
 {out}_parts AS (
-  SELECT u.*, {path_parts} {query_parts}
-    regexp_replace(u.host, '\.$', '') AS bare_host,
-    CASE WHEN (u.scheme = 'http' AND u.port = 80) OR (u.scheme = 'https' AND u.port = 443) THEN NULL ELSE u.port END AS cport,
-    coalesce('/' || nullif(array_to_string(list_filter(string_split(u.path, '/'), lambda s: s <> ''), '/'), ''), '') AS flat
-  FROM {source} u{joins}
+  SELECT *, {path_parts if paths else ""} {query_parts if queries else ""}
+    regexp_replace(host, '\.$', '') AS bare_host,
+    CASE WHEN (scheme = 'http' AND port = 80) OR (scheme = 'https' AND port = 443) THEN NULL ELSE port END AS cport,
+    coalesce('/' || nullif(array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), '/'), ''), '') AS flat
+  FROM {f"{out}_texts" if queries else source}
 ),
 {out} AS (SELECT *{", " + cpath + " AS cpath" if paths else ""} FROM {out}_parts)"""
 
@@ -241,7 +217,7 @@ def _discovered(source: str, name: str) -> str:
     return f"""
 good AS (SELECT page_id, page, pos, link FROM {source} WHERE link IS NOT NULL),
 {_cut("good", "lcut", "page_id, page, pos", "link")},
-{_canon("lcut", "lu", "page_id, page, pos")},
+{_canon("lcut", "lu")},
 {name} AS (
   SELECT page_id, page, pos, {CANONICAL} AS url, bare_host AS host FROM lu WHERE {ACCEPT} AND NOT {BLOCKED}
 )"""
@@ -252,7 +228,7 @@ firsts AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, pos) AS nth FROM accepted) WHERE nth = 1
 )"""
 
-PAGE_CANON = f"{_cut('pages', 'pgcut', 'page_id')},{_canon('pgcut', 'pgu', 'page_id')}, page_keys AS (SELECT page_id, {CANONICAL} AS key FROM pgu)"
+PAGE_CANON = f"{_cut('pages', 'pgcut', 'page_id')},{_canon('pgcut', 'pgu')}, page_keys AS (SELECT page_id, {CANONICAL} AS key FROM pgu)"
 
 # -- plans ------------------------------------------------------------------
 
@@ -397,6 +373,12 @@ ORACLE: dict[str, str] = {
         FROM pages a JOIN page_keys k ON k.page_id = a.page_id JOIN answers n ON n.key = k.key
         JOIN pages w ON w.page_id = n.page_id
         UNION ALL SELECT 'https://gone.example.com/' || CAST(page_id AS VARCHAR), -1, 'infra' FROM pages""",
+    "fetch_pages_late": f"""WITH {PAGE_CANON},
+        answers AS (SELECT key, min(page_id) AS page_id FROM page_keys GROUP BY key)
+        SELECT a.url || '#late' AS url, CAST(length(w.html) AS INTEGER) AS n_chars, 'found' AS outcome
+        FROM pages a JOIN page_keys k ON k.page_id = a.page_id JOIN answers n ON n.key = k.key
+        JOIN pages w ON w.page_id = n.page_id WHERE a.page_id % {ASKED_EVERY} = 0
+        UNION ALL SELECT 'https://gone.example.com/' || CAST(page_id AS VARCHAR), -1, 'infra' FROM pages WHERE page_id % {ASKED_EVERY} = 0""",
     "resolve_redirects": """WITH RECURSIVE hop AS (
           SELECT a.url AS src, b.url AS dst FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 10 < 5
         ), walk AS (
@@ -407,6 +389,8 @@ ORACLE: dict[str, str] = {
           CASE WHEN depth > 3 THEN 'infra' END AS error_class
         FROM ends e JOIN walk w ON w.url = e.url AND w.n = e.depth""",
     "queue_publish": f"WITH {QUEUE} SELECT id, url FROM queue",
+    "queue_log": f"""WITH {QUEUE},{_cut("queue", "qcut", "id")}
+        SELECT CASE WHEN id <= {TAKEN} THEN 'batch' ELSE 'rest' END AS part, id, url FROM qcut WHERE id > {TAKEN} OR ok""",
     "queue_size": f"WITH {QUEUE} SELECT count(*) AS queued FROM queue",
     "queue_dequeue": f"""WITH stored AS (
           SELECT page_id * 3 + 7 AS id, CASE WHEN page_id % 9 = 4 THEN url || ' not a url' ELSE url END AS url FROM pages
@@ -414,6 +398,11 @@ ORACLE: dict[str, str] = {
         SELECT 'batch' AS part, id, url FROM stored WHERE id IN (SELECT id FROM taken) AND NOT contains(url, ' ')
         UNION ALL SELECT 'rest', id, url FROM stored WHERE id NOT IN (SELECT id FROM taken)""",
     "crawl": f"{CRAWL} SELECT url, host, round FROM crawled",
+    "crawl_work": f"""{CRAWL}, per AS (SELECT round, count(*) AS n FROM crawled GROUP BY round),
+        steps AS (SELECT round, n FROM per UNION ALL SELECT max(round) + 1, 0 FROM per),
+        done AS (SELECT round, n, coalesce(lag(n) OVER (ORDER BY round), 0) AS d FROM steps)
+        SELECT CAST(round AS INTEGER) AS round, CAST(n AS BIGINT) AS tracked, CAST(d AS BIGINT) AS completed,
+          CAST(sum(n - d) OVER (ORDER BY round) AS BIGINT) AS outstanding FROM done""",
     "crawl_failures": f"""{CRAWL}, reached AS (
           SELECT min(k.page_id) AS page_id FROM page_keys k GROUP BY k.key HAVING k.key IN (SELECT url FROM crawled WHERE round > 0)
             OR k.key = (SELECT key FROM page_keys WHERE page_id = 0))
@@ -430,4 +419,12 @@ ORACLE: dict[str, str] = {
           page_id * {PAGE_INTERVAL_MS} AS arrival_ms FROM firsts),
         {_planned("found")}
         SELECT f.seq, f.page, f.url, f.host, p.dispatch_at FROM found f JOIN plan p ON p.seq = f.seq""",
+    "dedup_state_stream": f"""WITH {SEQUENCE},{_cut("sequence", "c", "seq")} SELECT min(seq) AS seq, {KEY} AS key FROM c GROUP BY ALL""",
+    "dedup_bounded_stream": f"""WITH {SEQUENCE},{_cut("sequence", "c", "seq")} SELECT DISTINCT {KEY} AS key FROM c""",
+    "politeness_state_stream": f"{PLAN} SELECT seq, host, eligible_at, dispatch_at FROM plan",
+    "discover_state_stream": f"""WITH RECURSIVE {RICH_LINKS},{_discovered("links", "accepted")},{FIRSTS},
+        found AS (SELECT row_number() OVER (ORDER BY page_id, pos) AS seq, page_id, pos, page, url, host,
+          page_id * {PAGE_INTERVAL_MS} AS arrival_ms FROM firsts),
+        {_planned("found")}
+        SELECT f.page_id, f.pos, f.page, f.url, f.host, p.dispatch_at FROM found f JOIN plan p ON p.seq = f.seq""",
 }

@@ -12,15 +12,23 @@ from hrefloom.operators import links as L
 from hrefloom.operators import schedule as S
 from hrefloom.operators.blocklist import blocklist_anti_join
 from hrefloom.operators.dedup import has_seen
-from hrefloom.operators.numbering import global_rank
 from hrefloom.plans import inputs as I
-from hrefloom.plans.crawl import crawl, crawl_failures, unanswered
+from hrefloom.plans.crawl import crawl, crawl_failures, crawl_work, unanswered
 from hrefloom.plans.discover import discover_links
-from hrefloom.sources.queue import QUEUE_SCHEMA, queue_dequeue, queue_publish
+from hrefloom.sources.queue import QUEUE_SCHEMA, QueueLog, queue_dequeue, queue_publish
 from hrefloom.sources.seeds import validate_seeds
-from hrefloom.sources.snapshot import fetch_pages, resolve_redirects
+from hrefloom.sources.snapshot import fetch_pages, resolve_redirects, store_snapshot
 from hrefloom.sources.stream import PAGE_SCHEMA, link_stream
-from hrefloom.streaming.streams import run_dedup_stream, run_discover_stream, run_politeness_stream
+from hrefloom.streaming.streams import (
+    dedup_stream,
+    discover_stream,
+    disk_state,
+    first_sights,
+    politeness_stream,
+    run_dedup_stream,
+    run_discover_stream,
+    run_politeness_stream,
+)
 from hrefloom.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +37,8 @@ COOLDOWN_MS = 3_600_000
 FIFO_INTERVAL_MS = 100
 PAGE_INTERVAL_MS = 1000
 DEQUEUED = 100
+TAKEN = 300
+ASKED_EVERY = 10
 STATS_AT_MS = 1_705_000_000_000
 
 
@@ -127,9 +137,8 @@ def _stats_at(spark, sf_dir):
 
 
 def _fair(spark, sf_dir):
-    order = ["dispatch_at", "eligible_at", "host", "seq"]
-    ranked = global_rank(_plan(spark, sf_dir).select(*order), order, "position", work_dir(spark, "fair-order"))
-    return S.fair_order(ranked).select("position", *order)
+    order = [*S.FAIR, "seq"]
+    return S.fair_order(_plan(spark, sf_dir).select(*order), work_dir(spark, "fair-order")).select("position", *order)
 
 
 def _fifo(spark, sf_dir):
@@ -148,6 +157,20 @@ def _queue(spark, sf_dir):
     return queue_publish(first, _sequence(pages), now)
 
 
+def _queue_log(spark, sf_dir):
+    """The queue of ``queue_publish`` as a log, some of it taken, and taken again under the same token."""
+    pages = _plain_pages(spark, sf_dir)
+    now = F.lit("2024-01-01").cast("timestamp")
+    log = QueueLog(spark, work_dir(spark, "queue-log"))
+    log.publish(0, pages.select(F.col("page_id").alias("seq"), "url"), now)
+    log.publish(1, _sequence(pages), now)
+    log.publish(1, _sequence(pages), now)
+    log.take(TAKEN, "first")
+    batch = log.take(TAKEN, "first")
+    taken = batch.withColumn("part", F.lit("batch")).unionByName(log.rest().withColumn("part", F.lit("rest")))
+    return taken.select("part", "id", "url")
+
+
 def _publish(spark, sf_dir):
     return _queue(spark, sf_dir).select("id", "url")
 
@@ -181,6 +204,17 @@ def _fetch(spark, sf_dir):
     return hit.unionByName(missing.select("url", F.lit(-1).alias("n_chars"), F.col("error_class").alias("outcome")))
 
 
+def _late_fetch(spark, sf_dir):
+    """A tenth of the pages and a few that are not there, from a snapshot by id."""
+    root = work_dir(spark, "fetch")
+    pages = store_snapshot(_plain_pages(spark, sf_dir).select("page_id", "url", "html"), f"{root}/snapshot")
+    asked = pages.where(F.col("page_id") % ASKED_EVERY == 0).select(F.col("page_id").alias("seq"), F.concat("url", F.lit("#late")).alias("url"))
+    gone = asked.select((F.col("seq") + 1).alias("seq"), F.concat(F.lit("https://gone.example.com/"), F.col("seq").cast("string")).alias("url"))
+    found, missing = fetch_pages(asked.unionByName(gone), pages, work_dir=root)
+    hit = found.select("url", F.length("html").alias("n_chars"), F.lit("found").alias("outcome"))
+    return hit.unionByName(missing.select("url", F.lit(-1).alias("n_chars"), F.col("error_class").alias("outcome")))
+
+
 def _redirects(spark, sf_dir):
     pages = _plain_pages(spark, sf_dir)
     return resolve_redirects(pages.select("url"), I.redirects(pages))
@@ -200,6 +234,13 @@ def _crawl(spark, sf_dir):
     return _crawled(spark, sf_dir)[0]
 
 
+def _crawl_work(spark, sf_dir):
+    pages = I.linked_pages(_pages(spark, sf_dir))
+    root = work_dir(spark, "crawl")
+    crawl(pages.where(F.col("page_id") == 0).select("url"), pages, work_dir=root)
+    return crawl_work(spark, root)
+
+
 def _crawl_failures(spark, sf_dir):
     return crawl_failures(*_crawled(spark, sf_dir)).select("page_id", "pos", "href", "error_class", "error")
 
@@ -209,13 +250,14 @@ def _unanswered(spark, sf_dir):
 
 
 def _run(stream: DataFrame, path: str) -> DataFrame:
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with disk_state(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{path}/out")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -251,6 +293,34 @@ def _discover_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/plan").select("seq", "page", "url", "host", "dispatch_at")
 
 
+def _dedup_state(spark, sf_dir):
+    """First sights by a state store instead of a log."""
+    rows = _sequence(_page_stream(spark, sf_dir)).withColumn("key", urls.url_key("url"))
+    return _run(first_sights(rows, "key", ["seq"]), work_dir(spark, "dedup-state")).select("seq", "key")
+
+
+def _dedup_bounded(spark, sf_dir):
+    """Keys of a feed whose repeats come within a day of each other."""
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("seq") % 86_400)
+    timed = _sequence(_page_stream(spark, sf_dir)).withColumn("at", at)
+    return _run(dedup_stream(timed, ("at", "1 day")), work_dir(spark, "dedup-bounded")).select("key")
+
+
+def _politeness_state(spark, sf_dir):
+    static = I.table(spark, sf_dir, "events")
+    events = link_stream(spark, f"{sf_dir}/events.parquet*", static.schema)
+    arrived = I.arrivals(events, _plain_pages(spark, sf_dir))
+    plan = _run(politeness_stream(arrived, COOLDOWN_MS), work_dir(spark, "politeness-state"))
+    return plan.select("seq", "host", "eligible_at", "dispatch_at")
+
+
+def _discover_state(spark, sf_dir):
+    pages = I.rich_pages(_page_stream(spark, sf_dir))
+    timed = pages.withColumn("arrival_ms", F.col("page_id") * PAGE_INTERVAL_MS)
+    plan = _run(discover_stream(timed, COOLDOWN_MS), work_dir(spark, "discover-state"))
+    return plan.select("page_id", "pos", "page", "url", "host", "dispatch_at")
+
+
 QUERIES: dict[str, Query] = {
     # URL expressions
     "url_components": _components,
@@ -292,16 +362,23 @@ QUERIES: dict[str, Query] = {
     # sources and sinks
     "validate_seeds": _seeds,
     "fetch_pages": _fetch,
+    "fetch_pages_late": _late_fetch,
     "resolve_redirects": _redirects,
     "queue_publish": _publish,
     "queue_dequeue": _dequeue,
+    "queue_log": _queue_log,
     "queue_size": lambda spark, sf_dir: _queue(spark, sf_dir).agg(F.count("*").alias("queued")),
     # whole jobs and streams
     "crawl": _crawl,
+    "crawl_work": _crawl_work,
     "crawl_failures": _crawl_failures,
     "crawl_unanswered": _unanswered,
     "link_stream": _link_stream,
     "dedup_stream": _dedup_stream,
     "politeness_stream": _politeness_stream,
     "discover_stream": _discover_stream,
+    "dedup_state_stream": _dedup_state,
+    "dedup_bounded_stream": _dedup_bounded,
+    "politeness_state_stream": _politeness_state,
+    "discover_state_stream": _discover_state,
 }

@@ -3,26 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from hrefloom.functions.urls import url_key
+from hrefloom.operators.links import page_links
 from hrefloom.operators.skew import fill_cores
 from hrefloom.operators.schedule import next_host_state, politeness_plan
-from hrefloom.plans.discover import discover_links
+from hrefloom.plans.discover import accepted_links, discover_links
+from hrefloom.sources.keyed_log import KeyedLog
 
 HOST_SCHEMA = "host STRING, last_dispatch_at BIGINT"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def use_disk_state(spark: SparkSession) -> None:
     """Keep stream state in RocksDB: the seen set grows without end."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(STORE, ROCKSDB)
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, others are as before."""
+    before = spark.conf.get(STORE, None)
+    use_disk_state(spark)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
 def dedup_stream(df: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -30,8 +45,9 @@ def dedup_stream(df: DataFrame, watermark: tuple[str, str] | None = None) -> Dat
 
     State never expires, as a seen set must not; it is kept in the query's
     checkpoint and so outlives a restart.  Repeats are dropped where the key's
-    state is, one row at a time, so a hot URL costs no memory.  ``watermark`` (column, delay) bounds
-    it for feeds whose repeats come close together.
+    state is, one row at a time, so a hot URL costs no memory; of the repeats in
+    a micro-batch any one stays (``first_sights`` says which).  ``watermark``
+    (column, delay) bounds it for feeds whose repeats come close together.
     """
     keyed = df.withColumn("key", url_key("url"))
     if watermark is None:
@@ -39,39 +55,92 @@ def dedup_stream(df: DataFrame, watermark: tuple[str, str] | None = None) -> Dat
     return keyed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["key"])
 
 
-def politeness_stream(df: DataFrame, cooldown_ms: int) -> DataFrame:
+def first_sights(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each ``key``, ever: within a micro-batch the least by ``order``, across batches the earlier.
+
+    State is one flag per key, in RocksDB (start the query in ``disk_state``).
+    Rows of a key come frame by frame and one of them is held, so a hot key
+    costs no memory; a null key is one like others.
+    """
+    names = df.columns
+
+    class FirstSight(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.met = handle.getValueState("met", "met BOOLEAN")
+
+        def handleInputRows(self, keys, rows, timers) -> Iterator[pd.DataFrame]:
+            if self.met.exists():
+                return
+            firsts = [frame.nsmallest(1, order) if len(frame) > 1 else frame for frame in rows]
+            self.met.update((True,))
+            yield pd.concat(firsts).nsmallest(1, order)[names]
+
+        def close(self) -> None:
+            pass
+
+    return df.groupBy(key).transformWithStateInPandas(FirstSight(), df.schema, "append", "none")
+
+
+def politeness_stream(df: DataFrame, cooldown_ms: int, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """``seq, host, url, arrival_ms`` -> ``+ eligible_at, dispatch_at``, as rows arrive.
 
-    State is one long per host: its last dispatch.  A dispatch time depends on
-    earlier rows only, so it is given out on arrival and no timer is needed.
-    A host's rows of one micro-batch meet in one task; the batch is bounded by
-    the source's trigger.  ``run_politeness_stream`` splits such a host.
+    State is one long per host, its last dispatch, in RocksDB (start the query
+    in ``disk_state``).  A dispatch time depends on earlier rows only, so it is
+    given out on arrival and no timer is needed.  A host's rows of a micro-batch
+    come in frames of bounded size, are planned frame by frame and never held
+    together; they are served by frames, and by ``order`` within one.  So a host
+    whose rows fit a frame (``spark.sql.execution.arrow.maxRecordsPerBatch``) is
+    planned exactly as by ``politeness_plan``; ``run_politeness_stream`` does so
+    at any size.
     """
     times = [StructField(c, LongType()) for c in ("eligible_at", "dispatch_at")]
     output = StructType([*df.schema.fields, *times])
     names = [f.name for f in output.fields]
 
-    def plan(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        # rows of a group come in no set order
-        batch = pd.concat(list(frames)).sort_values("seq")
-        arrivals = batch["arrival_ms"].to_numpy(dtype="int64")
-        shift = np.arange(1, len(batch) + 1, dtype="int64") * cooldown_ms
-        # the greatest slack before each row; times stay integers throughout
-        before = np.maximum.accumulate(arrivals - shift)[:-1]
-        if last is None:
-            eligible = np.concatenate([arrivals[:1], before + shift[1:]])
-        else:
-            eligible = np.maximum(np.concatenate([[last], before]), last) + shift
-        batch["eligible_at"] = eligible
-        batch["dispatch_at"] = np.maximum(eligible, arrivals)
-        state.update((int(batch["dispatch_at"].iloc[-1]),))
-        yield batch[names]
+    class Cooldown(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "dispatch_at BIGINT")
+
+        def handleInputRows(self, keys, rows, timers) -> Iterator[pd.DataFrame]:
+            last = self.last.get()[0] if self.last.exists() else None
+            for frame in rows:
+                frame = frame.sort_values(list(order))
+                arrivals = frame["arrival_ms"].to_numpy(dtype="int64")
+                shift = np.arange(1, len(frame) + 1, dtype="int64") * cooldown_ms
+                # the greatest slack before each row; times stay integers throughout
+                before = np.maximum.accumulate(arrivals - shift)[:-1]
+                if last is None:
+                    eligible = np.concatenate([arrivals[:1], before + shift[1:]])
+                else:
+                    eligible = np.maximum(np.concatenate([[last], before]), last) + shift
+                frame["eligible_at"], frame["dispatch_at"] = eligible, np.maximum(eligible, arrivals)
+                last = int(frame["dispatch_at"].iloc[-1])
+                yield frame[names]
+            self.last.update((last,))
+
+        def close(self) -> None:
+            pass
 
     hosted = df.withColumn("host", F.coalesce("host", F.lit("")))
-    return hosted.groupBy("host").applyInPandasWithState(
-        plan, output, "last_dispatch_at BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
+    return hosted.groupBy("host").transformWithStateInPandas(Cooldown(), output, "append", "none")
+
+
+def discover_stream(pages: DataFrame, cooldown_ms: int) -> DataFrame:
+    """``page_id, url, html, arrival_ms`` as they arrive -> ``page_id, pos, page, url, host, arrival_ms, eligible_at, dispatch_at``.
+
+    One streaming query: pages are parsed, links filtered and made canonical, a
+    first state operator lets each URL through once, ever, a second one gives
+    it its dispatch time.  Both keep their state in RocksDB (start the query in
+    ``disk_state``), so a restart goes on where it stopped and nothing is read
+    again.  Within a micro-batch links go in page order, across batches in
+    order of arrival.  A page without ``arrival_ms`` arrives now.
+    """
+    if "arrival_ms" not in pages.columns:
+        pages = pages.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
+    links = accepted_links(page_links(pages, "arrival_ms"))
+    found = links.select("page_id", "pos", "page", "url", "host", "arrival_ms")
+    order = ("page_id", "pos")
+    return politeness_stream(first_sights(found, "url", list(order)), cooldown_ms, order)
 
 
 class _Rounds:
@@ -88,10 +157,10 @@ class _Rounds:
         table = spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{self.root}/{name}")
         return table.where(F.col("batch") < batch_id)
 
-    def store(self, name: str, df: DataFrame, batch_id: int) -> DataFrame:
+    def store(self, name: str, df: DataFrame, batch_id: int, spark: SparkSession | None = None) -> DataFrame:
         path = f"{self.root}/{name}/batch={batch_id}"
         df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
     def schedule(self, rows: DataFrame, cooldown_ms: int, batch_id: int) -> None:
         """Plan one batch of stored rows after the hosts' last dispatches."""
@@ -112,17 +181,22 @@ def run_dedup_stream(df: DataFrame, work_dir: str, trigger: dict | None = None):
 
     Results are under ``work_dir``/firsts.  Within a micro-batch the lowest
     ``seq`` of a key wins, by an aggregate that combines before its shuffle, so
-    a hot URL is one row per task; across batches the earlier one wins.
+    a hot URL is one row per task; across batches the earlier one wins.  Keys
+    met lie in a log in buckets: only the batch is shuffled to it, and only the
+    buckets that the batch falls into are read.
     """
     rounds = _Rounds(work_dir)
+    # a row without a URL has a key like others there
+    seen = KeyedLog(df.sparkSession, f"{rounds.root}/seen", "met STRING", "met")
 
     def one(batch: DataFrame, batch_id: int) -> None:
         first = F.min(F.struct("seq", "url")).alias("_first")
         firsts = batch.withColumn("key", url_key("url")).groupBy("key").agg(first).select("_first.*", "key")
-        if batch_id > 0:
-            seen = rounds.earlier(batch.sparkSession, "firsts", "seq BIGINT, url STRING, key STRING", batch_id)
-            firsts = firsts.join(seen.select("key"), firsts["key"].eqNullSafe(seen["key"]), "left_anti")
-        rounds.store("firsts", firsts, batch_id)
+        met = F.coalesce(F.concat(F.lit("="), F.col("key")), F.lit("")).alias("met")
+        asked = rounds.store("asked", firsts.select("*", met), batch_id, seen.spark)
+        new = rounds.store("firsts", seen.unseen(asked, "met", batch_id).drop("met"), batch_id, seen.spark)
+        seen.append(batch_id, new.select(met))
+        seen.compact(batch_id)
 
     return rounds.run(df, one, trigger)
 
@@ -149,31 +223,34 @@ def run_discover_stream(pages: DataFrame, cooldown_ms: int, work_dir: str, trigg
     eligible_at, dispatch_at, batch``; failed links are under ``quarantine``.
     Each micro-batch is one round of the batch operators against the tables its
     forerunners wrote, so first-wins is exact within a batch too, and a hot host
-    is split like in a batch plan.
+    is split like in a batch plan.  URLs met lie in a log in buckets, as in
+    ``run_dedup_stream``.
 
     ``arrival_ms`` of a page, if there is such a column, is when its links
     arrive; else it is the time of the batch.
     """
     rounds = _Rounds(work_dir)
+    seen = KeyedLog(pages.sparkSession, f"{rounds.root}/seen", "key STRING", "key")
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        seen, offset = None, 0
-        if batch_id > 0:
-            found = rounds.earlier(batch.sparkSession, "found", "seq BIGINT, url STRING", batch_id)
-            seen = found.select(F.col("url").alias("key"))
-            offset = found.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        earlier = seen.before(batch_id)
+        offset = earlier[-1].info["seq"] if earlier else 0
         links_dir = f"{rounds.root}/parsed/batch={batch_id}"
         arrived = fill_cores(batch.select("page_id", "url", "html"))
-        new, bad = discover_links(arrived, seen, links_dir)
+        new, bad = discover_links(arrived, seen.batch(batch_id), links_dir)
         rounds.store("quarantine", bad, batch_id)
         if "arrival_ms" in batch.columns:
             times = batch.groupBy(F.col("url").alias("page")).agg(F.min("arrival_ms").alias("arrival_ms"))
-            new = new.join(times, "page")
+            new = new.join(rounds.store("times", times, batch_id, seen.spark), "page")
         else:
             new = new.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
         new = new.withColumn("seq", F.col("seq") + F.lit(offset))
         # the plan reads its rows twice, so the pages' work is put down first
-        rows = rounds.store("found", new.select("seq", "page", "url", "host", "arrival_ms"), batch_id)
+        rows = rounds.store("found", new.select("seq", "page", "url", "host", "arrival_ms"), batch_id, seen.spark)
         rounds.schedule(rows, cooldown_ms, batch_id)
+        seen.append(batch_id, rows.select(F.col("url").alias("key")))
+        # sequence numbers go on from this batch's rows
+        seen.keep([s._replace(info={"seq": offset + s.rows}) if s.first == batch_id else s for s in seen.spans])
+        seen.compact(batch_id)
 
     return rounds.run(pages, one, trigger)
