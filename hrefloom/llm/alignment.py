@@ -18,6 +18,8 @@ so a pair that stands in every text is a row per chunk.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from hrefloom.llm.common import Stages
 
-# bytes of text in a chunk, but for a longer text
-CHUNK_BYTES = 4 << 20
+# bytes of text in a chunk, and of text that is aligned at once, but for a longer text
+CHUNK_BYTES, BATCH_BYTES = 4 << 20, 1 << 18
 # entries of a product that are made at a time
 PRODUCT_ROWS = 1 << 20
 
@@ -110,8 +112,21 @@ def n_shared_group_links(a_group: np.ndarray, b_group: np.ndarray, n: int) -> in
     return int(Rows.of_columns(a_group, n).sizes_of_product(Rows.of_columns(b_group, n).transposed()).sum())
 
 
+# white space that a backtracking pattern may give up on
+_LONG_BLANK = re.compile(r"\s{10000}")
+
+
 class ByteLevel:
-    """Tokenizer A: byte-level BPE of a tokenizer file, of space and text."""
+    """Tokenizer A: byte-level BPE of a tokenizer file, of space and text.
+
+    Where the file's ids are in the order of its merges, merging by merges is
+    merging by the rank of what comes out, and the quicker library for that is
+    asked; any other file, and texts with long runs of blanks, go to the file's
+    own library.  A test holds the two against each other on all tokens and all
+    characters.
+    """
+
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -125,8 +140,28 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.ranked = self._ranked(path, vocabulary)
+
+    def _ranked(self, path: str, vocabulary: dict[str, int]):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in file["model"].get("merges", [])]
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        split = file["pre_tokenizer"] or {}
+        plain = file["normalizer"] is None and all(split.get(k) == v for k, v in byte_level.items())
+        if not plain or len(vocabulary) != 256 + len(merges) or any(vocabulary.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        ranks = {token: i for i, token in enumerate(self.bytes)}
+        return tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
+        if self.ranked is not None and not _LONG_BLANK.search(text):
+            return self.ranked.encode_ordinary(" " + text)
+        return self.by_merges(text)
+
+    def by_merges(self, text: str) -> list[int]:
         return self.own.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
 
 
@@ -147,6 +182,21 @@ class Pieces:
         return self.own.encode(text, num_threads=1)
 
 
+@dataclass
+class Aligned:
+    """Some texts, aligned: figures by text, and the id pairs of each with how often they are linked."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    n_group_links: np.ndarray
+    groups: list[str]
+    owner: np.ndarray  # of a pair: the text, in order
+    pair: np.ndarray
+    times: np.ndarray
+
+
 class Aligner:
     """Texts to links between the tokens of two tokenizers."""
 
@@ -157,34 +207,47 @@ class Aligner:
         # an id as text with what follows it: "," inside a side of a group, "|" after A's, ";" after B's
         self.written = [f"{i}{end}" for n, ends in ((len(a.bytes), ",|"), (len(b.bytes), ",;")) for end in ends for i in range(n)]
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids under A and B; none where either does not spell space and text."""
-        if not text:
-            return None
-        whole = b" " + text.encode("utf-8", "surrogatepass")
-        a, b = self.a(text), self.b(text)
-        for ids, table in ((a, self.a.bytes), (b, self.b.bytes)):
-            if b"".join(map(table.__getitem__, ids)) != whole:
-                return None
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int, str]:
-        """A and B ids of each link, the number of groups and of their links, and the groups as text."""
+        if text:
+            whole = b" " + text.encode("utf-8", "surrogatepass")
+            a, b = self.a(text), self.b(text)
+            if all(b"".join(map(table.__getitem__, ids)) == whole for ids, table in ((a, self.a.bytes), (b, self.b.bytes))):
+                return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def align(self, coded: list[tuple[np.ndarray, np.ndarray]]) -> Aligned:
+        """All texts in one go, end to end: both sides of a text end at the same byte, so no link or group leaves it."""
+        n_a, n_b = (np.array([len(c[side]) for c in coded], dtype=np.int64) for side in (0, 1))
+        a, b = (np.concatenate([c[side] for c in coded]) for side in (0, 1))
+        text_of_a = np.repeat(np.arange(len(coded)), n_a)
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         row, column = overlap_links(a_ends, b_ends)
         a_group, b_group, n = groups(a_ends, b_ends)
-        return a[row], b[column], n, n_shared_group_links(a_group, b_group, n), self._text(a, b, a_group, b_group, n)
+        by_group = Rows.of_columns(a_group, n).sizes_of_product(Rows.of_columns(b_group, n).transposed())
+        count = lambda texts, weights=None: np.bincount(texts, weights, minlength=len(coded)).astype(np.int64)
+        upto = np.concatenate([np.diff(a_group) > 0, [True]]) if len(a) else np.empty(0, dtype=bool)
+        # links of a text by id pair
+        width = len(self.b.bytes)
+        key = (text_of_a[row] * len(self.a.bytes) + a[row]) * width + b[column]
+        key, times = np.unique(key, return_counts=True)
+        per_text = len(self.a.bytes) * width
+        return Aligned(
+            n_a, n_b, count(text_of_a[upto]), count(text_of_a[row]), count(text_of_a, by_group),
+            self._texts(a, b, a_group, b_group, n, n_a + n_b), key // per_text, key % per_text, times,
+        )
 
-    def _text(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n: int) -> str:
-        a_upto = np.searchsorted(a_group, np.arange(n), side="right")
-        b_upto = np.searchsorted(b_group, np.arange(n), side="right")
+    def _texts(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n: int, sizes: np.ndarray) -> list[str]:
+        a_upto, b_upto = np.cumsum(np.bincount(a_group, minlength=n)), np.cumsum(np.bincount(b_group, minlength=n))
         codes = np.empty(len(a) + len(b), dtype=np.int64)
         last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
         last_a[a_upto - 1] = last_b[b_upto - 1] = True
         # a group is its tokens of A, then those of B
         codes[np.arange(len(a)) + np.concatenate([[0], b_upto])[a_group]] = a + len(self.a.bytes) * last_a
         codes[np.arange(len(b)) + a_upto[b_group]] = 2 * len(self.a.bytes) + b + len(self.b.bytes) * last_b
-        return "".join(map(self.written.__getitem__, codes.tolist()))[:-1]
+        written = list(map(self.written.__getitem__, codes.tolist()))
+        ends = np.cumsum(sizes).tolist()
+        return ["".join(written[start:end])[:-1] for start, end in zip([0, *ends], ends)]
 
 
 _DOC = pa.struct([
@@ -197,21 +260,22 @@ _COUNTS = "n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT, n_group_link
 def _chunks(a_path: str, b_path: str, kind: pa.DataType):
     """Texts to chunks: ids and figures of each text, and the chunk's distinct id pairs with their links."""
 
-    def emit(number: int, ids: list, found: list[dict]) -> pa.RecordBatch:
-        keys = [f.pop("keys") for f in found]
-        pairs, place = np.unique(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64), return_inverse=True)
-        at = 0
-        times = np.zeros(len(pairs), dtype=np.int64)
-        for f, k in zip(found, keys):
-            # a text's pairs as places in the chunk's list
-            own, n = np.unique(place[at : at + len(k)], return_counts=True)
-            times[own] += n
-            at += len(k)
-            f["pairs"], f["times"] = own.astype(np.int32), n.astype(np.int32)
+    def emit(number: int, ids: list, parts: list[Aligned]) -> pa.RecordBatch:
+        pairs, place = np.unique(np.concatenate([p.pair for p in parts]), return_inverse=True)
+        all_times = np.concatenate([p.times for p in parts])
+        times = np.bincount(place, all_times, minlength=len(pairs)).astype(np.int64)
+        sizes = np.concatenate([np.bincount(p.owner, minlength=len(p.n_a)) for p in parts])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        hashed = [hashlib.sha256(g.encode()).hexdigest() if n else "" for p in parts for g, n in zip(p.groups, p.n_a.tolist())]
+        numbers = [np.concatenate([getattr(p, c) for p in parts]) for c in ("n_a", "n_b", "n_groups", "n_links", "n_group_links")]
+        # a text's pairs are places in the chunk's list
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (place, all_times)]
+        found = pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(hashed, pa.string()), *lists], fields=list(_DOC))
+        one = pa.array([0, len(ids)], pa.int32())
         chunk = (TaskContext.get().partitionId() << 32) + number
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([found], pa.list_(_DOC)),
+                pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.ListArray.from_arrays(one, found),
                 pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64())),
             ],
             ["chunk", "ids", "found", "pairs", "times"],
@@ -219,33 +283,34 @@ def _chunks(a_path: str, b_path: str, kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner(ByteLevel(a_path), Pieces(b_path))
-        number, size, ids, found = 0, 0, [], []
+        number, size, held, ids, coded, parts = 0, 0, 0, [], [], []
         for b in batches:
             for i, t in zip(b.column(0), b.column(1)):
                 text = t.as_py()
-                coded = align.encode(text)
-                one = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "n_group_links": 0, "groups_sha256": ""}
-                one["keys"] = np.empty(0, dtype=np.int64)
-                if coded:
-                    x, y, n, shared, written = align.align(*coded)
-                    one |= {"n_a": len(coded[0]), "n_b": len(coded[1]), "n_groups": n, "n_links": len(x), "n_group_links": shared}
-                    one |= {"groups_sha256": hashlib.sha256(written.encode()).hexdigest(), "keys": (x << 32) + y}
                 ids.append(i.as_py())
-                found.append(one)
-                size += len(text or "") + 64
+                coded.append(align.encode(text))
+                held += len(text or "") + 64
+                if held >= BATCH_BYTES:
+                    parts.append(align.align(coded))
+                    size, held, coded = size + held, 0, []
                 if size >= CHUNK_BYTES:
-                    yield emit(number, ids, found)
-                    number, size, ids, found = number + 1, 0, [], []
-        if found:
-            yield emit(number, ids, found)
+                    yield emit(number, ids, parts)
+                    number, size, ids, parts = number + 1, 0, [], []
+        if coded:
+            parts.append(align.align(coded))
+        if parts:
+            yield emit(number, ids, parts)
 
     return run
 
 
-def pair_counts(chunks: DataFrame) -> DataFrame:
-    """``pair, count, best``: links of each id pair in the corpus, and whether its B id has no pair with more."""
+def pair_counts(chunks: DataFrame, width: int) -> DataFrame:
+    """``pair, count, best``: links of each id pair in the corpus, and whether its B id has no pair with more.
+
+    A pair is the number A * ``width`` + B.
+    """
     pairs = chunks.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("count"))
-    second = F.expr("pair & 4294967295")
+    second = F.col("pair") % width
     highest = pairs.groupBy(second.alias("b")).agg(F.max("count").alias("highest"))
     joined = pairs.withColumn("b", second).join(highest, "b")
     return joined.select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
@@ -268,7 +333,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, stages: Stages)
         _chunks(a_path, b_path, arrow), f"chunk BIGINT, ids ARRAY<{doc_type}>, found ARRAY<{doc}>, pairs ARRAY<BIGINT>, times ARRAY<BIGINT>"
     )
     chunks = stages.write("chunks", chunks)
-    counts = stages.write("counts", pair_counts(chunks))
+    counts = stages.write("counts", pair_counts(chunks, len(Pieces(b_path).bytes)))
     # a chunk's counts, in the order of its pairs
     asked = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
     told = asked.join(counts, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("told"))

@@ -130,8 +130,28 @@ def check_alignment(aligner, rows, found):
 ODD = ["a  b\n\nc\t d", " ", "  lead", " trail ", "\xa0x", "ﬁ ½ é", "\0a", "<s>hi</s><unk><|endoftext|>", "▁a", "á", "\r\n", "😀 ퟿漢字", "x" * 3000, "=" * 999]
 
 
+def test_ranks_are_the_merges(aligner):
+    """The quick form of tokenizer A and the file's own library agree on every token and every character."""
+    a = aligner.a
+    assert a.ranked is not None
+    from tokenizers import Tokenizer
+
+    # a token that its own merges lead to is reached from its last pair only: then ranks and merges never differ
+    merges = Tokenizer(a.own.model)
+    tokens = sorted(a.own.get_vocab(with_added_tokens=False).items(), key=lambda t: t[1])
+    assert all(e.ids == [i] for (_, i), e in zip(tokens, merges.encode_batch([t for t, _ in tokens], add_special_tokens=False)))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # letters, digits, blanks and signs part words in their own ways: each character next to one of each
+    for start in range(0, len(points), 1 << 16):
+        text = "".join(f"a{c}1{c} " for c in points[start : start + (1 << 16)])
+        assert a.ranked.encode_ordinary(" " + text) == a.by_merges(text)
+    blank = "a" + " " * 30_000 + "b" + "\n" * 20_000
+    assert a(blank) == a.by_merges(blank)
+
+
 def test_alignment_of_odd_texts(spark, aligner, docs, no_docs, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 500)
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     rows = [(r.doc_id, r.text) for r in docs.collect()] + list(enumerate(ODD, 100))
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id LONG, text STRING, n_a INT, chunk STRING").repartition(3)
