@@ -11,10 +11,13 @@ sets.
 Buckets are never expanded into all pairs.  In a few bands every node is first
 compared with the smallest of its bucket, its best candidate alone; groups of
 near copies become components there, and a bucket of one component needs no
-more.  In the buckets of all bands components are then compared by one node
-each; where a bucket still holds several, its nodes are compared across them,
-and a bucket with many such pairs asks for a second band in common.  A pair at the threshold misses all ``BANDS`` bands with a probability
-of 3e-6 and shares less than two with 5e-5.
+more.  In the other buckets, of all bands, components are compared by one node
+each, until that links no more.  Where a bucket then still holds several, nodes
+are compared across them, each pair in the first band it shares, if it can be
+alike at all: if its sizes allow it, and if it still can when what only one of
+the nodes holds is taken off, which is exact and leaves little of families whose
+members each differ in words of their own.  A pair at the threshold misses all
+``BANDS`` bands with a probability of 3e-6; nothing else is left out.
 """
 
 from __future__ import annotations
@@ -37,10 +40,12 @@ PERCENT = 80
 MARGIN = 0.16
 # bands whose buckets are turned into components first
 FIRST_BANDS = 3
-# pairs across components of a bucket beyond which two common bands are asked for
-CROWDED = 1000
+# rounds of one node for each component, and of leaving out nodes that are like no other
+ROUNDS, PRUNINGS = 4, 2
 # hashes of frequent words that a task remembers
 _REMEMBERED = 200_000
+# shingles that leave a task at a time
+_SINGLES = 1 << 18
 _SLICE = 256
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -150,9 +155,8 @@ def estimate(p: str, q: str) -> Column:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, shingles`` of the nodes asked for, from one text of each."""
-    wanted = nodes.select("row_key", "node")
-    texts = docs.select(F.xxhash64(text_of()).alias("row_key"), text_of().cast("binary").alias("text")).join(wanted, "row_key")
+    """``node, shingles`` of the nodes asked for (``node, row_key``), from one text of each."""
+    texts = docs.select(F.xxhash64(text_of()).alias("row_key"), text_of().cast("binary").alias("text")).join(nodes, "row_key")
     texts = texts.groupBy("node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +168,26 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node BINARY, shingles BINARY")
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, shingles`` -> a row per shingle."""
+    for b in batches:
+        nodes, sets, held = [], [], 0
+        for node, shingles in zip(b.column(0).to_pylist(), b.column(1)):
+            sets.append(np.frombuffer(shingles.as_py(), dtype=np.int64))
+            nodes.append(node)
+            held += len(sets[-1])
+            if held >= _SINGLES or len(nodes) == b.num_rows:
+                yield _flat(nodes, sets)
+                nodes, sets, held = [], [], 0
+        if nodes:
+            yield _flat(nodes, sets)
+
+
+def _flat(nodes: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+    place = np.repeat(np.arange(len(nodes)), [len(s) for s in sets])
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()).take(pa.array(place)), pa.array(np.concatenate(sets))], ["node", "shingle"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,41 +201,59 @@ def _confirm(percent: int):
     return run
 
 
+def _fits(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can be alike."""
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+
+
 class _Search:
     """The state of one run: nodes, and the components found so far."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int, stages: Stages):
         self.docs, self.size, self.percent, self.stages = docs, size, percent, stages
         keyed = docs.select("doc_id", F.xxhash64(text_of()).alias("row_key"), text_of().cast("binary").alias("text"))
-        self.rows = stages.write("signatures", _signatures(keyed, size))
-        firsts = self.rows.where("node IS NOT NULL").dropDuplicates(["node"])
+        signed = stages.write("signatures", _signatures(keyed, size))
+        firsts = signed.where("node IS NOT NULL").dropDuplicates(["node"])
         self.nodes = stages.write("nodes", firsts.select("node", "row_key", "n_shingles", "bands", "planes"))
+        self.rows = stages.write("rows", signed.select("doc_id", "row_key", "node", "n_shingles"))
+        stages.drop("signatures")
         self.round = 0
         # each round's components, of the nodes that stood for components before it
         self.roots: list[DataFrame] = []
 
-    def try_pairs(self, pairs: DataFrame) -> None:
-        """``x, y`` -> confirms those pairs and joins the components they link."""
+    def sets_of(self, nodes: DataFrame, name: str) -> DataFrame:
+        """``node`` -> ``node, shingles``, written."""
+        asked = self.stages.write("asked", nodes.join(self.nodes.select("node", "row_key"), "node"))
+        sets = self.stages.write(name, _sets(self.docs, asked, self.size))
+        self.stages.drop("asked")
+        return sets
+
+    def try_pairs(self, pairs: DataFrame, sets: DataFrame | None = None) -> bool:
+        """``x, y`` -> confirms those pairs on full sets and joins the components they link; whether there are any."""
         self.round += 1
-        pairs = self.stages.write(f"pairs-{self.round}", pairs.select("x", "y").distinct())
+        pairs = self.stages.write("pairs", pairs.select("x", "y").distinct())
         if pairs.isEmpty():
-            return
-        asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        needed = self.stages.write(f"asked-{self.round}", asked.join(self.nodes.select("node", "row_key"), "node"))
-        sets = self.stages.write(f"sets-{self.round}", _sets(self.docs, needed, self.size))
+            return False
+        if sets is None:
+            sets = self.sets_of(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "sets")
         one = sets.select(F.col("node").alias("x"), F.col("shingles").alias("p"))
         two = sets.select(F.col("node").alias("y"), F.col("shingles").alias("q"))
         full = pairs.join(one, "x").join(two, "y").select("x", "y", "p", "q")
-        done = self.stages.write(f"confirmed-{self.round}", full.mapInArrow(_confirm(self.percent), "x BINARY, y BINARY, linked BOOLEAN"))
-        links = self.rooted(self.rooted(done.where("linked").select("x", "y"), "x", "_rx"), "y", "_ry")
-        links = links.select(F.col("_rx").alias("x"), F.col("_ry").alias("y"))
-        self.roots.append(components(links, self.stages, f"roots-{self.round}"))
+        done = self.stages.write("confirmed", full.mapInArrow(_confirm(self.percent), "x BINARY, y BINARY, linked BOOLEAN").where("linked"))
+        self.stages.drop("pairs", "sets")
+        found = not done.isEmpty()
+        if found:
+            links = self.rooted(self.rooted(done.select("x", "y"), "x", "_rx"), "y", "_ry")
+            links = links.select(F.col("_rx").alias("x"), F.col("_ry").alias("y"))
+            self.roots.append(components(links, self.stages, f"roots-{self.round}"))
+        self.stages.drop("confirmed")
+        return found
 
     def promising(self, pairs: DataFrame) -> DataFrame:
-        """``x, y`` -> ``x, y, e``: the pairs whose estimate is near the threshold or above."""
-        one = self.nodes.select(F.col("node").alias("x"), F.col("planes").alias("p"))
-        two = self.nodes.select(F.col("node").alias("y"), F.col("planes").alias("q"))
-        scored = pairs.distinct().join(one, "x").join(two, "y").withColumn("e", estimate("p", "q"))
+        """``x, y`` -> ``x, y, e``: the pairs whose sizes fit and whose estimate is near the threshold or above."""
+        one = self.nodes.select(F.col("node").alias("x"), F.col("planes").alias("p"), F.col("n_shingles").alias("_n"))
+        two = self.nodes.select(F.col("node").alias("y"), F.col("planes").alias("q"), F.col("n_shingles").alias("_m"))
+        scored = pairs.distinct().join(one, "x").join(two, "y").where(_fits("_n", "_m", self.percent)).withColumn("e", estimate("p", "q"))
         return scored.where(F.col("e") >= self.percent / 100 - MARGIN).select("x", "y", "e")
 
     def rooted(self, rows: DataFrame, node: str, root: str) -> DataFrame:
@@ -229,63 +271,94 @@ class _Search:
         stars = buckets.join(least, "bucket").where("node > y").select(F.col("node").alias("x"), "y")
         return self.promising(stars).groupBy("x").agg(F.max_by("y", F.struct("e", "y")).alias("y"))
 
-    def several(self, marked: DataFrame, name: str) -> DataFrame:
+    def several(self, marked: DataFrame) -> DataFrame:
         """``bucket, r`` -> the buckets that hold more than one r."""
         found = marked.groupBy("bucket").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("bucket")
-        return self.stages.write(name, found)
+        return self.stages.write("several", found)
 
-    def mixed(self) -> DataFrame:
-        """``bucket, band, node`` of the buckets that hold several components."""
+    def open_rows(self) -> DataFrame:
+        """``bucket, band, node`` of the buckets that hold several components.
+
+        Most buckets hold one: they go by a narrow count before anything wider
+        is dealt, and nothing reads them again, since components only grow.
+        """
         rooted = self.rooted(self.nodes.select("node", "bands"), "node", "root")
-        marked = rooted.select(F.xxhash64("root").alias("r"), F.explode("bands").alias("bucket"))
-        buckets = self.nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-        return buckets.join(self.several(marked, "several"), "bucket")
+        several = self.several(rooted.select(F.xxhash64("root").alias("r"), F.explode("bands").alias("bucket")))
+        rows = self.nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+        return self.stages.write("open-0", rows.join(several, "bucket").select("bucket", "band", "node"))
 
-    def representatives(self) -> DataFrame:
+    def still_open(self, rows: DataFrame, name: str) -> DataFrame:
+        """``bucket, band, node, root`` of the buckets of ``rows`` that hold several components still."""
+        rooted = self.stages.write("rooted", self.rooted(rows.select("bucket", "band", "node"), "node", "root"))
+        several = self.several(rooted.select("bucket", F.xxhash64("root").alias("r")))
+        return self.stages.write(name, rooted.join(several, "bucket").select("bucket", "band", "node", "root"))
+
+    def representatives(self, rows: DataFrame) -> DataFrame:
         """Of every bucket, a node of each component with one of the smallest component.
 
         A component is one row of the aggregate however many nodes it has there.
         """
-        rooted = self.rooted(self.nodes.select("node", "bands"), "node", "root")
-        exploded = rooted.select("node", "root", F.explode("bands").alias("bucket"))
-        # most buckets hold one component: they go by a narrow count before anything wider is dealt
-        several = self.several(exploded.select("bucket", F.xxhash64("root").alias("r")), "several-first")
-        per_root = exploded.join(several, "bucket").groupBy("bucket", "root").agg(F.min("node").alias("x"))
-        per_root = self.stages.write("per-root", per_root)
+        per_root = self.stages.write("per-root", rows.groupBy("bucket", "root").agg(F.min("node").alias("x")))
         least = per_root.groupBy("bucket").agg(F.min(F.struct("root", "x")).alias("l"))
         joined = per_root.join(least, "bucket").where("root <> l.root")
         return self.promising(joined.select(F.greatest("x", "l.x").alias("x"), F.least("x", "l.x").alias("y")))
 
-    def across(self, mixed: DataFrame) -> DataFrame:
-        """Pairs of a bucket's nodes that are in different components still."""
-        rooted = self.stages.write("rooted", self.rooted(mixed, "node", "root"))
-        per_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        open_pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
-        sizes = per_root.groupBy("bucket").agg(F.count("*").alias("roots"), open_pairs.alias("pairs")).where("roots > 1")
-        sizes = self.stages.write("open", sizes.select("bucket", (F.col("pairs") > CROWDED).alias("crowded")))
-        open_rows = rooted.join(sizes, "bucket")
-        few = open_rows.where("NOT crowded").select("bucket", "node", "root")
-        # nodes of a crowded bucket by every later band they are in; of two bands a pair shares, one comes first
-        crowd = open_rows.where("crowded").select("bucket", "band", "node", "root")
-        later = crowd.join(self.nodes.select("node", "bands"), "node").withColumn("other", F.explode(F.expr("slice(bands, band + 2, size(bands))")))
-        later = later.select(F.xxhash64("bucket", "other").alias("bucket"), "node", "root")
-        groups = self.stages.write("groups", few.unionByName(later))
-        still = self.several(groups.select("bucket", F.xxhash64("root").alias("r")), "several-groups")
-        groups = self.stages.write("still", groups.join(still, "bucket"))
-        # the estimate is part of the join: pairs that are not promising never leave it
-        signed = groups.join(self.nodes.select("node", "planes"), "node").select("bucket", "node", F.xxhash64("root").alias("r"), "planes")
-        one = signed.select("bucket", F.col("node").alias("x"), F.col("r").alias("_rx"), F.col("planes").alias("p"))
-        two = signed.select("bucket", F.col("node").alias("y"), F.col("r").alias("_ry"), F.col("planes").alias("q"))
-        near = (F.col("_rx") < F.col("_ry")) & (estimate("p", "q") >= self.percent / 100 - MARGIN)
-        pairs = one.join(two, "bucket").where(near)
+    def pruned(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """``rows`` and ``n, c`` of their nodes: the size of a set, and of what of it some other node of ``rows`` holds too.
+
+        A node's link to another lies in those shingles, so one that holds too
+        few of them has none, and without it others may fall below as well.
+        """
+        sizes = self.nodes.select("node", F.col("n_shingles").alias("n"))
+        for k in range(PRUNINGS):
+            live = rows.select("node").distinct()
+            singles = sets.join(live, "node", "left_semi").mapInArrow(_one_by_one, "node BINARY, shingle BIGINT")
+            alone = singles.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("u"))
+            held = live.join(sizes, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+            held = self.stages.write(f"held-{k}", held.where(F.col("c") * 100 >= F.col("n") * self.percent))
+            kept = self.stages.write("kept", rows.select("bucket", "band", "node", "root").join(held, "node"))
+            several = self.several(kept.select("bucket", F.xxhash64("root").alias("r")))
+            rows = self.stages.write(f"pruned-{k}", kept.join(several, "bucket"))
+        return rows
+
+    def across(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of a bucket's nodes that are in different components still.
+
+        The largest component of a bucket is compared with the others only, and
+        of the bands that a pair shares the first one names it.  The estimate
+        and the bounds are part of the join: other pairs never leave it.
+        """
+        rows = self.pruned(rows, sets)
+        counted = rows.groupBy("bucket", F.xxhash64("root").alias("r")).agg(F.count("*").alias("k"))
+        body = counted.groupBy("bucket").agg(F.max_by("r", F.struct("k", "r")).alias("body"))
+        signed = rows.withColumn("r", F.xxhash64("root")).join(body, "bucket").join(self.nodes.select("node", "planes", "bands"), "node")
+        signed = self.stages.write("signed", signed.select("bucket", "band", "node", "r", "body", "n", "c", "planes", "bands"))
+        one = signed.where("r <> body").select(
+            "bucket", "band", F.col("node").alias("x"), F.col("r").alias("_r"), F.col("n").alias("_n"), F.col("c").alias("_c"),
+            F.col("planes").alias("p"), F.col("bands").alias("_bands"),
+        )
+        two = signed.select("bucket", F.col("node").alias("y"), "r", "body", "n", "c", F.col("planes").alias("q"), "bands")
+        apart = (F.col("_r") < F.col("r")) | ((F.col("r") == F.col("body")) & (F.col("_r") > F.col("r")))
+        most = F.least("_c", "c")
+        possible = 100 * most >= self.percent * (F.col("_n") + F.col("n") - most)
+        near = estimate("p", "q") >= self.percent / 100 - MARGIN
+        first = ~F.arrays_overlap(F.expr("slice(_bands, 1, band)"), F.expr("slice(bands, 1, band)"))
+        pairs = one.join(two, "bucket").where(apart & possible & near & first)
         return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
 
     def run(self) -> None:
         self.try_pairs(self.first_stars())
-        self.try_pairs(self.representatives())
-        mixed = self.stages.write("mixed", self.mixed())
-        if not mixed.isEmpty():
-            self.try_pairs(self.across(mixed))
+        rows = self.still_open(self.open_rows(), "open-1")
+        if rows.isEmpty():
+            return
+        sets = self.sets_of(rows.select("node").distinct(), "open-sets")
+        for n in range(ROUNDS):
+            if not self.try_pairs(self.representatives(rows), sets):
+                break
+            rows = self.still_open(rows, f"open-{n + 2}")
+        if not rows.isEmpty():
+            self.try_pairs(self.across(rows, sets), sets)
+        self.stages.drop("open-sets", "signed", "kept", "rooted", "per-root", "several", *(f"open-{n}" for n in range(ROUNDS + 2)))
 
 
 def near_duplicates(docs: DataFrame, stages: Stages, size: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -300,7 +373,8 @@ def near_duplicates(docs: DataFrame, stages: Stages, size: int = 5, percent: int
     """
     search = _Search(docs.select("doc_id", "text"), size, percent, stages)
     search.run()
-    placed = stages.write("placed", search.rooted(search.rows.select("doc_id", "row_key", "node", "n_shingles"), "node", "root"))
+    placed = stages.write("placed", search.rooted(search.rows, "node", "root"))
+    stages.drop("rows", "nodes")
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     joined = placed.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))

@@ -136,8 +136,7 @@ def test_quality_counts_all_trusted_rows(spark, stages):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         # all rows are trusted: the target is the raw corpus
-        assert set(quality.bucket_ratios(docs, trusted).first()["ratios"]) == {0.0}
-        assert "Broadcast" not in quality.bucket_ratios(docs, trusted)._jdf.queryExecution().toString()
+        assert set(quality.bucket_ratios(docs, trusted, stages).first()["ratios"]) == {0.0}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -314,8 +313,7 @@ def test_estimate_is_near_the_similarity(spark):
     assert all(abs(r.e - r.j) < minhash.MARGIN for r in rows) and rows[-1].e == 1.0
 
 
-def test_crowded_buckets_are_searched_in_full(spark, stages, monkeypatch):
-    monkeypatch.setattr(minhash, "CROWDED", 0)
+def test_a_chain_is_linked_from_end_to_end(spark, stages):
     # neighbours in the chain are alike, the ends are not
     own = prose(40, 60).split()
     texts = [" ".join(f"n{k}" if k < 3 * step else w for k, w in enumerate(own)) for step in range(12)]
@@ -324,6 +322,43 @@ def test_crowded_buckets_are_searched_in_full(spark, stages, monkeypatch):
     assert {r.component_id for r in found} == set(plain_components(texts, 2)[0])
 
 
+@pytest.mark.parametrize("prunings", [1, 2])
+def test_a_family_of_unlike_members(spark, stages, monkeypatch, prunings):
+    """Texts that share most of one base, each with changes of its own or of a few kinds: buckets hold many components."""
+    monkeypatch.setattr(minhash, "PRUNINGS", prunings)
+    rng, base = np.random.default_rng(8), prose(50, 200).split()
+    texts = []
+    for k in range(160):
+        changed = list(base)
+        for at in rng.choice(len(base), rng.integers(0, 30), replace=False):
+            changed[at] = f"own{k}x{at}" if rng.random() < 0.7 else f"some{rng.integers(0, 3)}"
+        texts.append(" ".join(changed[: 200 - rng.integers(0, 30)]))
+    root, _ = plain_components(texts, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, stages, size=2).collect()}
+    assert len(set(root)) > 20 and [found[i] for i in range(len(texts))] == root
+
+
+def test_components_that_meet_in_one_bucket_only(spark, stages, monkeypatch):
+    """Bands of their own for all but one node of either component: one common bucket must link them."""
+    one, two = [(i, f"{prose(60, 50)} {prose(61, 4)}") for i in (1, 2)], [(i, f"{prose(60, 50)} {prose(62, 3)}") for i in (3, 4)]
+    crowd = [(10 + k, prose(100 + k, 50)) for k in range(40)]
+    docs = spark.createDataFrame([*one, *two, *crowd], "doc_id BIGINT, text STRING")
+    plain = minhash.Signer.__call__
+
+    def alone(self, shingles):
+        keys, low = plain(self, shingles)
+        # every node in one bucket of the last band, and alone in the others
+        own = int(shingles[0] % np.uint64(1 << 40))
+        return [own * 64 + k for k in range(minhash.BANDS - 1)] + [7], low
+
+    monkeypatch.setattr(minhash.Signer, "__call__", alone)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, stages, size=1).collect()}
+    texts = [t for _, t in (*one, *two, *crowd)]
+    ids = [i for i, _ in (*one, *two, *crowd)]
+    assert [found[i] for i in ids] == [ids[r] for r in plain_components(texts, 1)[0]] and found[3] == 1
+
+
 def test_components(spark, stages):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     found = dict(components.components(spark.createDataFrame(edges, "x BIGINT, y BIGINT"), stages, "c").distinct().collect())
