@@ -2,7 +2,7 @@
 
 Words and pairs of neighbouring words fall into ``BUCKETS`` hash buckets.  One
 pass over all documents counts each bucket in the raw corpus and in the trusted
-target; a document's score is the mean over its words and pairs of
+target, without moving a text; a document's score is the mean over its words and pairs of
 
     log p_target(bucket) - log p_raw(bucket)
 
@@ -25,6 +25,8 @@ PRIOR = 4.0
 # mean log ratio below which a text is rejected
 THRESHOLD = -0.05
 LEAST_WORDS = 50
+# bits of the filter of trusted ids
+FILTER_BITS = 1 << 26
 SYMBOLS = "#*$%&|<>"
 
 
@@ -38,24 +40,60 @@ def _shrunk(ratio: str, error: str) -> str:
     return f"sign({ratio}) * greatest(0D, abs({ratio}) - {error})"
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``doc_id, text`` -> one row ``ratios``: an array of a log ratio per bucket.
+def _place(column: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """``doc_id`` -> ``part, words``: a bit for each hash of an id, in at most ``FILTER_BITS`` / 32,768 rows of 4 KB."""
+    bits = ids.select(_place().alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("v"))
+    parts = bits.groupBy(F.expr("w div 512").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("cast(w % 512 AS int)"), "v"))).alias("m"))
+    return parts.select("part", F.expr("transform(sequence(0, 511), i -> coalesce(m[i], 0L))").alias("words"))
 
-    ``trusted`` has each id once and grows with the labels, so Spark's own
-    threshold decides how it is joined.  Each bucket of the target gets ``PRIOR`` hits more, and the raw corpus the same share of
-    its own total, so the ratio of a bucket that few words fall into stays near
-    0 rather than blaming it for what a small target can't show.  With no
-    trusted words all ratios are 0.
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` and ``_in``: 1 if the filter of ``ids`` lets the row's id through, else null.
+
+    The filter has a fixed size, so it is broadcast.  It lets all ``ids``
+    through, and a share of others that grows with their number.
     """
-    # texts are joined whole: their words are wider, should they have to be shuffled
-    flagged = docs.select("doc_id", text_of().alias("text")).join(trusted.withColumn("_trusted", F.lit(1)), "doc_id", "left")
-    flagged = flagged.select("_trusted", words_of(text_of()).alias("w"))
-    pairs = flagged.select("_trusted", F.explode(F.expr("arrays_zip(w, slice(w, 2, greatest(size(w) - 1, 0)))")).alias("z")).toDF("_trusted", "z")
+    placed = docs.withColumn("_p", _place())
+    filtered = placed.join(F.broadcast(id_filter(ids)), F.expr("_p div 32768") == F.col("part"), "left")
+    bit = F.expr("shiftright(words[cast((_p div 64) % 512 AS int)], cast(_p % 64 AS int)) & 1L")
+    inside = F.when(F.col("doc_id").isNotNull() & F.col("words").isNotNull() & (bit == 1), 1)
+    return filtered.select(*docs.columns, inside.alias("_in"))
+
+
+def _hits(texts: DataFrame, buckets: int) -> DataFrame:
+    """``text, _in`` -> ``b, raw, target``: hits of each bucket by words and pairs, and those of rows that are ``_in``."""
+    worded = texts.select("_in", words_of(text_of()).alias("w"))
+    pairs = worded.select("_in", F.explode(F.expr("arrays_zip(w, slice(w, 2, greatest(size(w) - 1, 0)))")).alias("z")).toDF("_in", "z")
     x, y = F.col("z").getField("w"), F.col("z").getField("1")
     one = F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")
     two = F.when(y.isNotNull(), F.pmod(F.xxhash64(x, y), F.lit(buckets)).cast("int"))
-    hits = pairs.select("_trusted", F.explode(F.array(one, two)).alias("b")).where("b IS NOT NULL")
-    counts = hits.groupBy("b").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
+    hits = pairs.select("_in", F.explode(F.array(one, two)).alias("b")).where("b IS NOT NULL")
+    return hits.groupBy("b").agg(F.count("*").alias("raw"), F.count("_in").alias("target"))
+
+
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, stages: Stages, buckets: int = BUCKETS) -> DataFrame:
+    """``doc_id, text`` -> one row ``ratios``: an array of a log ratio per bucket.
+
+    ``trusted`` has each id once and grows with the labels.  One pass over the
+    texts, which stay where they are, counts the raw corpus and the rows whose
+    id a filter of fixed size lets through: all trusted ones and a few others.
+    Those others are found by their ids alone, and their words are taken off
+    again, so the target is exact at any size and only their texts are joined.
+    Each bucket of the target gets ``PRIOR`` hits more, and the raw corpus the
+    same share of its own total, so the ratio of a bucket that few words fall
+    into stays near 0 rather than blaming it for what a small target can't show.
+    With no trusted words all ratios are 0.
+    """
+    docs = docs.select("doc_id", "text")
+    through = marked(docs.select("doc_id"), trusted).where("_in = 1").select("doc_id")
+    others = stages.write("others", through.join(trusted, "doc_id", "left_anti").distinct())
+    wrong = marked(docs, others).where("_in = 1").join(others, "doc_id", "left_semi")
+    taken = _hits(wrong, buckets).select("b", F.lit(0).cast("bigint").alias("raw"), (-F.col("raw")).alias("target"))
+    counts = _hits(marked(docs, trusted), buckets).unionByName(taken).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # every bucket has a row, in order; the number of buckets is fixed
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").na.fill(0, ["raw", "target"])
@@ -131,5 +169,5 @@ def quality_columns(docs: DataFrame, ratios: list[float], keep: list[str], thres
 def judge_documents(docs: DataFrame, labels: DataFrame, stages: Stages, keep: list[str]) -> DataFrame:
     """``quality_columns`` of all ``docs`` by the ratios of all ``docs`` against trusted ``labels``."""
     trusted = stages.write("trusted", trusted_ids(labels))
-    ratios = bucket_ratios(docs.select("doc_id", "text"), trusted).first()["ratios"]
+    ratios = bucket_ratios(docs, trusted, stages).first()["ratios"]
     return quality_columns(docs, ratios, keep)
