@@ -30,6 +30,38 @@ def read(spark, path, **options):
     return warc.read_chunks(spark, path, **options)
 
 
+def fed(parser, data, size):
+    rows, most = [], 0
+    for i in range(0, len(data), size):
+        rows += parser.feed(data[i : i + size])
+        most = max(most, len(parser.buffer))
+    return rows + list(parser.finish()), most
+
+
+def record(head, block):
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_parser_is_bounded_and_linear():
+    """Blocks without an empty line or a line break, and garbage where a header should be."""
+    http = "Content-Type: application/http\r\n"
+    for block in (b"x" * (64 << 20), b"no end of header\r\n" * (1 << 16)):
+        rows, most = fed(warc.ChunkParser("a", warc.CHUNK_BYTES), record(http, block) + record("", b"next"), 1 << 16)
+        assert most < 1 << 20 and {r[1] for r in rows} == {0, 1}
+        last = [r for r in rows if r[1] == 0 and r[12]]
+        assert len(last) == 1 and last[0][10] == len(block) and last[0][11] == hashlib.sha256(block).hexdigest()
+        assert last[0][13] == "no end of http header" and max(len(r[9]) for r in rows) <= warc.CHUNK_BYTES
+        assert [(r[9], r[13]) for r in rows if r[1] == 1] == [(b"next", None)]
+    garbage = b"g" * (8 << 20)
+    rows, most = fed(warc.ChunkParser("a", warc.CHUNK_BYTES), garbage + b"\r\n\r\n" + record("", b"kept") + garbage, 1 << 16)
+    assert most < 1 << 20 and [(r[9], r[13]) for r in rows] == [(b"", "header too long"), (b"kept", None), (b"", "header too long")]
+    # a short block without a header's end is payload as well, and one that is cut off comes in chunks
+    rows, _ = fed(warc.ChunkParser("a", 8), record(http, b"GET\r\nx"), 3)
+    assert b"".join(r[9] for r in rows) == b"GET\r\nx" and rows[-1][13] == "no end of http header"
+    rows, _ = fed(warc.ChunkParser("a", 8), record(http, b"y" * 100)[:-70], 1000)
+    assert len(rows) > 3 and all(len(r[9]) <= 8 for r in rows) and rows[-1][13] == "cut off"
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "twice the same payload, " * 10
     pages = [
@@ -211,6 +243,21 @@ def test_spans_equal_the_plain_patterns():
         assert pii.base_spans(card) == plain_spans(card)
 
 
+def test_junk_signs_are_no_pattern(spark, stages):
+    """Signs alone are not lexical: tokens behind them are not taken, however many seeds stand behind the same ones."""
+    seeds = [(k, f"{prose(k, 12)} !! && u{k}@mail.example.com") for k in range(40)]
+    junk = [(100 + k, f"{prose(50 + k, 12)} !! && token{k}99") for k in range(20)]
+    said = [(200 + k, f"write to us at u{k}@mail.example.com") for k in range(40)] + [(300, "write to us at box77x5"), (301, "write to us at " + "9x" * 300)]
+    docs = spark.createDataFrame([*seeds, *junk, *said], "doc_id BIGINT, text STRING")
+    found = {r.doc_id: len(r.spans) - len(r.base) for r in pii.find_personal_data(docs, stages).collect()}
+    assert all(found[100 + k] == 0 for k in range(20)) and found[300] == 1 and found[301] == 1
+
+
+def test_long_surfaces_differ_beyond_any_prefix():
+    one, two = (pii.mentions(f"my own code {'1a' * 500}{end}", [])[0]["surface"] for end in ("x", "y"))
+    assert one != two and len(one) == 64
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 500_000, "1" * 500_000, "a@" * 200_000, "+1" + " " * 500_000, "1." * 200_000):
         pii.base_spans(text)
@@ -228,10 +275,31 @@ def test_license_scan_of_odd_rows(spark, docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_templates_with_changed_words_keep_their_label():
+    automaton = licenses.SuffixAutomaton()
+    for n, (label, text) in enumerate(licenses.TEMPLATES):
+        own = licenses.words_of(text)
+        if len(own) < 20:
+            continue
+        changed = b" ".join(b"zz%d" % k if k % 9 == 8 else w for k, w in enumerate(own))
+        scanned = licenses.scan_text(automaton, f"before it {changed.decode()} and after")
+        assert label in {s["label"] for s in scanned["spans"]}, (n, label, scanned["score"])
+
+
+def test_copies_of_a_template_are_spans_of_their_own():
+    automaton = licenses.SuffixAutomaton([("x", "a b c d e f a b c d g h")])
+    text = "a b c d e f a b c d g h"
+    found = licenses.scan_text(automaton, f"{text} {text} q {text}")["spans"]
+    assert [(s["start"], s["end"], s["covered"]) for s in found] == [(0, 12, 12), (12, 24, 12), (25, 37, 12)]
+    # a run that stands twice is followed by either of its places
+    found = licenses.scan_text(automaton, "a b c d z a b c d g h")["spans"]
+    assert [(s["start"], s["end"]) for s in found] == [(0, 11)] or found[0]["covered"] >= 10
+
+
 def test_matching_statistics_against_search():
     rng = np.random.default_rng(3)
     templates = [("a", "p q r p q s"), ("b", "q r p q q r"), ("a", "s s p")]
-    automaton = licenses.SuffixAutomaton(templates)
+    automaton = licenses.SuffixAutomaton(templates, least=1)
     texts = [t.split() for _, t in templates]
     runs = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     for _ in range(300):
@@ -241,7 +309,7 @@ def test_matching_statistics_against_search():
         found = list(automaton.matches([w.encode() for w in own], least=1))
         assert [(e, n) for e, n, _ in found] == peaks
         for e, n, state in found:
-            ends = {t: next(j for j in range(n, len(x) + 1) if x[j - n : j] == own[e - n : e]) for t, x in enumerate(texts) if any(x[j - n : j] == own[e - n : e] for j in range(n, len(x) + 1))}
+            ends = {(t, j) for t, x in enumerate(texts) for j in range(n, len(x) + 1) if x[j - n : j] == own[e - n : e]}
             assert automaton.ends[state] == ends
 
 
@@ -555,3 +623,28 @@ def test_rounding_keeps_mass_and_is_fair(spark, stages):
         own = [(k, p, s) for t, k, p, s in items if t == stratum]
         assert abs(sum(taken[k] * s for k, _, s in own) - sum(p * s for _, p, s in own)) <= 100.0001
         assert np.mean([taken[k] for k, _, _ in own]) == pytest.approx(own[0][1], abs=0.05)
+
+
+def test_rounding_leaves_a_short_one(spark, stages):
+    """A few very long items among many short ones: what is rounded on its own at last is short, and sizes are treated alike."""
+    rng = np.random.default_rng(12)
+    items = [("a", k, 0.45, float(20_000 if k % 100 == 0 else rng.integers(1, 300))) for k in range(8000)]
+    table = spark.createDataFrame(items, "stratum STRING, k BIGINT, p DOUBLE, s DOUBLE")
+    taken = dict(mixing.pivotal_round(table, stages).collect())
+    assert len(taken) == len(items)
+    assert abs(sum(taken[k] * s for _, k, _, s in items) - sum(p * s for _, _, p, s in items)) <= 150
+    assert np.mean([taken[k] for _, k, _, s in items if s == 20_000]) == pytest.approx(0.45, abs=0.2)
+    assert np.mean([taken[k] for _, k, _, s in items if s < 300]) == pytest.approx(0.45, abs=0.03)
+
+
+def test_mix_is_near_its_targets(spark, stages):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = mixing.mix_sources(docs, stages).join(docs.select("doc_id", "source"), "doc_id").collect()
+    sources = {}
+    for r in found:
+        sources.setdefault(r.source, []).append(r)
+    assert len(sources) > 5
+    for own in sources.values():
+        short = min((r.size for r in own if r.size), default=0)
+        off = abs(sum(r.copies * r.size for r in own) - own[0].target)
+        assert off <= max(0.02 * own[0].target, short / 2 + 1e-6)
