@@ -4,13 +4,16 @@ The automaton holds every run of words of every template; it is built once
 per worker and its size depends on the templates alone.  The words of a text
 stream through it: after each word it knows the longest run ending there that
 some template contains.  Where such a run can't be made longer and has
-``LEAST_MATCH`` words, it is a match; matches that follow each other in the
-text and in one template are chained, and a chain that covers enough of its
-template is a span with that template's label.
+``LEAST_MATCH`` words, it is a match.  A match may stand for several places of
+a template, where the template repeats itself; matches that follow each other in
+the text and, by one of their places, in the template are chained, each with the
+predecessor that has covered most.  A chain that covers enough of its template
+is a span with that template's label.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,30 +43,31 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """All runs of words of several templates."""
 
-    def __init__(self, templates=TEMPLATES):
+    def __init__(self, templates=TEMPLATES, least: int = LEAST_MATCH):
         self.labels = [label for label, _ in templates]
         texts = [words_of(text) for _, text in templates]
         self.sizes = [len(t) for t in texts]
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        # per state: template -> end of the first run that stands for it
-        self.ends: list[dict[int, int]] = [{}]
+        # per state of ``least`` words or more: (template, end) of every run that it stands for
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for t, words in enumerate(texts):
             last = 0
             for at, word in enumerate(words):
                 last = self._extend(last, self.ids.setdefault(word, len(self.ids)))
-                self.ends[last].setdefault(t, at + 1)
+                self.ends[last].add((t, at + 1))
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            above = self.ends[self.link[state]]
-            for t, end in self.ends[state].items():
-                above[t] = min(end, above.get(t, end))
+            above = self.link[state]
+            # shorter runs are never matches, and stand in too many places
+            if self.length[above] >= least:
+                self.ends[above] |= self.ends[state]
 
     def _new(self, length: int, transitions: dict[int, int], link: int) -> int:
         self.next.append(transitions)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -127,31 +131,67 @@ class Span:
     coverage: float
 
 
+@dataclass
+class _Link:
+    """A match at one place of a template, with the best chain that it ends."""
+
+    start: int  # of the chain in the text
+    end: int
+    t_end: int
+    covered: int
+
+
+def _best(links: list[_Link]) -> list[_Link]:
+    """Chains that cover most, apart from each other in the text; linear but for a sort."""
+    out: list[_Link] = []
+    starts: list[int] = []
+    for link in sorted(links, key=lambda x: (-x.covered, x.start, x.end, x.t_end)):
+        at = bisect_left(starts, link.end)
+        # the chain before this place must end where this one starts
+        if (at == 0 or out[at - 1].end <= link.start) and (at == len(out) or link.end <= out[at].start):
+            out.insert(at, link)
+            starts.insert(at, link.start)
+    return out
+
+
 def spans(automaton: SuffixAutomaton, words: list[bytes]) -> list[Span]:
-    """The chains of matches of a text, best coverage for each template's text first met.
+    """The chains of matches of a text: for each template those that cover most, apart from each other.
 
-    A match goes on with the chain of its template if it starts after its end
-    within ``GAP`` words, in the text and forward in the template; otherwise it
-    starts a new chain.  Linear in the matches.
+    A match goes on with a chain of its template if it ends after it, starts
+    within ``GAP`` words of its end, and lies forward in the template; of those
+    chains the one that has covered most is taken.  Only chains within the gap
+    are looked at, and a template holds a run a fixed number of times, so the
+    work is linear in the matches.
     """
-    running: dict[int, list[int]] = {}  # template -> start, end in the text, end in the template, words
+    live: dict[int, list[_Link]] = {}  # template -> links that a match may still go on with
+    done: dict[int, list[_Link]] = {}  # template -> links of the same stretch
     found: list[Span] = []
 
     def close(t: int) -> None:
-        start, end, _, covered = running.pop(t)
-        found.append(Span(automaton.labels[t], t, start, end, covered, min(1.0, covered / automaton.sizes[t])))
+        live.pop(t)
+        for x in _best(done.pop(t)):
+            found.append(Span(automaton.labels[t], t, x.start, x.end, x.covered, min(1.0, x.covered / automaton.sizes[t])))
 
     for end, size, state in automaton.matches(words):
-        for t, t_end in automaton.ends[state].items():
-            chain = running.get(t)
-            if chain and end > chain[1] and end - size - chain[1] <= GAP and t_end > chain[2]:
-                chain[3] += min(size, end - chain[1], t_end - chain[2])
-                chain[1], chain[2] = end, t_end
-            else:
-                if chain:
-                    close(t)
-                running[t] = [end - size, end, t_end, size]
-    for t in list(running):
+        places: dict[int, list[int]] = {}
+        for t, t_end in automaton.ends[state]:
+            places.setdefault(t, []).append(t_end)
+        for t, t_ends in places.items():
+            near = [x for x in live.get(t, ()) if end - size - x.end <= GAP]
+            if t in live and not near:
+                close(t)
+            fresh = []
+            for t_end in sorted(t_ends):
+                new = _Link(end - size, end, t_end, size)
+                for x in near:
+                    if x.end < end and x.t_end < t_end:
+                        covered = x.covered + min(size, end - x.end, t_end - x.t_end)
+                        if (covered, -x.start) > (new.covered, -new.start):
+                            new = _Link(x.start, end, t_end, covered)
+                fresh.append(new)
+            live[t] = near + fresh
+            done.setdefault(t, []).extend(fresh)
+    for t in list(live):
         close(t)
     return sorted(found, key=lambda s: (s.start, s.end, s.template))
 
