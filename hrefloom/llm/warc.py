@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 SEGMENT_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 16
+# a header that goes on beyond this is none
+HEAD_BYTES = 1 << 18
 # payloads shorter than this are stored again rather than revisited
 LEAST_REVISIT = 100
 
@@ -118,12 +120,19 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
 
 class ChunkParser:
-    """Bytes of one archive in, chunk rows out; holds a header or a chunk at most."""
+    """Bytes of one archive in, chunk rows out; holds ``HEAD_BYTES`` or a chunk at most, and what it is fed at once.
+
+    A search for the end of a header goes on where the last one stopped, so it
+    is linear.  A record header of more than ``HEAD_BYTES`` is none: it is
+    marked, and what follows is dropped up to the next record's first line.  An
+    HTTP block whose header has no end, within that bound or at all, is payload
+    from its first byte on, and is marked as well.
+    """
 
     def __init__(self, archive: str, chunk_bytes: int):
         self.archive, self.chunk_bytes = archive, chunk_bytes
         self.buffer = bytearray()
-        self.state, self.left, self.record_no = "header", 0, -1
+        self.state, self.left, self.record_no, self.searched = "header", 0, -1, 0
         self.open: dict | None = None  # the payload that is being read
 
     def feed(self, data: bytes) -> Iterator[tuple]:
@@ -133,21 +142,36 @@ class ChunkParser:
                 # separators before a record are not part of it
                 lead = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
                 del self.buffer[:lead]
-                end = self.buffer.find(b"\r\n\r\n")
-                if end < 0:
+                if lead:
+                    self.searched = 0
+                end = self._end_of_head(len(self.buffer))
+                if end < 0 and len(self.buffer) < HEAD_BYTES:
                     return
+                if end < 0:
+                    yield from self._lose()
+                    continue
                 head = bytes(self.buffer[:end])
                 del self.buffer[: end + 4]
                 yield from self._begin(head)
+            elif self.state == "lost":
+                at = self.buffer.find(b"\r\n\r\nWARC/")
+                if at < 0:
+                    # the mark may be cut by the end of what was fed
+                    del self.buffer[: max(0, len(self.buffer) - 8)]
+                    return
+                del self.buffer[: at + 4]
+                self.state, self.searched = "header", 0
             elif self.state == "http":
-                end = self.buffer.find(b"\r\n\r\n", 0, self.left)
-                if end < 0 and len(self.buffer) < self.left:
+                end = self._end_of_head(self.left)
+                if end < 0 and len(self.buffer) < min(self.left, HEAD_BYTES):
                     return
-                size = end + 4 if end >= 0 else self.left
-                self._http(bytes(self.buffer[:size]))
-                del self.buffer[:size]
-                self.left -= size
-                self.state = "block"
+                if end < 0:
+                    self.open["error"] = self.open["error"] or "no end of http header"
+                else:
+                    self._http(bytes(self.buffer[: end + 4]))
+                    del self.buffer[: end + 4]
+                    self.left -= end + 4
+                self.state, self.searched = "block", 0
             else:
                 size = min(self.left, self.chunk_bytes - len(self.open["chunk"]))
                 if len(self.buffer) < size:
@@ -162,10 +186,28 @@ class ChunkParser:
                 elif len(self.open["chunk"]) >= self.chunk_bytes:
                     yield self._row(False)
 
+    def _end_of_head(self, upto: int) -> int:
+        end = self.buffer.find(b"\r\n\r\n", self.searched, min(upto, HEAD_BYTES))
+        self.searched = 0 if end >= 0 else max(0, min(len(self.buffer), upto) - 3)
+        return end
+
+    def _lose(self) -> Iterator[tuple]:
+        """A header that does not end: what was open before it is closed, and it is a record of its own."""
+        if self.open is not None:
+            self.open["error"] = "segments missing"
+            yield from self._close()
+        self.record_no += 1
+        yield (self.archive, self.record_no, None, None, None, None, None, None, 0, b"", 0, None, True, "header too long")
+        self.state = "lost"
+
     def finish(self) -> Iterator[tuple]:
         """At the end of the archive: what is open there was cut off."""
-        if self.state == "block" and self.buffer:
-            self._take(bytes(self.buffer))
+        while self.state in ("block", "http") and self.buffer:
+            size = self.chunk_bytes - len(self.open["chunk"])
+            self._take(bytes(self.buffer[:size]))
+            del self.buffer[:size]
+            if self.buffer:
+                yield self._row(False)
         if self.open is not None:
             self.open["error"] = self.open["error"] or "cut off"
             yield from self._close()
@@ -255,7 +297,7 @@ def _chunks(chunk_bytes: int):
                     if parser is not None:
                         yield from parser.finish()
                     parser = ChunkParser(name, chunk_bytes)
-                yield from parser.feed(line + b"\r\n")
+                yield from parser.feed(line + b"\n")
             if parser is not None:
                 yield from parser.finish()
 
@@ -279,10 +321,11 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES)
     record without payload has one empty chunk.  Content encodings are left as
     they are.  Segments are joined where they follow each other in one file;
     one whose first part is elsewhere, a header that does not parse, and a
-    record cut off by the end of its file are marked in ``error``.  Lines are
-    what CR LF ends; segments keep those of our own archives short.
+    record cut off by the end of its file are marked in ``error``.  Files are
+    read by lines, so a task holds the longest run of bytes without a line feed;
+    segments keep those of our own archives short.
     """
-    lines = spark.read.option("lineSep", _EOL).text(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.col("_metadata.file_name").alias("archive"), F.col("value").cast("binary").alias("line"))
     return lines.mapInArrow(_chunks(chunk_bytes), CHUNK_SCHEMA)
 
