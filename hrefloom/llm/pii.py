@@ -1,7 +1,7 @@
 """Personal data: plain patterns, then identifiers found by their context.
 
 Spans that the plain patterns find are seeds.  The words before a seed are a
-lexical pattern; the same pattern before another identifier-like token links
+lexical pattern (signs may stand among them, but never alone); the same pattern before another identifier-like token links
 the two.  On the graph of patterns and instances, confidence passes to and fro
 for a few rounds: a pattern is as good as the share of its mentions that are
 trusted, an unseen instance as good as its best pattern.  Tokens that stand
@@ -15,6 +15,7 @@ third of all mentions is one row per instance.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -90,11 +91,16 @@ def _identifier(token: str) -> bool:
     return len(token) >= 6 and ("@" in token or len(_DIGIT.findall(token)) >= 2)
 
 
+def _surface(said: str) -> str:
+    """What an instance of the graph goes by: itself, or a digest of all of it where that is shorter."""
+    return said if len(said) <= 64 else hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and identifier-like tokens with the patterns before them.
 
     A pattern is the last two or three words or signs before the mention, in
-    lower case.  Tokens that touch a seed are part of it.
+    lower case, one of them a word.  Tokens that touch a seed are part of it.
     """
     found = [(s, e, True) for s, _, e in spans]
     taken = sorted((s, e) for s, _, e in spans)
@@ -120,8 +126,8 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     out = []
     for start, end, seed in found:
         before = contexts[start]
-        patterns = [" ".join(before[-n:]) for n in (2, 3) if len(before) >= n]
-        out.append({"start": start, "end": end, "surface": text[start:end][:200].lower(), "patterns": patterns, "seed": seed})
+        patterns = [" ".join(before[-n:]) for n in (2, 3) if len(before) >= n and any(map(str.isalpha, before[-n:]))]
+        out.append({"start": start, "end": end, "surface": _surface(text[start:end].lower()), "patterns": patterns, "seed": seed})
     return out
 
 
@@ -208,14 +214,16 @@ def find_personal_data(docs: DataFrame, stages: Stages) -> DataFrame:
     rows = docs.select("doc_id", row_key().alias("row_key"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stages.write("scanned", rows.mapInArrow(_scan, f"doc_id {kind}, {_SCHEMA}"))
-    said = scanned.where(F.size("mentions") > 0).select("row_key", F.explode("mentions").alias("m")).select("row_key", "m.*")
-    linked = said.select("row_key", "start", "end", "surface", "seed", F.explode("patterns").alias("pattern"))
+    said = scanned.where(F.size("mentions") > 0).select("doc_id", "row_key", F.explode("mentions").alias("m")).select("doc_id", "row_key", "m.*")
+    linked = said.select("doc_id", "row_key", "start", "end", "surface", "seed", F.explode("patterns").alias("pattern"))
     edges = linked.groupBy("pattern", "surface", "seed").agg(F.count("*").alias("n"))
     good = trusted_patterns(edges, stages)
     fresh = linked.where("NOT seed").join(good, "pattern")
     span = F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end")
-    added = stages.write("added", fresh.groupBy("row_key").agg(F.collect_set(span).alias("added")))
-    joined = scanned.select("doc_id", "row_key", "spans").join(added, "row_key", "left")
+    added = fresh.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.collect_set(span).alias("added"))
+    added = stages.write("added", added)
+    same = (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    joined = scanned.select("doc_id", "row_key", "spans").join(added, same, "left")
     both = F.sort_array(F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.array_union("spans", "added")))
     return joined.select("doc_id", "row_key", F.col("spans").alias("base"), both.alias("spans"))
 
@@ -233,9 +241,10 @@ def redact(docs: DataFrame, stages: Stages) -> DataFrame:
     stay; ``n_chars``, where there is one, is that of the new text.  Null texts
     stay null.
     """
-    found = find_personal_data(docs, stages).where(F.size("spans") > 0).select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
-    found = found.dropDuplicates(["_key"])
-    joined = docs.withColumn("_key", row_key()).join(found, "_key", "left")
+    found = find_personal_data(docs, stages).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_found"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_found"])
+    joined = docs.withColumn("_key", row_key())
+    joined = joined.join(found, (F.col("_key") == F.col("_found")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
     walked = F.expr(
         "aggregate(_spans, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out',"
