@@ -17,8 +17,11 @@ candidates together.  So a table of that many distinct vectors is scanned whole,
 and no query stays short of rows that there are candidates for.
 
 Equal vectors are one candidate with their smallest ids, and one query, so a
-vector that a third of all rows share costs what one costs.  A list and its
-queries are cut into tiles of bounded size.
+vector that a third of all rows share costs what one costs.  Lists are put
+together in shards, and a query is sent to a shard once, with the numbers of the
+lists that it scans there; a shard and its queries are cut into tiles of bounded
+size.  So a query has a copy per shard and a vector one per tile of queries, and
+both numbers only grow where tiles are full.
 """
 
 from __future__ import annotations
@@ -41,7 +44,9 @@ NEAR = 2
 PROBED = 0.7
 # a query goes on to further lists while those before held fewer candidates
 ENOUGH = 1024
-TILE_VECTORS, TILE_QUERIES = 4096, 1024
+# vectors of a shard and queries of a tile: a small table is cut into this many pieces, a large one by the second bound
+PIECES = 16
+TILE_VECTORS, TILE_QUERIES = (4096, 32_768), (1024, 16_384)
 COLUMNS = 16  # of a block
 STEP = 64  # queries of a tile that are worked on together
 # standard errors that a partial distance may be too large by
@@ -134,8 +139,22 @@ def _place(model: bytes, names: list[str]):
     return run
 
 
-def _probe(model: bytes, probes: int, sizes: np.ndarray, enough: int, names: list[str]):
-    """Rows with each of their ``probes`` nearest lists, and more until ``enough`` candidates are held, by rising distance."""
+def shards_of(sizes: np.ndarray, vectors: int) -> np.ndarray:
+    """The shard of each list: neighbours in number, together about ``vectors`` vectors; a larger list is a shard alone."""
+    shards, shard, held = np.zeros(len(sizes), dtype=np.int64), 0, 0
+    for n, size in enumerate(sizes.tolist()):
+        if held and held + size > vectors:
+            shard, held = shard + 1, 0
+        shards[n], held = shard, held + size
+    return shards
+
+
+def _probe(model: bytes, probes: int, sizes: np.ndarray, shards: np.ndarray, enough: int, names: list[str]):
+    """Rows with each of their ``probes`` nearest lists, and more until ``enough`` candidates are held.
+
+    A row for each shard that holds some: its lists, the ``NEAR`` nearest ones
+    apart from those further away.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _unpacked(model)
@@ -145,9 +164,15 @@ def _probe(model: bytes, probes: int, sizes: np.ndarray, enough: int, names: lis
                 lists = _nearest_lists(_rotated(m, _matrix(b.column(names.index("v"))), True), m["centroids"], len(sizes))
                 own = sizes[lists]
                 row, nth = np.nonzero((np.arange(len(sizes)) < probes) | (np.cumsum(own, axis=1) - own < enough))
-                columns = [c.take(pa.array(row)) for c in b.columns]
+                chosen, further = lists[row, nth], nth >= NEAR
+                order = np.lexsort((chosen, shards[chosen], further, row))
+                row, chosen, further = row[order], chosen[order], further[order]
+                key = (row * 2 + further) * (int(shards.max()) + 1) + shards[chosen]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+                held = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(chosen.astype(np.int32)))
+                columns = [c.take(pa.array(row[starts])) for c in b.columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists[row, nth].astype(np.int32)), pa.array(nth.astype(np.int32)), *columns], ["list", "nth", *names]
+                    [pa.array(shards[chosen[starts]].astype(np.int32)), pa.array(further[starts]), held, *columns], ["shard", "further", "lists", *names]
                 )
 
     return run
@@ -180,43 +205,62 @@ def scan(x: np.ndarray, v: np.ndarray, q: np.ndarray, qv: np.ndarray, least: np.
     return i, j, np.einsum("nd,nd->n", qv[i], v[j])
 
 
+def _top(i: np.ndarray, score: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each i, in order; ties to the smaller ``first``."""
+    order = np.lexsort((first, -score, i))
+    i = i[order]
+    return order[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+
 def _tile(model: bytes, k: int):
     def run(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(vectors) and len(queries):
             m = _unpacked(model)
+            vectors = vectors.sort_values("list")
             ids = vectors["ids"].to_numpy()
             first = np.array([own[0] for own in ids])
             v = np.stack(vectors["v"].to_numpy()).astype(np.float64)
             x = _rotated(m, v, False)
+            lists, starts = np.unique(vectors["list"].to_numpy(), return_index=True)
+            ends = np.append(starts[1:], len(v))
             qv = np.stack(queries["v"].to_numpy()).astype(np.float64)
             q, names = _rotated(m, qv, True), queries["query_key"].to_numpy()
             least = queries["least"].to_numpy(dtype=np.float64)
+            asked = queries["lists"].to_numpy()
             for at in range(0, len(q), STEP):
-                i, j, score = scan(x, v, q[at : at + STEP], qv[at : at + STEP], least[at : at + STEP])
-                order = np.lexsort((first[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                top = nth < k
-                found.append(pd.DataFrame({"query_key": names[at + i[top]], "score": score[top], "ids": ids[j[top]]}))
+                some = asked[at : at + STEP]
+                who = at + np.repeat(np.arange(len(some)), [len(a) for a in some])
+                wanted = np.concatenate(some)
+                parts = []
+                for n, (start, end) in zip(lists, zip(starts, ends)):
+                    own = who[wanted == n]
+                    if len(own):
+                        i, j, score = scan(x[start:end], v[start:end], q[own], qv[own], least[own])
+                        best = _top(i, score, first[start:end][j], k)
+                        parts.append((own[i[best]], start + j[best], score[best]))
+                if parts:
+                    i, j, score = (np.concatenate(p) for p in zip(*parts))
+                    best = _top(i, score, first[j], k)
+                    found.append(pd.DataFrame({"query_key": names[i[best]], "score": score[best], "ids": ids[j[best]]}))
         empty = pd.DataFrame({"query_key": pd.Series(dtype=str), "score": pd.Series(dtype=float), "ids": pd.Series(dtype=object)})
         return pd.concat(found) if found else empty
 
     return run
 
 
-def _scan_lists(indexed: DataFrame, probes: DataFrame, model: bytes, k: int) -> DataFrame:
-    """``list, v, ids`` and ``list, v, query_key, least`` -> ``query_key, score, ids``, at most ``k`` of a query and tile."""
-    # a row per list: into how many tiles its vectors and its queries are cut
-    tiles = indexed.groupBy("list").agg(F.ceil(F.count("*") / TILE_VECTORS).cast("int").alias("across")).join(
-        probes.groupBy("list").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("down")), "list"
+def _scan_shards(indexed: DataFrame, probes: DataFrame, model: bytes, k: int, vectors: int, queries: int) -> DataFrame:
+    """``shard, list, v, ids`` and ``shard, lists, v, query_key, least`` -> ``query_key, score, ids``, at most ``k`` of a query and tile."""
+    # a row per shard: into how many tiles its vectors and its queries are cut
+    tiles = indexed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * vectors)).cast("int").alias("across")).join(
+        probes.groupBy("shard").agg(F.ceil(F.count("*") / queries).cast("int").alias("down")), "shard"
     )
     own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(tiles, "list").withColumn("i", own("v", "across")).withColumn("j", every("down"))
-    right = probes.join(tiles, "list").withColumn("j", own("query_key", "down")).withColumn("i", every("across"))
-    cell = ["list", "i", "j"]
-    return left.select(*cell, "v", "ids").groupBy(*cell).cogroup(right.select(*cell, "v", "query_key", "least").groupBy(*cell)).applyInPandas(
+    left = indexed.join(tiles, "shard").withColumn("i", own("v", "across")).withColumn("j", every("down"))
+    right = probes.join(tiles, "shard").withColumn("j", own("query_key", "down")).withColumn("i", every("across"))
+    cell = ["shard", "i", "j"]
+    return left.select(*cell, "list", "v", "ids").groupBy(*cell).cogroup(right.select(*cell, "lists", "v", "query_key", "least").groupBy(*cell)).applyInPandas(
         _tile(model, k), "query_key STRING, score DOUBLE, ids ARRAY<BIGINT>"
     )
 
@@ -254,15 +298,22 @@ def search(vectors: DataFrame, queries: DataFrame, stages: Stages, k: int = 20,
     sizes = np.zeros(lists, dtype=np.int64)
     for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
-    probes = wanted.mapInArrow(_probe(model, count, sizes, max(ENOUGH, k + 1), ["v", "query_key"]), "list INT, nth INT, v ARRAY<DOUBLE>, query_key STRING")
-    probes = stages.write("probes", probes)
+    cut = lambda n, bounds: int(min(bounds[1], max(bounds[0], n // PIECES)))
+    per_shard, per_tile = cut(total, TILE_VECTORS), cut(wanted.count(), TILE_QUERIES)
+    shards = shards_of(sizes, per_shard)
+    probe = _probe(model, count, sizes, shards, max(ENOUGH, k + 1), ["v", "query_key"])
+    probes = stages.write("probes", wanted.mapInArrow(probe, "shard INT, further BOOLEAN, lists ARRAY<INT>, v ARRAY<DOUBLE>, query_key STRING"))
+    # a number per list
+    shard = F.element_at(F.split(F.lit(",".join(map(str, shards.tolist()))), ",").cast("array<int>"), F.col("list") + 1)
+    indexed = indexed.withColumn("shard", shard)
     none = F.lit(float("-inf"))
-    near = stages.write("near", _scan_lists(indexed, probes.where(F.col("nth") < NEAR).withColumn("least", none), model, k + 1))
+    near = _scan_shards(indexed, probes.where("NOT further").withColumn("least", none), model, k + 1, per_shard, per_tile)
+    near = stages.write("near", near)
     # the product a query has k others for already; with fewer there is no bound
     kth = _smallest(near, ["query_key"], [F.desc("score"), F.col("ids")[0]], k + 1).where(F.col("_n") == k + 1)
     bounds = kth.select("query_key", F.col("score").alias("least"))
-    further = probes.where(F.col("nth") >= NEAR).join(bounds, "query_key", "left").na.fill(float("-inf"), ["least"])
-    found = near.unionByName(_scan_lists(indexed, further, model, k + 1))
+    further = probes.where("further").join(bounds, "query_key", "left").na.fill(float("-inf"), ["least"])
+    found = near.unionByName(_scan_shards(indexed, further, model, k + 1, per_shard, per_tile))
     best = _smallest(found, ["query_key"], [F.desc("score"), F.col("ids")[0]], k + 1)
     each = best.select("query_key", "score", F.explode("ids").alias("vec_id"))
     nearest = _smallest(each, ["query_key"], [F.desc("score"), "vec_id"], k + 1)
