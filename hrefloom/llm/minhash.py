@@ -16,8 +16,14 @@ each, until that links no more.  Where a bucket then still holds several, nodes
 are compared across them, each pair in the first band it shares, if it can be
 alike at all: if its sizes allow it, and if it still can when what only one of
 the nodes holds is taken off, which is exact and leaves little of families whose
-members each differ in words of their own.  A pair at the threshold misses all
-``BANDS`` bands with a probability of 3e-6; nothing else is left out.
+members each differ in words of their own.  Their sets are at hand there, so a
+sharper sketch of the same kind (the low bits of the least hash of each of
+``BINS`` bins) names the few pairs to confirm.  A pair at the threshold misses
+all ``BANDS`` bands with a probability of 3e-6; estimates are asked for with a
+margin of five standard errors, and nothing else is left out.
+
+Texts and buckets that a join needs are few among all, so a sieve of fixed size
+(``common.sieved``) picks them before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -31,13 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefloom.llm.common import Stages, text_of
+from hrefloom.llm.common import Stages, sieved, text_of
 from hrefloom.llm.components import components
 
 HASHES, BANDS, ROWS, BITS = 256, 42, 6, 2
 PERCENT = 80
 # estimates this far below the threshold are more than five standard errors off
 MARGIN = 0.16
+# bins of the sketch of an open node, and five standard errors of its estimate
+BINS, SHARP = 2048, 0.055
 # bands whose buckets are turned into components first
 FIRST_BANDS = 3
 # rounds of one node for each component, and of leaving out nodes that are like no other
@@ -156,7 +164,8 @@ def estimate(p: str, q: str) -> Column:
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of the nodes asked for (``node, row_key``), from one text of each."""
-    texts = docs.select(F.xxhash64(text_of()).alias("row_key"), text_of().cast("binary").alias("text")).join(nodes, "row_key")
+    texts = docs.select(F.xxhash64(text_of()).alias("row_key"), text_of().cast("binary").alias("text"))
+    texts = sieved(texts, "row_key", nodes, "row_key").where("_in = 1").drop("_in").join(nodes, "row_key")
     texts = texts.groupBy("node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +177,38 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node BINARY, shingles BINARY")
 
 
+def sketch(shingles: np.ndarray) -> list[int]:
+    """Which of ``BINS`` bins hold a shingle, and the two low bits of the least hash in each, as planes of 64-bit words."""
+    hashed = _mixed(shingles ^ _STEP)
+    at = (hashed >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, at, hashed << np.uint64(BINS.bit_length() - 1))
+    held = np.zeros(BINS, dtype=np.uint8)
+    held[at] = 1
+    # the bits come from another mix of the least hash, so they are even whatever the number of shingles
+    low = _mixed(least + _STEP)
+    planes = [held, ((low & np.uint64(1)) * held).astype(np.uint8), ((low >> np.uint64(1) & np.uint64(1)) * held).astype(np.uint8)]
+    return np.concatenate([np.packbits(p).view(np.int64) for p in planes]).tolist()
+
+
+def sharp_estimate(p: str, q: str) -> Column:
+    """Similarity of two sketches: bins that agree, less those that agree by chance, of those that either holds."""
+    n = BINS // 64
+    both = " + ".join(f"bit_count({p}[{w}] & {q}[{w}])" for w in range(n))
+    either = " + ".join(f"bit_count({p}[{w}] | {q}[{w}])" for w in range(n))
+    equal = " + ".join(
+        f"bit_count({p}[{w}] & {q}[{w}] & ~(({p}[{n + w}] ^ {q}[{n + w}]) | ({p}[{2 * n + w}] ^ {q}[{2 * n + w}])))" for w in range(n)
+    )
+    return F.expr(f"(({equal}) - ({both}) / 4) / 0.75 / greatest(1, {either})")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, shingles`` -> ``node, sketch``."""
+    for b in batches:
+        made = [sketch(np.frombuffer(s.as_py(), dtype=np.uint64)) for s in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "sketch"])
+
+
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``node, shingles`` -> a row per shingle."""
     for b in batches:
@@ -285,6 +326,7 @@ class _Search:
         rooted = self.rooted(self.nodes.select("node", "bands"), "node", "root")
         several = self.several(rooted.select(F.xxhash64("root").alias("r"), F.explode("bands").alias("bucket")))
         rows = self.nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+        rows = sieved(rows, "bucket", several, "bucket").where("_in = 1").drop("_in")
         return self.stages.write("open-0", rows.join(several, "bucket").select("bucket", "band", "node"))
 
     def still_open(self, rows: DataFrame, name: str) -> DataFrame:
@@ -329,19 +371,22 @@ class _Search:
         and the bounds are part of the join: other pairs never leave it.
         """
         rows = self.pruned(rows, sets)
+        sharp = sets.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches, "node BINARY, sketch ARRAY<BIGINT>")
+        sharp = self.stages.write("sketches", sharp)
         counted = rows.groupBy("bucket", F.xxhash64("root").alias("r")).agg(F.count("*").alias("k"))
         body = counted.groupBy("bucket").agg(F.max_by("r", F.struct("k", "r")).alias("body"))
-        signed = rows.withColumn("r", F.xxhash64("root")).join(body, "bucket").join(self.nodes.select("node", "planes", "bands"), "node")
-        signed = self.stages.write("signed", signed.select("bucket", "band", "node", "r", "body", "n", "c", "planes", "bands"))
+        signed = rows.withColumn("r", F.xxhash64("root")).join(body, "bucket").join(self.nodes.select("node", "bands"), "node")
+        signed = signed.join(sharp, "node").select("bucket", "band", "node", "r", "body", "n", "c", "sketch", "bands")
+        signed = self.stages.write("signed", signed)
         one = signed.where("r <> body").select(
             "bucket", "band", F.col("node").alias("x"), F.col("r").alias("_r"), F.col("n").alias("_n"), F.col("c").alias("_c"),
-            F.col("planes").alias("p"), F.col("bands").alias("_bands"),
+            F.col("sketch").alias("p"), F.col("bands").alias("_bands"),
         )
-        two = signed.select("bucket", F.col("node").alias("y"), "r", "body", "n", "c", F.col("planes").alias("q"), "bands")
+        two = signed.select("bucket", F.col("node").alias("y"), "r", "body", "n", "c", F.col("sketch").alias("q"), "bands")
         apart = (F.col("_r") < F.col("r")) | ((F.col("r") == F.col("body")) & (F.col("_r") > F.col("r")))
         most = F.least("_c", "c")
         possible = 100 * most >= self.percent * (F.col("_n") + F.col("n") - most)
-        near = estimate("p", "q") >= self.percent / 100 - MARGIN
+        near = sharp_estimate("p", "q") >= self.percent / 100 - SHARP
         first = ~F.arrays_overlap(F.expr("slice(_bands, 1, band)"), F.expr("slice(bands, 1, band)"))
         pairs = one.join(two, "bucket").where(apart & possible & near & first)
         return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
@@ -358,7 +403,7 @@ class _Search:
             rows = self.still_open(rows, f"open-{n + 2}")
         if not rows.isEmpty():
             self.try_pairs(self.across(rows, sets), sets)
-        self.stages.drop("open-sets", "signed", "kept", "rooted", "per-root", "several", *(f"open-{n}" for n in range(ROUNDS + 2)))
+        self.stages.drop("open-sets", "sketches", "signed", "kept", "rooted", "per-root", "several", *(f"open-{n}" for n in range(ROUNDS + 2)))
 
 
 def near_duplicates(docs: DataFrame, stages: Stages, size: int = 5, percent: int = PERCENT) -> DataFrame:

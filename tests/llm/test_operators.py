@@ -381,6 +381,18 @@ def test_estimate_is_near_the_similarity(spark):
     assert all(abs(r.e - r.j) < minhash.MARGIN for r in rows) and rows[-1].e == 1.0
 
 
+def test_sharp_estimate_is_near_the_similarity(spark):
+    rng, pairs = np.random.default_rng(4), []
+    for n in (1, 3, 40, 300, 2000, 9000):
+        for share in (0.0, 0.5, 0.75, 0.88, 0.95, 1.0):
+            for _ in range(6):
+                one = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                two = np.concatenate([one[: int(n * share)], rng.integers(0, 1 << 63, n - int(n * share), dtype=np.uint64)])
+                pairs.append((len(np.intersect1d(one, two)) / len(np.union1d(one, two)), minhash.sketch(np.unique(one)), minhash.sketch(np.unique(two))))
+    rows = spark.createDataFrame(pairs, "j DOUBLE, p ARRAY<BIGINT>, q ARRAY<BIGINT>").withColumn("e", minhash.sharp_estimate("p", "q")).collect()
+    assert all(abs(r.e - r.j) < minhash.SHARP for r in rows if r.j > 0.6) and all(r.e == 1.0 for r in rows if r.j == 1)
+
+
 def test_a_chain_is_linked_from_end_to_end(spark, stages):
     # neighbours in the chain are alike, the ends are not
     own = prose(40, 60).split()
