@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefloom.functions.text import let, lift
-from hrefloom.llm.common import Stages, text_of, words_of
+from hrefloom.llm.common import Stages, sieved, text_of, words_of
 
 BUCKETS = 1 << 14
 # hits of each bucket that both multinomials begin with, at the target's size
@@ -25,8 +25,6 @@ PRIOR = 4.0
 # mean log ratio below which a text is rejected
 THRESHOLD = -0.05
 LEAST_WORDS = 50
-# bits of the filter of trusted ids
-FILTER_BITS = 1 << 26
 SYMBOLS = "#*$%&|<>"
 
 
@@ -40,30 +38,6 @@ def _shrunk(ratio: str, error: str) -> str:
     return f"sign({ratio}) * greatest(0D, abs({ratio}) - {error})"
 
 
-def _place(column: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
-def id_filter(ids: DataFrame) -> DataFrame:
-    """``doc_id`` -> ``part, words``: a bit for each hash of an id, in at most ``FILTER_BITS`` / 32,768 rows of 4 KB."""
-    bits = ids.select(_place().alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("v"))
-    parts = bits.groupBy(F.expr("w div 512").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("cast(w % 512 AS int)"), "v"))).alias("m"))
-    return parts.select("part", F.expr("transform(sequence(0, 511), i -> coalesce(m[i], 0L))").alias("words"))
-
-
-def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` and ``_in``: 1 if the filter of ``ids`` lets the row's id through, else null.
-
-    The filter has a fixed size, so it is broadcast.  It lets all ``ids``
-    through, and a share of others that grows with their number.
-    """
-    placed = docs.withColumn("_p", _place())
-    filtered = placed.join(F.broadcast(id_filter(ids)), F.expr("_p div 32768") == F.col("part"), "left")
-    bit = F.expr("shiftright(words[cast((_p div 64) % 512 AS int)], cast(_p % 64 AS int)) & 1L")
-    inside = F.when(F.col("doc_id").isNotNull() & F.col("words").isNotNull() & (bit == 1), 1)
-    return filtered.select(*docs.columns, inside.alias("_in"))
-
-
 def _hits(texts: DataFrame, buckets: int) -> DataFrame:
     """``text, _in`` -> ``b, raw, target``: hits of each bucket by words and pairs, and those of rows that are ``_in``."""
     worded = texts.select("_in", words_of(text_of()).alias("w"))
@@ -80,7 +54,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, stages: Stages, buckets:
 
     ``trusted`` has each id once and grows with the labels.  One pass over the
     texts, which stay where they are, counts the raw corpus and the rows whose
-    id a filter of fixed size lets through: all trusted ones and a few others.
+    id a sieve of fixed size lets through: all trusted ones and a few others.
     Those others are found by their ids alone, and their words are taken off
     again, so the target is exact at any size and only their texts are joined.
     Each bucket of the target gets ``PRIOR`` hits more, and the raw corpus the
@@ -89,11 +63,11 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, stages: Stages, buckets:
     With no trusted words all ratios are 0.
     """
     docs = docs.select("doc_id", "text")
-    through = marked(docs.select("doc_id"), trusted).where("_in = 1").select("doc_id")
+    through = sieved(docs.select("doc_id"), "doc_id", trusted, "doc_id").where("_in = 1").select("doc_id")
     others = stages.write("others", through.join(trusted, "doc_id", "left_anti").distinct())
-    wrong = marked(docs, others).where("_in = 1").join(others, "doc_id", "left_semi")
+    wrong = sieved(docs, "doc_id", others, "doc_id").where("_in = 1").join(others, "doc_id", "left_semi")
     taken = _hits(wrong, buckets).select("b", F.lit(0).cast("bigint").alias("raw"), (-F.col("raw")).alias("target"))
-    counts = _hits(marked(docs, trusted), buckets).unionByName(taken).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = _hits(sieved(docs, "doc_id", trusted, "doc_id"), buckets).unionByName(taken).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # every bucket has a row, in order; the number of buckets is fixed
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").na.fill(0, ["raw", "target"])
