@@ -492,6 +492,31 @@ def test_gradients_against_differences():
         assert g[name][at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def test_scores_against_a_pass_window_by_window():
+    rng = np.random.default_rng(3)
+    p = {k: np.asarray(v, dtype=np.float32) for k, v in classifier.fit([], np.empty(0, dtype=np.int64), 0.4, 0).items()}
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in p.items()}
+    block, span = classifier.BLOCK, classifier.GROUP * classifier.BLOCK
+
+    def plain(text):
+        groups = (len(text) + block) // span + 1
+        codes = [*text, *[classifier.PAD] * (groups * span - len(text))]
+        maxima = []
+        for g in range(groups):
+            windows = range(g * span, (g + 1) * span, block)
+            # the window at the end of the text is padding, so it is none
+            own = [np.maximum(0, np.concatenate([p["E"][c] for c in codes[w : w + 2 * block]]) @ p["K"] + p["b"]) for w in windows if w + 2 * block <= len(codes)]
+            maxima.append(np.max(own, axis=0))
+        step = classifier.CHUNK - 1
+        chunks = [np.max(maxima[s : s + classifier.CHUNK], axis=0) for s in range(0, max(1, groups - 1), step)]
+        features = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)])
+        z = float(features.astype(np.float64) @ p["w"].astype(np.float64)) + float(p["c"][0]) + float(p["prior"][0])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    texts = [b"", b"a", b"abc" * 40, bytes(rng.integers(0, 256, 124, dtype=np.uint8)), bytes(rng.integers(0, 256, 700, dtype=np.uint8)), prose(5, 300).encode()]
+    assert classifier.score_texts(p, texts) == pytest.approx([plain(t) for t in texts], rel=1e-4, abs=1e-6)
+
+
 def test_slabs_do_not_change_scores(monkeypatch):
     rng = np.random.default_rng(4)
     p = classifier.fit([b"a b c", b"| | |"], np.array([1, 0]), 0.5, steps=5)
@@ -570,6 +595,26 @@ def test_base_scores_by_counts(spark, docs, no_docs, stages, monkeypatch):
         expected[r[0], len(tokens), sum(c[w] > 0 for w in tokens), round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in tokens), 6)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in found) == expected
     assert all(np.isfinite(r.score) and r.score <= 0 for r in found)
+    # the model's score, token by token: the network's share of its id, and for the id of all other words the word's share in it
+    number, (other_tokens, other_types) = {w: i for i, w in enumerate(stats.words)}, stats.other()
+
+    def plain(text):
+        ids = [number[w] + 2 if w in number else logbilinear.OTHER for w in own(text)[:-1]] + [logbilinear.END]
+        far, near, total = logbilinear.END, logbilinear.END, 0.0
+        for word, i in zip(own(text), ids):
+            context = parameters["R"][far] @ parameters["C2"] + parameters["R"][near] @ parameters["C1"]
+            logits = (context @ parameters["Q"].T + parameters["b"]).astype(np.float64)
+            total += (logits[i] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / np.log(10)
+            if i == logbilinear.OTHER:
+                total += np.log10((c[word] + 1) / (other_tokens + other_types + 1))
+            far, near = near, i
+        return total
+
+    scores = {}
+    for r in rows():
+        scores.setdefault((r[0], len(own(r[1]))), []).append(plain(r[1]))
+    for r in found:
+        assert any(r.score == pytest.approx(s, rel=1e-4, abs=1e-3) for s in scores[r.doc_id, r.n_tokens])
     empty, _ = logbilinear.score_documents(no_docs, F.lit(True), Stages(spark, "none"))
     assert empty.count() == 0
     untrained, stats = logbilinear.score_documents(docs, F.lit(False), Stages(spark, "none"))
