@@ -89,10 +89,12 @@ class KeyedLog:
 
     def _stored(self, buckets: int | None) -> tuple[list[Span], dict, int, int]:
         folder, files = self._path("manifest")
-        if not files.exists(folder):
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        # one that was begun and not renamed is none
+        versions = [int(n[: -len(SUFFIX)]) for n in names if n.endswith(SUFFIX)]
+        if not versions:
             return [], {}, 0, buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        names = [s.getPath().getName() for s in files.listStatus(folder)]
-        version = max(int(n[: -len(SUFFIX)]) for n in names if n.endswith(SUFFIX))
+        version = max(versions)
         kept = json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/manifest/{version:012d}{SUFFIX}").collect()))
         return [Span(*s) for s in kept["spans"]], kept["notes"], version, kept["buckets"]
 

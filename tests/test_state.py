@@ -91,6 +91,12 @@ def test_log_join_shuffles_the_batch_alone_and_reads_its_buckets(spark, no_broad
 
 def test_log_batch_written_again_after_a_crash(spark):
     root = work_dir(spark, "log")
+    # a crash while the first manifest was written
+    log = KeyedLog(spark, root, "url STRING, id BIGINT", "url", 4)
+    log._write(0, 0, {}, _stored(spark, root, "in", [("x", 1)]))
+    begun, files = log._path("manifest/000000000001.begun")
+    files.create(begun, True).close()
+    assert KeyedLog(spark, root, "url STRING, id BIGINT", "url", 4).rows().count() == 0
     log = KeyedLog(spark, root, "url STRING, id BIGINT", "url", 4)
     log.append(0, _stored(spark, root, "in-0", [("a", 1)]))
     # a crash between the rows and the manifest: rows lie there, but nothing names them
