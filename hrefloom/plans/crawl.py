@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrefloom.functions import urls as U
@@ -12,7 +12,7 @@ from hrefloom.sources.keyed_log import KeyedLog
 from hrefloom.sources.snapshot import NOT_FOUND, fetch_pages, page_index
 from hrefloom.workdir import work_dir as fresh_dir
 
-ROUND_SCHEMA = "url STRING, host STRING, key STRING, round INT"
+MET_SCHEMA = "key STRING, url STRING, host STRING, round INT"
 WORK_SCHEMA = "round INT, tracked BIGINT, completed BIGINT, outstanding BIGINT"
 
 
@@ -33,16 +33,18 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, wor
     by page URL; a round is then one join of the frontier to that table and one
     of its distinct links to the log of URLs met, which lies in buckets: the
     round's links are shuffled to it, and it is read where they fall and never
-    shuffled.  Html is never touched again.  A page's base is its canonical URL,
-    since that is how every URL but a seed is asked for; seeds fetch their pages
-    on their own.  Every round is written to ``work_dir`` before the next
-    starts: lineage stays short and a lost executor costs at most the tasks it
-    ran.  ``crawl_work`` reads what the rounds counted as they were written.
+    shuffled.  What is new is appended to the log, which is the result as well.
+    Html is never touched again.  A page's base is its canonical URL, since that
+    is how every URL but a seed is asked for; seeds fetch their pages on their
+    own.  Every round is written to ``work_dir`` before the next starts: lineage
+    stays short and a lost executor costs at most the tasks it ran.
+    ``crawl_work`` reads what the rounds counted as they were written.
     """
     spark = pages.sparkSession
     root = fresh_dir(spark, "crawl") if work_dir is None else work_dir.rstrip("/")
-    seen = KeyedLog(spark, f"{root}/seen", "key STRING", "key")
-    tracked = []
+    met = KeyedLog(spark, f"{root}/met", MET_SCHEMA, "key")
+    # a folder that held another crawl
+    met.drop(met.spans)
 
     def table(name: str, df: DataFrame) -> DataFrame:
         path = f"{root}/{name}"
@@ -50,16 +52,14 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, wor
         return spark.read.schema(df.schema).parquet(path)
 
     def enter(n: int, urls: DataFrame) -> DataFrame:
-        """Writes a round, counted on the way, and remembers its URLs."""
-        counted = Observation(f"round-{n}")
-        hosted = urls.select("url", U.host_of("url").alias("host"), "key").observe(counted, F.count(F.lit(1)).alias("tracked"))
-        entered = table(f"rounds/round={n}", hosted)
-        tracked.append(counted.get["tracked"])
-        if tracked[-1]:
-            seen.append(n, entered)
-            seen.compact()
-        return entered
-
+        """Writes a round, which the log counts on the way."""
+        met.append(n, urls.select("key", "url", U.host_of("url").alias("host"), F.lit(n).alias("round")))
+        tracked.append(met.spans[-1].rows)
+        # earlier rounds only: the next one starts from this one's rows
+        met.compact(n)
+        return met.rows_of(met.spans[-1:])
+
+    tracked: list[int] = []
     frontier = enter(0, seeds.select("url").distinct().withColumn("key", U.url_key("url")))
     n = 0
     if max_rounds is None or max_rounds > 0:
@@ -74,17 +74,16 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, wor
         candidates = _links_of(found.withColumnRenamed("seq", "page_id"))
         while tracked[n] and (max_rounds is None or n < max_rounds):
             n += 1
-            met = table(f"candidates/round={n}", candidates.select("url").distinct())
-            frontier = enter(n, seen.unseen(met, "url").withColumn("key", F.col("url")))
+            linked = table(f"candidates/round={n}", candidates.select("url").distinct())
+            frontier = enter(n, met.unseen(linked, "url").withColumn("key", F.col("url")))
             candidates = links.join(frontier.select(F.col("key").alias("src")), "src")
-    seen.close()
+    table("frontier", frontier.select("url", "host"))
     # a round's URLs are done when the next round is written
     done = [0, *tracked[:-1]]
     work = [(i, tracked[i], done[i], sum(tracked[: i + 1]) - sum(done[: i + 1])) for i in range(n + 1)]
     spark.createDataFrame(work, WORK_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/work")
-    table("frontier", frontier.select("url", "host"))
-    rounds = spark.read.schema(ROUND_SCHEMA).parquet(f"{root}/rounds")
-    return rounds.where(F.col("round") <= n).select("url", "host", "round")
+    met.close()
+    return met.stored().select("url", "host", "round")
 
 
 def crawl_work(spark: SparkSession, work_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import json
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,7 @@ class KeyedLog:
             f"CREATE TABLE {self.name} ({columns}, span STRING, bucket INT) USING parquet PARTITIONED BY (span, bucket)"
             f" CLUSTERED BY (`{key}`) INTO {self.buckets} BUCKETS LOCATION '{self.root}/rows'"
         )
+        self.stale: list[Span] = []
         # buckets of each span that the session's table knows
         self.known: dict[str, list[int]] = {}
         for s in self.spans:
@@ -130,13 +131,18 @@ class KeyedLog:
         span = Span(first, last, 0, [], info)
         columns = [f.name for f in self.schema]
         staged = f"{self.name}_staged"
-        dealt = self.dealt(rows.select(*columns), self.key).withColumn("bucket", self.bucket_of(self.key))
+        counted = Observation()
+        counting = rows.select(*columns).observe(counted, F.count(F.lit(1)).alias("rows"))
+        dealt = self.dealt(counting, self.key).withColumn("bucket", self.bucket_of(self.key))
         writer = dealt.write.mode("overwrite").partitionBy("bucket").bucketBy(self.buckets, self.key)
         # the log itself may be among what is read, so the span is a table of its own until it is complete
         writer.option("path", f"{self.root}/rows/span={span.name}").saveAsTable(staged)
-        counts = self.spark.table(staged).groupBy("bucket").count().collect()
         self.spark.sql(f"DROP TABLE {staged}")
-        span = span._replace(rows=sum(r["count"] for r in counts), buckets=sorted(r["bucket"] for r in counts))
+        # what was written is counted on the way, and its buckets are its folders: nothing is read again
+        folder, files = self._path(f"rows/span={span.name}")
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        held = sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+        span = span._replace(rows=counted.get.get("rows", 0) if held else 0, buckets=held)
         self._register(span.name, span.buckets)
         self.spark.catalog.refreshTable(self.name)
         return span
@@ -160,6 +166,13 @@ class KeyedLog:
         """All rows of batches before ``batch``; with ``buckets`` those of some buckets only."""
         return self.rows_of(self.before(batch), buckets)
 
+    def stored(self) -> DataFrame:
+        """All rows as plain files, which outlast the session's table; spans that are merged later take theirs along."""
+        paths = [f"{self.root}/rows/span={s.name}" for s in self.spans if s.rows]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/rows").parquet(*paths).select(*(f.name for f in self.schema))
+
     def touched(self, rows: DataFrame, key: str) -> list[int]:
         """The buckets that the keys of ``rows`` fall into: no more numbers than buckets."""
         found = rows.select(self.bucket_of(key).alias("b")).distinct().collect()
@@ -183,7 +196,8 @@ class KeyedLog:
         """Merges neighbouring spans of earlier batches, if ``MERGED`` of them are of a like size.
 
         A span is merged with smaller ones only, so a row is written again once
-        for each power of ``MERGED`` that the log has grown by.
+        for each power of ``MERGED`` that the log has grown by.  Rows that were
+        asked for before a merge can be read until the next one.
         """
         spans, later = self.before(batch), [s for s in self.spans if s not in self.before(batch)]
         tail: list[Span] = []
@@ -192,8 +206,9 @@ class KeyedLog:
         if len(tail) < MERGED:
             return
         self.keep([*spans, self._write(tail[0].first, tail[-1].last, tail[-1].info, self.rows_of(tail)), *later])
-        # nothing that is live names them any more
-        self.forget(tail)
+        # what was asked of the log before may still name them, so they go with the next merge
+        self.forget(self.stale)
+        self.stale = tail
 
     def forget(self, spans: list[Span]) -> None:
         """Deletes the files of spans that the manifest does not name."""

@@ -112,6 +112,17 @@ def test_log_batch_written_again_after_a_crash(spark):
     assert log.rows(0).count() == 0
 
 
+def test_log_rows_asked_for_before_a_merge_stay(spark):
+    root = work_dir(spark, "log")
+    log = KeyedLog(spark, root, "url STRING, id BIGINT", "url", 4)
+    for batch in range(MERGED):
+        log.append(batch, _stored(spark, root, f"in-{batch}", [(f"u{batch}", 1)]))
+    unseen = log.unseen(_stored(spark, root, "in", [("u0", 1), ("v", 1)]), "url")
+    stored = log.stored()
+    log.compact()
+    assert len(log.spans) == 1 and [r["url"] for r in unseen.collect()] == ["v"] and stored.count() == MERGED == log.stored().count()
+
+
 # the queue
 
 
