@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,48 @@ def test_components_that_meet_in_one_bucket_only(spark, stages, monkeypatch):
     assert [found[i] for i in ids] == [ids[r] for r in plain_components(texts, 1)[0]] and found[3] == 1
 
 
+def test_pairs_across_components_are_links(spark, stages, monkeypatch):
+    """A family whose members are near the threshold to each other: what leaves the join across components is linked."""
+    def text(i):
+        words = [f"w{k}" for k in range(150)]
+        for k in (3, 31, 62, 90, 120, 141):  # shared with some others, so bounds by size and by own words let pairs pass
+            words[k + i % 5] = f"x{(i * 7 + k * k) % 11}"
+        words[75] = f"own{i}"
+        return " ".join(words)
+
+    texts = [text(i) for i in range(60)]
+    tried, across = [], minhash._Search.across
+
+    def seen(self, rows, sets):
+        pairs = across(self, rows, sets)
+        tried.extend(pairs.distinct().collect())
+        return pairs
+
+    monkeypatch.setattr(minhash._Search, "across", seen)
+    monkeypatch.setattr(minhash._Search, "first_stars", lambda self: spark.createDataFrame([], "x BINARY, y BINARY"))
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, stages, size=2).collect()}
+    root, _ = plain_components(texts, 2)
+    assert [found[i] for i in range(len(texts))] == root
+    sets = [minhash.Shingler(2)(t.encode()) for t in texts]
+    of = {minhash.node_of(x): set(x.tolist()) for x in sets}
+    assert tried
+    for r in tried:
+        x, y = of[bytes(r.x)], of[bytes(r.y)]
+        assert 100 * len(x & y) >= 80 * len(x | y)
+
+
+def test_most_common_is_a_bound_where_halves_collide(spark):
+    one, two = [5 << 32 | 1, 5 << 32 | 2, 7 << 32], [5 << 32 | 1, 5 << 32 | 2, 9 << 32]
+    rows = [([5, 7], [5, 9], 3, 3), ([1, 2], [2, 3], 2, 2), (None, [2, 3], 5000, 2)]
+    found = spark.createDataFrame(rows, "p ARRAY<INT>, q ARRAY<INT>, n BIGINT, m BIGINT").select(minhash.most_common("p", "q", "n", "m").alias("c"))
+    assert [r.c for r in found.collect()] == [2, 1, None] and len(set(one) & set(two)) == 2
+    made = list(minhash._sketches(iter([pa.RecordBatch.from_pydict({"node": [b"a", b"b"], "shingles": [
+        np.array(sorted(one), dtype=np.uint64).tobytes(), np.arange(minhash.BINS + 1, dtype=np.uint64).tobytes()]})])))
+    assert made[0].column(2).to_pylist() == [[5, 7], None]
+
+
 def test_components(spark, stages):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     found = dict(components.components(spark.createDataFrame(edges, "x BIGINT, y BIGINT"), stages, "c").distinct().collect())
@@ -577,6 +620,7 @@ def test_recall_with_the_parameters_in_use(spark, stages, n):
 
 # language model
 
+
 def test_base_scores_by_counts(spark, docs, no_docs, stages, monkeypatch):
     monkeypatch.setattr(logbilinear, "HEAD", 40)
     training = F.col("doc_id").isNull() | (F.col("doc_id") != 3)
