@@ -26,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ RATE = 0.01
 START_TEXTS = 2000
 # results that meet in one task of the reduction tree
 FAN_IN = 32
+# texts that go to Python at a time: both sides hold them, besides what is made of them
+TEXTS = 1000
 END, OTHER = 0, 1
 
 _LOG10 = np.log(10.0)
@@ -248,7 +251,7 @@ def train(docs: DataFrame, stats: Statistics, stages: Stages) -> dict:
     chosen = by_hash(keyed.select("row_key").distinct(), ["row_key"], START_TEXTS)
     sample = keyed.join(F.broadcast(chosen), "row_key").dropDuplicates(["row_key"]).select("text").coalesce(1)
     for name, rows in (("start", sample), ("all", texts)):
-        found = stages.write(f"parameters-{name}-0", _train_over(rows, stats, start))
+        found = stages.write(f"parameters-{name}-0", _train_over(rows, stats, start), TEXTS)
         left, level = found.count(), 0
         while left > 1:
             level += 1
@@ -273,13 +276,29 @@ class Scorer:
         near -= top_near
         far -= top_far
         self.near, self.far = near, far
-        self.log_sum = np.log(np.exp(far) @ np.exp(near).T)
+        sums = np.exp(far) @ np.exp(near).T
+        self.log_sum = np.log(sums, out=sums)
 
     def __call__(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> np.ndarray:
         return self.far[far, word] + self.near[near, word] - self.log_sum[far, near]
 
 
-_TAIL = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+def _tails(tails: list[Counter]) -> pa.Array:
+    """Counted words of each text as lists of ``word, n``, without a Python object for each pair."""
+    offsets = np.cumsum([0, *map(len, tails)], dtype=np.int32)
+    words = pa.array([w for t in tails for w in t], pa.binary()).cast(pa.string())
+    n = pa.array([n for t in tails for n in t.values()], pa.int64())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words, n], ["word", "n"]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes of text: rows bound nothing where texts are long."""
+    for b in batches:
+        ends, first, rest = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0, 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, rest + most, side="right")))
+            yield b.slice(first, last - first)
+            first, rest = last, int(ends[last - 1])
 
 
 def score(docs: DataFrame, counts: DataFrame, stats: Statistics, parameters: dict, stages: Stages) -> DataFrame:
@@ -298,7 +317,7 @@ def score(docs: DataFrame, counts: DataFrame, stats: Statistics, parameters: dic
         code, scorer = Coder(words), Scorer(parameters)
         per_word = np.log10(np.append(head_counts, 0) + 1.0)
         at_end = np.log10(texts + 1.0)
-        for b in batches:
+        for b in _slices(batches, 2):
             out = {"n_tokens": [], "n_known": [], "base": [], "model": [], "tail": []}
             group, size = [], 0
 
@@ -316,7 +335,7 @@ def score(docs: DataFrame, counts: DataFrame, stats: Statistics, parameters: dic
                 # end first; rare words are added by the join
                 out["base"].append(float(found.sum() + at_end - np.log10(denominator) * (len(own) + 1 - rare.sum())))
                 others = (numbers >= VOCABULARY - 2)
-                out["tail"].append([{"word": w.decode("utf-8"), "n": n} for w, n in Counter(own[i] for i in np.flatnonzero(rare)).items()])
+                out["tail"].append(Counter(own[i] for i in np.flatnonzero(rare)))
                 out["n_tokens"].append(len(own) + 1)
                 out["n_known"].append(int(len(own) - rare.sum() + (texts > 0)))
                 out.setdefault("inside", []).append(float(found[others].sum() - np.log10(other_denominator) * others.sum()))
@@ -328,14 +347,14 @@ def score(docs: DataFrame, counts: DataFrame, stats: Statistics, parameters: dic
             model = np.array(out["model"]) + np.array(out.get("inside", []))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
-                 pa.array(out["base"], pa.float64()), pa.array(model, pa.float64()), pa.array(out["tail"], _TAIL)],
+                 pa.array(out["base"], pa.float64()), pa.array(model, pa.float64()), _tails(out["tail"])],
                 ["doc_id", "row_key", "n_tokens", "n_known", "base", "model", "tail"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", text_of()).alias("row_key"), text_of().cast("binary").alias("text"))
     schema = f"doc_id {kind}, row_key BIGINT, n_tokens BIGINT, n_known BIGINT, base DOUBLE, model DOUBLE, tail ARRAY<STRUCT<word: STRING, n: BIGINT>>"
-    scored = stages.write("scored", keyed.mapInArrow(run, schema))
+    scored = stages.write("scored", keyed.mapInArrow(run, schema), TEXTS)
     rare = scored.where(F.size("tail") > 0).select("row_key", F.explode("tail").alias("t")).select("row_key", "t.*")
     c = F.coalesce("c", F.lit(0))
     n = F.col("n")

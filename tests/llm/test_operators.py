@@ -621,6 +621,25 @@ def test_recall_with_the_parameters_in_use(spark, stages, n):
 # language model
 
 
+def test_texts_are_scored_few_bytes_at_a_time(spark, stages):
+    """Long texts go one by one, whatever the rows of a batch, and no more than so many rows go to Python."""
+    sizes = [10, 700_000, 700_000, 900_000, 5_000_000, 0, 20, 3_000_000]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(sizes))), "text": [b"a" * n for n in sizes]})
+    found = list(logbilinear._slices(iter([batch, batch.slice(5)]), 1))
+    assert [i for b in found for i in b.column(0).to_pylist()] == [*range(8), 5, 6, 7]
+    assert all(b.num_rows == 1 or sum(len(t.as_py()) for t in b.column(1)) <= 1 << 21 for b in found) and len(found) < 9
+    tails = logbilinear._tails([Counter([b"b", "é".encode(), b"b"]), Counter()])
+    assert tails.to_pylist() == [[{"word": "b", "n": 2}, {"word": "é", "n": 1}], []]
+
+    def lengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    rows, before = spark.range(0, 5000, 1, 1), spark.conf.get(Stages.ARROW_ROWS)
+    few = stages.write("few", rows.mapInArrow(lengths, "n BIGINT"), logbilinear.TEXTS)
+    assert max(r.n for r in few.collect()) == logbilinear.TEXTS and spark.conf.get(Stages.ARROW_ROWS) == before
+
+
 def test_base_scores_by_counts(spark, docs, no_docs, stages, monkeypatch):
     monkeypatch.setattr(logbilinear, "HEAD", 40)
     training = F.col("doc_id").isNull() | (F.col("doc_id") != 3)
