@@ -482,6 +482,33 @@ def test_most_common_is_a_bound_where_halves_collide(spark):
     assert made[0].column(2).to_pylist() == [[5, 7], None]
 
 
+def test_components_write_one_star_at_a_time(spark, stages, monkeypatch):
+    """Two stars in one plan computed the first of them for each reader, on the driver too."""
+    joins, write = [], Stages.write
+
+    def counted(self, name, df, *more):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(self, name, df, *more)
+
+    monkeypatch.setattr(Stages, "write", counted)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(20)], "x BIGINT, y BIGINT")
+    assert {r.root for r in components.components(edges, stages, "c").collect()} == {0}
+    assert max(joins) == 1
+
+
+def test_rooted_by_the_last_round(spark, stages):
+    """Rows with the root of the round before are placed by one join."""
+    search = minhash._Search.__new__(minhash._Search)
+    search.roots = [spark.createDataFrame(r, "node STRING, root STRING") for r in ([("a", "b"), ("c", "b")], [("b", "d"), ("e", "d")])]
+    rows = spark.createDataFrame([(x,) for x in "abcdef"], "node STRING")
+    whole = search.rooted(rows, "node", "root")
+    search.roots, last = search.roots[:1], search.roots[1]
+    before = search.rooted(rows, "node", "root")
+    search.roots = [*search.roots, last]
+    after = search.rooted(before, "root", "root", 1)
+    assert sorted(map(tuple, after.select("node", "root").collect())) == sorted(map(tuple, whole.select("node", "root").collect()))
+
+
 def test_components(spark, stages):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     found = dict(components.components(spark.createDataFrame(edges, "x BIGINT, y BIGINT"), stages, "c").distinct().collect())
