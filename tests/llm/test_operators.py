@@ -420,6 +420,71 @@ def test_a_family_of_unlike_members(spark, stages, monkeypatch, prunings):
     assert len(set(root)) > 20 and [found[i] for i in range(len(texts))] == root
 
 
+def test_a_pair_is_tried_once(spark, stages, monkeypatch):
+    """Components that are near each other but not linked were confirmed anew, full sets and all, in each round."""
+    rng, base = np.random.default_rng(8), prose(50, 200).split()
+    texts = []
+    for k in range(160):
+        changed = list(base)
+        for at in rng.choice(len(base), rng.integers(0, 30), replace=False):
+            changed[at] = f"own{k}x{at}" if rng.random() < 0.7 else f"some{rng.integers(0, 3)}"
+        texts.append(" ".join(changed[: 200 - rng.integers(0, 30)]))
+    tried, write = [], Stages.write
+
+    def seen(self, name, df, *more):
+        table = write(self, name, df, *more)
+        if name.startswith("pairs"):
+            tried.append([tuple(sorted((bytes(r.x), bytes(r.y)))) for r in table.collect()])
+        return table
+
+    monkeypatch.setattr(Stages, "write", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, stages, size=2).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_components(texts, 2)[0]
+    pairs = [p for t in tried for p in t]
+    assert len([t for t in tried if t]) > 2 and len(pairs) == len(set(pairs))
+
+
+def test_a_text_moves_once(spark, stages, monkeypatch):
+    """The texts of the nodes asked for, copies among them, are dealt by one key, and by no second one."""
+    texts = [prose(k % 5, 30) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4)
+    signed = minhash._signatures(docs.selectExpr("doc_id", "xxhash64(text) AS row_key", "cast(text AS binary) AS text"), 2)
+    asked = stages.write("asked", signed.where("doc_id IN (1, 2, 8)").select("node", "row_key"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sets = minhash._sets(docs, asked.dropDuplicates(["node"]), 2)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        found = {bytes(r.node): bytes(r.shingles) for r in sets.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shingle = minhash.Shingler(2)
+    sets = [shingle(texts[k].encode()) for k in (1, 2, 3)]
+    assert found == {minhash.node_of(s): s.tobytes() for s in sets}
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(row_key" in line]
+    assert len(moved) == 2 and "SortMergeJoin" in plan
+    assert not [line for line in plan.split("MapInArrow")[1].split("SortMergeJoin")[0].splitlines() if "Exchange" in line]
+
+
+def test_open_nodes_alone_are_read_again(spark, stages, monkeypatch):
+    """Sieved reads find what joins of all nodes found, and later joins see the open nodes only."""
+    kept, keep = [], minhash._Search.keep_open
+
+    def seen(self, rows):
+        keep(self, rows)
+        kept.append((self.nodes.columns, {bytes(r.node) for r in self.nodes.collect()}, {bytes(r.node) for r in rows.collect()}))
+
+    monkeypatch.setattr(minhash._Search, "keep_open", seen)
+    base = prose(50, 200).split()
+    texts = [" ".join(base[:150] + [f"own{k}x{at}" for at in range(8 + k)]) for k in range(20)] + [prose(k, 40) for k in range(100, 160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, stages, size=2).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_components(texts, 2)[0]
+    (columns, nodes, rows), = kept
+    assert nodes == rows and 0 < len(nodes) < len(texts) and "bands" not in columns
+
+
 def test_components_that_meet_in_one_bucket_only(spark, stages, monkeypatch):
     """Bands of their own for all but one node of either component: one common bucket must link them."""
     one, two = [(i, f"{prose(60, 50)} {prose(61, 4)}") for i in (1, 2)], [(i, f"{prose(60, 50)} {prose(62, 3)}") for i in (3, 4)]
