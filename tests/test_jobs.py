@@ -1,4 +1,5 @@
 import random
+from contextlib import nullcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from hrefloom.sources.snapshot import fetch_pages, resolve_redirects
 from hrefloom.sources.stream import PAGE_SCHEMA, link_stream
 from hrefloom.streaming.streams import (
     dedup_stream,
+    disk_state,
     politeness_stream,
     run_dedup_stream,
     run_discover_stream,
@@ -255,6 +257,23 @@ def test_politeness_stream_keeps_large_times_and_rows_without_host(spark, tmp_pa
     assert {r["seq"]: (r["host"], r["dispatch_at"]) for r in out} == {0: ("", far + 1), 1: ("", far + 8), 2: ("a", far + 3), 3: ("a", far + 10)}
 
 
+@pytest.mark.parametrize("on_disk", [False, True])
+def test_politeness_stream_goes_on_in_either_store(spark, tmp_path, on_disk):
+    """It asked for RocksDB, so a query started in a plain session failed with its first batch."""
+    schema = "seq bigint, host string, url string, arrival_ms bigint"
+    rows = [(k, f"h{k % 2}", f"http://x/{k}", k * 10) for k in range(20)]
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    for part in (rows[:12], rows[12:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = politeness_stream(link_stream(spark, f"{tmp_path}/in", schema), 300)
+        with disk_state(spark) if on_disk else nullcontext():
+            out = _drain(stream, str(tmp_path))
+    want = S.politeness_plan(spark.createDataFrame(rows, schema), 300).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == len(rows)
+    assert spark.conf.get(store, None) == before
+
+
 def test_discover_stream_equals_batch(spark, tmp_path):
     parts = [
         [(1, "https://h.example/1", _anchors("/a", "/b", "https://o.example/x")), (2, "https://h.example/2", _anchors("/b", "/c"))],
