@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hrefloom.llm import adsearch, classifier, components, licenses, logbilinear, minhash, mixing, pii, quality, warc
+from hrefloom.llm import adsearch, classifier, common, components, licenses, logbilinear, minhash, mixing, pii, quality, warc
 from hrefloom.llm.common import Stages
 
 from .conftest import DOCS, prose, rows
@@ -574,6 +574,49 @@ def test_rooted_by_the_last_round(spark, stages):
     assert sorted(map(tuple, after.select("node", "root").collect())) == sorted(map(tuple, whole.select("node", "root").collect()))
 
 
+def test_components_of_stars_are_written_once(spark, stages, monkeypatch):
+    """Edges that are stars already went through a whole round, to find them as they were."""
+    written, write = [], Stages.write
+    monkeypatch.setattr(Stages, "write", lambda self, name, *more: written.append(name) or write(self, name, *more))
+    edges = spark.createDataFrame([(0, k) for k in range(1, 9)] + [(20, 30), (30, 20)], "x BIGINT, y BIGINT")
+    found = dict(components.components(edges, stages, "c").collect())
+    assert found == {**{k: 0 for k in range(1, 9)}, 30: 20} and written == ["c-0"]
+
+
+def test_rows_are_placed_by_one_join(spark, stages, monkeypatch):
+    """Each round that linked components added one more join of all rows: rows made grew with the rounds."""
+    rng, base = np.random.default_rng(8), prose(50, 200).split()
+    texts = []
+    for k in range(160):
+        changed = list(base)
+        for at in rng.choice(len(base), rng.integers(0, 30), replace=False):
+            changed[at] = f"own{k}x{at}" if rng.random() < 0.7 else f"some{rng.integers(0, 3)}"
+        texts.append(" ".join(changed[: 200 - rng.integers(0, 30)]))
+    joins, linked, write = {}, set(), Stages.write
+
+    def counted(self, name, df, *more):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        if name.startswith("roots"):
+            linked.add(name.split("-")[1])
+        return write(self, name, df, *more)
+
+    monkeypatch.setattr(Stages, "write", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, stages, size=2).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_components(texts, 2)[0]
+    assert len(linked) > 2 and joins["placed"] == 1
+
+
+def test_a_sieve_is_as_large_as_its_keys_need(spark):
+    keys, rows = spark.range(0, 3000, 3), spark.range(3000)
+    sizes = [common.sieve(keys, "id", common.sieve_bits(n)).selectExpr("sum(size(words))").first()[0] for n in (1000, None)]
+    assert sizes[0] * 64 == 1 << 16 and sizes[1] > 20 * sizes[0]
+    for most in (1000, 10, None):  # too few bits let more through, and no key is lost
+        through = {r.id for r in common.sieved(rows, "id", keys, "id", most).where("_in = 1").collect()}
+        assert set(range(0, 3000, 3)) <= through and (most == 10 or len(through) < 1100)
+    assert common.sieve_bits(1 << 40) == common.SIEVE_BITS
+
+
 def test_components(spark, stages):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     found = dict(components.components(spark.createDataFrame(edges, "x BIGINT, y BIGINT"), stages, "c").distinct().collect())
