@@ -12,7 +12,9 @@ each entry (i, k) of A brings row k of B^T into row i.
 Counts of linked id pairs cover the corpus.  Texts are dealt into chunks of
 bounded size where they are encoded; a chunk's distinct pairs are summed up
 before anything is shuffled, and a chunk gets back one count per distinct pair,
-so a pair that stands in every text is a row per chunk.
+so a pair that stands in every text is a row per chunk.  A row of what is written
+and shuffled is one pair of a chunk or one text, so readers and writers, which
+hold many rows at a time, hold little however many chunks a task makes.
 """
 
 from __future__ import annotations
@@ -250,36 +252,63 @@ class Aligner:
         return ["".join(written[start:end])[:-1] for start, end in zip([0, *ends], ends)]
 
 
-_DOC = pa.struct([
-    ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_group_links", pa.int64()),
-    ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
-])
+_FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 _COUNTS = "n_a BIGINT, n_b BIGINT, n_groups BIGINT, n_links BIGINT, n_group_links BIGINT, groups_sha256 STRING"
 
 
+def pack(numbers: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Lists of numbers from 0, end to end, as a cell each: seven bits a byte from the lowest on, the high bit where more follow."""
+    more = [numbers >> 7 * k > 0 for k in range(1, 9)]
+    n = 1 + sum(x.astype(np.int64) for x in more)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    data = np.empty(upto[-1], dtype=np.uint8)
+    for k in range(int(n.max(initial=0))):
+        some = np.flatnonzero(n > k)
+        data[upto[some] + k] = (numbers[some] >> 7 * k & 127) | (n[some] > k + 1).astype(np.int64) << 7
+    offsets = upto[np.concatenate([[0], ends])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpack(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all cells, and where each cell's begin; one place more, the end."""
+    cells = cells.cast(pa.large_binary())
+    offsets = np.frombuffer(cells.buffers()[1], dtype=np.int64)[cells.offset :][: len(cells) + 1]
+    data = np.frombuffer(cells.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    last = np.concatenate([[0], np.cumsum(data < 128)])
+    starts = np.concatenate([[0], np.flatnonzero(data < 128) + 1])
+    place = np.arange(len(data)) - np.repeat(starts[:-1], np.diff(starts))
+    parts = np.concatenate([(data & 127).astype(np.int64) << 7 * place, [0]])
+    return np.add.reduceat(parts, starts)[:-1], last[offsets - offsets[0]]
+
+
 def _chunks(a_path: str, b_path: str, kind: pa.DataType):
-    """Texts to chunks: ids and figures of each text, and the chunk's distinct id pairs with their links."""
+    """Texts to chunks: a row for each distinct id pair of a chunk with its links, and one for each text."""
+    doc_type = pa.struct([
+        ("doc_id", kind), *((c, pa.int64()) for c in _FIGURES), ("groups_sha256", pa.string()), ("steps", pa.binary()), ("times", pa.binary()),
+    ])
 
-    def emit(number: int, ids: list, parts: list[Aligned]) -> pa.RecordBatch:
+    def emit(number: int, ids: list, parts: list[Aligned]) -> Iterator[pa.RecordBatch]:
         pairs, place = np.unique(np.concatenate([p.pair for p in parts]), return_inverse=True)
         all_times = np.concatenate([p.times for p in parts])
-        times = np.bincount(place, all_times, minlength=len(pairs)).astype(np.int64)
+        links = np.bincount(place, all_times, minlength=len(pairs)).astype(np.int64)
         sizes = np.concatenate([np.bincount(p.owner, minlength=len(p.n_a)) for p in parts])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        ends = np.cumsum(sizes)
         hashed = [hashlib.sha256(g.encode()).hexdigest() if n else "" for p in parts for g, n in zip(p.groups, p.n_a.tolist())]
-        numbers = [np.concatenate([getattr(p, c) for p in parts]) for c in ("n_a", "n_b", "n_groups", "n_links", "n_group_links")]
-        # a text's pairs are places in the chunk's list
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (place, all_times)]
-        found = pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(hashed, pa.string()), *lists], fields=list(_DOC))
-        one = pa.array([0, len(ids)], pa.int32())
-        chunk = (TaskContext.get().partitionId() << 32) + number
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.ListArray.from_arrays(one, found),
-                pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64())),
-            ],
-            ["chunk", "ids", "found", "pairs", "times"],
+        numbers = [np.concatenate([getattr(p, c) for p in parts]) for c in _FIGURES]
+        # a text's pairs are places in the chunk's list, in order: the first place, then the steps to the next
+        steps, first = np.diff(place, prepend=0), (ends - sizes)[sizes > 0]
+        steps[first] = place[first]
+        found = pa.StructArray.from_arrays(
+            [pa.array(ids, kind), *(pa.array(c, pa.int64()) for c in numbers), pa.array(hashed, pa.string()), pack(steps, ends), pack(all_times, ends)],
+            fields=list(doc_type),
         )
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        n, m = len(pairs), len(ids)
+        for columns in (
+            [pa.array(np.arange(n), pa.int32()), pa.array(pairs, pa.int64()), pa.array(links, pa.int64()), pa.nulls(n, doc_type)],
+            [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), found],
+        ):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), chunk), pa.int64()), *columns], ["chunk", "at", "pair", "links", "doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner(ByteLevel(a_path), Pieces(b_path))
@@ -294,28 +323,59 @@ def _chunks(a_path: str, b_path: str, kind: pa.DataType):
                     parts.append(align.align(coded))
                     size, held, coded = size + held, 0, []
                 if size >= CHUNK_BYTES:
-                    yield emit(number, ids, parts)
+                    yield from emit(number, ids, parts)
                     number, size, ids, parts = number + 1, 0, [], []
         if coded:
             parts.append(align.align(coded))
         if parts:
-            yield emit(number, ids, parts)
+            yield from emit(number, ids, parts)
 
     return run
 
 
-def pair_counts(chunks: DataFrame, width: int) -> DataFrame:
-    """``pair, count, best``: links of each id pair in the corpus, and whether its B id has no pair with more.
+def pair_counts(pairs: DataFrame, width: int) -> DataFrame:
+    """``pair, links`` -> ``pair, count, best``: links of each id pair in the corpus, and whether its B id has no pair with more.
 
     A pair is the number A * ``width`` + B.
     """
-    pairs = chunks.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("count"))
+    pairs = pairs.groupBy("pair").agg(F.sum("links").alias("count"))
     second = F.col("pair") % width
     highest = pairs.groupBy(second.alias("b")).agg(F.max("count").alias("highest"))
     joined = pairs.withColumn("b", second).join(highest, "b")
     return joined.select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
+def _scored(docs: pa.StructArray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """Texts of a chunk with their links by the counts of the chunk's pairs."""
+    (steps, starts), (times, _) = unpack(docs.field("steps")), unpack(docs.field("times"))
+    walked = np.concatenate([[0], np.cumsum(steps)])
+    place = walked[1:] - np.repeat(walked[starts[:-1]], np.diff(starts))
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[starts])
+    names = ["doc_id", *_FIGURES, "groups_sha256"]
+    columns = [*map(docs.field, names), pa.array(sums(times * best[place]), pa.int64()), pa.array(sums(times * counts[place]), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, [*names, "n_best", "count_sum"])
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by chunk, its pairs in order and then its texts: what is held is the counts of one chunk."""
+    chunk, counts, best = None, [], []
+    for b in batches:
+        chunks, told = b.column("chunk").to_numpy(), b.column("at").is_valid().to_numpy(zero_copy_only=False)
+        new = np.flatnonzero((chunks[1:] != chunks[:-1]) | (told[1:] != told[:-1])) + 1
+        for start, end in zip([0, *new.tolist()], [*new.tolist(), len(chunks)]):
+            if start == end:
+                continue
+            if chunks[start] != chunk:
+                chunk, counts, best = chunks[start], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
+            rows = b.slice(start, end - start)
+            if told[start]:
+                counts.append(np.array(rows.column("count"), dtype=np.int64))
+                best.append(np.array(rows.column("best"), dtype=bool))
+            else:
+                counts, best = [np.concatenate(counts)], [np.concatenate(best)]
+                yield _scored(rows.column("doc"), counts[0], best[0])
+
+
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, stages: Stages) -> DataFrame:
     """``doc_id, text`` -> a row per row: ``doc_id, n_a, n_b, n_groups, n_links, n_group_links, groups_sha256, n_best, count_sum``.
 
@@ -328,33 +388,15 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, stages: Stages)
     kind = docs.select("doc_id").schema
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.sparkSession.createDataFrame([], kind).toArrow().schema.field(0).type
-    doc = f"STRUCT<{_COUNTS.replace(' BIGINT', ': BIGINT').replace(' STRING', ': STRING')}, pairs: ARRAY<INT>, times: ARRAY<INT>>"
-    chunks = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _chunks(a_path, b_path, arrow), f"chunk BIGINT, ids ARRAY<{doc_type}>, found ARRAY<{doc}>, pairs ARRAY<BIGINT>, times ARRAY<BIGINT>"
+    doc = f"STRUCT<doc_id: {doc_type}, {_COUNTS.replace(' BIGINT', ': BIGINT').replace(' STRING', ': STRING')}, steps: BINARY, times: BINARY>"
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        _chunks(a_path, b_path, arrow), f"chunk BIGINT, at INT, pair BIGINT, links BIGINT, doc {doc}"
     )
-    chunks = stages.write("chunks", chunks)
-    counts = stages.write("counts", pair_counts(chunks, len(Pieces(b_path).bytes)))
-    # a chunk's counts, in the order of its pairs
-    asked = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
-    told = asked.join(counts, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("told"))
-    told = told.select("chunk", F.col("told.count").alias("count"), F.col("told.best").alias("best"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for n in range(b.num_rows):
-                counts = np.array(b.column("count")[n].values if b.column("count")[n].is_valid else [], dtype=np.int64)
-                best = np.array(b.column("best")[n].values if b.column("best")[n].is_valid else [], dtype=bool)
-                found = b.column("found")[n].values
-                sums, bests = [], []
-                for f in found:
-                    own, times = (np.array(f[c].values, dtype=np.int64) for c in ("pairs", "times"))
-                    bests.append(int(times[best[own]].sum()))
-                    sums.append(int((times * counts[own]).sum()))
-                columns = [found.field(i) for i in range(6)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("ids")[n].values, *columns, pa.array(bests, pa.int64()), pa.array(sums, pa.int64())],
-                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_group_links", "groups_sha256", "n_best", "count_sum"],
-                )
-
-    joined = chunks.select("chunk", "ids", "found").join(told, "chunk", "left").select("ids", "found", "count", "best")
-    return joined.mapInArrow(run, f"doc_id {doc_type}, {_COUNTS}, n_best BIGINT, count_sum BIGINT")
+    rows = stages.write("chunks", rows)
+    pairs, texts = rows.where("at IS NOT NULL"), rows.where("at IS NULL")
+    counts = stages.write("counts", pair_counts(pairs, len(Pieces(b_path).bytes)))
+    # a chunk's counts in the order of its pairs, then its texts
+    told = pairs.join(counts, "pair").select("chunk", "at", "count", "best", F.lit(None).cast(doc).alias("doc"))
+    asked = texts.select("chunk", "at", F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("boolean").alias("best"), "doc")
+    dealt = told.union(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
+    return dealt.mapInArrow(_score, f"doc_id {doc_type}, {_COUNTS}, n_best BIGINT, count_sum BIGINT")

@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,35 @@ def test_alignment_of_odd_texts(spark, aligner, docs, no_docs, monkeypatch):
     assert alignment.align_tokenizers(no_docs, *paths, Stages(spark, "align")).count() == 0
 
 
+def test_alignment_rows_are_small(spark, aligner, monkeypatch, stages):
+    """However many texts and chunks a task has, a written row is one text or one pair, and a chunk may come in many batches."""
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 500)
+    rows = [(i, f"{' '.join(str(i % 40 * k) for k in range(30))} {ODD[i % len(ODD)][:50]}" if i % 7 else ["", None][i % 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1)
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    spark.conf.set(Stages.ARROW_ROWS, "7")
+    try:
+        check_alignment(aligner, rows, alignment.align_tokenizers(df, *paths, stages).collect())
+    finally:
+        spark.conf.unset(Stages.ARROW_ROWS)
+    files = sorted(Path(stages.root.removeprefix("file:")).rglob("*.parquet"))
+    assert {f.parent.name for f in files} == {"chunks", "counts"}
+    for f in files:
+        groups = [pq.ParquetFile(f).metadata.row_group(g) for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+        assert all(g.column(c).num_values == g.num_rows for g in groups for c in range(g.num_columns))
+
+
+def test_packed_numbers():
+    lists = [[], [0, 1, 127, 128, 300], [], [(1 << 14) - 1, 1 << 14, 1 << 31, (1 << 63) - 1], [5], []]
+    flat = np.array([x for part in lists for x in part], dtype=np.int64)
+    packed = alignment.pack(flat, np.cumsum([len(part) for part in lists]))
+    assert [len(x.as_py()) for x in packed] == [0, 1 + 1 + 1 + 2 + 2, 0, 2 + 3 + 5 + 9, 1, 0]
+    for start, end in ((0, 6), (1, 4), (2, 3), (0, 1), (3, 6)):
+        numbers, starts = alignment.unpack(packed.slice(start, end - start))
+        assert [numbers[x:y].tolist() for x, y in zip(starts, starts[1:])] == lists[start:end]
+
+
 def test_alignment_query(spark, aligner, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect() if len(r.text or "") < 4000]
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
